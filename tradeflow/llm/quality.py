@@ -106,6 +106,8 @@ def transformed(d: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- MCD
 
+SALTS = 32
+
 
 def _moments(d: DataFrame, keys: list[str]) -> DataFrame:
     p = len(STATS)
@@ -158,8 +160,8 @@ def mcd(d: DataFrame, h_share: float = 0.75, steps: int = 3, grid: int = 64) ->
     unit, so it holds at least that share; it is exact to a bin and the same on every run.
     """
     # Start 1 is all rows, start 2 the rows inside the group's middle range of every statistic.
-    mid = d.groupBy("grp").agg(*[F.percentile_approx(x, F.array(F.lit(0.1), F.lit(0.9)), 1000).alias(f"r_{x}") for x in STATS])
-    e = d.join(mid, "grp")
+    mid = cut(d.groupBy("grp").agg(*[F.percentile_approx(x, F.array(F.lit(0.1), F.lit(0.9)), 1000).alias(f"r_{x}") for x in STATS]))
+    e = _near(d, mid)
     inside = F.lit(True)
     for x in STATS:
         inside = inside & F.col(x).between(F.col(f"r_{x}")[0], F.col(f"r_{x}")[1])
@@ -170,17 +172,23 @@ def mcd(d: DataFrame, h_share: float = 0.75, steps: int = 3, grid: int = 64) ->
     return est
 
 
+def _near(d: DataFrame, est: DataFrame) -> DataFrame:
+    """d with its group's rows of est. The key is salted: where est is too large to broadcast, a
+    group that holds most rows is dealt over SALTS tasks, and sums after it combine map-side."""
+    salted = est.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return d.join(salted, ["grp", "_salt"])
+
+
 def _concentrate(d: DataFrame, est: DataFrame, h_share: float, grid: int) -> DataFrame:
-    e = d.join(est, "grp").select("grp", "start", *STATS, _distance().alias("_d"))
-    e = e.withColumn("_bin", F.floor(F.log2(F.col("_d") + 1e-9) * grid).cast("int"))
-    hist = e.groupBy("grp", "start", "_bin").agg(F.count("*").alias("_c"))
+    bins = F.floor(F.log2(_distance() + 1e-9) * grid).cast("int")
+    hist = _near(d, est).groupBy("grp", "start", bins.alias("_bin")).agg(F.count("*").alias("_c"))
     w = Window.partitionBy("grp", "start")
     cum = F.sum("_c").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("_c").over(w)
     cutoff = hist.select("grp", "start", "_bin", cum.alias("_cum"), total.alias("_total"))
     cutoff = cutoff.where(F.col("_cum") >= F.ceil(F.col("_total") * h_share)).groupBy("grp", "start").agg(F.min("_bin").alias("_cut"))
-    kept = e.join(cutoff, ["grp", "start"]).where(F.col("_bin") <= F.col("_cut"))
-    return _moments(kept, ["grp", "start"])
+    est = cut(est.join(cutoff, ["grp", "start"]))
+    return _moments(_near(d, est).where(bins <= F.col("_cut")), ["grp", "start"])
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source"),
@@ -198,11 +206,12 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: tupl
     d = d.withColumn("grp", _key(d, by_here) if by_here else F.lit("all"))
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
     d = cut(d.drop(*by_here, "_n_lines"))
-    usable = d.where(~F.col("base_failed")).select("grp", *STATS)
+    usable = d.where(~F.col("base_failed")).select("grp", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("_salt"), *STATS)
     both = usable.unionByName(usable.withColumn("grp", F.lit("all groups")))
     est = mcd(both, h_share, steps)
     pick = Window.partitionBy("grp").orderBy("log_det", "start")
     est = est.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") == 1).drop("_r", "start", "log_det")
+    est = cut(est)
     own = est.where((F.col("grp") != "all groups") & (F.col("m_n") >= min_rows * h_share))
     pooled = est.where(F.col("grp") == "all groups").drop("grp")
     pooled = pooled.select(F.lit(1).alias("_one"), *[F.col(c).alias(f"p_{c}") for c in pooled.columns])
