@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, sharding, urls
+import corpus_pipeline
+
+from . import decontamination, jaccard, licenses, mixing, pii, quality, sharding, toxicity, urls, warc
 from .util import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
+    return toxicity.scored(docs.select("doc_id", "text"), model).select("doc_id", held, "score", "predicted")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sharding.sharded(table(spark, sf_dir, "documents"), n_shards=8)
     return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -18,6 +31,16 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = warc.resolved(warc.records_of(table(spark, sf_dir, "pages")))
+    header = lambda h: F.col("headers").getItem(h)
+    return d.select("record_id", "canonical_url", "target_id", "outcome", "digest", header("etag").alias("etag"), header("server").alias("server"), header("expires").alias("expires"), F.size("headers").alias("n_headers"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
@@ -30,11 +53,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_pii": op2_pii,
     "op3_sharding": op3_sharding,
     "op4_url_filters": op4_url_filters,
+    "op5_warc": op5_warc,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_license_scans": op7_license_scans,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontamination": op10_decontamination,
+    "pipeline": pipeline,
 }
 ORACLE: dict[str, str] = {}
