@@ -51,16 +51,10 @@ def template_grams(spark: SparkSession, templates, k: int = K) -> tuple[DataFram
 
 
 def _words(docs: DataFrame, text: str) -> DataFrame:
-    """_words: the lower-cased words. Extracting from the raw text with A-Z as word characters and
-    lower-casing words afterwards gives the same words as lower-casing first."""
-    raw = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    d = docs.withColumn("_raw", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(raw), F.lit(0)))
-    return d.drop(text)
-
-
-def _lower(c):
-    # lower() also folds the Kelvin sign and accented capitals, which no template word holds.
-    return F.lower(c)
+    """_words: the lower-cased words of the whole text. lower() folds more letters than A-Z, but never
+    a word character to another class, and no phrase has the letter that it makes from the Kelvin sign."""
+    d = docs.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    return d.withColumn("_words", F.regexp_extract_all("_low", F.lit(WORD), F.lit(0))).drop(text)
 
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates=None, k: int = K,
@@ -69,11 +63,10 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
     grams, size = template_grams(spark, templates, k)
-    d = _words(docs.select(id_col, text), text)
-    d = d.withColumn("_n", F.size("_raw")).where(F.col("_n") >= k)
-    d = d.withColumn("_low", F.transform("_raw", _lower))
-    hashed = F.transform(F.sequence(F.lit(0), F.col("_n") - k), lambda i: F.xxhash64(*[F.get(F.col("_low"), i + j) for j in range(k)]))
-    rolled = d.select(id_col, F.posexplode(hashed).alias("pos", "gram"))
+    d = _words(docs.select(id_col, text), text).where(F.size("_words") >= k)
+    # Positions are exploded and each gram is hashed from the array in generated code.
+    rolled = d.select(id_col, "_words", F.explode(F.sequence(F.lit(0), F.size("_words") - k)).alias("pos"))
+    rolled = rolled.select(id_col, "pos", F.xxhash64(*[F.get("_words", F.col("pos") + j) for j in range(k)]).alias("gram"))
     side = F.broadcast(grams) if size <= MAX_TEMPLATE_GRAMS else grams
     hits = rolled.join(side, "gram").select(id_col, "template", "label", "n_grams", "pos", "tpos", (F.col("pos") - F.col("tpos")).alias("diag"))
     votes = hits.groupBy(id_col, "template", "label", "n_grams", "diag").agg(
@@ -91,12 +84,16 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
 
 def base_places(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """n_words and the places of the fixed phrases: n_base, first_word, last_word, labels."""
-    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    near = "(?i)" + "|".join(p.replace(" ", gap) for p in PHRASES)
-    d = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_maybe", F.col("_t").rlike(near))
-    d = _words(d.withColumnRenamed("_t", "_text"), "_text")
-    d = d.withColumn("n_words", F.size("_raw").cast("long"))
-    d = d.withColumn("_low", F.when(F.col("_maybe"), F.transform("_raw", _lower)))
+    d = _words(docs.select(id_col, F.col(text).alias("_text")), "_text")
+    # A text with a phrase contains its words' letters; the rest need no search.
+    maybe = F.lit(False)
+    for p in PHRASES:
+        has = F.lit(True)
+        for w in p.split():
+            has = has & F.col("_low").contains(w)
+        maybe = maybe | has
+    d = d.withColumn("_maybe", maybe).drop("_low")
+    d = d.withColumn("n_words", F.size("_words").cast("long"))
 
     def at(phrase):
         words = phrase.split()
@@ -104,10 +101,10 @@ def base_places(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         def hit(w, i):
             c = w == words[0]
             for j, x in enumerate(words[1:], 1):
-                c = c & F.coalesce(F.get(F.col("_low"), i + j) == x, F.lit(False))
+                c = c & F.coalesce(F.get(F.col("_words"), i + j) == x, F.lit(False))
             return c
 
-        marked = F.transform("_low", lambda w, i: F.when(hit(w, i), i))
+        marked = F.transform("_words", lambda w, i: F.when(hit(w, i), i))
         return F.filter(marked, lambda i: i.isNotNull())
 
     for j, p in enumerate(PHRASES):
