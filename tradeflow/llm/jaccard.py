@@ -2,7 +2,7 @@
 
 Each text is the set of its word 5-grams. Two sets with a Jaccard similarity of at least 75 %
 share an element among the first n - ceil(0.75 n) + 1 of each, in any one order of elements. The
-order here puts elements that occur in many texts last. Documents with identical prefixes and
+order here puts elements that occur in many texts last, by that number. Documents with identical prefixes and
 size are one group; groups that share a prefix element are candidates; candidate groups are
 expanded to their distinct sets, and pairs of sets are verified exactly, on words.
 
@@ -10,7 +10,7 @@ Which elements are frequent comes from a count over all texts (of 40 bits of the
 any order is right, a collision costs time only). At most MAX_HOT are frequent: the least power
 of two for which this holds is the bound on a list of other elements, within which all pairs are
 candidates. In the lists of frequent elements, which groups of near copies bring about, each set
-is paired with two hubs; sets that this leaves in different components are then paired exactly.
+is paired with a hub; sets that this leaves in different components are then paired exactly.
 
 At scale: texts are hashed in Arrow batches; counts travel as sorted, compressed runs, prefixes
 as (element, document) rows. Exact copies collapse before postings are joined. No task holds a
@@ -115,8 +115,8 @@ def _frequent(table: pa.Table) -> pa.Table:
     return pa.table({"key": keys[first][hot].astype(np.int64), "df": total[hot]})
 
 
-def frequent_keys(docs: DataFrame, text: str) -> np.ndarray:
-    """Sorted keys of the frequent elements, at most MAX_HOT of them."""
+def frequent_keys(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the frequent elements, at most MAX_HOT of them, and in how many texts each is."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     # About a megabyte of text, some 200,000 elements, to a bucket.
     buckets = int(max(64, min(100_000, size // 1_000_000)))
@@ -126,16 +126,16 @@ def frequent_keys(docs: DataFrame, text: str) -> np.ndarray:
     level = min(levels, default=0)
     while sum(c for k, c in levels.items() if k >= level) > MAX_HOT:
         level += 1
-    keys = hot.where(F.col("df") >= F.lit(2**level)).select("key").toPandas()["key"].to_numpy(dtype=np.uint64)
-    return np.sort(keys)
+    rows = hot.where(F.col("df") >= F.lit(2**level)).toPandas().sort_values("key")
+    return rows["key"].to_numpy(dtype=np.uint64), rows["df"].to_numpy(dtype=np.int64)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Per document: set size, hashes of set and group, and the prefix unless this task has given
-    the group's already."""
+def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per document: set size, how many of its elements are not frequent, hashes of set and group,
+    and the prefix unless this task has given the group's already."""
     given: set[tuple[int, int]] = set()
     for b in batches:
-        ns, sets, groups, rare, common = [], [], [], [], []
+        ns, few, sets, groups, rare, common = [], [], [], [], [], []
         for t in b.column(1):
             s = shingles(words_of(t.as_py()))
             n = len(s)
@@ -144,9 +144,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa
                 k = s >> np.uint64(64 - KEY_BITS)
                 at = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
                 is_hot = hot[at] == k
-                cold = s[~is_hot][:p]
-                warm = s[is_hot][: p - len(cold)]
+                cold, warm = s[~is_hot], s[is_hot]
+                few.append(len(cold))
+                cold = cold[:p]
+                warm = warm[np.argsort(df[at[is_hot]], kind="stable")[: p - len(cold)]]
             else:
+                few.append(n)
                 cold, warm = s[:p], s[:0]
             g = xxhash.xxh3_64_intdigest(cold.tobytes() + warm.tobytes(), seed=n)
             c = xxhash.xxh3_64_intdigest(s.tobytes())
@@ -162,8 +165,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa
             else:
                 rare.append(None)
                 common.append(None)
-        yield pa.record_batch([b.column(0), pa.array(ns, pa.int64()), pa.array(sets, pa.int64()), pa.array(groups, pa.int64()),
-                               pa.array(rare, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64()))], ["doc_id", "n", "cls", "grp", "rare", "common"])
+        yield pa.record_batch([b.column(0), pa.array(ns, pa.int64()), pa.array(few, pa.int64()), pa.array(sets, pa.int64()), pa.array(groups, pa.int64()),
+                               pa.array(rare, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64()))], ["doc_id", "n", "few", "cls", "grp", "rare", "common"])
 
 
 def _alike(rows: pd.DataFrame) -> pd.Series:
@@ -191,20 +194,25 @@ def _fits(n: str, m: str):
     return (F.col(n) * 4 >= F.col(m) * 3) & (F.col(m) * 4 >= F.col(n) * 3)
 
 
+def _reaches(n: str, i: str, m: str, j: str):
+    """Whether sets of sizes n and m whose first common elements stand at i and j can have the overlap
+    that 75 % needs, 3/7 of n + m. The first common element of a similar pair always passes."""
+    return 7 * F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= 3 * (F.col(n) + F.col(m))
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    keys = frequent_keys(docs, "text")
-    shared = docs.sparkSession.sparkContext.broadcast(keys)  # at most MAX_HOT keys
-    rows = docs.mapInArrow(lambda b: _prefixes(b, shared.value), "doc_id long, n long, cls long, grp long, rare array<long>, common array<long>")
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_keys(docs, "text"))  # at most MAX_HOT keys
+    rows = docs.mapInArrow(lambda b: _prefixes(b, *shared.value), "doc_id long, n long, few long, cls long, grp long, rare array<long>, common array<long>")
     rows = cut(rows)
     own = rows.where("n > 0")
-    classes = cut(own.groupBy("grp", "cls", "n").agg(F.min("doc_id").alias("rep")))
+    classes = cut(own.groupBy("grp", "cls", "n").agg(F.min("doc_id").alias("rep"), F.min("few").alias("few")))
 
     # Other elements: few groups hold each, and all pairs of those are candidates.
-    post = own.where("rare is not null").select(F.explode("rare").alias("e"), "grp", "n")
-    left, right = post, post.select(F.col("e").alias("e2"), F.col("grp").alias("grp2"), F.col("n").alias("n2"))
-    pairs = left.join(right, (F.col("e") == F.col("e2")) & (F.col("grp") < F.col("grp2")) & _fits("n", "n2")).select("grp", "grp2").distinct()
+    post = own.where("rare is not null").select("grp", F.col("n").cast("int").alias("n"), F.posexplode("rare").alias("i", "e"))
+    left, right = post, post.select(F.col("e").alias("e2"), F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    pairs = left.join(right, (F.col("e") == F.col("e2")) & (F.col("grp") < F.col("grp2")) & _fits("n", "n2") & _reaches("n", "i", "n2", "i2")).select("grp", "grp2").distinct()
     # Expanded to the groups' distinct sets.
     c1 = classes.select("grp", F.col("rep").alias("a"), F.col("n").alias("na"))
     c2 = classes.select(F.col("grp").alias("grp2"), F.col("rep").alias("b"), F.col("n").alias("nb"))
@@ -212,27 +220,31 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 
     # Frequent elements, and the sets of one group: lists of any length, cut into bands of size.
     # Sets whose sizes allow 75 % are in the same band or in neighbouring ones.
-    common = own.where("common is not null and size(common) > 0").select(F.explode("common").alias("e"), "grp").distinct()
-    listed = common.join(classes, "grp").select("e", "rep", "n")
+    common = own.where("common is not null").select("grp", F.size("rare").alias("k"), F.posexplode("common").alias("i", "e")).select("e", "grp", (F.col("i") + F.col("k")).alias("i")).distinct()
+    listed = common.join(classes, "grp").select("e", "i", "rep", "n", "few")
     several = classes.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
-    listed = listed.unionByName(classes.join(several, "grp").select(F.col("grp").alias("e"), "rep", "n"))
-    band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
-    listed = cut(listed.select("e", "rep", "n", F.explode(F.array(band, band + 1)).alias("band")))
-    hub = lambda s: F.min(F.struct(F.xxhash64("rep", F.lit(s)), F.col("rep").alias("hub")))["hub"]
-    hubs = listed.groupBy("e", "band").agg(F.count("*").alias("k"), hub(1).alias("h1"), hub(2).alias("h2")).where("k > 1")
-    star = listed.join(hubs, ["e", "band"]).select(F.col("rep").alias("a"), F.explode(F.array("h1", "h2")).alias("b"))
+    listed = listed.unionByName(classes.join(several, "grp").select(F.col("grp").alias("e"), F.lit(0).alias("i"), "rep", "n", "few"))
+    listed = listed.withColumn("own", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
+    listed = cut(listed.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))))
+    # A hub is the set with the least share of elements of its own: of near copies the one with the
+    # fewest changes, to which most of the others are near.
+    central = F.struct((F.col("few") / F.col("n")).alias("s"), F.xxhash64("rep").alias("h"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("i").alias("hub_i"))
+    hubs = listed.groupBy("e", "band").agg(F.count("*").alias("k"), F.min(central).alias("_h")).where("k > 1").select("e", "band", "_h.hub", "_h.hub_n", "_h.hub_i")
+    star = listed.join(hubs, ["e", "band"]).where(_fits("n", "hub_n") & _reaches("n", "i", "hub_n", "hub_i")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
 
     edges = _verified(docs, cold.unionByName(star))
     parts = components(edges)
     # What hubs left apart: in lists with several components, sets of all but the largest one
     # are paired with every set of another component.
-    tagged = listed.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    tagged = listed.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component", "few")
     per = tagged.groupBy("e", "band", "comp").agg(F.count("*").alias("k"))
     open_lists = per.groupBy("e", "band").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("parts > 1").drop("parts")
     tagged = cut(tagged.join(open_lists, ["e", "band"]))
-    rest = tagged.where("comp <> main").select("e", "band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    every = tagged.select("e", "band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "main")
-    left_over = rest.join(every, ["e", "band"]).where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits("na", "nb")).select("a", "b")
+    rest = tagged.where("comp <> main").select("e", "band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("own").alias("oa"), F.col("comp").alias("ca"))
+    every = tagged.select("e", "band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("own").alias("ob"), F.col("comp").alias("cb"), "main")
+    # A pair that shares two bands is taken in the upper one's list.
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.greatest("oa", "ob") == F.col("band"))
+    left_over = rest.join(every, ["e", "band"]).where(apart & _fits("na", "nb") & _reaches("na", "ia", "nb", "ib")).select("a", "b")
     more = _verified(docs, left_over)
     if not more.isEmpty():
         parts = components(edges.unionByName(more))
