@@ -43,6 +43,10 @@ def features_of(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in PREFIXES if len(word) > k]]
 
 
+def features_in(text: str) -> set[str]:
+    return {f for w in words_of(text) for f in features_of(w)}
+
+
 @dataclass
 class ToxicityModel:
     weights: dict[str, float]
@@ -69,17 +73,22 @@ class ToxicityModel:
         return score
 
 
-def mined(texts: list[set[str]], y: np.ndarray, features: int, least: int = 4) -> list[str]:
-    """Features that occur in at least `least` texts, by the size of their smoothed log odds."""
-    pos, neg = Counter(), Counter()
-    for fs, t in zip(texts, y, strict=True):
-        (pos if t else neg).update(fs)
+def mined(texts: list[str], y: np.ndarray, features: int, least: int = 4) -> list[str]:
+    """Features that occur in at least `least` toxic texts, by their smoothed log odds.
+
+    Only features of toxic texts are counted, and of the others only those: memory follows the
+    vocabulary of the toxic sample."""
+    pos: Counter = Counter()
+    for t, toxic in zip(texts, y, strict=True):
+        if toxic:
+            pos.update(features_in(t))
+    pos = Counter({f: n for f, n in pos.items() if n >= least})
+    neg: Counter = Counter()
+    for t, toxic in zip(texts, y, strict=True):
+        if not toxic:
+            neg.update(f for f in features_in(t) if f in pos)
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    odds = {}
-    for f in pos.keys() | neg.keys():
-        a, b = pos[f], neg[f]
-        if a + b >= least:
-            odds[f] = (np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))) * np.sqrt(a + b) / np.sqrt(a + b + 8)
+    odds = {f: (np.log((a + 0.5) / (n1 + 1)) - np.log((neg[f] + 0.5) / (n0 + 1))) * np.sqrt(a + neg[f]) / np.sqrt(a + neg[f] + 8) for f, a in pos.items()}
     return sorted((f for f in odds if odds[f] > 1.5), key=lambda f: (-odds[f], f))[:features]
 
 
@@ -159,12 +168,12 @@ def fitted(texts: list[str], y: np.ndarray, prior: float, features: int = 3_000,
 
     prior is the share of toxic rows in the population; the sample may be balanced."""
     prior = min(max(prior, 0.01), 0.99)
-    words = [words_of(t) for t in texts]
-    feats = [{f for w in ws for f in features_of(w)} for ws in words]
     if not len(y) or y.min() == y.max():
         lex = {w: 4.0 for s in SEEDS for w in s}
         return ToxicityModel(lex, float(np.log(prior / (1 - prior))) if not len(y) else -2.0)
-    vocabulary = mined(feats, y, features)
+    vocabulary = mined(texts, y, features)
+    known = frozenset(vocabulary).union(*SEEDS)
+    feats = [features_in(t) & known for t in texts]
     # Each mined voter takes every lists-th feature: about equally good, and not independent.
     groups = [frozenset(vocabulary[i::lists]) for i in range(lists)]
     votes = votes_of(texts, feats, groups)
@@ -181,7 +190,7 @@ def fitted(texts: list[str], y: np.ndarray, prior: float, features: int = 3_000,
     return ToxicityModel({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}, float(b), [float(a) for a in acc], corr)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4_000, id_col: str = "doc_id", text: str = "text", **kw) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2_000, id_col: str = "doc_id", text: str = "text", **kw) -> ToxicityModel:
     """Fits on labelled rows whose crc32 of the id is no multiple of 5, at most `sample` of each class."""
     usable = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0)).select(id_col, F.col("toxic").cast("int").alias("_y"))
     prior = usable.agg(F.avg("_y")).first()[0]
