@@ -77,12 +77,15 @@ def anchors(templates, k: int, coverage: float) -> list[str]:
     for _, text in templates:
         words = text.split()
         grams = [frozenset(words[i : i + k]) for i in range(len(words) - k + 1)]
-        rank = lambda w: (w in STOP, -min(len(w), 7), w)
+        plain = lambda w: w in STOP or len(w) == 1
+        rank = lambda w: (-min(len(w), 7), w)
         missed = lambda ws: sum(not (g & ws) for g in grams)
         own: set[str] = set()
         while grams and missed(chosen | own) >= coverage * len(grams):
-            enough = [w for w in set(words) if missed(chosen | own | {w}) < coverage * len(grams)]
-            own.add(min(enough, key=rank) if enough else min(set(words) - chosen - own, key=lambda w: (w in STOP, missed(chosen | own | {w}), w)))
+            left = set(words) - chosen - own
+            left = {w for w in left if not plain(w)} or left
+            enough = [w for w in left if missed(chosen | own | {w}) < coverage * len(grams)]
+            own.add(min(enough, key=rank) if enough else min(left, key=lambda w: (missed(chosen | own | {w}), *rank(w))))
         chosen |= own
     return sorted(chosen)
 
