@@ -110,11 +110,12 @@ def mixed(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5
     seg = spark.createDataFrame(rows, "_source string, base long, k long, times long, at long, n long, slots array<long>, stop long")
     order = distributed_rank(d, ["_source"], ["_order", id_col], F.shiftright(F.col("_order"), 55).cast("int"), "_before", weight="_bytes")
     order = order.withColumn("block", F.floor(F.col("_before") / block_bytes).cast("long"))
-    # One row per source: the phases of a source are few, and the row's block picks among them.
-    per = seg.groupBy("_source").agg(F.array_sort(F.collect_list(F.struct("base", "stop", "k", "at", "n", "slots"))).alias("_phases"))
-    j = order.join(F.broadcast(per), order["_source"].eqNullSafe(per["_source"])).drop(per["_source"])
-    j = j.withColumn("_p", F.filter("_phases", lambda p: (p["base"] <= F.col("block")) & (F.col("block") < p["stop"]))[0]).drop("_phases")
-    i = F.col("block") - F.col("_p.base")
-    slot = F.col("_p.at") + F.floor(i / F.col("_p.k")) * F.col("_p.n") + F.get(F.col("_p.slots"), F.pmod(i, F.col("_p.k")).cast("int"))
-    j = j.select(id_col, F.col("_source").alias("source"), "block", slot.cast("long").alias("slot"), "_before")
+    order = cut(order.select(id_col, F.coalesce(F.concat(F.lit("v"), "_source"), F.lit("n")).alias("_s"), "_source", "block", "_before"))
+    seg = seg.select(F.coalesce(F.concat(F.lit("v"), "_source"), F.lit("n")).alias("_s"), "base", "stop", "k", "at", "n", "slots")
+    # The pattern of a phase meets each block once, not each document.
+    held = order.select("_s", "block").distinct().join(F.broadcast(seg), "_s").where((F.col("base") <= F.col("block")) & (F.col("block") < F.col("stop")))
+    i = F.col("block") - F.col("base")
+    slot = F.col("at") + F.floor(i / F.col("k")) * F.col("n") + F.get(F.col("slots"), F.pmod(i, F.col("k")).cast("int"))
+    placed = held.select("_s", "block", slot.cast("long").alias("slot"))
+    j = order.join(placed, ["_s", "block"]).select(id_col, F.col("_source").alias("source"), "block", "slot", "_before")
     return distributed_rank(j, [], ["slot", "_before", id_col], F.floor(F.col("slot") * 4096 / total).cast("int"), "position").drop("_before")
