@@ -13,7 +13,7 @@ candidates. In the lists of frequent elements, which groups of near copies bring
 is paired with a hub; sets that this leaves in different components are then paired exactly.
 
 At scale: texts are hashed in Arrow batches; counts travel as sorted, compressed runs, prefixes
-as (element, document) rows. Exact copies collapse before postings are joined. No task holds a
+as (element, document) rows, of one document of each group that a task meets. Exact copies collapse before postings are joined. No task holds a
 list of a frequent element: hubs are minima combined map-side.
 
 Null and empty texts and texts without words have an empty set and link with nothing, not even
@@ -83,7 +83,7 @@ def _count_runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
             s = shingles(words_of(t.as_py())) >> np.uint64(64 - KEY_BITS)
             parts.append(s)
             size += len(s)
-            if size >= 2_000_000:
+            if size >= 1_000_000:
                 yield from flush(parts)
                 parts, size = [], 0
     if size:
@@ -130,43 +130,68 @@ def frequent_keys(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return rows["key"].to_numpy(dtype=np.uint64), rows["df"].to_numpy(dtype=np.int64)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Per document: set size, how many of its elements are not frequent, hashes of set and group,
-    and the prefix unless this task has given the group's already."""
-    given: set[tuple[int, int]] = set()
+def _ordered(text: str | None, hot: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The set of a text, its prefix in two parts (other and frequent elements), and how many of
+    its elements are not frequent."""
+    s = shingles(words_of(text))
+    n = len(s)
+    p = prefix_length(n) if n else 0
+    if not len(hot) or not n:
+        return s, s[:p], s[:0], n
+    k = s >> np.uint64(64 - KEY_BITS)
+    at = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
+    is_hot = hot[at] == k
+    cold, warm = s[~is_hot], s[is_hot]
+    return s, cold[:p], warm[np.argsort(df[at[is_hot]], kind="stable")[: max(0, p - len(cold))]], len(cold)
+
+
+def _group(n: int, cold: np.ndarray, warm: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(cold.tobytes() + warm.tobytes(), seed=n) - (1 << 63)
+
+
+def _members(batches: Iterator[pa.RecordBatch], hot: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per document: set size, how many of its elements are not frequent, hashes of set and group; and,
+    once a group and task, the frequent part of the prefix and the place where it starts."""
+    given: set[int] = set()
     for b in batches:
-        ns, few, sets, groups, rare, common = [], [], [], [], [], []
+        out = []
         for t in b.column(1):
-            s = shingles(words_of(t.as_py()))
-            n = len(s)
-            p = prefix_length(n) if n else 0
-            if len(hot) and n:
-                k = s >> np.uint64(64 - KEY_BITS)
-                at = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
-                is_hot = hot[at] == k
-                cold, warm = s[~is_hot], s[is_hot]
-                few.append(len(cold))
-                cold = cold[:p]
-                warm = warm[np.argsort(df[at[is_hot]], kind="stable")[: p - len(cold)]]
-            else:
-                few.append(n)
-                cold, warm = s[:p], s[:0]
-            g = xxhash.xxh3_64_intdigest(cold.tobytes() + warm.tobytes(), seed=n)
-            c = xxhash.xxh3_64_intdigest(s.tobytes())
-            ns.append(n)
-            sets.append(c - (1 << 63))
-            groups.append(g - (1 << 63))
-            if n and (g, c) not in given:
-                if len(given) > 500_000:
-                    given.clear()
-                given.add((g, c))
-                rare.append(cold.view(np.int64))
-                common.append(warm.view(np.int64))
-            else:
-                rare.append(None)
-                common.append(None)
-        yield pa.record_batch([b.column(0), pa.array(ns, pa.int64()), pa.array(few, pa.int64()), pa.array(sets, pa.int64()), pa.array(groups, pa.int64()),
-                               pa.array(rare, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64()))], ["doc_id", "n", "few", "cls", "grp", "rare", "common"])
+            s, cold, warm, few = _ordered(t.as_py(), hot, df)
+            g = _group(len(s), cold, warm)
+            if len(given) > 500_000:
+                given.clear()
+            out.append((len(s), few, xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), g, len(cold), warm.view(np.int64) if len(warm) and g not in given else None))
+            given.add(g)
+        cols = [pa.array([r[k] for r in out], pa.int64()) for k in range(5)]
+        yield pa.record_batch([b.column(0), *cols, pa.array([r[5] for r in out], pa.list_(pa.int64()))], ["doc_id", "n", "few", "cls", "grp", "at", "common"])
+
+
+def _postings(batches: Iterator[pa.RecordBatch], hot: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The other prefix elements with their place, of one document of each group that this task meets."""
+    given: set[int] = set()
+    for b in batches:
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        parts, size = [], 0
+        for doc, t in zip(ids, b.column(1), strict=True):
+            s, e, warm, _ = _ordered(t.as_py(), hot, df)
+            g = _group(len(s), e, warm)
+            if not len(e) or g in given:
+                continue
+            if len(given) > 500_000:
+                given.clear()
+            given.add(g)
+            parts.append((e, np.full(len(e), doc), np.full(len(e), len(s), np.int32), np.arange(len(e), dtype=np.int32)))
+            size += len(e)
+            if size >= 200_000:
+                yield _rows(parts)
+                parts, size = [], 0
+        if parts:
+            yield _rows(parts)
+
+
+def _rows(parts: list) -> pa.RecordBatch:
+    e, doc, n, i = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pa.record_batch([pa.array(e.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(n), pa.array(i)], ["e", "doc", "n", "i"])
 
 
 def _alike(rows: pd.DataFrame) -> pd.Series:
@@ -204,15 +229,17 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent_keys(docs, "text"))  # at most MAX_HOT keys
-    rows = docs.mapInArrow(lambda b: _prefixes(b, *shared.value), "doc_id long, n long, few long, cls long, grp long, rare array<long>, common array<long>")
-    rows = cut(rows)
+    rows = cut(docs.mapInArrow(lambda b: _members(b, *shared.value), "doc_id long, n long, few long, cls long, grp long, at long, common array<long>"))
     own = rows.where("n > 0")
     classes = cut(own.groupBy("grp", "cls", "n").agg(F.min("doc_id").alias("rep"), F.min("few").alias("few")))
-
-    # Other elements: few groups hold each, and all pairs of those are candidates.
-    post = own.where("rare is not null").select("grp", F.col("n").cast("int").alias("n"), F.posexplode("rare").alias("i", "e"))
-    left, right = post, post.select(F.col("e").alias("e2"), F.col("grp").alias("grp2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
-    pairs = left.join(right, (F.col("e") == F.col("e2")) & (F.col("grp") < F.col("grp2")) & _fits("n", "n2") & _reaches("n", "i", "n2", "i2")).select("grp", "grp2").distinct()
+    postings = docs.mapInArrow(lambda b: _postings(b, *shared.value), "e long, doc long, n int, i int")
+    group_of = own.select(F.col("doc_id").alias("doc"), "grp").distinct()
+
+    # Other elements: few documents hold each, and all pairs of those are candidates.
+    left, right = postings, postings.select(F.col("e").alias("e2"), F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    pairs = left.join(right, (F.col("e") == F.col("e2")) & (F.col("doc") < F.col("doc2")) & _fits("n", "n2") & _reaches("n", "i", "n2", "i2")).select("doc", "doc2").distinct()
+    pairs = pairs.join(group_of, "doc").join(group_of.select(F.col("doc").alias("doc2"), F.col("grp").alias("grp2")), "doc2")
+    pairs = pairs.where("grp <> grp2").select(F.least("grp", "grp2").alias("grp"), F.greatest("grp", "grp2").alias("grp2")).distinct()
     # Expanded to the groups' distinct sets.
     c1 = classes.select("grp", F.col("rep").alias("a"), F.col("n").alias("na"))
     c2 = classes.select(F.col("grp").alias("grp2"), F.col("rep").alias("b"), F.col("n").alias("nb"))
@@ -220,7 +247,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 
     # Frequent elements, and the sets of one group: lists of any length, cut into bands of size.
     # Sets whose sizes allow 75 % are in the same band or in neighbouring ones.
-    common = own.where("common is not null").select("grp", F.size("rare").alias("k"), F.posexplode("common").alias("i", "e")).select("e", "grp", (F.col("i") + F.col("k")).alias("i")).distinct()
+    common = own.where("common is not null").select("grp", "at", F.posexplode("common").alias("i", "e")).select("e", "grp", (F.col("i") + F.col("at")).cast("int").alias("i")).distinct()
     listed = common.join(classes, "grp").select("e", "i", "rep", "n", "few")
     several = classes.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     listed = listed.unionByName(classes.join(several, "grp").select(F.col("grp").alias("e"), F.lit(0).alias("i"), "rep", "n", "few"))
@@ -232,7 +259,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     hubs = listed.groupBy("e", "band").agg(F.count("*").alias("k"), F.min(central).alias("_h")).where("k > 1").select("e", "band", "_h.hub", "_h.hub_n", "_h.hub_i")
     star = listed.join(hubs, ["e", "band"]).where(_fits("n", "hub_n") & _reaches("n", "i", "hub_n", "hub_i")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
 
-    edges = _verified(docs, cold.unionByName(star))
+    pairs = _pairs(cold.unionByName(star))
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(listed.select(F.col("rep").alias("doc_id"))).distinct()
+    texts = cut(docs.join(wanted, "doc_id", "left_semi"))
+    edges = _verified(texts, pairs)
     parts = components(edges)
     # What hubs left apart: in lists with several components, sets of all but the largest one
     # are paired with every set of another component.
@@ -245,7 +275,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     # A pair that shares two bands is taken in the upper one's list.
     apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.greatest("oa", "ob") == F.col("band"))
     left_over = rest.join(every, ["e", "band"]).where(apart & _fits("na", "nb") & _reaches("na", "ia", "nb", "ib")).select("a", "b")
-    more = _verified(docs, left_over)
+    more = _verified(texts, _pairs(left_over))
     if not more.isEmpty():
         parts = components(edges.unionByName(more))
     same = own.select("doc_id", "n", "cls", "grp").join(classes, ["grp", "cls", "n"]).select("doc_id", "n", "rep")
@@ -254,16 +284,18 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     return named.unionByName(none)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The distinct pairs whose texts are alike, decided on their words."""
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut(docs.join(wanted, "doc_id", "left_semi"))
+def _pairs(candidates: DataFrame) -> DataFrame:
+    return cut(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose texts are alike, decided on their words."""
     j = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def alike(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in it:
-            if len(rows):
-                yield rows.loc[_alike(rows).to_numpy(), ["a", "b"]]
+            for k in range(0, len(rows), 500):
+                part = rows.iloc[k : k + 500]
+                yield part.loc[_alike(part).to_numpy(dtype=bool), ["a", "b"]]
 
-    return cut(j.select("a", "b", "ta", "tb").mapInPandas(alike, "a long, b long"))
+    return cut(j.select("a", "b", "ta", "tb").mapInPandas(alike, "a long, b long").distinct())
