@@ -20,9 +20,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEEDS = [
     frozenset("idiot idiots moron morons stupid loser losers scum trash garbage pathetic worthless disgusting clown dumb fool imbecile".split()),
@@ -61,7 +62,7 @@ class ToxicityModel:
         def weight(w: str) -> float:
             x = known.get(w)
             if x is None:
-                if len(known) > 300_000:
+                if len(known) > 100_000:
                     known.clear()
                 x = known[w] = sum(self.weights.get(f, 0.0) for f in features_of(w))
             return x
@@ -208,10 +209,13 @@ def scored(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFra
     """docs with score (double, 0 to 1) and predicted (int)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))  # at most `features` weights
 
-    def score(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # Texts become Python objects one at a time: memory is that of one Arrow batch.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = ToxicityModel(*shared.value).scorer()
-        for s in it:
-            yield pd.Series([one(t) for t in s], dtype="float64")
+        for b in batches:
+            at = b.schema.get_field_index(text)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([one(t.as_py()) for t in b.column(at)], pa.float64())], [*b.schema.names, "score"])
 
-    d = docs.withColumn("score", F.pandas_udf(score, "double")(F.col(text)))
+    d = docs.drop("score", "predicted")
+    d = d.mapInArrow(run, T.StructType([*d.schema.fields, T.StructField("score", T.DoubleType())]))
     return d.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
