@@ -1,4 +1,6 @@
 """All named queries and, where SQL expresses them, their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tradeflow.plans import alerts, catalog, flow, learning, live, reports, text  # noqa: F401
+from tradeflow.plans.named import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
