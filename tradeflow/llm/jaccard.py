@@ -194,6 +194,39 @@ def _rows(parts: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(e.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(n), pa.array(i)], ["e", "doc", "n", "i"])
 
 
+def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of elements to pairs of documents that share one and can be alike by size and place.
+
+    A run of one element is shorter than the least count of a frequent one; a run that a batch
+    cuts is carried over to the next."""
+    rest = [np.zeros(0, np.int64) for _ in range(4)]
+    for b in batches:
+        cols = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, b.columns, strict=True)]
+        end = len(cols[0]) if not len(cols[0]) else int(np.searchsorted(cols[0], cols[0][-1]))
+        rest = [c[end:] for c in cols]
+        yield from _run_pairs(*[c[:end] for c in cols])
+    yield from _run_pairs(*rest)
+
+
+def _run_pairs(e: np.ndarray, doc: np.ndarray, n: np.ndarray, i: np.ndarray) -> Iterator[pa.RecordBatch]:
+    same = e[1:] == e[:-1]
+    keep = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(e) else np.zeros(0, bool)
+    e, doc, n, i = e[keep], doc[keep], n[keep].astype(np.int64), i[keep].astype(np.int64)
+    found, k = [], 1
+    while k < len(e):
+        at = np.flatnonzero(e[k:] == e[:-k])
+        if not len(at):
+            break
+        x, y = at, at + k
+        alike = (4 * n[x] >= 3 * n[y]) & (4 * n[y] >= 3 * n[x]) & (7 * np.minimum(n[x] - i[x], n[y] - i[y]) >= 3 * (n[x] + n[y])) & (doc[x] != doc[y])
+        x, y = x[alike], y[alike]
+        found.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])]))
+        k += 1
+    if found:
+        pairs = np.unique(np.concatenate(found, 1), axis=1)
+        yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["doc", "doc2"])
+
+
 def _alike(rows: pd.DataFrame) -> pd.Series:
     out = []
     seen: dict[int, frozenset] = {}
@@ -236,8 +269,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     group_of = own.select(F.col("doc_id").alias("doc"), "grp").distinct()
 
     # Other elements: few documents hold each, and all pairs of those are candidates.
-    left, right = postings, postings.select(F.col("e").alias("e2"), F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
-    pairs = left.join(right, (F.col("e") == F.col("e2")) & (F.col("doc") < F.col("doc2")) & _fits("n", "n2") & _reaches("n", "i", "n2", "i2")).select("doc", "doc2").distinct()
+    runs = postings.repartition("e").sortWithinPartitions("e")
+    pairs = runs.mapInArrow(_pairs_of_runs, "doc long, doc2 long").distinct()
     pairs = pairs.join(group_of, "doc").join(group_of.select(F.col("doc").alias("doc2"), F.col("grp").alias("grp2")), "doc2")
     pairs = pairs.where("grp <> grp2").select(F.least("grp", "grp2").alias("grp"), F.greatest("grp", "grp2").alias("grp2")).distinct()
     # Expanded to the groups' distinct sets.
@@ -256,7 +289,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     # A hub is the set with the least share of elements of its own: of near copies the one with the
     # fewest changes, to which most of the others are near.
     central = F.struct((F.col("few") / F.col("n")).alias("s"), F.xxhash64("rep").alias("h"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("i").alias("hub_i"))
-    hubs = listed.groupBy("e", "band").agg(F.count("*").alias("k"), F.min(central).alias("_h")).where("k > 1").select("e", "band", "_h.hub", "_h.hub_n", "_h.hub_i")
+    # Summed in two steps, so that the list of an element is never in one task.
+    parts = listed.groupBy("e", "band", F.pmod(F.xxhash64("rep"), F.lit(64)).alias("salt")).agg(F.count("*").alias("k"), F.min(central).alias("_h"))
+    hubs = parts.groupBy("e", "band").agg(F.sum("k").alias("k"), F.min("_h").alias("_h")).where("k > 1").select("e", "band", "_h.hub", "_h.hub_n", "_h.hub_i")
     star = listed.join(hubs, ["e", "band"]).where(_fits("n", "hub_n") & _reaches("n", "i", "hub_n", "hub_i")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
 
     pairs = _pairs(cold.unionByName(star))
