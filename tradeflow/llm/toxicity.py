@@ -109,52 +109,61 @@ def votes_of(texts: list[str], feats: list[set[str]], lists: list[frozenset]) ->
 
 
 def label_model(votes: np.ndarray, prior: float, start: np.ndarray | None = None, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of toxic per row, accuracy per voter, correlation of voters.
+    """Posterior of toxic per row, accuracy per voter, correlation of voters given the class.
 
     The E step adds log likelihood ratios of the votes, each divided by the sum of its positive
-    residual correlations; the M step counts votes by posterior with a small prior."""
+    correlations, so that voters that copy each other count once; the M step counts votes by
+    posterior with a small prior. The correlation of two voters is that of their residuals under
+    the posterior of the other voters: their own votes must not say what the class is."""
     n, m = votes.shape
+    base = np.log(prior / (1 - prior))
+    logistic_of = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     p = np.clip(start if start is not None else 0.5 + 0.3 * np.sign(votes.sum(1)), 0.02, 0.98)
-    corr = np.eye(m)
-    for _ in range(rounds):
-        llr = np.zeros(n)
-        resid = np.zeros((n, m))
+    corr, acc = np.eye(m), np.zeros(m)
+    for step in range(rounds):
         share = np.maximum(1.0, np.maximum(corr, 0).sum(1))
-        acc = np.zeros(m)
+        llr, means = np.zeros((n, m)), np.zeros((2, m))
         for j in range(m):
-            means = np.zeros(n)
             for v in (-1, 0, 1):
                 is_v = votes[:, j] == v
                 a = (p[is_v].sum() + 0.5) / (p.sum() + 1.5)
                 b = ((1 - p[is_v]).sum() + 0.5) / ((1 - p).sum() + 1.5)
-                llr[is_v] += (np.log(a) - np.log(b)) / share[j]
-                means += v * (p * a + (1 - p) * b)
-            resid[:, j] = votes[:, j] - means
+                llr[is_v, j] = np.log(a) - np.log(b)
+                means[:, j] += v * b, v * a
             cast = votes[:, j] != 0
             acc[j] = float(np.where(votes[cast, j] > 0, p[cast], 1 - p[cast]).mean()) if cast.any() else 0.5
-        sd = resid.std(0)
-        corr = np.where(np.outer(sd, sd) > 1e-9, (resid.T @ resid / n) / np.maximum(np.outer(sd, sd), 1e-9), 0.0)
-        np.fill_diagonal(corr, 1.0)
-        new = 1 / (1 + np.exp(-np.clip(llr + np.log(prior / (1 - prior)), -30, 30)))
-        if np.abs(new - p).max() < 1e-4:
-            p = new
-            break
+        total = (llr / share).sum(1)
+        if step % 5 == 4:
+            r0, r1 = votes - means[0], votes - means[1]
+            for j in range(m):
+                for k in range(j):
+                    q = logistic_of(total - llr[:, j] / share[j] - llr[:, k] / share[k] + base)
+                    # Less what independent voters would show because q is not sure.
+                    unsure = (2 * q * (1 - q)).mean() * np.prod(means[1, [j, k]] - means[0, [j, k]])
+                    cov = (q * r1[:, j] * r1[:, k] + (1 - q) * r0[:, j] * r0[:, k]).mean() - unsure
+                    vj, vk = (p * r1[:, j] ** 2 + (1 - p) * r0[:, j] ** 2).mean(), (p * r1[:, k] ** 2 + (1 - p) * r0[:, k] ** 2).mean()
+                    corr[j, k] = corr[k, j] = np.clip(cov / np.sqrt(vj * vk), -1, 1) if vj * vk > 1e-12 else 0.0
+        new = logistic_of(total + base)
+        settled = step > 5 and np.abs(new - p).max() < 1e-4
         p = new
+        if settled:
+            break
     return p, acc, corr
 
 
-def logistic(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, m: int, rounds: int = 400, ridge: float = 0.02) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on binary rows given as index lists; full-batch Adam."""
+def logistic(rows: list[dict[int, int]], target: np.ndarray, weight: np.ndarray, m: int, rounds: int = 400, ridge: float = 0.3) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on sparse counts; full-batch Adam."""
     if not rows:
         return np.zeros(m), 0.0
     idx = np.array([j for r in rows for j in r], dtype=np.int64)
+    val = np.array([x for r in rows for x in r.values()], dtype=np.float64)
     own = np.array([i for i, r in enumerate(rows) for _ in r], dtype=np.int64)
     w, b, n = np.zeros(m), 0.0, weight.sum()
     mw, vw, mb, vb = np.zeros(m), np.zeros(m), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = b + np.bincount(own, weights=w[idx], minlength=len(rows))
+        z = b + np.bincount(own, weights=w[idx] * val, minlength=len(rows))
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
-        gw = np.bincount(idx, weights=g[own], minlength=m) + ridge * w / len(rows)
+        gw = np.bincount(idx, weights=g[own] * val, minlength=m) + ridge * w / len(rows)
         gb = g.sum()
         mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -181,11 +190,16 @@ def fitted(texts: list[str], y: np.ndarray, prior: float, features: int = 3_000,
     start = np.where(y > 0, 0.9, 0.1)
     sampled_prior = float(y.mean())
     posterior, acc, corr = label_model(votes, sampled_prior, start)
-    # What labels say is one more voter of known, imperfect accuracy.
-    odds = np.log(np.clip(posterior, 1e-4, 1 - 1e-4) / np.clip(1 - posterior, 1e-4, 1)) + np.where(y > 0, 1.5, -1.5)
+    # What the labels say is one more voter, as accurate as it agrees with the others' posterior.
+    agree = float(np.clip(((posterior > 0.5) == (y > 0)).mean(), 0.6, 0.995))
+    said = np.log(agree / (1 - agree))
+    # Mined voters have seen the sample's labels, so the posterior's odds are held to 9 : 1.
+    clipped = np.clip(posterior, 0.1, 0.9)
+    odds = np.log(clipped / (1 - clipped)) + np.where(y > 0, said, -said)
     target = 1 / (1 + np.exp(-odds))
     index = {f: i for i, f in enumerate(vocabulary)}
-    rows = [sorted(index[f] for f in fs if f in index) for fs in feats]
+    # A feature counts once for each distinct word that has it, as in scoring.
+    rows = [dict(sorted(Counter(index[f] for w in words_of(t) for f in features_of(w) if f in index).items())) for t in texts]
     weight = np.where(y > 0, prior / sampled_prior, (1 - prior) / (1 - sampled_prior))
     w, b = logistic(rows, target, weight, len(vocabulary))
     return ToxicityModel({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}, float(b), [float(a) for a in acc], corr)
