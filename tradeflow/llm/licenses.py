@@ -26,6 +26,7 @@ TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("gpl-3.0", "gnu general public license version 3"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
