@@ -156,7 +156,7 @@ def latest_price(t):
 
 
 @query("""SELECT event_id, n, round(buy, 2) AS buy_usd, round(sell, 2) AS sell_usd, round((buy - sell) / (buy + sell), 6) AS imbalance, round(largest, 2) AS largest_trade, top.market_id AS top_market, top.outcome AS top_outcome, top.side AS top_side, round(top.usd, 2) AS top_usd FROM
-  (SELECT event_id, sum(k) AS n, coalesce(sum(usd) FILTER (side = 'BUY'), 0) AS buy, coalesce(sum(usd) FILTER (side = 'SELL'), 0) AS sell, max(largest) AS largest, arg_max({market_id: market_id, outcome: outcome, side: side, usd: usd}, (usd, market_id, outcome, side)) AS top FROM
+  (SELECT event_id, sum(k)::BIGINT AS n, coalesce(sum(usd) FILTER (side = 'BUY'), 0) AS buy, coalesce(sum(usd) FILTER (side = 'SELL'), 0) AS sell, max(largest) AS largest, arg_max({market_id: market_id, outcome: outcome, side: side, usd: usd}, (usd, market_id, outcome, side)) AS top FROM
    (SELECT event_id, market_id, outcome, side, sum(notional) AS usd, count(*) AS k, max(notional) AS largest FROM trades GROUP BY ALL) GROUP BY event_id)""", TRADES_SQL)
 def event_flow(t):
     return rounded(rounded(flow.event_flow(t.trades), "buy_usd", "sell_usd", "largest_trade", "top_usd", digits=2), "imbalance", digits=6)

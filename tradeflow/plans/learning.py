@@ -10,7 +10,7 @@ from tradeflow.plans.flow import rounded
 from tradeflow.plans.named import query
 from tradeflow.sources.trades import ALERTS_SQL, DECISIONS_SQL, MARKETS_SQL, NOW, PRICES_SQL, TRADES_SQL
 
-LINKS_SQL = ", links AS (SELECT event_id, src, market_id AS dst, 0.7 AS confidence FROM (SELECT event_id, market_id, min(market_id) OVER (PARTITION BY event_id) AS src FROM markets) WHERE market_id <> src)"
+LINKS_SQL = ", links AS (SELECT event_id, src, market_id AS dst, 0.7::DOUBLE AS confidence FROM (SELECT event_id, market_id, min(market_id) OVER (PARTITION BY event_id) AS src FROM markets) WHERE market_id <> src)"
 LINES_SQL = ", lines AS (SELECT trader_id, market_id, event_id, side, sum(notional) AS usd, count(*) AS n, max(traded_at) AS newest, quantile_cont(notional, 0.5) AS median FROM trades GROUP BY ALL HAVING count(*) >= 2)"
 RECENT = "TIMESTAMP '2001-06-01'"
 

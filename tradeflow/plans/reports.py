@@ -9,7 +9,7 @@ from tradeflow.plans.flow import rounded
 from tradeflow.plans.named import query
 from tradeflow.sources.trades import ALERTS_SQL, DECISIONS_SQL, MEASURED_SQL, NOW, TRADES_SQL
 
-REVIEWS_SQL = ", reviews AS (SELECT market_id, end_at - INTERVAL 15 DAY AS closed_at, CASE market_id % 3 WHEN 0 THEN 'thin' WHEN 1 THEN 'late' ELSE 'fair' END AS reason, CASE WHEN market_id % 5 = 4 THEN 'failed' ELSE 'succeeded' END AS status, CASE market_id % 2 WHEN 0 THEN 'small' ELSE 'large' END AS model, 100 * (market_id % 7) AS tokens, 0.01 * (market_id % 7) AS cost FROM markets)"
+REVIEWS_SQL = ", reviews AS (SELECT market_id, end_at - INTERVAL 15 DAY AS closed_at, CASE market_id % 3 WHEN 0 THEN 'thin' WHEN 1 THEN 'late' ELSE 'fair' END AS reason, CASE WHEN market_id % 5 = 4 THEN 'failed' ELSE 'succeeded' END AS status, CASE market_id % 2 WHEN 0 THEN 'small' ELSE 'large' END AS model, 100 * (market_id % 7) AS tokens, 0.01::DOUBLE * (market_id % 7) AS cost FROM markets)"
 
 
 def reviews(t):
@@ -176,10 +176,10 @@ def load_and_staleness(t):
 Q6 = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 
 
-@query("SELECT " + ", ".join(f"round(quantile_cont(notional, {q}), 4) AS p{str(q)[2:]}" for q in Q6) + " FROM scored WHERE lifecycle >= 75", ALERTS_SQL)
+@query("SELECT " + ", ".join(f"round(quantile_cont(notional, {q}), 6) AS p{str(q)[2:]}" for q in Q6) + " FROM scored WHERE lifecycle >= 75", ALERTS_SQL)
 def notional_percentiles(t):
     d = t.scored.where("lifecycle >= 75").agg(F.percentile("notional", F.array(*[F.lit(q) for q in Q6])).alias("q"))
-    return d.select(*[F.round(F.col("q")[i], 4).alias(f"p{str(q)[2:]}") for i, q in enumerate(Q6)])
+    return d.select(*[F.round(F.col("q")[i], 6).alias(f"p{str(q)[2:]}") for i, q in enumerate(Q6)])
 
 
 @query("SELECT severity, round(quantile_cont(notional / m_p95, 0.5), 6) AS p50, round(quantile_cont(notional / m_p95, 0.95), 6) AS p95 FROM scored WHERE severity IS NOT NULL GROUP BY severity", ALERTS_SQL)
