@@ -74,4 +74,34 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "pipeline": pipeline,
 }
-ORACLE: dict[str, str] = {}
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_CANONICAL = (
+    "CASE WHEN url IS NOT NULL THEN regexp_replace(" + _LOW.format("regexp_extract(rest, '^([^/?]*)', 1)") + r""", '^(?:www|m)\.|:(?:80|443)$', '', 'g') || regexp_replace(regexp_extract(rest, '(?s)^[^/?]*([^?]*)', 1), '/+$', '')
+  || CASE WHEN len(params) > 0 THEN '?' || array_to_string(list_sort(params), '&') ELSE '' END END"""
+)
+
+#: SQL for the operators whose whole result SQL expresses. Operators 1, 4, 8, 9 and 10 train, schedule or
+#: sample, 2 and 3 walk keys and heaps: they are tested against brute force in tests/llm instead.
+ORACLE: dict[str, str] = {
+    "op5_warc": rf"""WITH src AS (SELECT page_id AS p, url, md5(coalesce(html, '')) AS dig, CASE WHEN page_id % 7 <> 0 THEN '"' || md5(coalesce(html, '')) || '"' END AS tag FROM pages),
+  rest AS (SELECT *, regexp_replace(regexp_replace(trim(url), '(?s)#.*$', ''), '(?i)^[a-z][a-z0-9+.-]*://', '') AS rest FROM src),
+  parts AS (SELECT *, list_filter(string_split(regexp_extract(rest, '(?s)\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid)=')) AS params FROM rest),
+  c AS (SELECT p, dig, tag, {_CANONICAL} AS u FROM parts),
+  rev AS (SELECT *, CASE WHEN p % 10 = 3 THEN '"changed"' ELSE tag END AS rtag, CASE WHEN p % 10 = 3 THEN -1 ELSE p END AS modified, 1700000000 + p * 60 + 86400 AS at FROM c),
+  resp AS (SELECT p AS rp, dig AS rdig, tag AS ttag, u, 1700000000 + p * 60 AS at FROM c),
+  j AS (SELECT r.*, t.rp, t.rdig, t.ttag FROM rev r ASOF LEFT JOIN resp t ON r.u = t.u AND r.at > t.at),
+  o AS (SELECT *, CASE WHEN rp IS NULL THEN 'orphan' WHEN CASE WHEN rtag IS NOT NULL AND ttag IS NOT NULL THEN rtag = ttag ELSE modified = rp END THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j)
+  SELECT p * 2 + 1 AS record_id, u AS canonical_url, CASE WHEN outcome = 'resolved' THEN rp * 2 END AS target_id, outcome, CASE WHEN outcome = 'resolved' THEN rdig END AS digest,
+    CASE WHEN outcome = 'resolved' THEN coalesce(rtag, ttag) ELSE rtag END AS etag, CASE WHEN outcome = 'resolved' THEN 'a' ELSE 'b' END AS server, '60' AS expires,
+    CASE WHEN outcome = 'resolved' THEN 4 + (coalesce(rtag, ttag) IS NOT NULL)::INT ELSE 3 + (rtag IS NOT NULL)::INT END AS n_headers FROM o""",
+    "op6_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW.format("coalesce(text, '')")}, '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
+  g AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY md5(array_to_string(list_sort(s), chr(10)))) END AS class_id FROM s),
+  e AS (SELECT doc_id, unnest(s) AS x FROM s),
+  shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+  link AS (SELECT a, b FROM shared JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+  two AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+  reach(a, b) AS (SELECT a, b FROM two UNION SELECT r.a, t.b FROM reach r JOIN two t ON r.b = t.a)
+  SELECT doc_id, n::BIGINT AS n_shingles, class_id, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id FROM g""",
+}
