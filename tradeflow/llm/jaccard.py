@@ -291,7 +291,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     central = F.struct((F.col("few") / F.col("n")).alias("s"), F.xxhash64("rep").alias("h"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("i").alias("hub_i"))
     # Summed in two steps, so that the list of an element is never in one task.
     parts = listed.groupBy("e", "band", F.pmod(F.xxhash64("rep"), F.lit(64)).alias("salt")).agg(F.count("*").alias("k"), F.min(central).alias("_h"))
-    hubs = parts.groupBy("e", "band").agg(F.sum("k").alias("k"), F.min("_h").alias("_h")).where("k > 1").select("e", "band", "_h.hub", "_h.hub_n", "_h.hub_i")
+    # Written first: a join right above an aggregation could not be split at a long list.
+    hubs = cut(parts.groupBy("e", "band").agg(F.sum("k").alias("k"), F.min("_h").alias("_h")).where("k > 1").select("e", "band", "_h.hub", "_h.hub_n", "_h.hub_i"))
     star = listed.join(hubs, ["e", "band"]).where(_fits("n", "hub_n") & _reaches("n", "i", "hub_n", "hub_i")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
 
     pairs = _pairs(cold.unionByName(star))
@@ -303,7 +304,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     # are paired with every set of another component.
     tagged = listed.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component", "few")
     per = tagged.groupBy("e", "band", "comp").agg(F.count("*").alias("k"))
-    open_lists = per.groupBy("e", "band").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("parts > 1").drop("parts")
+    open_lists = cut(per.groupBy("e", "band").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("parts > 1").drop("parts"))
     tagged = cut(tagged.join(open_lists, ["e", "band"]))
     rest = tagged.where("comp <> main").select("e", "band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("own").alias("oa"), F.col("comp").alias("ca"))
     every = tagged.select("e", "band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("own").alias("ob"), F.col("comp").alias("cb"), "main")
