@@ -82,3 +82,9 @@ def test_packing_is_exact():
 
     x = np.array([0, 1, 255, 2**40 - 1, 2**63], np.uint64)
     assert (jaccard._unpack(jaccard._pack(x), 5) == x).all()
+
+
+def test_rows_without_an_id(spark):
+    d = spark.createDataFrame([(None, "a b c d e f g h i j k l m n o p"), (5, "a b c d e f g h i j k l m n o p"), (None, "other words than the first"), (7, "A b c d e f g h i j k l m n o p q")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard.linked(d).collect())
+    assert got == [(0, 0), (0, 5), (5, 5), (7, 5)]

@@ -28,3 +28,19 @@ def test_stages_in_order(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 100 and out.columns[0] == "doc_id"
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null columns, empty and repeated rows, and an empty table, through all stages."""
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, "a text without an id", "en", "s", 1), (9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "twice the same row", "en", None, 3), (9003, "twice the same row", "en", None, 3)], docs.schema)
+    docs.limit(30).unionByName(odd).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    ids = [r["doc_id"] for r in out.collect()]
+    assert ids.count(None) == 1 and ids.count(9003) == 2 and {9001, 9002} <= set(ids)
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, str(tmp_path))
+    assert none.count() == 0

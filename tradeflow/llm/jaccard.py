@@ -17,7 +17,8 @@ as (element, document) rows, of one document of each group that a task meets. Ex
 list of a frequent element: hubs are minima combined map-side.
 
 Null and empty texts and texts without words have an empty set and link with nothing, not even
-with each other. Repeated rows (one id twice) are one node.
+with each other. Repeated rows (one id twice) are one node. Rows without an id get the class and
+component of their set, null if no row with an id has or links to it.
 """
 
 from collections.abc import Iterator
@@ -170,12 +171,12 @@ def _postings(batches: Iterator[pa.RecordBatch], hot: np.ndarray, df: np.ndarray
     """The other prefix elements with their place, of one document of each group that this task meets."""
     given: set[int] = set()
     for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
+        ids = b.column(0).to_pylist()
         parts, size = [], 0
         for doc, t in zip(ids, b.column(1), strict=True):
             s, e, warm, _ = _ordered(t.as_py(), hot, df)
             g = _group(len(s), e, warm)
-            if not len(e) or g in given:
+            if not len(e) or doc is None or g in given:
                 continue
             if len(given) > 500_000:
                 given.clear()
@@ -264,7 +265,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(frequent_keys(docs, "text"))  # at most MAX_HOT keys
     rows = cut(docs.mapInArrow(lambda b: _members(b, *shared.value), "doc_id long, n long, few long, cls long, grp long, at long, common array<long>"))
     own = rows.where("n > 0")
-    classes = cut(own.groupBy("grp", "cls", "n").agg(F.min("doc_id").alias("rep"), F.min("few").alias("few")))
+    every_class = cut(own.groupBy("grp", "cls", "n").agg(F.min("doc_id").alias("rep"), F.min("few").alias("few")))
+    classes = every_class.where("rep is not null")
     postings = docs.mapInArrow(lambda b: _postings(b, *shared.value), "e long, doc long, n int, i int")
     group_of = own.select(F.col("doc_id").alias("doc"), "grp").distinct()
 
@@ -314,7 +316,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     more = _verified(texts, _pairs(left_over))
     if not more.isEmpty():
         parts = components(edges.unionByName(more))
-    same = own.select("doc_id", "n", "cls", "grp").join(classes, ["grp", "cls", "n"]).select("doc_id", "n", "rep")
+    same = own.select("doc_id", "n", "cls", "grp").join(every_class, ["grp", "cls", "n"]).select("doc_id", "n", "rep")
     named = same.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return named.unionByName(none)
