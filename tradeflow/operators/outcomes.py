@@ -13,12 +13,19 @@ def forward_returns(alerts: DataFrame, prices: DataFrame, by: list[str], at: str
     """Per horizon (days) the signed relative return ret_* and the signed move in cents clv_*, from the
     first price at or after at + horizon; null where there is none yet."""
     sign = F.when(F.col("side") == "SELL", -1).otherwise(1)
-    d = alerts
     p = prices.select(*by, F.col(price_at).alias("_pa"), F.col("price").alias("_later"))
-    for name, days in horizons.items():
-        d = asof(d.withColumn("_due", F.col(at) + F.expr(f"INTERVAL {days} DAYS")), p, by, "_due", "_pa", ["_later"], "forward")
-        d = d.withColumns({name: sign * (F.col("_later") - F.col("price")) / F.col("price"), name.replace("ret", "clv"): (F.col("_later") - F.col("price")) * 100 * sign}).drop("_later", "_due")
-    return d
+    # One as-of join for all horizons: a row each, folded back on the alert's columns. Equal alerts
+    # fold together and are repeated as often as they came.
+    due = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.col(at) + F.expr(f"INTERVAL {days} DAYS")).alias("due")) for i, days in enumerate(horizons.values())]))
+    e = alerts.withColumn("_x", due).select(*alerts.columns, F.col("_x.i").alias("_i"), F.col("_x.due").alias("_due"))
+    e = asof(e, p, by, "_due", "_pa", ["_later"], "forward")
+    folded = e.groupBy(*alerts.columns).agg((F.count("*") / len(horizons)).cast("int").alias("_n"), *[F.max(F.when(F.col("_i") == i, F.col("_later"))).alias(f"_l{i}") for i in range(len(horizons))])
+    d = folded.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    out = []
+    for i, name in enumerate(horizons):
+        move = F.col(f"_l{i}") - F.col("price")
+        out += [(sign * move / F.col("price")).alias(name), (move * 100 * sign).alias(name.replace("ret", "clv"))]
+    return d.select(*alerts.columns, *out)
 
 
 def drift_status(columns: list[str]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tradeflow.functions import bands
 from tradeflow.operators import flow, outcomes, scoring, state
-from tradeflow.plans.flow import rounded
+from tradeflow.plans.flow import beside, rounded
 from tradeflow.plans.named import query
 from tradeflow.sources.trades import ALERTS_SQL, MEASURED_SQL, NOW, TRADES_SQL
 
@@ -35,7 +35,7 @@ def create_pending_alerts(t):
     """A batch that holds every alert twice, against a history that holds a quarter of them."""
     known = t.alerts.where("market_id % 4 = 0").select("dedup_key")
     new = state.new_rows(t.alerts.unionByName(t.alerts), known, ["dedup_key"], [F.col("sent_at")])
-    return new.agg(F.count("*").alias("created")).crossJoin(known.agg(F.count("*").alias("known")))  # one row each
+    return beside(new.agg(F.count("*").alias("created")), known.agg(F.count("*").alias("known")))
 
 
 STATUS_SQL = ", queue AS (SELECT *, CASE market_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' WHEN 2 THEN 'sending' ELSE 'sent' END AS status, market_id % 4 AS attempts, sent_at + INTERVAL 1 DAY * (market_id % 4) AS next_retry FROM alerts)"

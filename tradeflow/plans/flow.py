@@ -14,6 +14,11 @@ OLD = "2000-01-01 00:00:00"
 TIES_SQL = "traded_at DESC, notional DESC, order_id, line_no, trader_id, price, side"
 
 
+def beside(d, one_row):
+    """d with the columns of a table of one row."""
+    return d.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def rounded(d, *cols, digits: int = 4):
     return d.withColumns({c: F.round(F.col(c), digits) for c in cols})
 

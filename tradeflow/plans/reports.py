@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradeflow.operators import flow
-from tradeflow.plans.flow import rounded
+from tradeflow.plans.flow import beside, rounded
 from tradeflow.plans.named import query
 from tradeflow.sources.trades import ALERTS_SQL, DECISIONS_SQL, MEASURED_SQL, NOW, TRADES_SQL
 
@@ -70,7 +70,7 @@ def signal_snapshot(t):
     more = newest.agg((F.count("*") > 2000).alias("truncated"))
     kept = newest.orderBy(F.desc("sent_at"), "dedup_key").limit(2000)
     d = kept.groupingSets([[], [F.col("kind")], [F.col("severity")]], "kind", "severity").agg(F.count("*").alias("n"), _is("outcome_status", "correct").alias("correct"), _is("outcome_status", "wrong").alias("wrong"))
-    return d.select(F.coalesce("kind", F.lit("all")).alias("kind"), F.coalesce("severity", F.lit("all")).alias("severity"), "n", "correct", "wrong").join(F.broadcast(more))
+    return beside(d.select(F.coalesce("kind", F.lit("all")).alias("kind"), F.coalesce("severity", F.lit("all")).alias("severity"), "n", "correct", "wrong"), more)
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (outcome_status = 'correct') AS success, count(*) FILTER (outcome_status = 'wrong') AS failure, count(*) FILTER (outcome_status = 'unresolved') AS unresolved, round(avg(ret_1h) FILTER (severity = 'info'), 6) AS info_1h, round(avg(ret_24h) FILTER (severity <> 'info'), 6) AS strong_24h FROM measured WHERE sent_at >= TIMESTAMP '2000-01-01' AND sent_at < TIMESTAMP '2001-01-01'", MEASURED_SQL)
@@ -89,7 +89,7 @@ def signal_quality_by_kind(t):
 def funnel_top_events(t):
     per = t.alerts.groupBy("event_id").agg(F.count("*").alias("n"))
     total = per.agg(F.sum("n").alias("_all"))
-    return per.join(F.broadcast(total)).orderBy(F.desc("n"), "event_id").limit(10).select("event_id", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"))  # total is one row
+    return beside(per, total).orderBy(F.desc("n"), "event_id").limit(10).select("event_id", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"))
 
 
 @query("SELECT (SELECT count(*) FROM markets) AS markets, count(*) AS trades, count(DISTINCT trader_id) AS wallets, count(*) FILTER (severity IS NOT NULL) AS fired, count(DISTINCT market_id) FILTER (severity IS NOT NULL) AS alerting_markets FROM scored", ALERTS_SQL)
@@ -97,7 +97,7 @@ def funnel_counts(t):
     m = t.markets.agg(F.count("*").alias("markets"))
     fired = F.col("severity").isNotNull()
     d = t.scored.agg(F.count("*").alias("trades"), F.count_distinct("trader_id").alias("wallets"), F.count_if(fired).alias("fired"), F.count_distinct(F.when(fired, F.col("market_id"))).alias("alerting_markets"))
-    return m.join(F.broadcast(d))  # one row each
+    return beside(m, d)
 
 
 @query("SELECT floor(lifecycle / 10)::INT AS decile, count(*) AS n FROM scored GROUP BY ALL", ALERTS_SQL)
