@@ -45,11 +45,9 @@ def _covered(starts: Column) -> Column:
     return gaps["sum"]
 
 
-def _repeated_starts(h: Column) -> Column:
-    """Sorted start positions of windows whose hash occurs twice or more: sort (hash, position)
-    pairs and keep those with an equal neighbour."""
-    pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    return pairs
+def _sorted_pairs(h: Column) -> Column:
+    """(hash, position) of all windows, sorted: windows that occur twice or more are neighbours."""
+    return F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
 
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -61,7 +59,7 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("_h", _windows(F.col("_words"), F.size("_words")))
     d = d.withColumn("_dup", F.size(F.array_distinct("_h")) < F.size("_h"))
     # Only texts with a repeated window pay for sorting.
-    d = d.withColumn("_pairs", F.when(F.col("_dup"), _repeated_starts(F.col("_h"))))
+    d = d.withColumn("_pairs", F.when(F.col("_dup"), _sorted_pairs(F.col("_h"))))
     d = d.withColumn(
         "_starts",
         F.when(
