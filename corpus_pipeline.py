@@ -16,6 +16,21 @@ from tradeflow.llm.util import cut, table
 BLOCK_BYTES = 65_536
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the order of their rows as a long: file after file as Spark's writer numbers them and row after row;
+    where docs are not files, partition after partition."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "Project" and plan.children().size():
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation":
+        return docs.withColumn(name, F.monotonically_increasing_id())
+    file = F.col("_metadata.file_name")
+    number = lambda pattern: F.coalesce(F.expr(f"try_cast(regexp_extract(_file, '{pattern}', 1) AS long)"), F.lit(0))
+    d = docs.select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    place = F.shiftleft(number(r"^part-([0-9]+)-"), 43).bitwiseOR(F.shiftleft(number(r"-c([0-9]+)[.]"), 33)).bitwiseOR(F.col("_row"))
+    return d.withColumn(name, place).drop("_file", "_row")
+
+
 def _beside(docs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     """docs with columns of found by doc_id. Every row stays one row: rows of one id, or without one, get
     the same values."""
@@ -47,8 +62,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: the documents with their shard and their slot in it."""
-    placed = sharding.sharded(docs).select("doc_id", "shard", "slot")
+    """Operator 3: the documents with their shard and their slot in it; the slots follow the order of the mix."""
+    placed = sharding.sharded(_numbered(docs, "_mix"), order="_mix").select("doc_id", "shard", "slot")
     return _beside(docs, placed, "shard", "slot")
 
 

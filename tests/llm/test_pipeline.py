@@ -1,5 +1,5 @@
 import corpus_pipeline
-from tradeflow.llm import decontamination, jaccard
+from tradeflow.llm import decontamination, jaccard, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +44,17 @@ def test_odd_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, str(tmp_path))
     assert none.count() == 0
+
+
+def test_slots_follow_the_schedule(spark, tmp_path):
+    """In each shard the documents stand in the order of the mix, read from files or handed over as a frame."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    order = {r["doc_id"]: r["position"] for r in mixing.mixed(docs, block_bytes=corpus_pipeline.BLOCK_BYTES).collect()}
+    mix = corpus_pipeline.mix_sources(spark, docs, SF)
+    mix.write.option("maxRecordsPerFile", 40).parquet(str(tmp_path / "mix"))
+    for given in (spark.read.parquet(str(tmp_path / "mix")), mix.cache()):
+        got = corpus_pipeline.shard(spark, given, SF).select("doc_id", "shard", "slot").collect()
+        assert len(got) == len(order)
+        for s in {r["shard"] for r in got}:
+            own = sorted((r["slot"], order[r["doc_id"]]) for r in got if r["shard"] == s)
+            assert [x for x, _ in own] == list(range(len(own))) and [p for _, p in own] == sorted(p for _, p in own)

@@ -58,12 +58,15 @@ def lpt_counts(classes: list[tuple[int, int, int]], n_shards: int) -> list[tuple
     return out
 
 
-def sharded(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text: str = "text", buckets: int = 512) -> DataFrame:
-    """id, size, text_crc32, shard, slot."""
+def sharded(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text: str = "text", buckets: int = 512, order: str | None = None) -> DataFrame:
+    """id, size, text_crc32, shard, slot.
+
+    order names a long column whose order the slots of a shard follow (row numbers, or a file's or partition's
+    number in the high bits and the row's below); without it they follow hashed ids."""
     spark = docs.sparkSession
     t = F.col(text)
     d = docs.select(
-        id_col, (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("long").alias("size"),
+        id_col, *([F.col(order).alias("_order")] if order else []), (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.unhex(F.sha2(t.cast("binary"), 256)), F.unhex(F.lit("00"))).alias("_key"),
     )
@@ -85,4 +88,6 @@ def sharded(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text: st
     ranked = distributed_rank(groups, ["_class"], ["_key"], F.pmod(F.xxhash64("_key"), F.lit(64)).cast("int"), "_rank")
     placed = ranked.join(plan_df, "_class").select("_key", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))).cast("int").alias("shard"))
     out = cut(d.join(placed, "_key").drop("_key"))
+    if order:
+        return distributed_rank(out, ["shard"], ["_order", id_col], F.shiftright("_order", 14), "slot").drop("_order")
     return distributed_rank(out, ["shard"], [id_col], F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int"), "slot")
