@@ -1,4 +1,6 @@
+import random
 from fractions import Fraction
+from itertools import islice
 
 from tradeflow.llm import mixing
 
@@ -41,3 +43,33 @@ def test_empty_and_repeated_rows(spark):
     assert mixing.mixed(spark.createDataFrame([], "doc_id long, text string, source string, slot int")).count() == 0
     d = spark.createDataFrame([(1, "a", "s")] * 5, "doc_id long, text string, source string")
     assert mixing.mixed(d).count() == 5
+
+
+def test_deviation_from_the_target_weights(spark):
+    """Less than one block at every slot, against the weights as asked and not as rounded, far beyond 1,000 slots."""
+    r = random.Random(3)
+    for weights in ({0: Fraction(1, 10_000), 1: Fraction(9_999, 10_000)}, {i: r.randrange(1, 90_000) for i in range(20)}, {0: 0.3, 1: 0.00047, 2: 1.7}):
+        exact = {s: Fraction(w) for s, w in weights.items()}
+        share = {s: w / sum(exact.values()) for s, w in exact.items()}
+        done = dict.fromkeys(weights, 0)
+        for t, (s, block) in enumerate(islice(mixing.walk(dict.fromkeys(weights, 10**6), weights), 20_000), 1):
+            assert block == done[s]
+            done[s] += 1
+            assert abs(share[s] * t - done[s]) < 1
+            assert t % 97 or all(abs(share[x] * t - done[x]) < 1 for x in done)
+    rows = [(i, "x" * 10, "rare" if i % 10 == 0 else f"s{i % 3}") for i in range(30_000)]
+    weights = {"rare": Fraction(1, 5_000), "s0": Fraction(1_999, 5_000), "s1": Fraction(3, 10), "s2": Fraction(3, 10)}
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, block_bytes=10).where("slot < 12000").groupBy("source").count().collect()
+    got = {r["source"]: r["count"] for r in got}
+    assert sum(got.values()) == 12_000 and all(abs(weights[s] * 12_000 - got.get(s, 0)) < 1 for s in weights)
+
+
+def test_rounded_periods_place_every_document(spark):
+    rows = [(i, "x" * (i % 50), f"s{i % 3}") for i in range(2000)] + [(3000, None, None)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_bytes=300, quanta=100).collect()
+    assert sorted(r["position"] for r in got) == list(range(len(rows)))
+
+
+def test_walk_places_every_block_once():
+    blocks = {0: 5, 1: 1203, 2: 77, 3: 0}
+    assert sorted(mixing.walk(blocks, {0: 3, 1: 1, 2: 2, 3: 9})) == [(s, b) for s, c in blocks.items() for b in range(c)]

@@ -5,13 +5,15 @@ block of a source of weight w is released at floor((i-1)/w) and due at ceil(i/w)
 released blocks the one with the earliest deadline takes the next slot. With weights that sum
 to one every prefix of the schedule holds each source's share to within less than one block.
 
-When a source has no block left, the other weights are scaled up and the schedule goes on, so
-every document is placed exactly once. Weights are whole numbers that sum to `quanta`, so a
-phase repeats after `quanta` slots: one period is scheduled with the heap, and each block's slot
-follows from its number by arithmetic in the executors.
+When a source has no block left, the other weights are scaled up and the schedule goes on from
+there, so every document is placed exactly once. Weights are taken as exact fractions: the slots
+are walked one after another, with one pending block a source, so the bound holds for schedules
+of any length. With `quanta` weights are rounded to whole numbers of that sum instead; a phase
+then repeats after `quanta` slots and deviates from the asked weights by up to its length / quanta.
 
 At scale: narrow rows only. The driver reads one row per source (at most MAX_SOURCES, checked).
-Positions of a hot source are prefix sums over buckets, so no task holds a source.
+The walk is one task that holds a heap of sources and writes a row for each block, not for each
+document. Positions of a hot source are prefix sums over buckets, so no task holds a source.
 
 Null sources are a source of their own. Null and empty texts count one byte.
 """
@@ -19,9 +21,13 @@ Null sources are a source of their own. Null and empty texts count one byte.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .util import cut, distributed_rank
@@ -40,23 +46,49 @@ def whole_weights(weights: dict, quanta: int) -> dict:
     return out
 
 
-def period(q: dict) -> dict:
-    """Earliest-deadline-first over one period: for each source the slots of its blocks."""
+def earliest_deadlines(q: dict) -> Iterator:
+    """The source of each slot by earliest deadline first, without end; q are whole weights of any size.
+
+    A source's next block is released no earlier than the slot its last one is due in, so one
+    pending block a source is enough."""
     n = sum(q.values())
-    released: dict[int, list] = {}
-    for s, k in q.items():
-        for i in range(1, k + 1):
-            released.setdefault((i - 1) * n // k, []).append((-(-i * n // k), s, i))
-    heap, slots = [], {s: [] for s in q}
-    for t in range(n):
-        for x in released.get(t, ()):
-            heapq.heappush(heap, x)
-        due, s, _ = heapq.heappop(heap)
+    later = [(0, -(-n // k), s, 1) for s, k in q.items()]
+    heapq.heapify(later)
+    ready, t = [], 0
+    while True:
+        while later and later[0][0] <= t:
+            _, due, s, i = heapq.heappop(later)
+            heapq.heappush(ready, (due, s, i))
+        due, s, i = heapq.heappop(ready)
         assert due > t, "a deadline was missed"
+        heapq.heappush(later, (i * n // q[s], -(-(i + 1) * n // q[s]), s, i + 1))
+        yield s
+        t += 1
+
+
+def period(q: dict) -> dict:
+    """Earliest-deadline-first over one period: for each source the slots of its blocks."""
+    slots = {s: [] for s in q}
+    for t, s in enumerate(islice(earliest_deadlines(q), sum(q.values()))):
         slots[s].append(t)
     return slots
 
 
+def walk(blocks: dict, weights: dict) -> Iterator[tuple]:
+    """(source, block) of each slot by the exact weights. Where a source is asked for more than it has, a
+    new phase begins with the sources that are left."""
+    done, left = dict.fromkeys(blocks, 0), {s for s, n in blocks.items() if n}
+    while left:
+        exact = {s: Fraction(weights[s]) for s in left}
+        unit = math.lcm(*[w.denominator for w in exact.values()])
+        for s in earliest_deadlines({s: int(exact[s] * unit) for s in sorted(left)}):
+            if done[s] == blocks[s]:
+                break
+            yield s, done[s]
+            done[s] += 1
+        left = {s for s in left if done[s] < blocks[s]}
+
+
 def phases(blocks: dict, weights: dict, quanta: int) -> list[tuple]:
     """(source, first block, blocks a period, periods, first slot, slots a period, slots of a period).
 
@@ -85,12 +117,12 @@ def phases(blocks: dict, weights: dict, quanta: int) -> list[tuple]:
     return out
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, block_bytes: int = 65_536, quanta: int = 1_000,
+def mixed(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, block_bytes: int = 65_536, quanta: int | None = None,
           seed: int = 17, id_col: str = "doc_id", text: str = "text", source: str = "source", buckets: int = 512) -> DataFrame:
     """id, source, block, slot, position: position is gapless from 0 over all documents.
 
     weights gives each source's target share; sources that it lacks, or all if it is None,
-    weigh their bytes to the power `temperature`."""
+    weigh their bytes to the power `temperature`. quanta: a short period of rounded weights, see above."""
     spark = docs.sparkSession
     d = docs.select(
         F.col(id_col), F.col(source).alias("_source"), F.greatest(F.coalesce(F.octet_length(text), F.lit(0)), F.lit(1)).cast("long").alias("_bytes"),
@@ -104,18 +136,37 @@ def mixed(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5
     names = sorted(known, key=lambda s: (s is not None, s))
     asked = weights or {}
     target = {i: asked.get(s) or Fraction(max(1, round(known[s] ** temperature * 1000))) for i, s in enumerate(names)}
-    plan = phases({i: -(-known[s] // block_bytes) for i, s in enumerate(names)}, target, quanta)
-    rows = [(names[s], base, k, times, at, n, slots, base + k * times) for s, base, k, times, at, n, slots in plan]
-    total = max((at + n * times for _, _, _, times, at, n, _, _ in rows), default=1)
-    seg = spark.createDataFrame(rows, "_source string, base long, k long, times long, at long, n long, slots array<long>, stop long")
+    blocks = {i: -(-known[s] // block_bytes) for i, s in enumerate(names)}
+    total = max(1, sum(blocks.values()))
     order = distributed_rank(d, ["_source"], ["_order", id_col], F.shiftright(F.col("_order"), 55).cast("int"), "_before", weight="_bytes")
     order = order.withColumn("block", F.floor(F.col("_before") / block_bytes).cast("long"))
     order = cut(order.select(id_col, F.coalesce(F.concat(F.lit("v"), "_source"), F.lit("n")).alias("_s"), "_source", "block", "_before"))
-    seg = seg.select(F.coalesce(F.concat(F.lit("v"), "_source"), F.lit("n")).alias("_s"), "base", "stop", "k", "at", "n", "slots")
+    placed = _periodic(spark, names, phases(blocks, target, quanta), order) if quanta else _walked(spark, names, blocks, target)
+    j = order.join(placed, ["_s", "block"]).select(id_col, F.col("_source").alias("source"), "block", "slot", "_before")
+    return distributed_rank(j, [], ["slot", "_before", id_col], F.floor(F.col("slot") * 4096 / total).cast("int"), "position").drop("_before")
+
+
+def _walked(spark: SparkSession, names: list, blocks: dict, weights: dict) -> DataFrame:
+    """_s, block, slot of every block, from one task that walks the slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slots, at = walk(blocks, weights) if b.num_rows else iter(()), 0
+            while rows := list(islice(slots, 50_000)):
+                yield pa.record_batch([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int64()), pa.array(range(at, at + len(rows)), pa.int64())], ["_i", "block", "slot"])
+                at += len(rows)
+
+    keys = spark.createDataFrame([(i, "n" if s is None else "v" + s) for i, s in enumerate(names)], "_i int, _s string")
+    slots = cut(spark.range(0, 1, 1, 1).mapInArrow(run, "_i int, block long, slot long"))
+    return slots.join(F.broadcast(keys), "_i").select("_s", "block", "slot")
+
+
+def _periodic(spark: SparkSession, names: list, plan: list[tuple], order: DataFrame) -> DataFrame:
+    """The same from whole periods, by arithmetic."""
+    rows = [("n" if names[s] is None else "v" + names[s], base, k, at, n, slots, base + k * times) for s, base, k, times, at, n, slots in plan]
+    seg = spark.createDataFrame(rows, "_s string, base long, k long, at long, n long, slots array<long>, stop long")
     # The pattern of a phase meets each block once, not each document.
     held = order.select("_s", "block").distinct().join(F.broadcast(seg), "_s").where((F.col("base") <= F.col("block")) & (F.col("block") < F.col("stop")))
     i = F.col("block") - F.col("base")
     slot = F.col("at") + F.floor(i / F.col("k")) * F.col("n") + F.get(F.col("slots"), F.pmod(i, F.col("k")).cast("int"))
-    placed = held.select("_s", "block", slot.cast("long").alias("slot"))
-    j = order.join(placed, ["_s", "block"]).select(id_col, F.col("_source").alias("source"), "block", "slot", "_before")
-    return distributed_rank(j, [], ["slot", "_before", id_col], F.floor(F.col("slot") * 4096 / total).cast("int"), "position").drop("_before")
+    return held.select("_s", "block", slot.cast("long").alias("slot"))
