@@ -67,3 +67,27 @@ def test_missing_columns_and_empty_table(spark):
     assert quality.judged(d).first()["kept"] is True
     assert quality.judged(d.drop("lang", "source")).count() == 1
     assert quality.judged(d.limit(0)).count() == 0
+
+
+def test_word_length_alone_rejects(spark):
+    """Ten robust deviations out in word length and nothing else, to either side; two deviations out is kept."""
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    text = lambda a, b: " ".join(word(r.randrange(a, b)) for _ in range(200))
+    rows = [(i, text(3, 8), "en", "s") for i in range(400)] + [(1000, text(6, 11), "en", "s"), (1001, text(2, 4), "en", "s")]
+    got = {x["doc_id"]: x for x in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    n = np.array([np.log(got[i]["word_chars"] / got[i]["n_words"]) for i in range(400)])
+    mad = 1.4826 * np.median(abs(n - np.median(n)))
+    for i in (1000, 1001):
+        assert abs(np.log(got[i]["word_chars"] / got[i]["n_words"]) - np.median(n)) > 10 * mad
+        assert not got[i]["base_failed"] and not got[i]["kept"]
+    assert all(got[i]["kept"] for i in range(400) if abs(n[i] - np.median(n)) < 2 * mad)
+
+
+def test_consistency_of_the_scatter(spark):
+    """On normal rows the estimate's deviations are those of all rows, not those of the nearest part."""
+    assert abs(quality.consistency(1.0) - 1) < 1e-9
+    rows = [("g", *map(float, v)) for v in np.random.default_rng(5).normal(0.5, 0.2, (4000, 4))]
+    d = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{x} double" for x in quality.STATS)).withColumn("_salt", (F.rand(1) * quality.SALTS).cast("int"))
+    est = quality.mcd(d).orderBy("log_det").first()
+    assert abs(est["l_0_0"] - 0.2) < 0.015

@@ -16,6 +16,8 @@ of their own. Groups with fewer than `min_rows` usable rows use the estimate of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,13 @@ SYMBOLS = r"[#*$%&|<>]"
 
 STATS = ["x_len", "x_sym", "x_line", "x_rep"]
 #: Least standard deviation of each transformed statistic: a constant statistic must not turn
-#: the smallest difference into a rejection.
-FLOOR = {"x_len": 0.35, "x_sym": 0.06, "x_line": 0.08, "x_rep": 0.08}
+#: the smallest difference into a rejection. Larger deviations of the kept rows stay as they are; the
+#: factors from kept rows to all rows come after it.
+LEAST = {"x_len": 0.01, "x_sym": 0.06, "x_line": 0.08, "x_rep": 0.08}
+#: Added to the deviations, in squares, so that the factorisation is defined.
+FLOOR = dict.fromkeys(STATS, 1e-6)
+#: Statistics whose both sides are bad: words can be too long and too short.
+BOTH_SIDES = {"x_len"}
 
 
 def _windows(words: Column, n: Column) -> Column:
@@ -107,8 +114,37 @@ def transformed(d: DataFrame) -> DataFrame:
 SALTS = 32
 
 
-def _moments(d: DataFrame, keys: list[str]) -> DataFrame:
+def consistency(h_share: float, p: int = len(STATS)) -> float:
+    """Factor by which the scatter of the nearest h_share of normal rows falls short of that of all: h over the
+    chi-squared distribution with p + 2 degrees at the h quantile with p (closed form for even p)."""
+
+    def chi2(q: float, degrees: int) -> float:
+        return 1 - math.exp(-q / 2) * sum((q / 2) ** k / math.factorial(k) for k in range(degrees // 2))
+
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        q = (low + high) / 2
+        low, high = (q, high) if chi2(q, p) < h_share else (low, q)
+    return h_share / chi2(low, p + 2)
+
+
+def small_sample(n: Column, h_share: float, p: int = len(STATS)) -> Column:
+    """Factor by which the scatter of small groups falls short besides (Pison, Van Aelst and Willems 2002, p > 2)."""
+
+    def share(coefficients: list[tuple]) -> Column:
+        (y1, x1), (y2, x2) = [(math.log(-a / p**b), -math.log(q * p * p)) for a, b, q in coefficients]
+        slope = (y1 - y2) / (x1 - x2)
+        return 1 - math.exp(y1 - slope * x1) / F.pow(n.cast("double"), F.lit(slope))
+
+    half = share([(-1.42764571687802, 1.26263336932151, 2), (-1.06141115981725, 1.28907991440387, 3)])
+    most = share([(-0.455179464070565, 1.11192541278794, 2), (-0.294241208320834, 1.09649329149811, 3)])
+    f = half + (most - half) * ((h_share - 0.5) / 0.375) if h_share <= 0.875 else most + (1 - most) * ((h_share - 0.875) / 0.125)
+    return 1 / F.greatest(f, F.lit(0.25))
+
+
+def _moments(d: DataFrame, keys: list[str], h_share: float = 1.0) -> DataFrame:
     p = len(STATS)
+    scale = small_sample(F.col("m_n") / h_share, h_share) * consistency(h_share) if h_share < 1 else F.lit(1.0)
     sums = [F.count("*").alias("m_n"), *[F.sum(x).alias(f"s_{i}") for i, x in enumerate(STATS)]]
     sums += [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q_{i}_{j}") for i in range(p) for j in range(i + 1)]
     m = d.groupBy(*keys).agg(*sums)
@@ -117,7 +153,8 @@ def _moments(d: DataFrame, keys: list[str]) -> DataFrame:
     for i in range(p):
         for j in range(i + 1):
             c = F.col(f"q_{i}_{j}") / F.col("m_n") - (F.col(f"s_{i}") / F.col("m_n")) * (F.col(f"s_{j}") / F.col("m_n"))
-            cov.append((c + (F.lit(FLOOR[STATS[i]] ** 2) if i == j else F.lit(0.0))).alias(f"c_{i}_{j}"))
+            c = F.greatest(c, F.lit(LEAST[STATS[i]] ** 2)) if i == j else c
+            cov.append((c * scale + (FLOOR[STATS[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}"))
     return _cholesky(m.select(*keys, "m_n", *mean, *cov))
 
 
@@ -186,7 +223,7 @@ def _concentrate(d: DataFrame, est: DataFrame, h_share: float, grid: int) -> Dat
     cutoff = hist.select("grp", "start", "_bin", cum.alias("_cum"), total.alias("_total"))
     cutoff = cutoff.where(F.col("_cum") >= F.ceil(F.col("_total") * h_share)).groupBy("grp", "start").agg(F.min("_bin").alias("_cut"))
     est = cut(est.join(cutoff, ["grp", "start"]))
-    return _moments(_near(d, est).where(bins <= F.col("_cut")), ["grp", "start"])
+    return _moments(_near(d, est).where(bins <= F.col("_cut")), ["grp", "start"], h_share)
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source"),
@@ -195,7 +232,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: tupl
 
     cutoff is a squared distance: 23.5 is the 0.9999 quantile of chi-squared with 4 degrees.
     Only distances on the bad side count: a text is an outlier only if, besides, some statistic
-    exceeds its group's location (fewer symbols or repeats than usual is no fault).
+    exceeds its group's location (fewer symbols or repeats than usual is no fault), or its words are
+    longer or shorter than the group's.
     """
     spark_cols = [id_col, *[c for c in by if c in docs.columns]]
     counted = text_counts(docs.select(*spark_cols, text), text).drop(text)
@@ -218,7 +256,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: tupl
     j = j.select(*d.columns, *[F.coalesce(F.col(c), F.col(f"p_{c}")).alias(c) for c in cols])
     worse = F.lit(False)
     for i, x in enumerate(STATS):
-        worse = worse | (F.col(x) > F.col(f"mu_{i}") + FLOOR[x])
+        off = F.col(x) - F.col(f"mu_{i}")
+        worse = worse | ((F.abs(off) if x in BOTH_SIDES else off) > LEAST[x])
     j = j.withColumn("distance", F.coalesce(_distance(), F.lit(0.0)))
     j = j.withColumn("outlier", (F.col("distance") > cutoff) & F.coalesce(worse, F.lit(False)))
     return j.select(
