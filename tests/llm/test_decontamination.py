@@ -91,3 +91,24 @@ def test_blocks_of_items(spark, world):
     got = dc.found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=9_000).collect()
     pairs = {(r["doc_id"], r["item_id"]) for r in got}
     assert pairs <= truth and len(pairs) >= 0.9 * len(truth)
+
+
+def test_edited_item_beside_an_exact_one():
+    """A list of test items: windows of the exact neighbour hold more grams, but none of the edited item."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(40)) for i in range(180)]
+    docs, truth = [], set()
+    for k in range(60):
+        parts = []
+        for i, rate in ((3 * k, 0), (3 * k + 1, r.choice([0.03, 0.05, 0.08])), (3 * k + 2, r.choice([0.02, 0.06]))):
+            z = list(items[i][1])
+            for _ in range(int(rate * len(z))):
+                p = r.randrange(len(z))
+                z[p : p + 1] = r.choice([[], ["x"], ["y", "z"]])
+            parts.append("".join(z))
+            truth.add((k, i))
+        docs.append(" ".join([text(30), *parts, text(30)]))
+    got = {(d, i) for d, i, _, _ in dc.Finder(items, 0.1, 5, 20, 4, 11, 0.2, 0.3).hits(docs)}
+    assert got <= truth and len(got) >= 0.9 * len(truth)

@@ -9,8 +9,8 @@ for any such stretch (an edit changes five at most, so nothing is lost by that).
 
 A window is embedded only if `share` of its 8-grams occur in the benchmark: of an item with a
 tenth of its characters edited at random places 0.9**8 = 43 % of them survive, so 30 % keeps
-nearly all such windows; recall is measured in the tests. Windows start at words; among neighbours
-those with (nearly) the most shared 8-grams stand for the rest. Items of nearly one length are
+nearly all such windows; recall is measured in the tests. Windows start at words, and all that pass
+are embedded: a neighbour that holds more may hold another item. Items of nearly one length are
 compared by their beginnings of one length; verification is of the whole item.
 
 At scale: one pass over documents, no shuffle but for the distinct hits; memory of one Arrow
@@ -183,8 +183,6 @@ class Finder:
             near = np.flatnonzero((count >= least) & (stop - words >= n * (1 - self.ratio)))
             if not len(near):
                 continue
-            best = _peak(words[near], count[near], n // 2)
-            near = near[count[near] >= 0.9 * best]
             for part in range(0, len(near), 20_000):
                 w = words[near[part : part + 20_000]]
                 span = w[:, None] + np.arange(n)
@@ -237,23 +235,6 @@ class Finder:
             yield int(at[r]), int(r)
 
 
-def _peak(at: np.ndarray, count: np.ndarray, reach: int) -> np.ndarray:
-    """For each window the largest count among windows that start within `reach` of it."""
-    lo, hi = np.searchsorted(at, at - reach), np.searchsorted(at, at + reach, "right")
-    out = count.copy()
-    # A sparse table of maxima; a range is covered by two overlapping powers of two.
-    table, size = [count], 1
-    while 2 * size <= len(count):
-        table.append(np.maximum(table[-1][:-size], table[-1][size:]))
-        size *= 2
-    level = np.floor(np.log2(np.maximum(hi - lo, 1))).astype(int)
-    for k in range(len(table)):
-        own = level == k
-        if own.any():
-            out[own] = np.maximum(table[k][lo[own]], table[k][hi[own] - (1 << k)])
-    return out
-
-
 def found(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", ratio: float = 0.1,
           walks: int = 5, tables: int = 20, sampled: int = 4, seed: int = 11, band: float = 0.2, share: float = 0.3, block_bytes: int = 16_000_000) -> DataFrame:
     """Distinct (id, item_id) with the least edits and the end of that stretch in the normalised text.
