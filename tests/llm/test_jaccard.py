@@ -21,7 +21,7 @@ def brute(rows):
             x = label[x]
         return x
 
-    ids = sorted(s)
+    ids, links = sorted(s), dict.fromkeys(s, 0)
     for a in ids:
         for b in ids:
             if a < b and s[a] and s[b]:
@@ -29,7 +29,9 @@ def brute(rows):
                 if 100 * both >= 75 * (len(s[a]) + len(s[b]) - both):
                     x, y = sorted((find(a), find(b)))
                     label[y] = x
-    return {i: (len(s[i]), find(i)) for i in ids}
+                    links[a] += 1
+                    links[b] += 1
+    return {i: (len(s[i]), find(i), links[i]) for i in ids}
 
 
 def corpus(seed=3):
@@ -55,14 +57,14 @@ def test_matches_brute_force(spark):
     rows = corpus()
     got = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in got} == brute(rows)
 
 
 def test_frequent_elements_matter_only_for_speed(spark, monkeypatch):
     rows = corpus(5)
     monkeypatch.setattr(jaccard, "MAX_HOT", 10)
     got = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in got} == brute(rows)
 
 
 def test_empty_table_and_clashing_columns(spark):
@@ -88,3 +90,21 @@ def test_rows_without_an_id(spark):
     d = spark.createDataFrame([(None, "a b c d e f g h i j k l m n o p"), (5, "a b c d e f g h i j k l m n o p"), (None, "other words than the first"), (7, "A b c d e f g h i j k l m n o p q")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard.linked(d).collect())
     assert got == [(0, 0), (0, 5), (5, 5), (7, 5)]
+
+
+def test_links_in_small_blocks(spark, monkeypatch):
+    """Components cut into many blocks: the same links."""
+    rows = corpus(9)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    got = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in got} == brute(rows)
+    assert "n_links" not in jaccard.linked(spark.createDataFrame(rows[:3], "doc_id long, text string"), counts=False).columns
+
+
+def test_common_elements():
+    import numpy as np
+
+    r = random.Random(1)
+    sets = [np.array(sorted(r.sample(range(300), r.randrange(0, 200))), np.uint64) for _ in range(70)]
+    got = jaccard.common_elements(sets)
+    assert all(got[a, b] == len(set(sets[a]) & set(sets[b])) for a in range(70) for b in range(70) if a != b)

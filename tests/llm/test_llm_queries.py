@@ -8,7 +8,7 @@ from tradeflow.llm import queries
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1_toxicity": ["doc_id", "held_out", "score", "predicted"], "op3_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
-    "op4_url_filters": ["page_id", "host", "path", "rule", "verdict"], "op6_jaccard_join": ["doc_id", "n_shingles", "component_id"],
+    "op4_url_filters": ["page_id", "host", "path", "rule", "verdict"], "op6_jaccard_join": ["doc_id", "n_shingles", "component_id", "n_links"],
     "op7_license_scans": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
     "op9_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
 }

@@ -12,13 +12,19 @@ of two for which this holds is the bound on a list of other elements, within whi
 candidates. In the lists of frequent elements, which groups of near copies bring about, each set
 is paired with a hub; sets that this leaves in different components are then paired exactly.
 
+Every document gets the number of documents it is linked with, itself not counted. A link joins sets of
+one component, so the components are cut into blocks of bounded size; each pair of blocks of one component
+is one task's work, which counts common elements of all its pairs of sets at once and hands out sums, not
+pairs. Copies count through the size of their class.
+
 At scale: texts are hashed in Arrow batches; counts travel as sorted, compressed runs, prefixes
 as (element, document) rows, of one document of each group that a task meets. Exact copies collapse before postings are joined. No task holds a
 list of a frequent element: hubs are minima combined map-side.
 
 Null and empty texts and texts without words have an empty set and link with nothing, not even
 with each other. Repeated rows (one id twice) are one node. Rows without an id get the class and
-component of their set, null if no row with an id has or links to it.
+component of their set, null if no row with an id has or links to it, and its links with rows that have one.
+Of very long texts the whole set is compared; a block holds at least one set, of whatever size.
 """
 
 from collections.abc import Iterator
@@ -37,6 +43,8 @@ WORDS = 5
 #: Least count of a frequent element, and how many of them there can be (8 bytes each are broadcast).
 LEAST_HOT, MAX_HOT = 16, 1_000_000
 KEY_BITS = 40
+#: Most elements and most sets of a block in which links are counted (a block of one larger set aside).
+BLOCK_ELEMENTS, BLOCK_SETS = 400_000, 2_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -259,13 +267,14 @@ def _reaches(n: str, i: str, m: str, j: str):
     return 7 * F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= 3 * (F.col(n) + F.col(m))
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
+def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest id with the same set), component_id and, unless `counts` is
+    false, n_links (documents of other ids that it is linked with)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent_keys(docs, "text"))  # at most MAX_HOT keys
     rows = cut(docs.mapInArrow(lambda b: _members(b, *shared.value), "doc_id long, n long, few long, cls long, grp long, at long, common array<long>"))
     own = rows.where("n > 0")
-    every_class = cut(own.groupBy("grp", "cls", "n").agg(F.min("doc_id").alias("rep"), F.min("few").alias("few")))
+    every_class = cut(own.groupBy("grp", "cls", "n").agg(F.min("doc_id").alias("rep"), F.min("few").alias("few"), F.count_distinct("doc_id").alias("copies")))
     classes = every_class.where("rep is not null")
     postings = docs.mapInArrow(lambda b: _postings(b, *shared.value), "e long, doc long, n int, i int")
     group_of = own.select(F.col("doc_id").alias("doc"), "grp").distinct()
@@ -316,10 +325,77 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     more = _verified(texts, _pairs(left_over))
     if not more.isEmpty():
         parts = components(edges.unionByName(more))
-    same = own.select("doc_id", "n", "cls", "grp").join(every_class, ["grp", "cls", "n"]).select("doc_id", "n", "rep")
-    named = same.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return named.unionByName(none)
+    same = own.select("doc_id", "n", "cls", "grp").join(every_class.drop("few"), ["grp", "cls", "n"])
+    named = same.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"), "copies")
+    none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("copies"))
+    if not counts:
+        return named.unionByName(none).drop("copies")
+    others = link_counts(texts, classes.join(parts.withColumnRenamed("node", "rep"), "rep").select("rep", "component", "n", "copies"))
+    named = named.join(others.withColumnRenamed("rep", "class_id"), "class_id", "left")
+    links = F.col("copies") - F.when(F.col("doc_id").isNotNull(), 1).otherwise(0) + F.coalesce("others", F.lit(0))
+    none = none.withColumn("others", F.lit(0).cast("long"))
+    return named.unionByName(none).select("doc_id", "n_shingles", "class_id", "component_id", F.when(F.col("n_shingles") > 0, links).otherwise(0).cast("long").alias("n_links"))
+
+
+def link_counts(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """rep, others: how many documents of other classes are linked with the class of rep.
+
+    classes: rep, component, n, copies, of components with several classes; texts has those of every rep."""
+    size = classes.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_ELEMENTS, F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
+    c = classes.join(size, "component").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # A set meets each block of its component once: in the pair of that block and its own.
+    c = c.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "component", "copies", "own", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"))
+    met = c.join(texts.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), "rep")
+    return met.groupBy("component", "i", "j").applyInArrow(_count_links, "rep long, others long").groupBy("rep").agg(F.sum("others").alias("others"))
+
+
+def _count_links(rows: pa.Table) -> pa.Table:
+    """Of a pair of blocks: per set the copies of the sets it is linked with."""
+    sets = [shingles(words_of(t.as_py())) for t in rows["text"]]
+    own, copies = rows["own"].to_numpy(), rows["copies"].to_numpy()
+    crossing = rows["i"][0].as_py() != rows["j"][0].as_py()
+    n = np.array([len(s) for s in sets], np.int64)
+    both, out = common_elements(sets), np.zeros(len(sets), np.int64)
+    for lo in range(0, len(sets), 256):
+        part = both[lo : lo + 256].astype(np.int64)
+        alike = 100 * part >= 75 * (n[lo : lo + 256, None] + n[None, :] - part)
+        alike[np.arange(len(part)), np.arange(lo, lo + len(part))] = False
+        if crossing:
+            alike &= own[lo : lo + 256, None] != own[None, :]
+        out[lo : lo + 256] = alike @ copies
+    return pa.table({"rep": rows["rep"], "others": out})
+
+
+def common_elements(sets: list[np.ndarray], many: int = 24) -> np.ndarray:
+    """Size of the intersection of each two sets. Elements that `many` sets hold are columns of a matrix
+    that is multiplied with itself, a stretch of columns at a time; the others are added pair by pair."""
+    k = len(sets)
+    held = np.concatenate(sets) if k else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(k), [len(s) for s in sets])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(held)))
+    column = np.repeat(np.arange(len(first)), count)
+    both = np.zeros((k, k), np.float32)
+    wide = np.flatnonzero(count >= many)
+    place = np.full(len(first), -1)
+    place[wide] = np.arange(len(wide))
+    of = place[column]
+    for lo in range(0, len(wide), 2_048):
+        here = (of >= lo) & (of < lo + 2_048)
+        x = np.zeros((k, min(2_048, len(wide) - lo)), np.float32)
+        x[owner[here], of[here] - lo] = 1
+        both += x @ x.T
+    few = (count[column] > 1) & (of < 0)
+    column, owner = column[few], owner[few]
+    for d in range(1, many):
+        at = np.flatnonzero(column[d:] == column[:-d]) if len(column) > d else ()
+        if not len(at):
+            break
+        np.add.at(both, (owner[at], owner[at + d]), 1)
+        np.add.at(both, (owner[at + d], owner[at]), 1)
+    return both
 
 
 def _pairs(candidates: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ ORACLE: dict[str, str] = {
   SELECT p * 2 + 1 AS record_id, u AS canonical_url, CASE WHEN outcome = 'resolved' THEN rp * 2 END AS target_id, outcome, CASE WHEN outcome = 'resolved' THEN rdig END AS digest,
     CASE WHEN outcome = 'resolved' THEN coalesce(rtag, ttag) ELSE rtag END AS etag, CASE WHEN outcome = 'resolved' THEN 'a' ELSE 'b' END AS server, '60' AS expires,
     CASE WHEN outcome = 'resolved' THEN 4 + (coalesce(rtag, ttag) IS NOT NULL)::INT ELSE 3 + (rtag IS NOT NULL)::INT END AS n_headers FROM o""",
-    "op6_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW.format("coalesce(text, '')")}, '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+    "op6_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
   s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
   g AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY md5(array_to_string(list_sort(s), chr(10)))) END AS class_id FROM s),
   e AS (SELECT doc_id, unnest(s) AS x FROM s),
@@ -103,5 +103,6 @@ ORACLE: dict[str, str] = {
   link AS (SELECT a, b FROM shared JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
   two AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
   reach(a, b) AS (SELECT a, b FROM two UNION SELECT r.a, t.b FROM reach r JOIN two t ON r.b = t.a)
-  SELECT doc_id, n::BIGINT AS n_shingles, class_id, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id FROM g""",
+  SELECT doc_id, n::BIGINT AS n_shingles, class_id, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id, coalesce(k, 0) AS n_links
+  FROM g LEFT JOIN (SELECT a, count(*) AS k FROM two GROUP BY a) l ON l.a = doc_id""",
 }
