@@ -5,6 +5,10 @@ import pytest
 from tradeflow.llm import decontamination as dc
 
 
+def finder(items):
+    return dc.Finder(items, 0.1, 5, 20, 4, 11, 0.2)
+
+
 def distance(a, b):
     """Least edits of a to a stretch of b, by the plain table."""
     row = [0] * (len(b) + 1)
@@ -76,11 +80,50 @@ def test_clean_leaves_clean_documents(spark, world):
     assert {d for d, _ in docs if d >= 1000} - {d for d, _ in truth} <= left
 
 
+@pytest.mark.parametrize("even", [False, True])
+def test_recall_at_the_full_ratio(even):
+    """A tenth of the characters edited, at random places and evenly spread, in items of 30 to 400 characters."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice(["th", "er", "on", "an", "ré", "ed", "nd", "ha"]) for _ in range(r.randrange(1, 5)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(r.randrange(6, 70))) for i in range(100)]
+    docs = []
+    for _, t in items:
+        z, m = list(t), len(t) // 10
+        for p in sorted(([int((k + 0.5) * len(z) / m) for k in range(m)] if even else r.sample(range(len(z)), m)), reverse=True):
+            z[p : p + 1] = r.choice([[], ["x"], ["y", z[p]], ["q"]])
+        docs.append(text(25) + " " + "".join(z) + " " + text(25))
+    got = {(d, i) for d, i, _, _ in finder(items).hits(docs)}
+    assert sum((i, i) in got for i in range(100)) >= 90
+
+
+def test_text_without_spaces():
+    """Items in the middle of a line of Chinese or of one long run, exact and edited."""
+    r = random.Random(4)
+    han = lambda n: "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n))
+    items = [(i, han(40)) for i in range(20)] + [(20, han(6)), (21, '{"key":"value","other":[1,2,3,4,5,6,7]}')]
+    docs = [han(50) + t + han(50) for _, t in items[:21]] + ['{"a":' + items[21][1] + ',"b":0}' * 3]
+    docs += [han(30) + t[:7] + "x" + t[8:20] + t[22:] + han(30) for _, t in items[:20]]
+    got = {(d, i) for d, i, _, _ in finder(items).hits(docs)}
+    assert {(i, i) for i in range(22)} <= got and sum((22 + i, i) in got for i in range(20)) >= 18
+
+
+def test_shared_grams_are_left_out():
+    """Items with a long common beginning are still told apart and found."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 8)))
+    items = [(i, "which of the following statements is true " + " ".join(word() for _ in range(20))) for i in range(150)]
+    docs = ["so " + t[:60] + "z" + t[61:] + " end" for _, t in items]
+    got = {(d, i) for d, i, _, _ in finder(items).hits(docs)}
+    assert got == {(i, i) for i in range(150)}
+
+
 def test_odd_inputs(spark):
     items = spark.createDataFrame([(1, "short item"), (2, None), (3, ""), (4, "a longer item of the benchmark that is to be found whole"), (5, "a longer item of the benchmark that is to be found whole")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "here a Short  item stands"), (4, "shortitem"), (5, "x " * 30_000 + "a longer item of the benchmark that is to be found whole")], "doc_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in dc.found(docs, items).collect()}
-    assert got == {(3, 1), (5, 4), (5, 5)}
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "here a (Short  item), stands"), (4, "shortitem"), (5, "x " * 30_000 + "a longer item of the benchmark that is to be found whole"), (6, "a short items"), (None, "short item"), (3, "here a short item")],
+                                 "doc_id long, text string").selectExpr("doc_id", "text", "1 AS item_id", "2 AS edits")
+    got = sorted((r["doc_id"] or 0, r["item_id"]) for r in dc.found(docs, items).collect())
+    assert got == [(0, 1), (3, 1), (5, 4), (5, 5)]
     assert dc.found(docs.limit(0), items).count() == 0
     assert dc.found(docs, items.limit(0)).count() == 0
 
@@ -110,5 +153,5 @@ def test_edited_item_beside_an_exact_one():
             parts.append("".join(z))
             truth.add((k, i))
         docs.append(" ".join([text(30), *parts, text(30)]))
-    got = {(d, i) for d, i, _, _ in dc.Finder(items, 0.1, 5, 20, 4, 11, 0.2, 0.3).hits(docs)}
+    got = {(d, i) for d, i, _, _ in finder(items).hits(docs)}
     assert got <= truth and len(got) >= 0.9 * len(truth)
