@@ -5,29 +5,6 @@ from itertools import islice
 from tradeflow.llm import mixing
 
 
-def test_deviation_is_less_than_one_block():
-    for weights in ({0: 1, 1: 1}, {0: 700, 1: 200, 2: 99, 3: 1}, {i: i + 1 for i in range(20)}):
-        q = mixing.whole_weights(weights, 1000)
-        slots = mixing.period(q)
-        order = {t: s for s, ts in slots.items() for t in ts}
-        assert sorted(order) == list(range(1000)) and sum(q.values()) == 1000
-        done = dict.fromkeys(q, 0)
-        for t in range(1000):
-            done[order[t]] += 1
-            assert all(abs(Fraction(q[s] * (t + 1), 1000) - done[s]) < 1 for s in q)
-
-
-def test_phases_place_every_block_once():
-    blocks = {0: 5, 1: 1203, 2: 77, 3: 0}
-    seen, slots = [], []
-    for s, base, k, times, at, n, own in mixing.phases(blocks, {0: 3, 1: 1, 2: 2, 3: 9}, 50):
-        for p in range(times):
-            seen += [(s, base + p * k + i) for i in range(k)]
-            slots += [at + p * n + x for x in own]
-    assert sorted(seen) == [(s, b) for s, c in blocks.items() for b in range(c)]
-    assert len(set(slots)) == len(slots)
-
-
 def test_mix(spark):
     rows = [(i, "x" * (i % 50), f"s{i % 3 if i % 7 else 0}") for i in range(2000)] + [(3000, None, None), (3001, "", None), (3002, "y" * 5000, "s1")]
     got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"s0": 5, "s1": 1}, block_bytes=300).collect()
@@ -64,12 +41,28 @@ def test_deviation_from_the_target_weights(spark):
     assert sum(got.values()) == 12_000 and all(abs(weights[s] * 12_000 - got.get(s, 0)) < 1 for s in weights)
 
 
-def test_rounded_periods_place_every_document(spark):
-    rows = [(i, "x" * (i % 50), f"s{i % 3}") for i in range(2000)] + [(3000, None, None)]
-    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_bytes=300, quanta=100).collect()
-    assert sorted(r["position"] for r in got) == list(range(len(rows)))
-
-
 def test_walk_places_every_block_once():
     blocks = {0: 5, 1: 1203, 2: 77, 3: 0}
     assert sorted(mixing.walk(blocks, {0: 3, 1: 1, 2: 2, 3: 9})) == [(s, b) for s, c in blocks.items() for b in range(c)]
+
+
+def test_query_keeps_to_its_weights(spark):
+    """The query's own output, at every slot, while all sources have blocks."""
+    from tradeflow.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    size = {r["source"]: r["b"] for r in spark.read.parquet(f"{sf}/documents.parquet").selectExpr("source", "greatest(octet_length(text), 1) AS b").groupBy("source").agg({"b": "sum"}).withColumnRenamed("sum(b)", "b").collect()}
+    share = {s: Fraction(max(1, round(b**0.5 * 1000))) for s, b in size.items()}
+    slots = sorted({(r["slot"], r["source"], r["block"]) for r in queries.op8_mixing(spark, sf).collect()})
+    done, left = dict.fromkeys(size, 0), {s: -(-b // 65_536) for s, b in size.items()}
+    for t, (slot, s, block) in enumerate(slots, 1):
+        done[s] += 1
+        if any(done[x] == left[x] for x in left):
+            break
+        assert all(abs(share[x] / sum(share.values()) * (slot + 1) - done[x]) < 2 for x in share)  # a block of one long text is empty
+
+
+def test_many_sources_and_rows_without_an_id(spark):
+    rows = [(i if i % 9 else None, "x" * (i % 30), f"host{i % 3001}", 5) for i in range(6000)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, position int"), block_bytes=20).collect()
+    assert sorted(r["position"] for r in got) == list(range(6000)) and len({r["source"] for r in got}) == 3001

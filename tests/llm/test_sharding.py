@@ -22,13 +22,13 @@ def test_counts_equal_the_plain_heap():
         counts = defaultdict(int)
         for s in sizes:
             counts[s] += 1
-        plan = sharding.lpt_counts([(s, c, s * c) for s, c in sorted(counts.items(), reverse=True)], 5)
+        plan = list(sharding.lpt_counts(sorted(counts.items(), reverse=True), 5))
         loads = [sum(k * took[s] for k, took in plan) for s in range(5)]
         assert sorted(loads) == lpt(sizes, 5)[0] and all(sum(t) == counts[k] for k, t in plan)
 
 
 def test_one_huge_group_and_many_small_ones_is_quick():
-    plan = sharding.lpt_counts([(10**12, 1, 10**12), (1000, 10**10, 10**13)], 8)
+    plan = list(sharding.lpt_counts([(10**12, 1), (1000, 10**10)], 8))
     loads = [sum(k * t[s] for k, t in plan) for s in range(8)]
     assert max(loads) - min(loads) <= 1000
 
@@ -59,3 +59,15 @@ def test_balance(spark):
 
 def test_empty_table(spark):
     assert sharding.sharded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_loads_are_those_of_the_plain_heap(spark):
+    """Large groups of many sizes, nulls, an empty text, repeated rows and clashing names: every load is that of a heap over all groups."""
+    r = random.Random(5)
+    rows = [(i, "ab" * r.randrange(5_000, 40_000), 1, 2, 3) for i in range(120)] + [(200 + i, r.choice(["q", "w"]) * r.randrange(0, 40), 1, 2, 3) for i in range(400)] + [(None, None, 1, 2, 3), (7, None, 1, 2, 3), (8, "", 1, 2, 3), (8, "", 1, 2, 3)]
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string, shard int, size int, slot int"), n_shards=5)
+    assert got.columns == ["doc_id", "size", "text_crc32", "shard", "slot"]
+    groups = defaultdict(int)
+    for _, t, *_ in rows:
+        groups[t] += len((t or "").encode()) + 1
+    assert sorted(x["b"] for x in got.groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "b").collect()) == lpt(groups.values(), 5)[0]

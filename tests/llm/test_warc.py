@@ -46,3 +46,16 @@ def test_empty_table_and_repeats(spark):
     one = (1, "http://a.b/", T0, "revisit", None, None, None, None)
     assert warc.resolved(spark.createDataFrame([], SCHEMA)).count() == 0
     assert warc.resolved(spark.createDataFrame([one, one], SCHEMA)).count() == 2
+
+
+def test_names_that_differ_in_case(spark):
+    rows = [(1, "http://a.b/", T0, "response", '"q"', None, "dig", {"ETag": "x", "etag": "y", "Server": "s"}), (2, "http://a.b/", T0 + timedelta(1), "revisit", '"q"', None, None, {"EXPIRES": "1", "Expires": "2", "expires": "3"})]
+    assert warc.resolved(spark.createDataFrame(rows, SCHEMA)).first()["headers"] == {"etag": "y", "server": "s", "expires": "3"}
+
+
+def test_clashing_columns_and_one_moment(spark):
+    """All captures of a hot url at two moments; further columns named like those used inside."""
+    rows = [(i, "http://hot/", T0 + timedelta(i % 2), "response" if i % 3 else "revisit", '"q"', None, f"d{i}", None) for i in range(300)]
+    d = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS _b", "2 AS canonical_url", "3 AS outcome", "4 AS target_id")
+    got = {x["record_id"]: (x["target_id"], x["outcome"]) for x in warc.resolved(d).collect()}
+    assert got == brute(rows)

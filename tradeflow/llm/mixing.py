@@ -8,14 +8,14 @@ to one every prefix of the schedule holds each source's share to within less tha
 When a source has no block left, the other weights are scaled up and the schedule goes on from
 there, so every document is placed exactly once. Weights are taken as exact fractions: the slots
 are walked one after another, with one pending block a source, so the bound holds for schedules
-of any length. With `quanta` weights are rounded to whole numbers of that sum instead; a phase
-then repeats after `quanta` slots and deviates from the asked weights by up to its length / quanta.
+of any length and any number of sources.
 
-At scale: narrow rows only. The driver reads one row per source (at most MAX_SOURCES, checked).
-The walk is one task that holds a heap of sources and writes a row for each block, not for each
-document. Positions of a hot source are prefix sums over buckets, so no task holds a source.
+At scale: narrow rows only, and no row of them reaches the driver. The walk is one task that holds a heap of
+sources and writes a row for each block, not for each document. Positions of a hot source are prefix sums over
+buckets, whose number follows the rows, so no task holds a source.
 
-Null sources are a source of their own. Null and empty texts count one byte.
+Null sources are a source of their own. Null and empty texts count one byte, very long ones their whole size.
+Repeated rows and rows without an id each get a position; columns that are not asked for are not looked at.
 """
 
 from __future__ import annotations
@@ -27,23 +27,13 @@ from fractions import Fraction
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .util import cut, distributed_rank
 
-MAX_SOURCES = 2_000
-
-
-def whole_weights(weights: dict, quanta: int) -> dict:
-    """Whole weights that sum to quanta, each at least 1, by largest remainders."""
-    total = sum(Fraction(w) for w in weights.values())
-    exact = {s: Fraction(w) * (quanta - len(weights)) / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    rest = quanta - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:rest]:
-        out[s] += 1
-    return out
+#: Rows of a bucket in which positions are given out.
+BUCKET_ROWS = 500_000
 
 
 def earliest_deadlines(q: dict) -> Iterator:
@@ -66,14 +56,6 @@ def earliest_deadlines(q: dict) -> Iterator:
         t += 1
 
 
-def period(q: dict) -> dict:
-    """Earliest-deadline-first over one period: for each source the slots of its blocks."""
-    slots = {s: [] for s in q}
-    for t, s in enumerate(islice(earliest_deadlines(q), sum(q.values()))):
-        slots[s].append(t)
-    return slots
-
-
 def walk(blocks: dict, weights: dict) -> Iterator[tuple]:
     """(source, block) of each slot by the exact weights. Where a source is asked for more than it has, a
     new phase begins with the sources that are left."""
@@ -89,84 +71,38 @@ def walk(blocks: dict, weights: dict) -> Iterator[tuple]:
         left = {s for s in left if done[s] < blocks[s]}
 
 
-def phases(blocks: dict, weights: dict, quanta: int) -> list[tuple]:
-    """(source, first block, blocks a period, periods, first slot, slots a period, slots of a period).
-
-    A phase runs whole periods while every source fills them, then one period cut where the
-    first source ends."""
-    left, done, at, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        q = whole_weights({s: weights[s] for s in left}, max(quanta, 2 * len(left)))
-        n, slots = sum(q.values()), period(q)
-        whole = min(left[s] // q[s] for s in left)
-        if whole:
-            out += [(s, done[s], q[s], whole, at, n, slots[s]) for s in left]
-            for s in left:
-                done[s] += q[s] * whole
-                left[s] -= q[s] * whole
-            at += whole * n
-        else:
-            end = min(slots[s][left[s]] for s in left if left[s] < q[s])  # where a source is first asked for more than it has
-            used = {s: [t for t in slots[s] if t < end] for s in left}
-            out += [(s, done[s], len(u), 1, at, end, u) for s, u in used.items() if u]
-            for s, u in used.items():
-                done[s] += len(u)
-                left[s] -= len(u)
-            at += end
-        left = {s: n for s, n in left.items() if n}
-    return out
-
-
-def mixed(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, block_bytes: int = 65_536, quanta: int | None = None,
-          seed: int = 17, id_col: str = "doc_id", text: str = "text", source: str = "source", buckets: int = 512) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, block_bytes: int = 65_536,
+          seed: int = 17, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """id, source, block, slot, position: position is gapless from 0 over all documents.
 
     weights gives each source's target share; sources that it lacks, or all if it is None,
-    weigh their bytes to the power `temperature`. quanta: a short period of rounded weights, see above."""
-    spark = docs.sparkSession
+    weigh their bytes to the power `temperature`."""
     d = docs.select(
         F.col(id_col), F.col(source).alias("_source"), F.greatest(F.coalesce(F.octet_length(text), F.lit(0)), F.lit(1)).cast("long").alias("_bytes"),
         F.xxhash64(F.col(id_col), F.lit(seed)).alias("_order"),
     )
     d = cut(d)
-    stats = d.groupBy("_source").agg(F.sum("_bytes").alias("b")).orderBy("_source").limit(MAX_SOURCES + 1).collect()
-    if len(stats) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; map them to fewer before mixing")
-    known = {r["_source"]: r["b"] for r in stats}
-    names = sorted(known, key=lambda s: (s is not None, s))
+    bits = max(9, math.ceil(math.log2(max(1, d.count() / BUCKET_ROWS))))
+    held = cut(d.groupBy("_source").agg(F.sum("_bytes").alias("b")))
     asked = weights or {}
-    target = {i: asked.get(s) or Fraction(max(1, round(known[s] ** temperature * 1000))) for i, s in enumerate(names)}
-    blocks = {i: -(-known[s] // block_bytes) for i, s in enumerate(names)}
-    total = max(1, sum(blocks.values()))
-    order = distributed_rank(d, ["_source"], ["_order", id_col], F.shiftright(F.col("_order"), 55).cast("int"), "_before", weight="_bytes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {s: n for b in batches for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        names = sorted(known, key=lambda s: (s is not None, s))
+        target = {i: asked.get(s) or Fraction(max(1, round(known[s] ** temperature * 1000))) for i, s in enumerate(names)}
+        slots, at = walk({i: -(-known[s] // block_bytes) for i, s in enumerate(names)}, target), 0
+        while rows := list(islice(slots, 50_000)):
+            yield pa.record_batch([pa.array([_key(names[i]) for i, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.int64()), pa.array(range(at, at + len(rows)), pa.int64())], ["_s", "block", "slot"])
+            at += len(rows)
+
+    placed = cut(held.repartition(1).mapInArrow(run, "_s string, block long, slot long"))
+    total = max(1, placed.count())
+    order = distributed_rank(d, ["_source"], ["_order", id_col], F.shiftright(F.col("_order"), 64 - bits).cast("int"), "_before", weight="_bytes")
     order = order.withColumn("block", F.floor(F.col("_before") / block_bytes).cast("long"))
     order = cut(order.select(id_col, F.coalesce(F.concat(F.lit("v"), "_source"), F.lit("n")).alias("_s"), "_source", "block", "_before"))
-    placed = _periodic(spark, names, phases(blocks, target, quanta), order) if quanta else _walked(spark, names, blocks, target)
     j = order.join(placed, ["_s", "block"]).select(id_col, F.col("_source").alias("source"), "block", "slot", "_before")
-    return distributed_rank(j, [], ["slot", "_before", id_col], F.floor(F.col("slot") * 4096 / total).cast("int"), "position").drop("_before")
+    return distributed_rank(j, [], ["slot", "_before", id_col], F.floor(F.col("slot") * 2**max(12, bits) / total).cast("int"), "position").drop("_before")
 
 
-def _walked(spark: SparkSession, names: list, blocks: dict, weights: dict) -> DataFrame:
-    """_s, block, slot of every block, from one task that walks the slots."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slots, at = walk(blocks, weights) if b.num_rows else iter(()), 0
-            while rows := list(islice(slots, 50_000)):
-                yield pa.record_batch([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int64()), pa.array(range(at, at + len(rows)), pa.int64())], ["_i", "block", "slot"])
-                at += len(rows)
-
-    keys = spark.createDataFrame([(i, "n" if s is None else "v" + s) for i, s in enumerate(names)], "_i int, _s string")
-    slots = cut(spark.range(0, 1, 1, 1).mapInArrow(run, "_i int, block long, slot long"))
-    return slots.join(F.broadcast(keys), "_i").select("_s", "block", "slot")
-
-
-def _periodic(spark: SparkSession, names: list, plan: list[tuple], order: DataFrame) -> DataFrame:
-    """The same from whole periods, by arithmetic."""
-    rows = [("n" if names[s] is None else "v" + names[s], base, k, at, n, slots, base + k * times) for s, base, k, times, at, n, slots in plan]
-    seg = spark.createDataFrame(rows, "_s string, base long, k long, at long, n long, slots array<long>, stop long")
-    # The pattern of a phase meets each block once, not each document.
-    held = order.select("_s", "block").distinct().join(F.broadcast(seg), "_s").where((F.col("base") <= F.col("block")) & (F.col("block") < F.col("stop")))
-    i = F.col("block") - F.col("base")
-    slot = F.col("at") + F.floor(i / F.col("k")) * F.col("n") + F.get(F.col("slots"), F.pmod(i, F.col("k")).cast("int"))
-    return held.select("_s", "block", slot.cast("long").alias("slot"))
+def _key(source: str | None) -> str:
+    return "n" if source is None else "v" + source

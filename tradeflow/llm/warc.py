@@ -5,13 +5,15 @@ response captured before it; if the validators agree it takes that response's pa
 headers, with those headers that a 304 may update taken from the revisit.
 
 At scale: bodies are never shuffled, only validators, digests and headers. A URL that holds any
-share of the captures is cut at `buckets` quantiles of capture time: the last response is found
-within (url, bucket), and the last one of earlier buckets is carried over by a window with one
-row per bucket.
+share of the captures is cut at `buckets` quantiles of capture time; captures of one moment are one row
+there. The last response is found within (url, bucket), and the last one of earlier buckets is carried over
+by a window with one row per bucket.
 
 Records without a URL or time resolve to nothing (`orphan`). Captures at the same moment are not
 "earlier"; of several responses at one moment the one with the largest record id counts.
-Repeated rows stay repeated.
+Repeated rows stay repeated. Header names are compared in lower case; of names that differ in case only, the
+last one of the map counts. Bodies are no columns here, so very long ones do not matter; other columns
+of `records` are not looked at.
 """
 
 from __future__ import annotations
@@ -36,6 +38,13 @@ def canonical(url: Column) -> Column:
     return F.when(url.isNotNull(), F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(query), "&"))).otherwise(F.lit(""))))
 
 
+def lower_names(headers: Column) -> Column:
+    """Lower-cased names; of equal ones the last."""
+    e = F.transform(F.map_entries(headers), lambda x: F.struct(F.lower(x["key"]).alias("key"), x["value"].alias("value")))
+    last = F.transform(F.array(e), lambda e: F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e)), lambda y: y["key"] == x["key"])))[0]
+    return F.map_from_entries(last)
+
+
 def resolved(records: DataFrame, buckets: int = 256) -> DataFrame:
     """One row per revisit: record_id, canonical_url, ts, target_id, outcome, digest, headers.
 
@@ -44,7 +53,7 @@ def resolved(records: DataFrame, buckets: int = 256) -> DataFrame:
     none); orphan (no earlier full response)."""
     r = records.select(
         "record_id", canonical(F.col("url")).alias("canonical_url"), "ts", "kind", "etag", "last_modified", "digest",
-        F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k)).alias("headers"))
+        lower_names(F.coalesce("headers", F.create_map().cast("map<string,string>"))).alias("headers"))
     r = cut(r)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = r.where(F.col("ts").isNotNull()).agg(F.percentile_approx(at, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000).alias("q")).first()["q"]
@@ -52,17 +61,19 @@ def resolved(records: DataFrame, buckets: int = 256) -> DataFrame:
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
     usable = r.where(F.col("ts").isNotNull() & F.col("canonical_url").isNotNull())
     usable = usable.withColumn("_b", F.size(F.filter(bounds, lambda b: b <= at)).cast("int"))
-    resp = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified", "digest", "headers"))
-    usable = usable.withColumns({"_resp": resp, "_rank": F.when(F.col("kind") == "response", 1).otherwise(0)})
-    last = usable.where(F.col("kind") == "response").groupBy("canonical_url", "_b").agg(F.max_by("_resp", F.struct("ts", "record_id")).alias("_last"))
+    of = F.struct("record_id", "etag", "last_modified", "digest", "headers")
+    # One row per url and moment: its last response, null if it has none.
+    points = usable.groupBy("canonical_url", "_b", "ts").agg(F.max_by(of, F.when(F.col("kind") == "response", F.col("record_id"))).alias("_here"), F.max(F.col("kind") == "response").alias("_any"))
+    points = points.withColumn("_here", F.when(F.col("_any"), F.col("_here"))).drop("_any")
+    last = points.where("_here is not null").groupBy("canonical_url", "_b").agg(F.max_by("_here", "ts").alias("_last"))
     # The last response of earlier buckets, for every bucket that has a row.
-    seen = usable.select("canonical_url", "_b").distinct().join(last, ["canonical_url", "_b"], "left")
+    seen = points.select("canonical_url", "_b").distinct().join(last, ["canonical_url", "_b"], "left")
     over = Window.partitionBy("canonical_url").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = seen.select(F.col("canonical_url").alias("_u"), F.col("_b").alias("_ub"), F.last("_last", ignorenulls=True).over(over).alias("_carried"))
-    # At one moment revisits come before responses, so that only earlier ones count.
-    within = Window.partitionBy("canonical_url", "_b").orderBy("ts", "_rank", "record_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = usable.withColumn("_near", F.last("_resp", ignorenulls=True).over(within)).where(F.col("kind") == "revisit")
-    d = d.join(carried, (F.col("canonical_url") == F.col("_u")) & (F.col("_b") == F.col("_ub")), "left").drop("_u", "_ub")
+    carried = seen.select("canonical_url", "_b", F.last("_last", ignorenulls=True).over(over).alias("_carried"))
+    # Rows before that of the moment: only earlier responses count.
+    within = Window.partitionBy("canonical_url", "_b").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    found = points.withColumn("_near", F.last("_here", ignorenulls=True).over(within)).drop("_here").join(carried, ["canonical_url", "_b"], "left")
+    d = usable.where(F.col("kind") == "revisit").join(found, ["canonical_url", "_b", "ts"], "left")
     d = d.withColumn("_t", F.coalesce("_near", "_carried"))
     lost = r.where((F.col("kind") == "revisit") & (F.col("ts").isNull() | F.col("canonical_url").isNull()))
     d = d.unionByName(lost, allowMissingColumns=True)
