@@ -91,3 +91,39 @@ def test_consistency_of_the_scatter(spark):
     d = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{x} double" for x in quality.STATS)).withColumn("_salt", (F.rand(1) * quality.SALTS).cast("int"))
     est = quality.mcd(d).orderBy("log_det").first()
     assert abs(est["l_0_0"] - 0.2) < 0.015
+
+
+def test_estimate_is_that_of_an_exact_search(spark):
+    """In small groups the kept rows' determinant is as small as that of many random starts, each run to its end."""
+    r = np.random.default_rng(7)
+    groups = {f"g{k}": np.vstack([r.normal([1.6, 0.2, 0.2, 0.2], 0.1, (45, 4)) @ np.diag([1, 1 + k, 1, 1]), r.normal(1.4, 0.2, (12, 4))]) for k in range(3)}
+    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
+    d = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{x} double" for x in quality.STATS)).withColumn("_salt", (F.rand(1) * quality.SALTS).cast("int"))
+    got = {x["grp"]: x for x in quality.mcd(d).orderBy(F.desc("log_det")).collect()}
+
+    def exact(x):
+        h, best = int(np.ceil(0.75 * len(x))), None
+        for _ in range(300):
+            keep = r.choice(len(x), 6, replace=False)
+            for _ in range(30):
+                mu, c = x[keep].mean(0), np.cov(x[keep].T, bias=True) + 1e-12 * np.eye(4)
+                z = x - mu
+                new = np.argsort(np.einsum("ij,ij->i", z @ np.linalg.inv(c), z))[:h]
+                if len(new) == len(keep) and set(new) == set(keep):
+                    break
+                keep = new
+            det = np.linalg.slogdet(np.cov(x[keep].T, bias=True))[1]
+            best = min(best or (det, mu), (det, mu), key=lambda t: t[0])
+        return best
+
+    for g, x in groups.items():
+        det, mu = exact(x)
+        assert max(abs(got[g][f"mu_{i}"] - mu[i]) for i in range(4)) < 0.05, (g, mu)
+
+
+def test_the_distance_alone_decides(spark):
+    """Far out on the good side of a statistic nothing counts; a text is kept exactly if its distance is within the cutoff."""
+    rows = [(i, f"some words{i % 7} of # a text ## that has {'more ' * (i % 3)} symbols * here and there {i}", "en", "s") for i in range(300)] + [(900, "a text of the same words but without any symbols in it at all here", "en", "s"), (901, "# * % & " * 30, "en", "s"), (None, None, None, None)]
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS grp", "2 AS kept")).collect()
+    assert all(x["kept"] == (not x["base_failed"] and x["distance"] <= 23.5) for x in got)
+    assert not {x["doc_id"]: x for x in got}[None]["kept"]

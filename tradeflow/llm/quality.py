@@ -2,7 +2,8 @@
 
 Base rules work on counts of the whole text. The method then estimates, per language and
 source, a minimum-covariance-determinant location and scatter of transformed statistics and
-rejects texts whose Mahalanobis distance from it is large.
+rejects texts whose Mahalanobis distance from it is large. Fewer symbols, repeated lines or repeated words
+than the group has are no fault: those statistics are taken from the location upwards, before the distance.
 
 At scale: text is read once and becomes one narrow row per document. Each concentration step
 is two map-side-combined aggregations over those narrow rows (a histogram of distances per
@@ -11,7 +12,9 @@ estimates are one row per (lang, source) and are joined normally, so Spark broad
 only while they are small.
 
 Null and empty texts have no words: base_failed is true. Null languages and sources form groups
-of their own. Groups with fewer than `min_rows` usable rows use the estimate of all rows.
+of their own. Groups with fewer than `min_rows` usable rows use the estimate of all rows. Very long texts are
+counted whole. Repeated rows and rows without an id are judged like others, and columns other than id, text and
+`by` are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ STATS = ["x_len", "x_sym", "x_line", "x_rep"]
 LEAST = {"x_len": 0.01, "x_sym": 0.06, "x_line": 0.08, "x_rep": 0.08}
 #: Added to the deviations, in squares, so that the factorisation is defined.
 FLOOR = dict.fromkeys(STATS, 1e-6)
-#: Statistics whose both sides are bad: words can be too long and too short.
+#: Statistics whose both sides are bad, words can be too long and too short; of the others what lies below the
+#: location counts as the location.
 BOTH_SIDES = {"x_len"}
 
 
@@ -171,14 +175,16 @@ def _cholesky(m: DataFrame) -> DataFrame:
     return m.withColumn("log_det", det * 2).drop(*[f"c_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
-def _distance(prefix: str = "") -> Column:
+def _distance(both_sides: bool = True) -> Column:
     """Squared Mahalanobis distance by forward substitution."""
     z = []
     for i, x in enumerate(STATS):
-        r = F.col(x) - F.col(f"{prefix}mu_{i}")
+        r = F.col(x) - F.col(f"mu_{i}")
+        if not both_sides and x not in BOTH_SIDES:
+            r = F.greatest(r, F.lit(0.0))
         for k in range(i):
-            r = r - F.col(f"{prefix}l_{i}_{k}") * z[k]
-        z.append(r / F.col(f"{prefix}l_{i}_{i}"))
+            r = r - F.col(f"l_{i}_{k}") * z[k]
+        z.append(r / F.col(f"l_{i}_{i}"))
     return sum((v * v for v in z), F.lit(0.0))
 
 
@@ -186,13 +192,14 @@ def _key(d: DataFrame, cols: list[str]) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in cols])
 
 
-def mcd(d: DataFrame, h_share: float = 0.75, steps: int = 3, grid: int = 64) -> DataFrame:
+def mcd(d: DataFrame, h_share: float = 0.75, steps: int = 12, grid: int = 64) -> DataFrame:
     """One robust estimate per (grp, start): concentration steps from two starts, of which the
     caller keeps the one with the smaller determinant.
 
     d has grp and STATS. Each step keeps the h_share of a group's rows that are nearest under
     the current estimate. The cut is found in a histogram of log distances with `grid` bins per
-    unit, so it holds at least that share; it is exact to a bin and the same on every run.
+    unit, so it holds at least that share; it is exact to a bin and the same on every run. Steps end when no
+    determinant falls any more, at the latest after `steps`.
     """
     # Start 1 is all rows, start 2 the rows inside the group's middle range of every statistic.
     mid = cut(d.groupBy("grp").agg(*[F.percentile_approx(x, F.array(F.lit(0.1), F.lit(0.9)), 1000).alias(f"r_{x}") for x in STATS]))
@@ -202,8 +209,13 @@ def mcd(d: DataFrame, h_share: float = 0.75, steps: int = 3, grid: int = 64) ->
         inside = inside & F.col(x).between(F.col(f"r_{x}")[0], F.col(f"r_{x}")[1])
     starts = F.when(inside, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     est = cut(_moments(e.select("grp", *STATS, F.explode(starts).alias("start")), ["grp", "start"]))
-    for _ in range(steps):
-        est = cut(_concentrate(d, est, h_share, grid))
+    for step in range(steps):
+        new = cut(_concentrate(d, est, h_share, grid))
+        if step:  # the first estimates are of other shares of the rows
+            fell = new.join(est.select("grp", "start", F.col("log_det").alias("_old")), ["grp", "start"]).agg(F.max(F.col("_old") - F.col("log_det"))).first()[0]
+            if fell is None or fell < 1e-3:
+                return new
+        est = new
     return est
 
 
@@ -227,13 +239,10 @@ def _concentrate(d: DataFrame, est: DataFrame, h_share: float, grid: int) -> Dat
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source"),
-           cutoff: float = 23.5, min_rows: int = 30, h_share: float = 0.75, steps: int = 3) -> DataFrame:
+           cutoff: float = 23.5, min_rows: int = 30, h_share: float = 0.75, steps: int = 12) -> DataFrame:
     """One row per document: id, counts, base_failed, distance, outlier, kept.
 
     cutoff is a squared distance: 23.5 is the 0.9999 quantile of chi-squared with 4 degrees.
-    Only distances on the bad side count: a text is an outlier only if, besides, some statistic
-    exceeds its group's location (fewer symbols or repeats than usual is no fault), or its words are
-    longer or shorter than the group's.
     """
     spark_cols = [id_col, *[c for c in by if c in docs.columns]]
     counted = text_counts(docs.select(*spark_cols, text), text).drop(text)
@@ -254,12 +263,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: tupl
     j = d.join(own, "grp", "left").withColumn("_one", F.lit(1)).join(F.broadcast(pooled), "_one", "left")  # pooled is one row
     cols = [c for c in own.columns if c.startswith(("mu_", "l_"))]
     j = j.select(*d.columns, *[F.coalesce(F.col(c), F.col(f"p_{c}")).alias(c) for c in cols])
-    worse = F.lit(False)
-    for i, x in enumerate(STATS):
-        off = F.col(x) - F.col(f"mu_{i}")
-        worse = worse | ((F.abs(off) if x in BOTH_SIDES else off) > LEAST[x])
-    j = j.withColumn("distance", F.coalesce(_distance(), F.lit(0.0)))
-    j = j.withColumn("outlier", (F.col("distance") > cutoff) & F.coalesce(worse, F.lit(False)))
+    j = j.withColumn("distance", F.coalesce(_distance(both_sides=False), F.lit(0.0)))
+    j = j.withColumn("outlier", F.col("distance") > cutoff)
     return j.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.col("outlier")).alias("kept"), "distance",
