@@ -1,17 +1,20 @@
 """Toxicity by weak supervision (operator 1).
 
 Voters are lexicons and patterns: seed lists of several languages, shouting and direct address,
-and lists mined from labelled rows (words and word beginnings that occur mostly in toxic texts).
+and lists mined from labelled rows (words and word beginnings that occur mostly in toxic texts). Lists are mined
+on four fifths of the sample and vote on the fifth, in turn, so no voter has seen the labels of the rows it votes on.
 Each votes toxic, clean or abstains. A generative label model estimates the voters' accuracies
-by expectation-maximisation over the unknown true class, and pairwise correlations from the
+by expectation-maximisation over the unknown true class, from the votes alone, and pairwise correlations from the
 voters' residuals given it, by which correlated voters share their weight. A logistic classifier
-is trained on the posterior labels and scores every whole text.
+is trained on the posterior labels, and on them only, and scores every whole text. Labels thus do three things:
+they give the share of toxic rows, choose words for the mined lists, and split the sample by class.
 
 Fitting takes at most `sample` labelled rows of each class, those of the smallest hashes, on the
 driver; the model is at most `features` weights. At scale: fitting reads doc_id and the sampled
 texts; scoring is one pass of Arrow batches with no shuffle, and memory of one batch.
 
-Null and empty texts have no features and get the score of the intercept. Repeated rows score alike.
+Null and empty texts have no features and get the score of the intercept. Very long texts are scored whole.
+Repeated rows score alike; other columns stay, but for score and predicted.
 """
 
 import re
@@ -74,36 +77,40 @@ class ToxicityModel:
         return score
 
 
-def mined(texts: list[str], y: np.ndarray, features: int, least: int = 4) -> list[str]:
-    """Features that occur in at least `least` toxic texts, by their smoothed log odds.
+def candidates(texts: list[str], y: np.ndarray, least: int = 4) -> list[set[str]]:
+    """Per text its features of those that at least `least` toxic texts hold.
 
-    Only features of toxic texts are counted, and of the others only those: memory follows the
-    vocabulary of the toxic sample."""
+    Memory follows the vocabulary of the toxic sample."""
     pos: Counter = Counter()
     for t, toxic in zip(texts, y, strict=True):
         if toxic:
             pos.update(features_in(t))
-    pos = Counter({f: n for f, n in pos.items() if n >= least})
+    may = {f for f, n in pos.items() if n >= least}
+    return [features_in(t) & may for t in texts]
+
+
+def mined(feats: list[set[str]], y: np.ndarray, features: int, least: int = 4) -> list[str]:
+    """Features that occur in at least `least` toxic texts, by their smoothed log odds."""
+    pos: Counter = Counter()
     neg: Counter = Counter()
-    for t, toxic in zip(texts, y, strict=True):
-        if not toxic:
-            neg.update(f for f in features_in(t) if f in pos)
+    for fs, toxic in zip(feats, y, strict=True):
+        (pos if toxic else neg).update(fs)
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    odds = {f: (np.log((a + 0.5) / (n1 + 1)) - np.log((neg[f] + 0.5) / (n0 + 1))) * np.sqrt(a + neg[f]) / np.sqrt(a + neg[f] + 8) for f, a in pos.items()}
+    odds = {f: (np.log((a + 0.5) / (n1 + 1)) - np.log((neg[f] + 0.5) / (n0 + 1))) * np.sqrt(a + neg[f]) / np.sqrt(a + neg[f] + 8) for f, a in pos.items() if a >= least}
     return sorted((f for f in odds if odds[f] > 1.5), key=lambda f: (-odds[f], f))[:features]
 
 
 def votes_of(texts: list[str], feats: list[set[str]], lists: list[frozenset]) -> np.ndarray:
     """Rows of votes: 1 toxic, -1 clean, 0 abstains."""
-    out = np.zeros((len(texts), len(SEEDS) + 2 + 2 * len(lists)), dtype=np.int8)
+    out = np.zeros((len(texts), len(SEEDS) + 2 + len(lists)), dtype=np.int8)
     for i, (t, fs) in enumerate(zip(texts, feats, strict=True)):
         row = [1 if fs & s else 0 for s in SEEDS]
         row.append(1 if ADDRESS.search(t) and any(fs & s for s in SEEDS) else 0)
         upper = sum(c.isupper() for c in t)
         row.append(1 if len(t) > 20 and upper > 0.6 * len(t) and "!" in t and any(fs & s for s in SEEDS) else 0)
         hits = [len(fs & s) for s in lists]
-        row += [1 if h else 0 for h in hits]
-        row += [0 if h else -1 for h in hits]
+        # A mined list speaks for toxic where it is met, and for clean where not: one voter with both votes.
+        row += [1 if h else -1 for h in hits]
         out[i] = row
     return out
 
@@ -112,13 +119,13 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray | None = None
     """Posterior of toxic per row, accuracy per voter, correlation of voters given the class.
 
     The E step adds log likelihood ratios of the votes, each divided by the sum of its positive
-    correlations, so that voters that copy each other count once; the M step counts votes by
+    correlations, so that voters that copy each other count once; it starts where any voter says toxic. The M step counts votes by
     posterior with a small prior. The correlation of two voters is that of their residuals under
     the posterior of the other voters: their own votes must not say what the class is."""
     n, m = votes.shape
     base = np.log(prior / (1 - prior))
     logistic_of = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    p = np.clip(start if start is not None else 0.5 + 0.3 * np.sign(votes.sum(1)), 0.02, 0.98)
+    p = np.clip(start if start is not None else np.where((votes > 0).any(1), 0.8, 0.1), 0.02, 0.98)
     corr, acc = np.eye(m), np.zeros(m)
     for step in range(rounds):
         share = np.maximum(1.0, np.maximum(corr, 0).sum(1))
@@ -173,7 +180,7 @@ def logistic(rows: list[dict[int, int]], target: np.ndarray, weight: np.ndarray,
     return w, b
 
 
-def fitted(texts: list[str], y: np.ndarray, prior: float, features: int = 3_000, lists: int = 6) -> ToxicityModel:
+def fitted(texts: list[str], y: np.ndarray, prior: float, features: int = 3_000, lists: int = 10, folds: int = 5) -> ToxicityModel:
     """Mines voters, fits the label model, trains the classifier on posterior labels.
 
     prior is the share of toxic rows in the population; the sample may be balanced."""
@@ -181,22 +188,21 @@ def fitted(texts: list[str], y: np.ndarray, prior: float, features: int = 3_000,
     if not len(y) or y.min() == y.max():
         lex = {w: 4.0 for s in SEEDS for w in s}
         return ToxicityModel(lex, float(np.log(prior / (1 - prior))) if not len(y) else -2.0)
-    vocabulary = mined(texts, y, features)
-    known = frozenset(vocabulary).union(*SEEDS)
-    feats = [features_in(t) & known for t in texts]
-    # Each mined voter takes every lists-th feature: about equally good, and not independent.
-    groups = [frozenset(vocabulary[i::lists]) for i in range(lists)]
-    votes = votes_of(texts, feats, groups)
-    start = np.where(y > 0, 0.9, 0.1)
+    held = candidates(texts, y)
+    vocabulary = mined(held, y, features)
     sampled_prior = float(y.mean())
-    posterior, acc, corr = label_model(votes, sampled_prior, start)
-    # What the labels say is one more voter, as accurate as it agrees with the others' posterior.
-    agree = float(np.clip(((posterior > 0.5) == (y > 0)).mean(), 0.6, 0.995))
-    said = np.log(agree / (1 - agree))
-    # Mined voters have seen the sample's labels, so the posterior's odds are held to 9 : 1.
-    clipped = np.clip(posterior, 0.1, 0.9)
-    odds = np.log(clipped / (1 - clipped)) + np.where(y > 0, said, -said)
-    target = 1 / (1 + np.exp(-odds))
+    # The sample is ordered by id, which says nothing of the class: every folds-th row is a part.
+    part = np.arange(len(texts)) % folds
+    votes = np.zeros((len(texts), len(SEEDS) + 2 + lists), np.int8)
+    seed_words = frozenset().union(*SEEDS)
+    seeds = [words_of(t) & seed_words for t in texts]
+    for k in range(folds):
+        others, own = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        words = mined([held[i] for i in others], y[others], features)
+        # Each mined voter takes every lists-th feature: about equally good, and not independent.
+        groups = [frozenset(words[i::lists]) for i in range(lists)]
+        votes[own] = votes_of([texts[i] for i in own], [held[i] | seeds[i] for i in own], groups)
+    target, acc, corr = label_model(votes, sampled_prior)
     index = {f: i for i, f in enumerate(vocabulary)}
     # A feature counts once for each distinct word that has it, as in scoring.
     rows = [dict(sorted(Counter(index[f] for w in words_of(t) for f in features_of(w) if f in index).items())) for t in texts]
