@@ -39,6 +39,33 @@ def test_trees_learn_from_labelled_urls(spark):
     assert sum(v == "block" for v in got[:50]) >= 48 and sum(v == "allow" for v in got[50:]) >= 48
 
 
+def test_held_out_hosts(spark):
+    """Hosts that training has not seen are told apart by their lexical features: the area under the curve."""
+    import random
+
+    r = random.Random(2)
+    word = lambda a, b: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(a, b)))
+    bad = lambda: f"http://{word(3, 6)}-{r.randrange(100)}.{word(3, 9)}{r.randrange(10)}.com/{word(1, 4)}/{r.randrange(10**6)}?{word(1, 3)}={r.randrange(99)}&x={word(2, 9)}"
+    good = lambda: f"https://{word(4, 11)}.com/{word(3, 9)}/{word(3, 12)}" + (f"?page={r.randrange(9)}" if r.random() < 0.4 else "")
+    lab = spark.createDataFrame([(bad(), 1) for _ in range(200)] + [(good(), 0) for _ in range(300)], "url string, label int")
+    test = [(bad(), 1) for _ in range(80)] + [(good(), 0) for _ in range(80)]
+    got = urls.judged(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(test)], "page_id long, url string"), rules=[], labelled=lab).orderBy("page_id").collect()
+    pos, neg = [x["p_block"] for x in got[:80]], [x["p_block"] for x in got[80:]]
+    assert sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) > 0.95
+
+
+def test_labels_of_pages(spark):
+    rows = [(1, "http://a.b/", "<p>" + "text " * 50 + "</p>", 0), (2, "http://a.c/", "<script>" + "x" * 300 + "</script><p>a</p>", 0), (3, None, "<p>x</p>", 0), (4, "http://a.d/", None, 0), (None, "http://a.e/", "<p>x</p>", 0)]
+    got = {x["url"]: x["label"] for x in urls.page_labels(spark.createDataFrame(rows, "page_id long, url string, html string, label int")).collect()}
+    assert got == {"http://a.b/": 0.0, "http://a.c/": 1.0}
+
+
+def test_clashing_columns_and_rows_without_an_id(spark):
+    d = spark.createDataFrame([(None, "http://x.com/en/1", 1, 2), (None, "http://x.com/en/1", 1, 2), (3, None, 1, 2)], "page_id long, url string, host int, rule int")
+    got = urls.judged(d).collect()
+    assert sorted((x["host"], x["rule"] or "", x["verdict"]) for x in got) == [("", "", "allow"), ("x.com", "com/en/", "block"), ("x.com", "com/en/", "block")]
+
+
 def test_no_labels(spark):
     d = spark.createDataFrame([(1, "http://a.b/c"), (1, "http://a.b/c"), (2, None)], "page_id long, url string")
     assert [r["verdict"] for r in urls.judged(d).collect()] == ["allow"] * 3

@@ -28,7 +28,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    return urls.judged(pages, labelled=urls.page_labels(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,15 @@
 Rules decide first: a rule (host, path) fits its host and all subdomains where the path starts
 with the rule's, and the longest fitting rule wins. For the rest a gradient-boosted tree model
 judges lexical features: lengths, depth, digit ratio, entropy, parameter counts and suffix
-statistics. It is trained on labelled URLs, here those that a rule decides, on a bounded sample.
+statistics. It is trained on labelled URLs, a bounded sample of them; rules give no labels. Where a crawl has no
+labels of its own, `page_labels` derives weak ones from the pages: mostly markup is bad.
 
 At scale: one narrow scan of the url column and no shuffle but for the sample (a top-k by hash,
-`sample` rows) and a suffix table of at most `suffixes` rows. Scoring is row by row.
+`sample` rows, whose pages alone are read) and a suffix table of at most `suffixes` rows. Scoring is row by row.
 
-Null urls and urls without `://` have an empty host and path, fit no rule and are scored like others.
-Without labelled rows of both classes every url without a rule is allowed.
+Null urls and urls without `://` have an empty host and path, fit no rule and are scored like others, as are very
+long ones. Without labelled rows of both classes every url without a rule is allowed. Repeated rows and
+rows without an id are judged like others; columns that are not asked for are not looked at.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 
-FEATURES = ["f_len", "f_host_len", "f_path_len", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_hyphens", "f_params", "f_query_len", "f_entropy", "f_fragment", "f_secure", "f_suffix", "f_lang"]
+FEATURES = ["f_len", "f_host_len", "f_path_len", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_hyphens", "f_params", "f_query_len", "f_entropy", "f_fragment", "f_secure", "f_suffix"]
 
 
 def parts(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -76,22 +78,29 @@ def lexical(d: DataFrame, url: str = "url") -> DataFrame:
         "f_params": F.when(query != "", F.size(F.split(query, "&"))).otherwise(0).cast("double"),
         "f_query_len": F.length(query).cast("double"), "f_entropy": entropy,
         "f_fragment": u.contains("#").cast("double"), "f_secure": u.startswith("https://").cast("double"),
-        "f_lang": F.when(F.col("path").rlike(r"^/[a-z]{2}/"), F.ascii(F.substring("path", 2, 1)) * 256 + F.ascii(F.substring("path", 3, 1))).otherwise(0).cast("double"),
         "_suffix": _suffix(F.col("host")),
     }).drop("_chars")
 
 
+def page_labels(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", least: float = 0.66, sample: int = 20_000) -> DataFrame:
+    """url, label of the `sample` pages of the smallest url hashes: 1 where less than `least` of the page is text."""
+    ids = pages.where(F.col(url).isNotNull()).select(id_col, F.xxhash64(url).alias("_h")).orderBy("_h", id_col).limit(sample).select(id_col).distinct()
+    read = pages.select(id_col, url, html).join(F.broadcast(ids), id_col)  # at most `sample` ids
+    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", ""), r"(?s)<[^>]*>", "")
+    return read.where(F.length(html) > 0).select(F.col(url).alias("url"), (F.length(text) / F.length(html) < least).cast("double").alias("label"))
+
+
 def judged(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES, labelled: DataFrame | None = None,
            sample: int = 20_000, suffixes: int = 10_000, rounds: int = 20, depth: int = 4, threshold: float = 0.5) -> DataFrame:
     """id, host, path, rule, verdict and the model's probability of block.
 
-    labelled (url, label 0/1) holds the training urls; by default those decided by a rule. At
-    most `sample` of them, those of the smallest url hashes, are used."""
+    labelled (url, label 0/1) holds the training urls. At most `sample` of them, those of the smallest url
+    hashes, are used."""
     d = ruled(parts(pages.select(id_col, url), url), rules)
     if labelled is None:
-        known = d.where(F.col("rule_verdict").isNotNull()).select(url, "host", "path", (F.col("rule_verdict") == "block").cast("double").alias("label"))
-    else:
-        known = parts(labelled.select(F.col("url").alias(url), F.col("label").cast("double").alias("label")), url)
+        verdict = F.coalesce("rule_verdict", F.lit("allow"))
+        return d.select(id_col, "host", "path", "rule", verdict.alias("verdict"), F.lit(0.0).alias("p_block"))
+    known = parts(labelled.select(F.col("url").alias(url), F.col("label").cast("double").alias("label")), url)
     taken = known.dropDuplicates([url]).orderBy(F.xxhash64(url), url).limit(sample)
     train = cut(lexical(taken, url).drop("host", "path"))
     mean = train.agg(F.avg("label")).first()[0]
