@@ -46,7 +46,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each component of near copies the document with the smallest id stays."""
-    gone = jaccard.linked(docs).where("component_id <> doc_id").select("doc_id")
+    gone = jaccard.linked(docs, counts=False).where("component_id <> doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
