@@ -31,6 +31,12 @@ def upsert(history: DataFrame, batch: DataFrame, key: list[str], at: str, rules:
     return both.groupBy(*key).agg(*[fold(c, how).alias(c) for c, how in rules.items()])
 
 
+def updated(d: DataFrame, guard: Column, sets: dict[str, Column]) -> DataFrame:
+    """d with the columns of `sets` written where the guard holds; all of them see the values from before."""
+    hit = F.coalesce(guard, F.lit(False))
+    return d.withColumns({c: F.when(hit, x).otherwise(F.col(c)) for c, x in sets.items()})
+
+
 def changes(d: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
     """Adds changed (differs from the key's row before; the first counts) and repeats (rows since then, from 1)."""
     w = Window.partitionBy(*key).orderBy(*order)
