@@ -260,3 +260,23 @@ def test_category_gates(spark):
 def test_promotion_eligibility(spark):
     d = spark.createDataFrame([(50, 1.0, 0.1, 5.0), (5, 1.0, 0.1, 5.0), (50, 1.0, 0.9, 5.0), (50, None, None, 5.0)], "n int, median double, reversal double, per_day double")
     assert [r[0] for r in d.select(outcomes.eligible()).collect()] == [True, False, False, False]
+
+
+def test_co_trade_counts_every_event(spark):
+    """An event of a thousand wallets, cut into blocks, gives all its pairs."""
+    from tradeflow.operators import graphs
+
+    rows = [("BUY", 1, w) for w in range(1000)] + [("BUY", 2, w) for w in range(0, 1000, 100)] + [("BUY", 3, 5000), ("SELL", 1, 0), (None, 1, None)]
+    t = spark.createDataFrame(rows, "side string, event_id int, trader_id int")
+    got = {(r["wallet_a"], r["wallet_b"]): (r["shared"], r["similarity"]) for r in graphs.co_trade_edges(t, min_shared=2).collect()}
+    assert got == {(a, b): (2, 1.0) for a in range(0, 1000, 100) for b in range(a + 100, 1000, 100)}
+    assert graphs.co_trade_edges(t.where("event_id = 1"), min_shared=1, block=90).where("side = 'BUY'").count() == 1000 * 999 // 2
+
+
+def test_appending_a_batch_twice(spark, tmp_path):
+    from tradeflow.sources import sink
+
+    path = str(tmp_path / "t")
+    for batch, rows in (("a", [1, 2]), ("b", [3]), ("a", [1, 2])):
+        sink.append(spark.createDataFrame([(x,) for x in rows], "id int"), path, batch)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]

@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def co_trade_edges(t: DataFrame, min_shared: int = 3, max_wallets: int = 200, salt: int = 1) -> DataFrame:
+def co_trade_edges(t: DataFrame, min_shared: int = 3, block: int = 200) -> DataFrame:
     """wallet_a < wallet_b, shared, similarity = shared / max(events of a, events of b), by side.
 
-    Pairs come from wallets of one (side, event); an event with more than max_wallets wallets says
-    nothing about a pair and is a stop word of the graph, which also bounds the pairs."""
+    Wallets of fewer than min_shared events are in no edge and go first. The wallets of an event are cut into
+    blocks; a wallet meets each block of its event once, so an event of any number of wallets is many
+    tasks' work, and counts of pairs combine map-side."""
     seen = t.where("trader_id is not null and event_id is not null").select("side", "event_id", "trader_id").distinct()
-    size = seen.groupBy("side", "event_id").agg(F.count("*").alias("wallets")).where(F.col("wallets") <= max_wallets).drop("wallets")
-    kept = seen.join(size, ["side", "event_id"])
-    a, b = kept.withColumnRenamed("trader_id", "wallet_a"), kept.withColumnRenamed("trader_id", "wallet_b")
-    pairs = a.join(b, ["side", "event_id"]).where("wallet_a < wallet_b").groupBy("side", "wallet_a", "wallet_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
     n = seen.groupBy("side", "trader_id").agg(F.count("*").alias("n"))
+    kept = seen.join(n.where(F.col("n") >= min_shared).drop("n"), ["side", "trader_id"], "left_semi")
+    size = kept.groupBy("side", "event_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    r = kept.join(size, ["side", "event_id"]).withColumn("own", F.pmod(F.xxhash64("trader_id"), F.col("blocks")).cast("int"))
+    r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("side", "event_id", "trader_id", "own", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"))
+    a, b = r.withColumnsRenamed({"trader_id": "wallet_a", "own": "own_a"}), r.withColumnsRenamed({"trader_id": "wallet_b", "own": "own_b"})
+    met = a.join(b, ["side", "event_id", "i", "j"]).where("wallet_a < wallet_b and (i = j or own_a <> own_b)")
+    pairs = met.groupBy("side", "wallet_a", "wallet_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
     j = pairs.join(n.select("side", F.col("trader_id").alias("wallet_a"), F.col("n").alias("na")), ["side", "wallet_a"]).join(n.select("side", F.col("trader_id").alias("wallet_b"), F.col("n").alias("nb")), ["side", "wallet_b"])
     return j.select("side", "wallet_a", "wallet_b", "shared", (F.col("shared") / F.greatest("na", "nb")).alias("similarity"))
 

@@ -77,8 +77,8 @@ def peer_markets(t):
     return l.select(F.col("src").alias("market_id"), F.col("dst").alias("peer")).unionByName(l.select(F.col("dst").alias("market_id"), F.col("src").alias("peer"))).distinct()
 
 
-COTRADE_SQL = """, seen AS (SELECT DISTINCT side, market_id AS event_id, trader_id FROM trades WHERE traded_at >= TIMESTAMP '2001-08-01'), kept AS (SELECT * FROM seen WHERE (side, event_id) IN (SELECT (side, event_id) FROM seen GROUP BY side, event_id HAVING count(*) <= 200)),
-  pairs AS (SELECT a.side, a.trader_id AS wallet_a, b.trader_id AS wallet_b, count(*) AS shared FROM kept a JOIN kept b ON a.side = b.side AND a.event_id = b.event_id AND a.trader_id < b.trader_id GROUP BY ALL HAVING count(*) >= 2),
+COTRADE_SQL = """, seen AS (SELECT DISTINCT side, market_id AS event_id, trader_id FROM trades WHERE traded_at >= TIMESTAMP '2001-08-01'),
+  pairs AS (SELECT a.side, a.trader_id AS wallet_a, b.trader_id AS wallet_b, count(*) AS shared FROM seen a JOIN seen b ON a.side = b.side AND a.event_id = b.event_id AND a.trader_id < b.trader_id GROUP BY ALL HAVING count(*) >= 2),
   edges AS (SELECT p.side, wallet_a, wallet_b, shared, shared / greatest(na.n, nb.n) AS similarity FROM pairs p JOIN (SELECT side, trader_id, count(*) AS n FROM seen GROUP BY ALL) na ON na.side = p.side AND na.trader_id = wallet_a JOIN (SELECT side, trader_id, count(*) AS n FROM seen GROUP BY ALL) nb ON nb.side = p.side AND nb.trader_id = wallet_b)"""
 
 
