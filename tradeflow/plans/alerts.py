@@ -85,17 +85,35 @@ def event_concentration(t):
     return d.groupBy("event_id", "wallet").agg(F.count("*").alias("n"), F.round(F.max("usd"), 2).alias("largest"))
 
 
-@query()
+@query("SELECT key, dedup_key, passes FROM walk WHERE seq > 0", "RECURSIVE " + ALERTS_SQL + """, numbered AS (
+  SELECT event_id::VARCHAR AS key, sent_at AS moment, trader_id::VARCHAR AS wallet, notional, severity, dedup_key,
+         row_number() OVER (PARTITION BY event_id ORDER BY sent_at, trader_id::VARCHAR, notional, severity, dedup_key) AS seq FROM alerts), walk AS (
+  SELECT DISTINCT key, 0::BIGINT AS seq, NULL::VARCHAR AS dedup_key, NULL::BOOLEAN AS passes, []::STRUCT(moment TIMESTAMP, wallet VARCHAR, notional DOUBLE)[] AS kept FROM numbered
+  UNION ALL
+  SELECT key, seq, dedup_key, passes, CASE WHEN passes THEN list_append(recent, {'moment': moment, 'wallet': wallet, 'notional': notional}) ELSE recent END FROM (
+    SELECT *, severity <> 'info' OR NOT (coalesce(notional < 2 * list_max([x.notional for x in recent if x.wallet = wallet]), false)
+                OR len(of_week) >= 3 AND coalesce(notional < 2 * list_max(of_week), false)) AS passes FROM (
+      SELECT *, [x.notional for x in recent if x.moment >= moment - INTERVAL 7 DAY] AS of_week FROM (
+        SELECT n.*, [x for x in w.kept if x.moment >= n.moment - INTERVAL 30 DAY] AS recent FROM walk w JOIN numbered n ON n.key = w.key AND n.seq = w.seq + 1))))""")
 def concentration_gate(t):
-    """Info alerts by accepted history; sequential within an event, so without SQL."""
+    """Info alerts by accepted history; sequential within an event, in SQL a row an event and step."""
     return state.concentration_gate(t.alerts, wallet_hours=24 * 30, event_hours=24 * 7)
 
 
-@query()
+@query('SELECT key, moment AS "at", trades, wallets, round(total, 2) AS total FROM fired JOIN hits USING (key, seq)', "RECURSIVE " + ALERTS_SQL + """, numbered AS (
+  SELECT category_id::VARCHAR AS key, traded_at::TIMESTAMP AS moment, trader_id::VARCHAR AS wallet, notional,
+         row_number() OVER (PARTITION BY category_id ORDER BY traded_at, trader_id::VARCHAR, notional) AS seq FROM scored WHERE severity IS NOT NULL), hits AS (
+  SELECT r.key, r.seq, r.moment, count(*)::INT AS trades, count(DISTINCT w.wallet)::INT AS wallets, sum(w.notional) AS total
+  FROM numbered r JOIN numbered w ON r.key = w.key AND w.seq <= r.seq AND w.moment >= r.moment - INTERVAL 48 HOUR
+  GROUP BY r.key, r.seq, r.moment HAVING count(*) >= 5 AND count(DISTINCT w.wallet) >= 3 AND sum(w.notional) >= 200000), firsts AS (
+  SELECT key, moment, min(seq) AS seq FROM hits GROUP BY key, moment), later AS (
+  SELECT h.key, h.seq, min(g.seq) AS next_seq FROM hits h JOIN firsts g ON h.key = g.key AND h.moment + INTERVAL 14 DAY <= g.moment GROUP BY h.key, h.seq), fired AS (
+  SELECT key, min(seq) AS seq FROM hits GROUP BY key UNION ALL SELECT l.key, l.next_seq FROM fired f JOIN later l ON f.key = l.key AND f.seq = l.seq)""")
 def cluster_alerts(t):
     """Hard alerts of a sliding window with cool-down, over anomalous trades."""
     c = t.scored.where("severity is not null").select(F.col("category_id"), F.col("traded_at").alias("at"), F.col("trader_id").cast("string").alias("wallet"), "notional")
-    return state.cluster_alerts(c, "category_id", hours=48, min_trades=5, min_wallets=3, min_usd=200_000, cooldown_hours=24 * 14)
+    d = state.cluster_alerts(c, "category_id", hours=48, min_trades=5, min_wallets=3, min_usd=200_000, cooldown_hours=24 * 14)
+    return d.select("key", F.col("at").cast("timestamp_ntz").alias("at"), "trades", "wallets", F.round("total", 2).alias("total"))
 
 
 @query("SELECT dedup_key, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("ret_15m", "ret_1h", "ret_6h", "ret_24h")) + ", CASE (ret_15m IS NOT NULL)::INT + (ret_1h IS NOT NULL)::INT + (ret_6h IS NOT NULL)::INT + (ret_24h IS NOT NULL)::INT WHEN 4 THEN 'done' WHEN 0 THEN 'pending' ELSE 'partial' END AS status FROM measured", MEASURED_SQL)
