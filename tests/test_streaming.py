@@ -14,14 +14,14 @@ def stream(spark, tmp_path, rows, schema, parts=3):
 def test_first_seen(spark, tmp_path):
     rows = [(i % 10, T0 + timedelta(minutes=i)) for i in range(40)]
     s = stream(spark, tmp_path, rows, "id int, ts timestamp")
-    assert feeds.drain(feeds.first_seen(s, ["id"]), "seen", "append", str(tmp_path / "c")).count() == 10
+    assert feeds.drain(feeds.first_seen(s, ["id"]), str(tmp_path / "seen"), "append", str(tmp_path / "c")).count() == 10
 
 
 def test_bars_equal_batch(spark, tmp_path):
     rows = [("a" if i % 2 else "b", float(i), T0 + timedelta(seconds=37 * i)) for i in range(100)]
     schema = "k string, v double, ts timestamp"
     s = stream(spark, tmp_path, rows, schema)
-    got = feeds.drain(feeds.bars(s, "k", "v"), "bars", "complete", str(tmp_path / "c"))
+    got = feeds.drain(feeds.bars(s, "k", "v"), str(tmp_path / "bars"), "complete", str(tmp_path / "c"))
     want = feeds.bars(spark.createDataFrame(rows, schema), "k", "v")
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
 
@@ -29,12 +29,12 @@ def test_bars_equal_batch(spark, tmp_path):
 def test_work_items(spark, tmp_path):
     rows = [("m", "move", T0 + timedelta(seconds=20 * i)) for i in range(12)]
     s = stream(spark, tmp_path, rows, "market string, reason string, ts timestamp")
-    assert feeds.drain(feeds.work_items(s, ["market", "reason"]), "work", "append", str(tmp_path / "c")).count() == 4
+    assert feeds.drain(feeds.work_items(s, ["market", "reason"]), str(tmp_path / "work"), "append", str(tmp_path / "c")).count() == 4
 
 
 def test_moves_with_cooldown(spark, tmp_path):
     mids = [0.50, 0.505, 0.53, 0.56, 0.60, 0.60]
     rows = [("m", x, T0 + timedelta(seconds=25 * i)) for i, x in enumerate(mids)]
     s = stream(spark, tmp_path, rows, "market string, mid double, ts timestamp", parts=2)
-    got = sorted(r["mid"] for r in feeds.drain(feeds.moves(s, "market", "mid"), "moves", "append", str(tmp_path / "c")).collect())
+    got = sorted(r["mid"] for r in feeds.drain(feeds.moves(s, "market", "mid"), str(tmp_path / "moves"), "append", str(tmp_path / "c")).collect())
     assert got == [0.53]  # the next two are within its cool-down

@@ -65,7 +65,8 @@ def _drained(t, stream, mode="append"):
     from tradeflow.sources.scratch import scratch
 
     name = "s" + uuid.uuid4().hex[:12]
-    return feeds.drain(stream, name, mode, f"{scratch(t.spark)}/{name}")
+    folder = f"{scratch(t.spark)}/{name}"
+    return feeds.drain(stream, f"{folder}/rows", mode, f"{folder}/progress")
 
 
 @query("SELECT event_type, count(*) AS n FROM (SELECT DISTINCT event_type, user_id % 10 AS market, date_trunc('minute', ts) AS m FROM events) GROUP BY event_type")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tradeflow.sources.sink import append
+
 
 def files(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
     """A directory of Parquet files as a stream; files_per_trigger is the back-pressure."""
@@ -63,8 +65,19 @@ def moves(events: DataFrame, key: str, mid: str, at: str = "ts", least: float =
     return e.groupBy(key).applyInPandasWithState(step, schema, "last double, quiet double", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream to the end of what is there and returns its rows; for tests and back-fills."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Runs a stream to the end of what is there into a Parquet table at path and returns its rows; for tests and back-fills.
+
+    append: a batch is a partition, which a batch that runs again replaces. complete: each batch is the table."""
+    spark, columns = stream.sparkSession, stream.columns
+    append(spark.createDataFrame([], stream.schema), path, "none")  # the table is there even if no batch runs
+
+    def write(rows: DataFrame, batch: int) -> None:
+        if mode == "complete":
+            rows.write.mode("overwrite").parquet(path)
+        else:
+            append(rows, path, str(batch))
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path).select(*columns)
