@@ -280,3 +280,17 @@ def test_appending_a_batch_twice(spark, tmp_path):
     for batch, rows in (("a", [1, 2]), ("b", [3]), ("a", [1, 2])):
         sink.append(spark.createDataFrame([(x,) for x in rows], "id int"), path, batch)
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_peer_medians_against_brute_force(spark):
+    from statistics import median
+
+    rng = random.Random(3)
+    rows = [(i, g, rng.choice([None, 1.0, 2.0, 2.0, rng.random()])) for g in range(1, 60) for i in range(100 * g, 100 * g + g % 9 + 1)] + [(1, None, 1.0)]
+    got = {r["m"]: (r["n_peers"], r["peer_median"]) for r in detectors.peer_medians(spark.createDataFrame(rows, "m int, g int, v double"), "g", "v").collect()}
+    want = {}
+    for m, g, _ in rows[:-1]:
+        peers = [v for n, h, v in rows if h == g and n != m]
+        known = [v for v in peers if v is not None]
+        want[m] = (len(peers), median(known) if known else None)
+    assert got == want

@@ -146,6 +146,27 @@ def book_vacuum(bars: DataFrame, key: str = "asset", at: str = "bar_at", window:
     return d.withColumns({"detected": sure, "collapse": fell, "boost": F.when(sure, F.least(F.lit(float(max_boost)), max_boost * fell)).otherwise(0.0)})
 
 
+def peer_medians(d: DataFrame, by: str, value: str) -> DataFrame:
+    """Adds peer_median, of the values of the group's other rows (null ones left out), and n_peers, all of these rows.
+
+    Without a row the middle moves by one place at most, so three values about the middle of the sorted group
+    serve all of its rows; rows never meet each other. A null group has no peers and goes."""
+    rows = d.where(F.col(by).isNotNull())
+    ranked = rows.where(F.col(value).isNotNull()).select(by, value, (F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1).alias("_i"))
+    size = rows.groupBy(by).agg(F.count("*").alias("_all"), F.count(value).alias("_n"))
+    at = F.floor((F.col("_n") - 2) / 2)
+    middle = ranked.join(size.select(by, at.alias("_at")), by).where((F.col("_i") >= F.col("_at")) & (F.col("_i") <= F.col("_at") + 2))
+    middle = middle.groupBy(by).agg(*[F.max(F.when(F.col("_i") == F.col("_at") + k, F.col(value))).alias(f"_v{k}") for k in range(3)])
+    j = rows.join(size, by).join(middle, by, "left").withColumn("_at", at)
+    v = lambda k: F.when(k == 0, F.col("_v0")).when(k == 1, F.col("_v1")).when(k == 2, F.col("_v2"))
+    # A value at or below the k-th one of the group is taken out below it: equal values may stand for each other.
+    place = lambda k: k + F.when(F.col(value) <= v(k), 1).otherwise(0)
+    others = F.col("_n") - F.when(F.col(value).isNotNull(), 1).otherwise(0)
+    low, high = F.floor((others - 1) / 2) - F.col("_at"), F.ceil((others - 1) / 2) - F.col("_at")
+    median = F.when(others > 0, (v(place(low)) + v(place(high))) / 2)
+    return j.withColumns({"peer_median": median, "n_peers": F.col("_all") - 1}).drop("_all", "_n", "_at", "_v0", "_v1", "_v2")
+
+
 def repricing_lag(d: DataFrame, least: float = 3, peers: int = 2, max_ambiguity: float = 0.7) -> DataFrame:
     """d: observed, expected, peer_median, n_peers (cents), ambiguity. Adds lag, bias and level."""
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))

@@ -198,8 +198,7 @@ def repricing_lags(t):
     cut, low = F.to_timestamp_ntz(F.lit("2001-06-01 00:00:00")), F.to_timestamp_ntz(F.lit("2001-01-01 00:00:00"))
     at = F.col("traded_at")
     m = t.trades.groupBy("market_id", "event_id").agg((100 * (F.avg(F.when(at >= cut, F.col("price"))) - F.avg(F.when((at < cut) & (at >= low), F.col("price"))))).alias("move"))
-    peers = m.select("event_id", F.col("market_id").alias("peer"), F.col("move").alias("peer_move"))
-    j = m.join(peers, "event_id").where("market_id <> peer").groupBy("market_id").agg(F.first("move").alias("observed"), F.percentile("peer_move", F.lit(0.5)).alias("peer_median"), F.count("*").alias("n_peers"))
+    j = detectors.peer_medians(m, "event_id", "move").withColumnRenamed("move", "observed")
     d = detectors.repricing_lag(j.where("n_peers >= 2").withColumns({"expected": F.lit(0.0), "ambiguity": F.lit(0.0)}))
     return rounded(d.select("market_id", "observed", "peer_median", "n_peers", "lag", "bias"), "observed", "peer_median", "lag")
 
