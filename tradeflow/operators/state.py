@@ -46,9 +46,14 @@ def changes(d: DataFrame, key: list[str], order: list[str], value: str) -> DataF
 
 
 def fingerprint(d: DataFrame, key: list[str], parts: list[str]) -> DataFrame:
-    """SHA-256 over the key's rows, normalised and sorted: independent of their order."""
+    """A digest of the key's rows, normalised, independent of their order; repeated rows count.
+
+    Each row's SHA-256 is cut into four numbers of 60 bits, these are summed over the key, and the count and the sums
+    are hashed again: sums combine map-side, so no task holds the rows of a key."""
     line = F.concat_ws("|", *[F.lower(F.trim(F.coalesce(F.col(p).cast("string"), F.lit("")))) for p in parts])
-    return d.groupBy(*key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"), F.count("*").alias("n"))
+    hashed = d.select(*key, F.sha2(line, 256).alias("_h"))
+    sums = [F.sum(F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    return hashed.groupBy(*key).agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256).alias("fingerprint"), F.count("*").alias("n"))
 
 
 def cluster_alerts(candidates: DataFrame, key: str, hours: float = 1.0, min_trades: int = 3, min_wallets: int = 2, min_usd: float = 1_000, cooldown_hours: float = 1.0) -> DataFrame:
