@@ -294,3 +294,39 @@ def test_peer_medians_against_brute_force(spark):
         known = [v for v in peers if v is not None]
         want[m] = (len(peers), median(known) if known else None)
     assert got == want
+
+
+def test_baselines_before_ignore_the_present_and_the_future(spark):
+    from tradeflow.operators import baselines
+
+    rows = [("m", f"2000-{1 + i // 28:02d}-{1 + i % 28:02d} 00:00:00", float(i + 1)) for i in range(112)]
+    make = lambda r: spark.createDataFrame(r, "market_id string, at string, notional double").withColumn("traded_at", F.to_timestamp_ntz("at"))
+    past = {r.period: r for r in baselines.before(make(rows), ["market_id"], periods=2).collect()}
+    later = {r.period: r for r in baselines.before(make(rows + [("m", "2000-12-01 00:00:00", 1e9)]), ["market_id"], periods=2).collect()}
+    assert past and all(later[p] == r for p, r in past.items())
+    start = {p: min(v) for p, v in _by_period(rows).items()}
+    for p, r in past.items():
+        want = [v for q, vs in _by_period(rows).items() if p - 2 <= q < p for v in vs]
+        assert r.n == len(want) and r.total == sum(want) and max(want) < start[p]
+    one = baselines.with_baselines(make(rows[:1]).withColumn("trader_id", F.lit(1)), ["market_id"], ["trader_id"]).first()
+    assert one.m_count is None and one.t_count is None
+
+
+def _by_period(rows):
+    from collections import defaultdict
+    from datetime import datetime
+
+    out = defaultdict(list)
+    for _, at, v in rows:
+        out[(datetime.fromisoformat(at) - datetime(1970, 1, 1)).days // 28].append(v)
+    return out
+
+
+def test_events_due_by_tier(spark):
+    from tradeflow.operators import detectors
+
+    d = spark.createDataFrame([(1, 10, "Elections", 0.0, 0, 6), (2, 20, "sports", 20_000.0, 0, 6), (3, 30, "sports", 5.0, 0, None), (4, 40, None, 5.0, 4, 5), (4, 41, None, 9.0, 0, 5), (5, 50, "sports", 5.0, 1, 15)],
+                              "event_id int, market_id int, category string, volume double, alerts int, ago int")
+    now = F.to_timestamp_ntz(F.lit("2024-01-01 12:00:00"))
+    got = detectors.due_events(d.withColumn("fetched_at", now - F.make_dt_interval(mins="ago")), now, categories=("elections",))
+    assert sorted(map(tuple, got.collect())) == [(1, 10, 1), (3, 30, 3), (4, 40, 1), (5, 50, 2)]

@@ -182,3 +182,21 @@ def shadow_state(d: DataFrame, flags: DataFrame) -> DataFrame:
     """Decisions with their strategy's flag and promotion: live, shadow_only or off."""
     j = d.join(flags, "strategy", "left")
     return j.withColumn("state", F.when(~F.coalesce("enabled", F.lit(False)), "off").when(F.coalesce("promoted", F.lit(False)), "live").otherwise("shadow_only"))
+
+
+def due_events(d: DataFrame, now: Column, categories: tuple[str, ...], volumes: tuple[float, float] = (100_000, 10_000), alerts: int = 3, minutes: tuple[int, int, int] = (5, 15, 60)) -> DataFrame:
+    """d: event_id, market_id, category, volume, alerts, fetched_at (null: never). One row for each event that is due.
+
+    A market's tier is 1 by category (part of its name), volume or alerts, 2 by the smaller volume or any alert, else 3;
+    it is due when the fetch of its event is as old as the tier's cadence. Of an event's due markets the one
+    with the most alerts, then volume, counts."""
+    volume, rung = F.coalesce("volume", F.lit(0.0)), F.coalesce("alerts", F.lit(0))
+    named = F.lit(False)
+    for c in categories:
+        named = named | F.coalesce(F.lower("category").contains(c.lower()), F.lit(False))
+    tier = F.when(named | (volume >= volumes[0]) | (rung >= alerts), 1).when((volume >= volumes[1]) | (rung >= 1), 2).otherwise(3)
+    d = d.withColumn("tier", tier)
+    age = F.timestamp_diff("SECOND", F.col("fetched_at"), now)
+    cadence = F.when(F.col("tier") == 1, 60 * minutes[0]).when(F.col("tier") == 2, 60 * minutes[1]).otherwise(60 * minutes[2])
+    due = d.where(F.col("fetched_at").isNull() | (age >= cadence)).withColumn("_o", F.struct(-rung, -volume, "market_id"))
+    return due.groupBy("event_id").agg(F.min_by(F.struct("market_id", "tier"), "_o").alias("_b")).select("event_id", "_b.market_id", "_b.tier")
