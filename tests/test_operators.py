@@ -1,5 +1,6 @@
 """Row operators, windows and state on small inputs with known results."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -330,3 +331,30 @@ def test_events_due_by_tier(spark):
     now = F.to_timestamp_ntz(F.lit("2024-01-01 12:00:00"))
     got = detectors.due_events(d.withColumn("fetched_at", now - F.make_dt_interval(mins="ago")), now, categories=("elections",))
     assert sorted(map(tuple, got.collect())) == [(1, 10, 1), (3, 30, 3), (4, 40, 1), (5, 50, 2)]
+
+
+def test_thesis_boosts(spark):
+    stamp = lambda c: F.to_timestamp_ntz(F.col(c))
+    m = spark.createDataFrame([(1, 7, "2024-01-01", "2024-03-01"), (2, 7, "2023-01-01", "2024-01-30"), (3, 8, "2024-01-31", "2024-03-01")], "market_id int, event_id int, s string, e string")
+    m = m.select("market_id", "event_id", stamp("s").alias("start_at"), stamp("e").alias("end_at"))
+    links = spark.createDataFrame([(1, 2, "opposed", 1.0)], "src int, dst int, direction string, confidence double")
+    c = spark.createDataFrame([(7, "2024-02-15", 0.8), (7, "2024-02-01", 0.4), (7, "2024-01-30", 1.0), (8, "2024-05-01", 1.0)], "event_id int, s string, confidence double").withColumn("expected_at", stamp("s"))
+    boosts = graphs.thesis_boosts(m, links, c, F.to_timestamp_ntz(F.lit("2024-01-31")))
+    got = {r.src: (round(r.catalyst_boost, 6), round(r.life_boost, 6)) for r in boosts.collect()}
+    assert got == {1: (4.0, 5.0), 2: (4.0, 5.0), 3: (0.0, 0.0)}  # market 1 is late through the market it is linked to
+    lines = spark.createDataFrame([(5, 1, "BUY", 9_000.0, 0.0), (5, 2, "BUY", 9_000.0, 0.0)], "trader_id int, market_id int, side string, usd double, median double")
+    r = graphs.thesis_score(lines, links, boosts).where("src = 1").first()
+    x = math.log1p(9)
+    assert r.breadth == 1 and r.score == pytest.approx((0.5 * math.sqrt(x) + 9) / (1 + 0.5 * x))
+
+
+def test_fresh_wallet_burst(spark):
+    stamp = lambda d, c: d.withColumn(c, F.to_timestamp_ntz(c))
+    alerts = stamp(spark.createDataFrame([("a", 1, 10, "BUY", "2024-01-10 12:00:00"), ("b", 2, 20, "BUY", "2024-01-10 12:00:00")], "dedup_key string, market_id int, trader_id int, side string, sent_at string"), "sent_at")
+    old, new = "2023-12-01 00:00:00", "2024-01-10 06:00:00"
+    rows = [(1, w, "BUY", new) for w in (10, 11, 12)] + [(1, 13, "SELL", new), (9, 14, "BUY", old), (1, 14, "BUY", new), (1, 15, "BUY", "2024-01-10 18:00:00"), (2, 20, "BUY", new), (2, 21, "BUY", new), (2, 21, "BUY", new)]
+    entries = stamp(spark.createDataFrame(rows, "market_id int, trader_id int, side string, traded_at string"), "traded_at")
+    none = spark.createDataFrame([], "side string, wallet_a int, wallet_b int, shared long, similarity double")
+    assert [tuple(r) for r in graphs.cohorts(alerts, none, entries).collect()] == [("a", "fresh_wallet_burst", 3, None, 1.0)]
+    peers = spark.createDataFrame([("BUY", 10, 14, 5, 0.9)], none.schema)
+    assert [(r.branch, r.cohort_size, r.boost) for r in graphs.cohorts(alerts, peers, entries).collect()] == [("edge_density", 2, pytest.approx(1.8))]

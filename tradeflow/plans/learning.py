@@ -108,21 +108,40 @@ def thesis_lines_of_event(t):
     return flow.newest(graphs.thesis_lines(t.trades), ["event_id"], 10, [F.desc("usd"), "trader_id", "market_id", "side"]).select("event_id", "trader_id", "market_id", "side", "rank", F.round("usd", 2).alias("usd"))
 
 
-@query("""SELECT trader_id, src, asked_side, breadth, round(aligned, 6) AS aligned, round(breadth * sqrt(aligned), 6) AS score, CASE WHEN breadth >= 2 AND aligned >= 1.5 THEN CASE WHEN breadth * sqrt(aligned) >= 75 THEN 'critical' WHEN breadth * sqrt(aligned) >= 50 THEN 'warning' ELSE 'info' END ELSE 'none' END AS level FROM
-  (SELECT a.trader_id, a.src, a.asked_side, count(DISTINCT CASE WHEN x * g.confidence > 0 THEN g.dst END) AS breadth, sum(x * g.confidence) AS aligned FROM (SELECT DISTINCT trader_id, market_id AS src, side AS asked_side FROM lines) a
-   JOIN (SELECT DISTINCT market_id AS src, market_id AS dst, 1.0 AS confidence FROM lines UNION ALL SELECT src, dst, confidence FROM links) g ON a.src = g.src
-   JOIN (SELECT trader_id, market_id, ln(1 + usd / greatest(1000, median)) AS x FROM lines) l ON l.trader_id = a.trader_id AND l.market_id = g.dst GROUP BY ALL)""", MARKETS_SQL + LINES_SQL + LINKS_SQL)
+THESIS_AT = "2001-06-01 00:00:00"
+CATALYST_SQL = ", catalysts AS (SELECT event_id, kind, TIMESTAMP '2001-01-01' + INTERVAL 1 DAY * ((event_id * 13) % 300) AS expected_at, 0.4 + (event_id % 6) / 10 AS confidence, 24.0 * 40 AS pre_h, 24.0 * 20 AS post_h FROM (SELECT DISTINCT event_id FROM trades) CROSS JOIN (VALUES ('vote'), ('ruling')) v(kind) WHERE kind = 'vote' OR event_id % 2 = 0)"
+BOOSTS_SQL = f""", near AS (SELECT market_id AS src, max(10 * (1 - (epoch(expected_at) - epoch(TIMESTAMP '{THESIS_AT}')) / (30 * 86400)) * confidence) AS points FROM markets JOIN catalysts USING (event_id)
+    WHERE confidence >= 0.5 AND expected_at BETWEEN TIMESTAMP '{THESIS_AT}' AND TIMESTAMP '{THESIS_AT}' + INTERVAL 30 DAY GROUP BY ALL),
+  late AS (SELECT src, 5 * greatest(0, least(1, max(pct))) AS points FROM (SELECT market_id AS src, market_id FROM markets UNION SELECT src, dst FROM links) JOIN
+    (SELECT market_id, (epoch(TIMESTAMP '{THESIS_AT}') - epoch(start_at)) / (epoch(end_at) - epoch(start_at)) AS pct FROM markets) USING (market_id) GROUP BY src)"""
+
+
+@query("""SELECT trader_id, src, asked_side, breadth, round(aligned, 6) AS aligned, round(opposed, 6) AS opposed, round(consistency, 6) AS consistency, round(score, 6) AS score,
+  CASE WHEN breadth >= 2 AND aligned >= 1.5 AND consistency >= 0.75 THEN CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'warning' ELSE 'info' END ELSE 'none' END AS level FROM
+  (SELECT *, (breadth * consistency * sqrt(aligned) + coalesce(near.points, 0) + coalesce(late.points, 0)) / (1 + 0.5 * opposed) AS score FROM (SELECT *, coalesce(aligned / nullif(aligned + opposed, 0), 0) AS consistency FROM
+  (SELECT a.trader_id, a.src, a.asked_side, count(DISTINCT CASE WHEN NOT against AND x * g.confidence > 0 THEN g.dst END) AS breadth, sum(CASE WHEN against THEN 0 ELSE x * g.confidence END) AS aligned, sum(CASE WHEN against THEN x * g.confidence ELSE 0 END) AS opposed
+   FROM (SELECT DISTINCT trader_id, market_id AS src, side AS asked_side FROM lines) a
+   JOIN (SELECT DISTINCT market_id AS src, market_id AS dst, 1.0 AS confidence, false AS mirror FROM lines UNION ALL SELECT src, dst, confidence, dst % 3 = 0 FROM links) g ON a.src = g.src
+   JOIN (SELECT trader_id, market_id, side, ln(1 + usd / greatest(1000, median)) AS x FROM lines) l ON l.trader_id = a.trader_id AND l.market_id = g.dst, LATERAL (SELECT mirror AND l.side = a.asked_side AS against) GROUP BY ALL)) LEFT JOIN near USING (src) LEFT JOIN late USING (src))""",
+       MARKETS_SQL + LINES_SQL.replace("FROM trades GROUP", f"FROM trades WHERE traded_at <= TIMESTAMP '{THESIS_AT}' GROUP") + LINKS_SQL + CATALYST_SQL + BOOSTS_SQL)
 def thesis_scores(t):
-    lines = graphs.thesis_lines(t.trades)
-    d = graphs.thesis_score(lines, graphs.market_links(t.markets))
-    return rounded(d.select("trader_id", "src", "asked_side", "breadth", "aligned", "score", "level"), "aligned", "score", digits=6)
-
-
-@query("""SELECT dedup_key, count(*) + 1 AS cohort_size, round(avg(similarity), 6) AS avg_similarity FROM (SELECT a.dedup_key, p.peer, max(p.similarity) AS similarity FROM alerts a JOIN (SELECT trader_id, peer, max(similarity) AS similarity FROM (SELECT wallet_a AS trader_id, wallet_b AS peer, similarity FROM edges WHERE similarity >= 0.2 UNION ALL SELECT wallet_b, wallet_a, similarity FROM edges WHERE similarity >= 0.2) GROUP BY ALL) p USING (trader_id)
-  JOIN trades t ON t.market_id = a.market_id AND t.trader_id = p.peer AND t.side = a.side AND t.traded_at <= a.sent_at AND t.traded_at >= a.sent_at - INTERVAL 30 DAY GROUP BY ALL) GROUP BY dedup_key""", ALERTS_SQL + COTRADE_SQL)
+    """At one moment, over the trades until then; every third market is linked as the mirror of its event's first."""
+    at = F.to_timestamp_ntz(F.lit(THESIS_AT))
+    lines = graphs.thesis_lines(t.trades.where(F.col("traded_at") <= at))
+    links = graphs.market_links(t.markets).withColumn("direction", F.when(F.col("dst") % 3 == 0, "opposed").otherwise("aligned"))
+    d = graphs.thesis_score(lines, links, graphs.thesis_boosts(t.markets, links, _catalysts(t), at))
+    return rounded(d.select("trader_id", "src", "asked_side", "breadth", "aligned", "opposed", "consistency", "score", "level"), "aligned", "opposed", "consistency", "score", digits=6)
+
+
+@query("""SELECT dedup_key, branch, cohort_size, round(avg_similarity, 6) AS avg_similarity, round(CASE branch WHEN 'edge_density' THEN least(6, 6 * avg_similarity * (cohort_size - 1) / 3) ELSE least(3, 3 * (cohort_size - 2) / 3) END, 6) AS boost FROM (
+  SELECT dedup_key, 'edge_density' AS branch, cohort_size, avg_similarity FROM dense UNION ALL
+  SELECT a.dedup_key, 'fresh_wallet_burst', count(DISTINCT t.trader_id), NULL FROM (SELECT * FROM alerts ANTI JOIN dense USING (dedup_key)) a JOIN trades t ON t.market_id = a.market_id AND t.side = a.side AND t.traded_at <= a.sent_at
+    JOIN (SELECT trader_id, min(traded_at) AS first_seen FROM trades GROUP BY trader_id) f ON f.trader_id = t.trader_id WHERE f.first_seen >= a.sent_at - INTERVAL 120 DAY GROUP BY a.dedup_key HAVING count(DISTINCT t.trader_id) >= 3)""", ALERTS_SQL + COTRADE_SQL + """, dense AS (
+  SELECT dedup_key, count(*) + 1 AS cohort_size, avg(similarity) AS avg_similarity FROM (SELECT a.dedup_key, p.peer, max(p.similarity) AS similarity FROM alerts a JOIN (SELECT trader_id, peer, max(similarity) AS similarity FROM (SELECT wallet_a AS trader_id, wallet_b AS peer, similarity FROM edges WHERE similarity >= 0.2 UNION ALL SELECT wallet_b, wallet_a, similarity FROM edges WHERE similarity >= 0.2) GROUP BY ALL) p USING (trader_id)
+  JOIN trades t ON t.market_id = a.market_id AND t.trader_id = p.peer AND t.side = a.side AND t.traded_at <= a.sent_at AND t.traded_at >= a.sent_at - INTERVAL 30 DAY GROUP BY ALL) GROUP BY dedup_key)""")
 def wallet_cohorts(t):
-    d = graphs.cohorts(t.alerts, _edges(t), t.trades, min_similarity=0.2, min_events=2, days=30)
-    return d.select("dedup_key", "cohort_size", F.round("avg_similarity", 6).alias("avg_similarity"))
+    d = graphs.cohorts(t.alerts, _edges(t), t.trades, min_similarity=0.2, min_events=2, days=30, fresh_days=120)
+    return d.select("dedup_key", "branch", "cohort_size", F.round("avg_similarity", 6).alias("avg_similarity"), F.round("boost", 6).alias("boost"))
 
 
 HOLDERS_SQL = """, snaps AS (SELECT market_id, outcome, trader_id, 1 AS snap, sum(CASE WHEN side = 'BUY' THEN shares ELSE -shares END) AS shares FROM trades WHERE traded_at < TIMESTAMP '2001-06-01' GROUP BY ALL UNION ALL SELECT market_id, outcome, trader_id, 2, sum(CASE WHEN side = 'BUY' THEN shares ELSE -shares END) FROM trades GROUP BY ALL),
@@ -153,9 +172,6 @@ def holder_deltas(t):
     return d.select("market_id", "outcome", "trader_id", "level", F.round("score", 4).alias("score"), "entered_top")
 
 
-CATALYST_SQL = ", catalysts AS (SELECT event_id, kind, TIMESTAMP '2001-01-01' + INTERVAL 1 DAY * ((event_id * 13) % 300) AS expected_at, 0.4 + (event_id % 6) / 10 AS confidence, 24.0 * 40 AS pre_h, 24.0 * 20 AS post_h FROM (SELECT DISTINCT event_id FROM trades) CROSS JOIN (VALUES ('vote'), ('ruling')) v(kind) WHERE kind = 'vote' OR event_id % 2 = 0)"
-
-
 def _catalysts(t):
     e = t.trades.select("event_id").distinct()
     d = e.withColumn("kind", F.explode(F.when(F.col("event_id") % 2 == 0, F.array(F.lit("vote"), F.lit("ruling"))).otherwise(F.array(F.lit("vote")))))
