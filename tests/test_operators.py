@@ -358,3 +358,15 @@ def test_fresh_wallet_burst(spark):
     assert [tuple(r) for r in graphs.cohorts(alerts, none, entries).collect()] == [("a", "fresh_wallet_burst", 3, None, 1.0)]
     peers = spark.createDataFrame([("BUY", 10, 14, 5, 0.9)], none.schema)
     assert [(r.branch, r.cohort_size, r.boost) for r in graphs.cohorts(alerts, peers, entries).collect()] == [("edge_density", 2, pytest.approx(1.8))]
+
+
+def test_resolved_outcomes(spark):
+    m = spark.createDataFrame([("c1", "e", "Team A", ["Yes", "No"], ["t1", "t2"]), ("c2", "e", "Team B", ["Yes", "No"], ["t3", None]), ("c0", "f", "Team B", ["Up"], [""]), ("c3", None, None, None, None)],
+                              "condition_id string, event_id string, title string, outcomes array<string>, tokens array<string>")
+    rows = [(1, "c1", "No", None, ("c1", 1, "No", 1.0, "exact_label")), (2, "c1", " yes ", "", ("c1", 0, "Yes", 0.85, "case_insensitive_label")), (3, "c1", "team a", "gone", ("c1", 0, "Yes", 0.7, "group_item_title")),
+            (4, "c1", "Team B", None, ("c2", 0, "Yes", 0.7, "group_item_title")), (5, "c1", None, None, ("c1", 0, "Yes", 0.6, "binary_default")), (6, "c9", "No", None, (None, None, None, 0.0, "unknown_condition_id")),
+            (7, "c1", "Team C", None, (None, None, None, 0.0, "label_not_found")), (8, "c9", "No", "t2", ("c1", 1, "No", 1.0, "token_match")), (9, "c3", "x", None, (None, None, None, 0.0, "unknown_condition_id")),
+            (10, None, None, None, (None, None, None, 0.0, "unknown_condition_id"))]
+    asked = spark.createDataFrame([r[:4] for r in rows], "id int, condition_id string, label string, token string")
+    got = {r.id: (r.condition_id, r.outcome_index, r.outcome or None, r.confidence, r.reason) for r in records.resolved_outcomes(asked, m).collect()}
+    assert got == {r[0]: r[4] for r in rows}

@@ -61,3 +61,25 @@ def outcome_mapping(t):
     """Labels to outcomes by a falling chain: exact, folded, group title, none."""
     v = F.when(F.col("event_type") == "click", "CLICK").when(F.col("event_type") == "signup", "Sign Up").otherwise(F.col("event_type"))
     return records.mapped_outcome(t.table("events").select("event_id", v.alias("label")), ["view", "click"], {"Sign Up": "view"}).select("event_id", "outcome", "confidence")
+
+
+#: Markets with titles, outcomes and tokens over the suppliers; labels and tokens that ask for them over the events.
+TITLED = """SELECT s_suppkey AS condition_id, s_nationkey AS event_id, concat('T', CAST(s_suppkey % 7 AS STRING)) AS title, CASE WHEN s_suppkey % 2 = 0 THEN array('Yes', 'No') ELSE array('Up', 'Down') END AS outcomes,
+  array(concat('k', CAST(s_suppkey AS STRING), 'a'), concat('k', CAST(s_suppkey AS STRING), 'b')) AS tokens FROM {supplier}"""
+ASKED = """SELECT event_id AS id, event_id % 12 + 1 AS condition_id, CASE user_id % 8 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN ' Up ' WHEN 3 THEN 'T3' WHEN 4 THEN 't5' WHEN 5 THEN '' WHEN 6 THEN 'other' END AS label,
+  CASE WHEN event_id % 9 = 0 THEN concat('k', CAST(user_id % 15 AS STRING), 'b') WHEN event_id % 9 = 1 THEN '' END AS token FROM {events}"""
+
+
+@query("""SELECT id, asked_id, f.c AS condition_id, f.i AS outcome_index, f.o AS outcome, f.s AS confidence, f.r AS reason FROM (SELECT id, asked_id, CASE
+    WHEN tc IS NOT NULL THEN {'c': tc, 'i': 1, 'o': tos[2], 's': 1.0, 'r': 'token_match'} WHEN outcomes IS NULL THEN {'c': NULL, 'i': NULL, 'o': NULL, 's': 0.0, 'r': 'unknown_condition_id'}
+    WHEN l = '' THEN {'c': asked_id, 'i': 0, 'o': outcomes[1], 's': 0.6, 'r': 'binary_default'} WHEN list_contains(outcomes, l) THEN {'c': asked_id, 'i': list_position(outcomes, l) - 1, 'o': l, 's': 1.0, 'r': 'exact_label'}
+    WHEN lower(l) IN (lower(outcomes[1]), lower(outcomes[2])) THEN {'c': asked_id, 'i': CASE WHEN lower(l) = lower(outcomes[1]) THEN 0 ELSE 1 END, 'o': CASE WHEN lower(l) = lower(outcomes[1]) THEN outcomes[1] ELSE outcomes[2] END, 's': 0.85, 'r': 'case_insensitive_label'}
+    WHEN lower(l) = lower(title) THEN {'c': asked_id, 'i': 0, 'o': outcomes[1], 's': 0.7, 'r': 'group_item_title'} WHEN sc IS NOT NULL THEN {'c': sc, 'i': 0, 'o': so[1], 's': 0.7, 'r': 'group_item_title'}
+    ELSE {'c': NULL, 'i': NULL, 'o': NULL, 's': 0.0, 'r': 'label_not_found'} END AS f
+  FROM (SELECT a.id, a.condition_id AS asked_id, coalesce(trim(a.label), '') AS l, m.*, k.condition_id AS tc, k.outcomes AS tos, s.condition_id AS sc, s.outcomes AS so FROM asked a LEFT JOIN titled m ON m.condition_id = a.condition_id
+    LEFT JOIN titled k ON k.tokens[2] = a.token LEFT JOIN (SELECT event_id AS e, lower(title) AS t, min(condition_id) AS condition_id, arg_min(outcomes, condition_id) AS outcomes FROM titled GROUP BY 1, 2) s ON s.e = m.event_id AND s.t = lower(trim(a.label))))""",
+       f"titled AS ({TITLED.replace('array(', 'list_value(').replace('{supplier}', 'supplier')}), asked AS ({ASKED.replace('{events}', 'events')})")
+def outcomes_resolved(t):
+    """Which outcome of which market a label or token means, with the way it was found."""
+    markets, asked = t.spark.sql(TITLED, supplier=t.table("supplier")), t.spark.sql(ASKED, events=t.table("events"))
+    return records.resolved_outcomes(asked, markets).select("id", "asked_id", "condition_id", "outcome_index", "outcome", "confidence", "reason")

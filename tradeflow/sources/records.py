@@ -58,3 +58,34 @@ def mapped_outcome(d: DataFrame, outcomes: list[str], titles: dict[str, str], la
     folded = F.element_at(F.create_map(*[x for o in outcomes for x in (F.lit(o.lower()), F.lit(o))]), F.lower(c))
     titled = F.element_at(F.create_map(*[x for k, v in titles.items() for x in (F.lit(k), F.lit(v))]), c)
     return d.withColumns({"outcome": F.when(exact, c).when(fold, folded).when(title, titled), "confidence": F.when(exact, 1.0).when(fold, 0.85).when(title, 0.7).otherwise(0.0)})
+
+
+def resolved_outcomes(asked: DataFrame, markets: DataFrame) -> DataFrame:
+    """asked with condition, outcome_index, outcome, confidence and reason of the market's outcome it means.
+
+    asked: condition_id, label, token (null or empty: not given). markets, a row a condition_id: event_id, title, outcomes
+    and tokens (arrays of one order). A known token decides (1). Else the label: none means the first outcome (0.6), then
+    exact (1), same but for case (0.85), the market's own title (0.7) and the title of the event's market of smallest
+    condition (0.7). Nothing is guessed beyond that. Three equi-joins on keys, no candidates in between."""
+    m = markets.select("condition_id", "event_id", F.lower(F.trim("title")).alias("_title"), "outcomes", "tokens")
+    a = asked.withColumns({"_label": F.coalesce(F.trim("label"), F.lit("")), "_token": F.nullif(F.trim("token"), F.lit(""))})
+    held = m.select(F.col("condition_id").alias("_tc"), F.col("outcomes").alias("_to"), F.posexplode("tokens").alias("_ti", "_key")).withColumn("_key", F.nullif(F.trim("_key"), F.lit("")))
+    held = held.where("_key is not null").groupBy("_key").agg(F.min(F.struct("_tc", "_ti", "_to")).alias("_t"))
+    d = a.join(held, F.col("_token") == F.col("_key"), "left").join(m, "condition_id", "left")
+    first = m.where("_title <> ''").groupBy(F.col("event_id").alias("_se"), F.col("_title").alias("_st")).agg(F.min(F.struct("condition_id", "outcomes")).alias("_s"))
+    d = d.join(first, (F.col("event_id") == F.col("_se")) & (F.lower("_label") == F.col("_st")), "left")
+    trimmed = F.transform("outcomes", F.trim)
+    exact = F.array_position(trimmed, F.col("_label"))
+    fold = F.array_position(F.transform(trimmed, F.lower), F.lower("_label"))
+    answer = lambda c, i, o, sure, why: F.struct(c.alias("c"), i.cast("int").alias("i"), F.get(o, i.cast("int")).alias("o"), F.lit(sure).alias("s"), F.lit(why).alias("r"))
+    here, none = F.col("condition_id"), F.lit(None)
+    found = F.when(F.col("_t").isNotNull(), answer(F.col("_t._tc"), F.col("_t._ti"), F.col("_t._to"), 1.0, "token_match"))
+    found = found.when(F.col("outcomes").isNull(), answer(none.cast(asked.schema["condition_id"].dataType), none, F.array(F.lit("")), 0.0, "unknown_condition_id"))
+    found = found.when(F.col("_label") == "", answer(here, F.lit(0), F.col("outcomes"), 0.6, "binary_default"))
+    found = found.when(exact > 0, answer(here, exact - 1, F.col("outcomes"), 1.0, "exact_label")).when(fold > 0, answer(here, fold - 1, F.col("outcomes"), 0.85, "case_insensitive_label"))
+    found = found.when(F.lower("_label") == F.col("_title"), answer(here, F.lit(0), F.col("outcomes"), 0.7, "group_item_title"))
+    found = found.when(F.col("_s").isNotNull(), answer(F.col("_s.condition_id"), F.lit(0), F.col("_s.outcomes"), 0.7, "group_item_title"))
+    found = found.otherwise(answer(none.cast(asked.schema["condition_id"].dataType), none, F.array(F.lit("")), 0.0, "label_not_found"))
+    d = d.withColumn("_f", found)
+    own = [c for c in asked.columns if c != "condition_id"]
+    return d.select(F.col("condition_id").alias("asked_id"), *own, F.col("_f.c").alias("condition_id"), F.col("_f.i").alias("outcome_index"), F.col("_f.o").alias("outcome"), F.col("_f.s").alias("confidence"), F.col("_f.r").alias("reason"))
