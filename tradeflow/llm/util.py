@@ -15,10 +15,13 @@ _own_scratch: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set and the
+    master is local: executors of a cluster can't share it."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_scratch:
         _own_scratch.append("file://" + tempfile.mkdtemp(prefix="tradeflow-"))
     return _own_scratch[0]
