@@ -10,10 +10,12 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder; a temporary one only where none is set and the master is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="tradeflow-streams-"))
     return _own[0]
