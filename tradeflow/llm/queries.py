@@ -103,8 +103,25 @@ _CANONICAL = (
   || CASE WHEN len(params) > 0 THEN '?' || array_to_string(list_sort(params), '&') ELSE '' END END"""
 )
 
+_FLOORED = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE))"
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _near(k: int) -> str:
+    """n<k>: every part with its nearest entry of b<k>."""
+    far = " + ".join(f"(x.{c} - b.{c}) * (x.{c} - b.{c})" for c in "abcd")
+    return f"""n{k} AS (SELECT vec_id, label, p, a, b, c, d, e, far FROM (SELECT x.*, b.e, {far} AS far, row_number() OVER (PARTITION BY x.vec_id, x.p ORDER BY {far}, b.e) AS r FROM x JOIN b{k} b ON x.p = b.p) WHERE r = 1)"""
+
+
+def _round(k: int) -> str:
+    """n<k>, and b<k + 1>: the entries moved to the floors of their parts' means."""
+    moved = ", ".join(f"coalesce(m.{c}, b.{c}) AS {c}" for c in "abcd")
+    means = ", ".join(f"CAST(floor(sum({c}) / count(*)) AS BIGINT) AS {c}" for c in "abcd")
+    return _near(k) + f""", b{k + 1} AS (SELECT b.p, b.e, {moved} FROM b{k} b LEFT JOIN (SELECT p, e, {means} FROM n{k} GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)"""
+
+
 #: SQL for the operators whose whole result SQL expresses. Operators 1, 4, 8, 9 and 10 train, schedule or
-#: sample, 2 and 3 walk keys and heaps: they are tested against brute force in tests/llm instead.
+#: sample, 2 and 3 walk keys and heaps, 11 runs a tokenizer: they are tested against brute force in tests/llm instead.
 ORACLE: dict[str, str] = {
     "op5_warc": rf"""WITH src AS (SELECT page_id AS p, url, md5(coalesce(html, '')) AS dig, CASE WHEN page_id % 7 <> 0 THEN '"' || md5(coalesce(html, '')) || '"' END AS tag FROM pages),
   rest AS (SELECT *, regexp_replace(regexp_replace(trim(url), '(?s)#.*$', ''), '(?i)^[a-z][a-z0-9+.-]*://', '') AS rest FROM src),
@@ -127,4 +144,15 @@ ORACLE: dict[str, str] = {
   reach(a, b) AS (SELECT a, b FROM two UNION SELECT r.a, t.b FROM reach r JOIN two t ON r.b = t.a)
   SELECT doc_id, n::BIGINT AS n_shingles, class_id, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id, coalesce(k, 0) AS n_links
   FROM g LEFT JOIN (SELECT a, count(*) AS k FROM two GROUP BY a) l ON l.a = doc_id""",
+    "op12_hard_negatives": f"""WITH k AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_FLOORED} AS q FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_USABLE}),
+  s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS s FROM k a JOIN k b ON a.id % 50 = 0 AND a.id <> b.id),
+  p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE same) WHERE r <= 5),
+  n AS (SELECT p.a, p.b AS p, p.s AS ps, s.b AS n, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS r FROM p JOIN s ON s.a = p.a WHERE NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+  SELECT a AS anchor_id, p AS positive_id, r::INT AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 3""",
+    "op13_vector_codes": f"""WITH k AS (SELECT vec_id, label, {_FLOORED} AS q FROM embeddings WHERE {_USABLE}),
+  x AS (SELECT vec_id, label, p, {", ".join(f"CAST(q[4 * p + {i + 1}] AS BIGINT) AS {c}" for i, c in enumerate("abcd"))} FROM k, (SELECT unnest(range(16)) AS p)),
+  b0 AS (SELECT x.p, f.e, a, b, c, d FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT 64) f USING (vec_id)),
+  {_round(0)}, {_round(1)}, {_near(2)},
+  r AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM n2 GROUP BY vec_id, label)
+  SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256 FROM r""",
 }
