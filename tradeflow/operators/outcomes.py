@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tradeflow.functions.bands import calibration_band, severity_weight
 from tradeflow.operators.asof import asof
+from tradeflow.operators.selection import percentiles
+from tradeflow.sources.scratch import kept
 
 
 def forward_returns(alerts: DataFrame, prices: DataFrame, by: list[str], at: str, price_at: str, horizons: dict[str, int]) -> DataFrame:
@@ -63,9 +65,17 @@ def promotion_samples(d: DataFrame, extra: dict[str, Column] | None = None, retu
     d = d.withColumns(extra).withColumn("_rev", reversal().cast("double"))
     days = F.greatest(F.datediff(F.max("created_at"), F.min("created_at")), F.lit(1))
     sets = [[F.col("strategy"), F.col("version")], *[[F.col("strategy"), F.col("version"), F.col(c)] for c in extra]]
-    return d.groupingSets(sets, "strategy", "version", *extra).agg(
-        F.grouping_id().alias("grain"), F.count(return_col).alias("n"), F.percentile(return_col, F.lit(0.5)).alias("median"),
-        F.avg("_rev").alias("reversal"), (F.count("*") / days).alias("per_day"))
+    d = kept(d.select("strategy", "version", *extra, "created_at", return_col, "_rev"))
+    plain = d.groupingSets(sets, "strategy", "version", *extra).agg(F.grouping_id().alias("grain"), F.avg("_rev").alias("reversal"), (F.count("*") / days).alias("per_day"))
+    # The medians of few, huge groups: a row for each grain, its columns null where the grain leaves them out.
+    grain = lambda on: F.struct(*[(F.col(c) if c in on else F.lit(None).cast("string")).alias(c) for c in extra], F.lit(sum(1 << k for k, c in enumerate(reversed(list(extra))) if c not in on)).cast("long").alias("grain"))
+    each = d.select("strategy", "version", return_col, F.explode(F.array(grain([]), *[grain([c]) for c in extra])).alias("_g")).select("strategy", "version", return_col, "_g.*")
+    keys = ["strategy", "version", *extra, "grain"]
+    medians = percentiles(each, keys, return_col, (0.5,)).select(*[F.col(k).alias(f"_{k}") for k in keys], "n", F.col("q")[0].alias("median"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return plain.join(medians, same, "left").select("strategy", "version", *extra, "grain", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "median", "reversal", "per_day")
 
 
 def eligible(min_n: int = 30, min_median: float = 0.0, max_reversal: float = 0.4, max_per_day: float = 50.0) -> Column:

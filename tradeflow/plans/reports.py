@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradeflow.operators import flow
+from tradeflow.operators.selection import percentiles
 from tradeflow.plans.flow import beside, rounded
 from tradeflow.plans.named import query
+from tradeflow.sources.scratch import kept
 from tradeflow.sources.trades import ALERTS_SQL, DECISIONS_SQL, MEASURED_SQL, NOW, TRADES_SQL
 
 REVIEWS_SQL = ", reviews AS (SELECT market_id, end_at - INTERVAL 15 DAY AS closed_at, CASE market_id % 3 WHEN 0 THEN 'thin' WHEN 1 THEN 'late' ELSE 'fair' END AS reason, CASE WHEN market_id % 5 = 4 THEN 'failed' ELSE 'succeeded' END AS status, CASE market_id % 2 WHEN 0 THEN 'small' ELSE 'large' END AS model, 100 * (market_id % 7) AS tokens, 0.01::DOUBLE * (market_id % 7) AS cost FROM markets)"
@@ -136,16 +138,18 @@ def decision_rates(t):
 
 @query("SELECT strategy, count(*) AS n, count(clv_15m) AS has_15m, count(clv_24h) AS has_24h, round(quantile_cont(clv_6h, 0.25), 6) AS q1, round(quantile_cont(clv_6h, 0.5), 6) AS q2, round(quantile_cont(clv_6h, 0.75), 6) AS q3 FROM decisions GROUP BY strategy", DECISIONS_SQL)
 def return_quartiles(t):
-    d = t.decisions.groupBy("strategy").agg(F.count("*").alias("n"), F.count("clv_15m").alias("has_15m"), F.count("clv_24h").alias("has_24h"), F.percentile("clv_6h", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    d = t.decisions.groupBy("strategy").agg(F.count("*").alias("n"), F.count("clv_15m").alias("has_15m"), F.count("clv_24h").alias("has_24h"))
+    d = d.join(percentiles(t.decisions, ["strategy"], "clv_6h", (0.25, 0.5, 0.75)).select("strategy", "q"), "strategy", "left")
     return d.select("strategy", "n", "has_15m", "has_24h", *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)])
 
 
 @query("SELECT s.strategy, s.control_bucket, s.n, round(s.m - c.m, 6) + 0.0 AS lift FROM (SELECT strategy, control_bucket, count(*) AS n, quantile_cont(clv_6h, 0.5) AS m FROM decisions GROUP BY ALL HAVING count(*) >= 10) s JOIN (SELECT control_bucket, quantile_cont(clv_6h, 0.5) AS m FROM decisions GROUP BY ALL) c USING (control_bucket)", DECISIONS_SQL)
 def matched_control(t):
-    m = F.percentile("clv_6h", F.lit(0.5))
     d = t.decisions
-    s = d.groupBy("strategy", "control_bucket").agg(F.count("*").alias("n"), m.alias("own")).where("n >= 10")
-    return s.join(d.groupBy("control_bucket").agg(m.alias("all")), "control_bucket").select("strategy", "control_bucket", "n", (F.round(F.col("own") - F.col("all"), 6) + 0.0).alias("lift"))
+    median = lambda keys, name: percentiles(d, keys, "clv_6h", (0.5,)).select(*keys, F.col("q")[0].alias(name))
+    s = d.groupBy("strategy", "control_bucket").agg(F.count("*").alias("n")).where("n >= 10").join(median(["strategy", "control_bucket"], "own"), ["strategy", "control_bucket"], "left")
+    c = d.select("control_bucket").distinct().join(median(["control_bucket"], "all"), "control_bucket", "left")
+    return s.join(c, "control_bucket").select("strategy", "control_bucket", "n", (F.round(F.col("own") - F.col("all"), 6) + 0.0).alias("lift"))
 
 
 @query("SELECT 'alerts' AS source, count(*) AS n, max(sent_at) AS newest FROM alerts UNION ALL SELECT 'trades', count(*), max(traded_at) FROM trades UNION ALL SELECT 'markets', count(*), max(end_at) FROM markets", ALERTS_SQL)
@@ -178,21 +182,21 @@ Q6 = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 
 @query("SELECT " + ", ".join(f"round(quantile_cont(notional, {q}), 6) AS p{str(q)[2:]}" for q in Q6) + " FROM scored WHERE lifecycle >= 75", ALERTS_SQL)
 def notional_percentiles(t):
-    d = t.scored.where("lifecycle >= 75").agg(F.percentile("notional", F.array(*[F.lit(q) for q in Q6])).alias("q"))
+    d = percentiles(t.scored.where("lifecycle >= 75"), [], "notional", Q6)
     return d.select(*[F.round(F.col("q")[i], 6).alias(f"p{str(q)[2:]}") for i, q in enumerate(Q6)])
 
 
 @query("SELECT severity, round(quantile_cont(notional / m_p95, 0.5), 6) AS p50, round(quantile_cont(notional / m_p95, 0.95), 6) AS p95 FROM scored WHERE severity IS NOT NULL GROUP BY severity", ALERTS_SQL)
 def ratio_percentiles(t):
-    d = t.scored.where("severity is not null").groupBy("severity").agg(F.percentile("m_p95_ratio", F.array(F.lit(0.5), F.lit(0.95))).alias("q"))
+    d = percentiles(t.scored.where("severity is not null"), ["severity"], "m_p95_ratio", (0.5, 0.95))
     return d.select("severity", F.round(F.col("q")[0], 6).alias("p50"), F.round(F.col("q")[1], 6).alias("p95"))
 
 
 @query("SELECT count(*) AS lines, round(quantile_cont(total, 0.5), 4) AS total_p50, round(quantile_cont(total, 0.95), 4) AS total_p95, round(quantile_cont(median, 0.5), 4) AS median_p50 FROM (SELECT sum(notional) AS total, quantile_cont(notional, 0.5) AS median FROM trades GROUP BY trader_id, market_id HAVING count(*) >= 3)", TRADES_SQL)
 def line_percentiles(t):
-    l = flow.lines(t.trades, ["trader_id", "market_id"]).where("n >= 3")
-    d = l.agg(F.count("*").alias("lines"), F.percentile("total", F.array(F.lit(0.5), F.lit(0.95))).alias("q"), F.round(F.percentile("median", F.lit(0.5)), 4).alias("median_p50"))
-    return d.select("lines", F.round(F.col("q")[0], 4).alias("total_p50"), F.round(F.col("q")[1], 4).alias("total_p95"), "median_p50")
+    l = kept(flow.lines(t.trades, ["trader_id", "market_id"]).where("n >= 3").select("total", "median"))
+    d = percentiles(l, [], "total", (0.5, 0.95)).select(F.col("n").alias("lines"), F.round(F.col("q")[0], 4).alias("total_p50"), F.round(F.col("q")[1], 4).alias("total_p95"))
+    return beside(d, percentiles(l, [], "median", (0.5,)).select(F.round(F.col("q")[0], 4).alias("median_p50")))
 
 
 @query("SELECT trader_id, market_id, n, round(total, 2) AS total FROM (SELECT trader_id, market_id, count(*) AS n, sum(notional) AS total, quantile_cont(notional, 0.5) AS median FROM trades GROUP BY ALL) WHERE n >= 3 AND total >= 40000 AND median <= 60000", TRADES_SQL)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tradeflow.functions.bands import lifecycle_pct
 from tradeflow.operators.asof import asof
 from tradeflow.operators.scoring import Thresholds, score
+from tradeflow.sources.scratch import kept
 
 #: The moment queries take as now; no query reads a clock.
 NOW = "2001-11-05 00:00:00"
@@ -97,14 +98,19 @@ class Domain:
             F.col("l_extendedprice").alias("notional"), (F.col("l_extendedprice") / price).alias("shares"), F.col("l_shipdate").alias("traded_at"),
             F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"))
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """trades, written once: for what reads them more than once."""
+        return kept(self.trades)
+
     @cached_property
     def markets(self) -> DataFrame:
-        return self.trades.groupBy("market_id", "event_id", "category_id").agg(
+        return self.__dict__.get("stored", self.trades).groupBy("market_id", "event_id", "category_id").agg(
             F.min("traded_at").alias("start_at"), (F.max("traded_at") + F.expr("INTERVAL 30 DAYS")).alias("end_at"), F.count("*").alias("n_trades"))
 
     @cached_property
     def scored(self) -> DataFrame:
-        t = self.trades
+        t = self.stored
         base = t.groupBy("market_id", "outcome").agg(F.count("*").alias("m_count"), F.sum("notional").alias("m_total"), F.percentile("notional", F.array(F.lit(0.95), F.lit(0.99))).alias("_m"))
         base = base.select("market_id", "outcome", "m_count", "m_total", F.col("_m")[0].alias("m_p95"), F.col("_m")[1].alias("m_p99"))
         tb = t.groupBy("trader_id").agg(F.count("*").alias("t_count"), F.percentile("notional", F.array(F.lit(0.95), F.lit(0.99))).alias("_t"))
@@ -115,12 +121,13 @@ class Domain:
 
     @cached_property
     def alerts(self) -> DataFrame:
+        """Trades that fired, few beside all trades; written once, as most queries on them read them more than once."""
         a = self.scored.where("severity is not null").groupBy("market_id", "event_id", "category_id", "outcome", "side", "trader_id", "order_id", "line_no", "traded_at").agg(
             F.min("price").alias("price"), F.max("notional").alias("notional"), F.max("odds").alias("odds"), F.max("lifecycle").alias("lifecycle"), F.min("severity").alias("severity"))
         key = F.concat_ws("|", F.lit("trade"), *[F.col(c).cast("string") for c in ("market_id", "outcome", "trader_id", "order_id", "line_no")], F.date_format("traded_at", "yyyy-MM-dd"))
         kind = F.when(F.col("lifecycle") >= 90, "hot_trade").otherwise("trade")
-        return a.select(key.alias("dedup_key"), "market_id", "event_id", "category_id", "outcome", "side", "trader_id", "price", "notional", "odds", "lifecycle", "severity",
-                        F.col("traded_at").alias("sent_at"), kind.alias("kind"), self.status().alias("outcome_status"))
+        return kept(a.select(key.alias("dedup_key"), "market_id", "event_id", "category_id", "outcome", "side", "trader_id", "price", "notional", "odds", "lifecycle", "severity",
+                        F.col("traded_at").alias("sent_at"), kind.alias("kind"), self.status().alias("outcome_status")))
 
     @staticmethod
     def status() -> Column:
@@ -131,14 +138,14 @@ class Domain:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return self.trades.groupBy("market_id", "outcome", F.col("traded_at").alias("at")).agg(F.avg("price").alias("price"))
+        return self.__dict__.get("stored", self.trades).groupBy("market_id", "outcome", F.col("traded_at").alias("at")).agg(F.avg("price").alias("price"))
 
     @cached_property
     def measured(self) -> DataFrame:
-        """Alerts with forward returns (relative) and moves (cents) at each horizon."""
+        """Alerts with forward returns (relative) and moves (cents) at each horizon; written once."""
         from tradeflow.operators.outcomes import forward_returns
 
-        return forward_returns(self.alerts, self.daily, ["market_id", "outcome"], "sent_at", "at", HORIZONS)
+        return kept(forward_returns(self.alerts, kept(self.daily), ["market_id", "outcome"], "sent_at", "at", HORIZONS))
 
     @cached_property
     def decisions(self) -> DataFrame:

@@ -7,9 +7,10 @@ the caller's. State is bounded by watermarks, or by one row per key.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,6 +22,13 @@ def files(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def replay(rows: DataFrame, path: str, arrival: Column, days: int = 5) -> None:
+    """Adds rows to the folder at path as a feed would: a file for each stretch of `days` that rows arrive in, one after the other."""
+    d = rows.withColumn("_slice", F.floor(F.unix_micros(arrival.cast("timestamp")) / (days * 86_400_000_000)))
+    for r in d.select("_slice").distinct().orderBy("_slice").collect():  # a row a stretch
+        d.where(F.col("_slice") == r["_slice"]).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+
+
 def first_seen(events: DataFrame, keys: list[str], at: str = "ts", late: str = "1 hour") -> DataFrame:
     """Each key once within the watermark: redelivered events are dropped, rows later than it are too."""
     return events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).dropDuplicatesWithinWatermark(keys).drop("_at")
@@ -65,6 +73,17 @@ def moves(events: DataFrame, key: str, mid: str, at: str = "ts", least: float =
     return e.groupBy(key).applyInPandasWithState(step, schema, "last double, quiet double", "append", GroupStateTimeout.NoTimeout)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the queries started inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def drain(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
     """Runs a stream to the end of what is there into a Parquet table at path and returns its rows; for tests and back-fills.
 
