@@ -20,8 +20,10 @@ table gives two empty tables. Columns other than id and text are not read.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,9 @@ ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary#ids.list.element": "true", "parquet.dictionary.page.size": str(1 << 20)},
     "delta": {"parquet.enable.dictionary#ids.list.element": "false"},
 }
-#: Distinct words whose ids a worker keeps; when there are more, it starts anew.
-MOST_KEPT = 300_000
-#: Characters of the longest word that is kept.
+#: Distinct pieces whose ids a worker keeps; when there are more, it starts anew.
+MOST_KEPT = 500_000
+#: Characters of the longest piece that is kept.
 LONGEST_KEPT = 40
 
 _loaded: dict[str, Words] = {}
@@ -48,14 +50,14 @@ _loaded: dict[str, Words] = {}
 class Words:
     """Token ids of texts by a tokenizer file, as bytes of little-endian unsigned 32-bit integers.
 
-    For tokenizers that drop white space before anything else, so that what stands between two spaces is encoded alone
-    (`splits` says whether a file is one; others encode whole texts). Words are then encoded once and kept, and
-    words of letters whose normal form is known are cut by the file's own pattern, which leaves the merging of
-    pieces to the library. All other words, and those with a special token's beginning, go through the library whole."""
+    For tokenizers that lower-case, drop white space and merge within the pieces of a pattern (`splits` says whether a file is
+    one; others encode whole texts): what stands between spaces is then encoded alone. Runs of words whose characters are their
+    own normal form are cut by the file's own pattern, and each piece is merged by the library once and kept. All other
+    words, and those with a special token's beginning, go through the library whole."""
 
-    #: Characters up to U+024F but for white space, controls and U+0130, whose small form is two characters:
-    #: they are their own normal form.
-    PLAIN = re.compile("[!-~¡-įı-ɏ]*")
+    #: Characters up to U+024F but for white space, controls and U+0130, whose small form is two characters: they
+    #: are their own normal form.
+    PLAIN = "!-~¡-įı-ɏ"
 
     def __init__(self, path: str):
         import json
@@ -66,8 +68,8 @@ class Words:
 
         self.whole = Tokenizer.from_file(path)
         told = json.loads(self.whole.to_str())
-        self.kept: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
         steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         normal = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers") or []]
         #: The chain for which words stand alone and the short way is known to be the library's.
@@ -76,40 +78,53 @@ class Words:
             and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"] and told["model"]["type"] == "BPE" and told["normalizer"]["normalizers"][1]["content"] == " "
         )
         if self.splits:
-            self.cut = regex.compile(steps[0]["pattern"]["Regex"]).findall
+            self.plain = re.compile(f"[{self.PLAIN} \n]*").fullmatch
             bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
-            chars = [chr(c) for c in range(0x21, 0x250) if self.PLAIN.fullmatch(chr(c))]
-            self.shown = str.maketrans({c: bytewise.pre_tokenize_str(c)[0][0] for c in {*chars, *"".join(chars).lower()}})
+            chars = [chr(c) for c in range(0x21, 0x250) if self.plain(chr(c))]
+            chars = sorted({*chars, *"".join(chars).lower()})
+            # The pattern's classes of letters and numbers as the plain characters in them.
+            among = lambda kind: "".join(re.escape(c) for c in chars if regex.fullmatch(kind, c))
+            self.cut = re.compile(steps[0]["pattern"]["Regex"].replace(r"\p{L}", among(r"\p{L}")).replace(r"\p{N}", among(r"\p{N}"))).findall
+            self.shown = str.maketrans({c: bytewise.pre_tokenize_str(c)[0][0] for c in chars})
             self.special = [t["content"][:2] for t in told["added_tokens"]]
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if not self.PLAIN.fullmatch(word) or any(s in word for s in self.special):
+        ids = self.whole.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _run(self, text: str) -> bytes:
+        """A text of plain words."""
+        known, found = self.pieces, self.cut(text.lower())
+        fresh = set(found).difference(known)
+        for piece in fresh:
+            ids = [t.id for t in self.whole.model.tokenize(piece.translate(self.shown))]
+            known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        out = b"".join(map(known.__getitem__, found))
+        for piece in fresh:
+            if len(piece) > LONGEST_KEPT:
+                del known[piece]
+        return out
+
+    def _odd(self, word: str) -> bytes:
+        if len(word) > LONGEST_KEPT:
             return self._ids(word)
-        out = []
-        for piece in self.cut(word.lower()):
-            found = self.pieces.get(piece)
-            if found is None:
-                found = np.array([t.id for t in self.whole.model.tokenize(piece.translate(self.shown))], "<u4").tobytes()
-                if len(piece) <= LONGEST_KEPT:
-                    self.pieces[piece] = found
-            out.append(found)
-        return b"".join(out)
+        if word not in self.odd:
+            self.odd[word] = self._ids(word)
+        return self.odd[word]
 
     def __call__(self, text: str) -> bytes:
         if not self.splits:
             return self._ids(text)
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if len(self.kept) > MOST_KEPT:
-            self.kept = {"": b""}
-        if len(self.pieces) > MOST_KEPT:
-            self.pieces = {}
-        known = self.kept
-        fresh = {w: self._word(w) for w in set(words).difference(known)}
-        known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST_KEPT)
-        return b"".join([known[w] if w in known else fresh[w] for w in words])
+        for kept in (self.pieces, self.odd):
+            if len(kept) > MOST_KEPT:
+                kept.clear()
+        special = any(s in text for s in self.special)
+        if not special and self.plain(text):
+            return self._run(text)
+        out = []
+        for plain, words in groupby(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), lambda w: bool(self.plain(w)) and not (special and any(s in w for s in self.special))):
+            out += [self._run(" ".join(words))] if plain else map(self._odd, words)
+        return b"".join(out)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
