@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradeflow.operators.islands import quiet_cut
+
 
 def new_rows(batch: DataFrame, history: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """First row of each key of the batch that history lacks. A second run with the same batch adds nothing."""
@@ -56,15 +58,18 @@ def fingerprint(d: DataFrame, key: list[str], parts: list[str]) -> DataFrame:
     return hashed.groupBy(*key).agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256).alias("fingerprint"), F.count("*").alias("n"))
 
 
-def cluster_alerts(candidates: DataFrame, key: str, hours: float = 1.0, min_trades: int = 3, min_wallets: int = 2, min_usd: float = 1_000, cooldown_hours: float = 1.0) -> DataFrame:
-    """Hard alerts of a sliding window per key: enough trades, wallets and money, then a cool-down.
+def cluster_alerts(candidates: DataFrame, key: str, hours: float = 1.0, min_trades: int = 3, min_wallets: int = 2, min_usd: float = 1_000, cooldown_hours: float = 1.0, sample: int = 5) -> DataFrame:
+    """Hard alerts of a sliding window per key: enough trades, wallets and money, then a cool-down; with the window's oldest
+    `sample` rows as wallet=notional.
 
-    Which row fires depends on earlier firings, so rows of a key are walked in order; candidates are
-    only anomalous trades, and the walk holds a window of them, batch after batch, not the key."""
-    schema = "key string, at timestamp, trades int, wallets int, total double"
+    Which row fires depends on earlier firings, so rows are walked in order, but a key is cut where it is quiet for longer than
+    the window and the cool-down: nothing is kept over such a gap, and its stretches are walked side by side. A walk holds a
+    window of anomalous trades, batch after batch, not a stretch."""
+    schema = "key string, at timestamp, trades int, wallets int, total double, sample array<string>"
 
     def walk(_key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import deque
+        from itertools import islice
 
         window, quiet_until, span, rest = deque(), None, pd.Timedelta(hours=hours), pd.Timedelta(hours=cooldown_hours)
         for rows in batches:
@@ -78,17 +83,18 @@ def cluster_alerts(candidates: DataFrame, key: str, hours: float = 1.0, min_trad
                 wallets = {w for _, w, _ in window if w}
                 total = sum(x for _, _, x in window)
                 if len(window) >= min_trades and len(wallets) >= min_wallets and total >= min_usd:
-                    out.append((r.key, r.at, len(window), len(wallets), total))
+                    out.append((r.key, r.at, len(window), len(wallets), total, [f"{w}={x:.2f}" for _, w, x in islice(window, sample)]))
                     quiet_until = r.at + rest
             if out:
-                yield pd.DataFrame(out, columns=["key", "at", "trades", "wallets", "total"])
+                yield pd.DataFrame(out, columns=["key", "at", "trades", "wallets", "total", "sample"])
 
-    return _walked(candidates, key, walk, schema, ["wallet", "notional"])
+    return _walked(candidates, key, walk, schema, ["wallet", "notional"], max(hours, cooldown_hours))
 
 
 def concentration_gate(alerts: DataFrame, event: str = "event_id", wallet: str = "trader_id", wallet_hours: float = 6, event_hours: float = 24, event_count: int = 3, factor: float = 2.0) -> DataFrame:
     """Adds passes to info alerts by accepted history: a wallet needs factor x its largest of wallet_hours, an
-    event with event_count alerts factor x its largest of event_hours. Others pass and count."""
+    event with event_count alerts factor x its largest of event_hours. Others pass and count. Events are cut where they are quiet for
+    longer than both."""
     schema = "key string, dedup_key string, passes boolean"
 
     def walk(_key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,16 +117,20 @@ def concentration_gate(alerts: DataFrame, event: str = "event_id", wallet: str =
             yield pd.DataFrame(out, columns=["key", "dedup_key", "passes"])
 
     d = alerts.withColumn("wallet", F.col(wallet).cast("string")).withColumnRenamed("sent_at", "at")
-    return _walked(d, event, walk, schema, ["wallet", "notional", "severity", "dedup_key"])
+    return _walked(d, event, walk, schema, ["wallet", "notional", "severity", "dedup_key"], max(wallet_hours, event_hours))
 
 
-def _walked(d: DataFrame, key: str, walk, schema: str, columns: list[str]) -> DataFrame:
-    """Rows of a key in time order, through an iterator of Arrow batches: a key is never held whole."""
+def _walked(d: DataFrame, key: str, walk, schema: str, columns: list[str], quiet_hours: float) -> DataFrame:
+    """Rows of a stretch of a key in time order, through an iterator of Arrow batches: a stretch is never held whole. A key is cut
+    after every pause longer than quiet_hours."""
     src = d.select(F.col(key).cast("string").alias("key"), F.col("at").cast("timestamp").alias("at"), *columns)
-    dealt = src.repartition("key").sortWithinPartitions("key", "at", *columns)
+    src = quiet_cut(src, "key", "at", f"{int(quiet_hours * 3_600)} SECONDS")
+    # The stretch a row is walked in, by key and first time; null keys are a key.
+    part = F.concat(F.coalesce(F.concat(F.lit("k"), F.col("key")), F.lit("n")), F.lit("|"), F.unix_micros("_island.at").cast("string"))
+    dealt = src.withColumn("part", part).drop("_island").repartition("part").sortWithinPartitions("part", "at", *columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Splits the sorted stream at key borders; `walk` pulls the rows of one key at a time."""
+        """Splits the sorted stream where the stretch changes; `walk` pulls the rows of one stretch at a time."""
         state = {"rest": None, "it": iter(batches)}
 
         def pull():
@@ -132,16 +142,14 @@ def _walked(d: DataFrame, key: str, walk, schema: str, columns: list[str]) -> Da
 
         def rows_of(k):
             while (b := pull()) is not None:
-                own = b["key"] == k if k is not None else b["key"].isna()
-                n = int(own.to_numpy().cumprod().sum())
+                n = int((b["part"] == k).to_numpy().cumprod().sum())
                 if not n:
                     return
                 state["rest"] = b.iloc[n:]
                 yield b.iloc[:n]
 
         while (b := pull()) is not None:
-            k = b["key"].iloc[0]
-            yield from walk(k, rows_of(None if pd.isna(k) else k))
+            yield from walk(b["part"].iloc[0], rows_of(b["part"].iloc[0]))
 
     return dealt.mapInPandas(run, schema)
 

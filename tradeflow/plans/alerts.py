@@ -100,10 +100,10 @@ def concentration_gate(t):
     return state.concentration_gate(t.alerts, wallet_hours=24 * 30, event_hours=24 * 7)
 
 
-@query('SELECT key, moment AS "at", trades, wallets, round(total, 2) AS total FROM fired JOIN hits USING (key, seq)', "RECURSIVE " + ALERTS_SQL + """, numbered AS (
+@query('SELECT key, moment AS "at", trades, wallets, round(total, 2) AS total, sample FROM fired JOIN hits USING (key, seq)', "RECURSIVE " + ALERTS_SQL + """, numbered AS (
   SELECT category_id::VARCHAR AS key, traded_at::TIMESTAMP AS moment, trader_id::VARCHAR AS wallet, notional,
          row_number() OVER (PARTITION BY category_id ORDER BY traded_at, trader_id::VARCHAR, notional) AS seq FROM scored WHERE severity IS NOT NULL), hits AS (
-  SELECT r.key, r.seq, r.moment, count(*)::INT AS trades, count(DISTINCT w.wallet)::INT AS wallets, sum(w.notional) AS total
+  SELECT r.key, r.seq, r.moment, count(*)::INT AS trades, count(DISTINCT w.wallet)::INT AS wallets, sum(w.notional) AS total, array_to_string(list(w.wallet || '=' || printf('%.2f', w.notional) ORDER BY w.seq)[1:5], '|') AS sample
   FROM numbered r JOIN numbered w ON r.key = w.key AND w.seq <= r.seq AND w.moment >= r.moment - INTERVAL 48 HOUR
   GROUP BY r.key, r.seq, r.moment HAVING count(*) >= 5 AND count(DISTINCT w.wallet) >= 3 AND sum(w.notional) >= 200000), firsts AS (
   SELECT key, moment, min(seq) AS seq FROM hits GROUP BY key, moment), later AS (
@@ -113,7 +113,7 @@ def cluster_alerts(t):
     """Hard alerts of a sliding window with cool-down, over anomalous trades."""
     c = t.scored.where("severity is not null").select(F.col("category_id"), F.col("traded_at").alias("at"), F.col("trader_id").cast("string").alias("wallet"), "notional")
     d = state.cluster_alerts(c, "category_id", hours=48, min_trades=5, min_wallets=3, min_usd=200_000, cooldown_hours=24 * 14)
-    return d.select("key", F.col("at").cast("timestamp_ntz").alias("at"), "trades", "wallets", F.round("total", 2).alias("total"))
+    return d.select("key", F.col("at").cast("timestamp_ntz").alias("at"), "trades", "wallets", F.round("total", 2).alias("total"), F.array_join("sample", "|").alias("sample"))
 
 
 @query("SELECT dedup_key, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("ret_15m", "ret_1h", "ret_6h", "ret_24h")) + ", CASE (ret_15m IS NOT NULL)::INT + (ret_1h IS NOT NULL)::INT + (ret_6h IS NOT NULL)::INT + (ret_24h IS NOT NULL)::INT WHEN 4 THEN 'done' WHEN 0 THEN 'pending' ELSE 'partial' END AS status FROM measured", MEASURED_SQL)

@@ -1,13 +1,13 @@
-"""Queries over what lay before each row: reservoirs of the newest trades."""
+"""Queries over what lay before each row: reservoirs, rolling windows, gates by what was allowed, inputs as loaded by then."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tradeflow.operators import reservoir
+from tradeflow.operators import islands, panes, reservoir, staged
 from tradeflow.operators.scoring import Thresholds, score
 from tradeflow.plans.named import query
-from tradeflow.sources.trades import TRADES_SQL
+from tradeflow.sources.trades import ALERTS_SQL, TRADES_SQL
 
 #: Newest trades of a key and their greatest age: so that on the driver's trades either bound is met.
 SAMPLES, WINDOW = 100, 365
@@ -46,3 +46,42 @@ def scored_reservoir(t):
     w = w.select(*m.columns, F.col("n").alias("t_count"), F.col("p95").alias("t_p95"), F.col("p99").alias("t_p99"))
     d = score(w, Thresholds.for_driver())
     return d.groupBy("market_id", F.coalesce("severity", F.lit("none")).alias("severity")).agg(F.count("*").alias("n"), F.round(F.sum("notional"), 2).alias("usd"))
+
+
+@query("""WITH p AS (SELECT event_type, CAST(floor(epoch(ts) / 60) AS BIGINT) AS pane, value FROM events), e AS (SELECT DISTINCT event_type, pane FROM p)
+  SELECT e.event_type, to_timestamp((e.pane + 1) * 60)::TIMESTAMP AS end_at, count(*) AS n, count(DISTINCT p.pane) AS panes, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high, round(median(value), 6) AS median, round(count(*) / 1440.0, 6) AS per_minute
+  FROM e JOIN p ON p.event_type = e.event_type AND p.pane BETWEEN e.pane - 1439 AND e.pane GROUP BY e.event_type, e.pane""")
+def rolling_windows(t):
+    """The day that ends with each active minute, folded from minute panes."""
+    d = panes.windows(panes.panes(t.table("events"), ["event_type"], "ts", "value"), ["event_type"], width=1_440)
+    return d.select("event_type", F.col("end_at").cast("timestamp_ntz").alias("end_at"), "n", "panes", F.round("total", 4).alias("total"), "low", "high", F.round("median", 6).alias("median"), F.round("per_minute", 6).alias("per_minute"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT event_type, ts, event_id, CASE WHEN value < 90 THEN 'low' ELSE 'high' END AS code FROM events),
+  f AS (SELECT *, lag(code) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM c), g AS (SELECT *, sum(CASE WHEN before = code THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM f),
+  e AS (SELECT *, row_number() OVER (PARTITION BY event_type, run ORDER BY ts, event_id) AS k FROM g),
+  w AS (SELECT event_type, run, k, event_id, ts AS last_at, CASE WHEN before IS NULL THEN 'no_prior_semantic' ELSE 'semantic_changed' END AS reason FROM e WHERE k = 1 UNION ALL
+    SELECT e.event_type, e.run, e.k, e.event_id, CASE WHEN e.ts - w.last_at >= INTERVAL 3 HOUR THEN e.ts ELSE w.last_at END, CASE WHEN e.ts - w.last_at >= INTERVAL 3 HOUR THEN 'cooldown_elapsed' ELSE 'cooldown_active' END FROM w JOIN e ON e.event_type = w.event_type AND e.run = w.run AND e.k = w.k + 1)
+  SELECT event_id, reason <> 'cooldown_active' AS allowed, reason FROM w""")
+def semantic_gate(t):
+    """Reports that may ship: the conclusion changed, or three hours passed since the same one last shipped."""
+    e = t.table("events").withColumn("code", F.when(F.col("value") < 90, "low").otherwise("high"))
+    d = islands.semantic_gate(e, "event_type", "ts", "code", ["event_id"], cooldown_s=3 * 3_600, bucket_days=3)
+    return d.select("event_id", "allowed", "reason")
+
+
+LOADED_SQL = """, loaded AS (SELECT market_id, date_trunc('month', traded_at)::TIMESTAMP + INTERVAL 1 MONTH AS loaded_at, trader_id, sum(notional) AS usd FROM trades WHERE (market_id + month(traded_at)) % 3 = 0 GROUP BY ALL),
+  versions AS (SELECT DISTINCT market_id, loaded_at FROM loaded), top AS (SELECT market_id, loaded_at, count(*) AS n, arg_min(trader_id, r) AS first, sum(usd) AS usd FROM (SELECT *, row_number() OVER (PARTITION BY market_id, loaded_at ORDER BY usd DESC, trader_id) AS r FROM loaded) WHERE r <= 5 GROUP BY ALL),
+  seen AS (SELECT a.dedup_key, a.market_id, a.sent_at, v.loaded_at FROM alerts a ASOF LEFT JOIN versions v ON a.market_id = v.market_id AND a.sent_at >= v.loaded_at),
+  said AS (SELECT *, CASE WHEN loaded_at IS NULL THEN 'missing' WHEN sent_at <= loaded_at + INTERVAL 45 DAY THEN 'fresh' ELSE 'stale' END AS state FROM seen)"""
+
+
+@query("SELECT dedup_key, s.loaded_at, state, CASE WHEN state = 'fresh' THEN n END AS holders, CASE WHEN state = 'fresh' THEN first END AS largest_holder, CASE WHEN state = 'fresh' THEN round(usd, 2) END AS usd FROM said s LEFT JOIN top t ON s.market_id = t.market_id AND s.loaded_at = t.loaded_at", ALERTS_SQL + LOADED_SQL)
+def staged_holders(t):
+    """The five largest holders that an alert could read: of the newest load before it, if that is at most 45 days old."""
+    month = F.date_trunc("month", "traded_at").cast("timestamp_ntz") + F.expr("INTERVAL 1 MONTH")
+    loaded = t.stored.where((F.col("market_id") + F.month("traded_at")) % 3 == 0).groupBy("market_id", month.alias("loaded_at"), "trader_id").agg(F.sum("notional").alias("usd"))
+    a = t.alerts.select("dedup_key", "market_id", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"))
+    d = staged.staged(a, loaded, ["market_id"], "sent_at", "loaded_at", ["trader_id", "usd"], [F.desc("usd"), F.col("trader_id")], "45 DAYS", 5)
+    total = F.aggregate("rows", F.lit(0.0), lambda s, x: s + x["usd"])
+    return d.select("dedup_key", "loaded_at", "state", F.when(F.col("rows").isNotNull(), F.size("rows")).cast("long").alias("holders"), F.get("rows", F.lit(0))["trader_id"].alias("largest_holder"), F.round(F.when(F.col("rows").isNotNull(), total), 2).alias("usd"))
