@@ -123,7 +123,8 @@ def test_odd_inputs(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "here a (Short  item), stands"), (4, "shortitem"), (5, "x " * 30_000 + "a longer item of the benchmark that is to be found whole"), (6, "a short items"), (None, "short item"), (3, "here a short item")],
                                  "doc_id long, text string").selectExpr("doc_id", "text", "1 AS item_id", "2 AS edits")
     got = sorted((r["doc_id"] or 0, r["item_id"]) for r in dc.found(docs, items).collect())
-    assert got == [(0, 1), (3, 1), (5, 4), (5, 5)]
+    # A short item is found with its one edit (4) and inside a word (6), as any item is.
+    assert got == [(0, 1), (3, 1), (4, 1), (5, 4), (5, 5), (6, 1)]
     assert dc.found(docs.limit(0), items).count() == 0
     assert dc.found(docs, items.limit(0)).count() == 0
 
@@ -155,3 +156,31 @@ def test_edited_item_beside_an_exact_one():
         docs.append(" ".join([text(30), *parts, text(30)]))
     got = {(d, i) for d, i, _, _ in finder(items).hits(docs)}
     assert got <= truth and len(got) >= 0.9 * len(truth)
+
+
+def test_short_items_with_edits_lose_nothing():
+    """Items under 24 bytes at the full ratio, inside words and at the ends of texts, against every stretch of the text."""
+    r = random.Random(9)
+    items = [(i, "".join(r.choice("abcdeé ") for _ in range(r.randrange(3, 24))).strip() or "abc") for i in range(60)]
+    items = [(i, t) for i, t in items if len(dc.normal(t)) < dc.LEAST] + [(900, "the quick brown fox")]
+    docs = ["we saw the quick brown fix here today", "thequick brown fox", "no such thing", ""]
+    for _, t in items:
+        z = list(t)
+        for _ in range(int(0.1 * len(t)) + r.choice([0, 0, 1])):
+            p = r.randrange(len(z) or 1)
+            z[p : p + 1] = r.choice([[], ["x"], ["y", "z"]])
+        docs += ["".join(z), "some" + "".join(z) + "more", "".join(r.choice("abcdeé ") for _ in range(300)) + "".join(z)]
+    finder = dc.Finder(items, 0.1, 5, 20, 4, 11, 0.2)
+    got: dict = {}
+    for d, i, _, k in finder.hits(docs):
+        got[d, i] = min(k, got.get((d, i), 99))
+    want = {}
+    for d, t in enumerate(docs):
+        t = dc.normal(t).decode()
+        for i, x in items:
+            x = dc.normal(x).decode()
+            best = dc.infix_distance(x, t, int(0.1 * len(x)))[0] if t else 99
+            if best <= int(0.1 * len(x)):
+                want[d, i] = best
+    assert got == want and got[0, 900] == 1 and got[1, 900] == 1
+    assert {k for k in dc.Finder([(1, "cat")], 0.1, 5, 20, 4, 11, 0.2, whole_words=True).hits(["concatenate", "a cat."])} == {(1, 1, 5, 0)}

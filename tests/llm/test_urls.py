@@ -70,3 +70,14 @@ def test_no_labels(spark):
     d = spark.createDataFrame([(1, "http://a.b/c"), (1, "http://a.b/c"), (2, None)], "page_id long, url string")
     assert [r["verdict"] for r in urls.judged(d).collect()] == ["allow"] * 3
     assert urls.judged(d.limit(0)).count() == 0
+
+
+def test_a_url_with_several_labels_gives_one_result(spark):
+    """Copies of a url with different labels, in any order, train the same trees."""
+    rows = [(i, f"https://{'bad' if i % 3 == 0 else 'good'}{i % 11}.example.com/{'x' * (i % 7)}/{i % 20}", float(i % 3 == 0)) for i in range(120)]
+    rows += [(i, u, 1.0 - y) for i, u, y in rows[::4]]
+    got = []
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "page_id long, url string, label double").repartition(3)
+        got.append(sorted((r["page_id"], r["verdict"], round(r["p_block"], 9)) for r in urls.judged(d, labelled=d.select("url", "label")).collect()))
+    assert got[0] == got[1]

@@ -22,9 +22,12 @@ At scale: one pass over documents, no shuffle but for the distinct hits; memory
 batch. The benchmark's tables are made once and broadcast in blocks of at most `block_bytes` of item text;
 a larger benchmark is several passes.
 
+Items under 24 bytes are too short to be embedded: with k edits allowed, one of an item's k + 1 pieces stands unedited in any
+stretch, so all pieces of all short items are looked up at once and what stands around one is verified. Nothing is lost there.
+They are found inside words too, unless `whole_words` is set.
+
 Null and empty texts contain nothing; of very long ones the whole is searched. Repeated rows are found
-like one. Items shorter than 24 bytes are matched only whole and exactly, not inside words.
-Null items are skipped; items with equal texts are all reported.
+like one. Null and empty items are skipped; items with equal texts are all reported.
 """
 
 from collections.abc import Iterator
@@ -182,9 +185,11 @@ class Seeds:
 class Finder:
     """Finds a block of items in batches of texts."""
 
-    def __init__(self, items: list[tuple[int, str]], ratio: float, walks: int, tables: int, sampled: int, seed: int, band: float):
+    def __init__(self, items: list[tuple[int, str]], ratio: float, walks: int, tables: int, sampled: int, seed: int, band: float, whole_words: bool = False):
         norm = [(i, normal(t)) for i, t in items]
-        self.short = [(i, t) for i, t in norm if 0 < len(t) < LEAST]
+        self.short = [(i, x, int(ratio * len(x))) for i, x in ((i, t.decode("utf-8", "replace")) for i, t in norm if 0 < len(t) < LEAST)]
+        self.whole_words = whole_words
+        self.pieces = self._pieces()
         self.items = [(i, t) for i, t in norm if len(t) >= LEAST]
         self.text = [t.decode("utf-8", "replace") for _, t in self.items]
         self.most = [int(ratio * len(t)) for t in self.text]
@@ -240,25 +245,48 @@ class Finder:
             near = word[np.cumsum(edge[:-1]) > 0]
             yield int(band), np.unique(np.concatenate([near, at[(at >= 0) & (at < len(a))]])), np.sort((item[here] << np.int64(40)) + at + 1_000_000)
 
-    def _whole(self, docs: list[str]) -> Iterator[tuple[int, int, int, int]]:
-        """Short items, character by character."""
+    def _pieces(self):
+        """An automaton of the short items' pieces: (item, offset of the piece) of each."""
+        import ahocorasick
+
+        owners: dict[str, list[tuple[int, int]]] = {}
+        for o, (_, x, k) in enumerate(self.short):
+            cuts = [len(x) * j // (k + 1) for j in range(k + 2)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                owners.setdefault(x[lo:hi], []).append((o, lo))
+        out = ahocorasick.Automaton()
+        for piece, own in owners.items():
+            out.add_word(piece, (len(piece), own))
+        if owners:
+            out.make_automaton()
+        return out
+
+    def _few(self, docs: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """Short items, by what stands around their pieces."""
         letter = lambda c: c.isalnum() and ord(c) < 0x2E80  # noqa: E731  scripts without spaces have no borders
+
+        def inside(t: str, lo: int, hi: int) -> bool:
+            return bool(lo and letter(t[lo - 1]) and letter(t[lo]) or hi < len(t) and letter(t[hi]) and letter(t[hi - 1]))
+
         for d, t in enumerate(docs):
-            for i, x in self.short:
-                x = x.decode("utf-8", "replace")
-                k = t.find(x)
-                while k >= 0:
-                    end = k + len(x)
-                    if not (k and letter(t[k - 1]) and letter(x[0])) and not (end < len(t) and letter(t[end]) and letter(x[-1])):
-                        yield d, i, end, 0
-                        break
-                    k = t.find(x, k + 1)
+            best: dict[int, int] = {}
+            for last, (size, own) in self.pieces.iter(t):
+                for o, offset in own:
+                    i, x, k = self.short[o]
+                    at = last + 1 - size - offset
+                    if best.get(o, k + 1) == 0 or self.whole_words and inside(t, max(0, at), min(len(t), at + len(x))):
+                        continue
+                    low = max(0, at - k)
+                    dist, to = infix_distance(x, t[low : at + len(x) + k], k)
+                    if dist < best.get(o, k + 1):
+                        best[o] = dist
+                        yield d, i, low + to, dist
 
     def hits(self, texts: list) -> Iterator[tuple[int, int, int, int]]:
         """(index of the text, item id, end of the stretch, edits), some more than once."""
         docs = [normal(t) if t else b"" for t in texts]
         if self.short:
-            yield from self._whole([t.decode("utf-8", "replace") for t in docs])
+            yield from self._few([t.decode("utf-8", "replace") for t in docs])
         if not self.items or not any(docs):
             return
         start = np.cumsum([0, *[len(t) + APART for t in docs]])
@@ -322,7 +350,7 @@ class Finder:
 
 
 def found(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", ratio: float = 0.1,
-          walks: int = 5, tables: int = 20, sampled: int = 4, seed: int = 11, band: float = 0.2, block_bytes: int = 2_000_000) -> DataFrame:
+          walks: int = 5, tables: int = 20, sampled: int = 4, seed: int = 11, band: float = 0.2, block_bytes: int = 2_000_000, whole_words: bool = False) -> DataFrame:
     """Distinct (id, item_id) with the least edits and the end of that stretch in the normalised text.
 
     The defaults' recall, measured against brute force, is in the tests."""
@@ -332,7 +360,7 @@ def found(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     ids = pa.int64() if dict(items.dtypes)[item_id] == "bigint" else None
 
     def one(block: list[tuple]) -> DataFrame:
-        shared = sc.broadcast(Finder(block, ratio, walks, tables, sampled, seed, band))  # of at most block_bytes of item text
+        shared = sc.broadcast(Finder(block, ratio, walks, tables, sampled, seed, band, whole_words))  # of at most block_bytes of item text
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = shared.value
@@ -349,7 +377,7 @@ def found(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     parts, block, size = [], [], 0
     for r in rows:
         block.append((r[0], r[1]))
-        size += len(r[1])
+        size += len(r[1].encode())
         if size >= block_bytes:
             parts, block, size = [*parts, one(block)], [], 0
     if block or not parts:

@@ -95,26 +95,35 @@ def judged(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules=RU
     """id, host, path, rule, verdict and the model's probability of block.
 
     labelled (url, label 0/1) holds the training urls. At most `sample` of them, those of the smallest url
-    hashes, are used."""
+    hashes, are used; a url with several labels has the largest of them. A suffix's share of blocked urls leaves the row
+    itself out in training."""
     d = ruled(parts(pages.select(id_col, url), url), rules)
     if labelled is None:
         verdict = F.coalesce("rule_verdict", F.lit("allow"))
         return d.select(id_col, "host", "path", "rule", verdict.alias("verdict"), F.lit(0.0).alias("p_block"))
     known = parts(labelled.select(F.col("url").alias(url), F.col("label").cast("double").alias("label")), url)
-    taken = known.dropDuplicates([url]).orderBy(F.xxhash64(url), url).limit(sample)
+    others = [c for c in known.columns if c not in (url, "label")]
+    taken = known.groupBy(url).agg(F.max("label").alias("label"), *[F.first(c).alias(c) for c in others])  # the others follow from the url
+    taken = taken.orderBy(F.xxhash64(url), url).limit(sample)
     train = cut(lexical(taken, url).drop("host", "path"))
     mean = train.agg(F.avg("label")).first()[0]
     if mean is None or mean in (0.0, 1.0):
         out = d.withColumn("p_block", F.lit(0.0))
     else:
         # Smoothed share of blocked urls of a suffix; the most frequent suffixes of the sample only.
-        stats = train.groupBy("_suffix").agg(F.count("*").alias("_n"), ((F.sum("label") + 10 * mean) / (F.count("*") + 10)).alias("f_suffix"))
-        stats = cut(stats.orderBy(F.desc("_n"), "_suffix").limit(suffixes).drop("_n"))
-        with_suffix = lambda x: x.join(F.broadcast(stats), "_suffix", "left").fillna({"f_suffix": float(mean)})
+        stats = train.groupBy("_suffix").agg(F.count("*").alias("_n"), F.sum("label").alias("_s"))
+        stats = cut(stats.orderBy(F.desc("_n"), "_suffix").limit(suffixes))
+
+        def with_suffix(x: DataFrame, own: Column) -> DataFrame:
+            """own: the label of a row that is among the suffix's, null where it is not."""
+            others, of_them = F.col("_s") - F.coalesce(own, F.lit(0.0)), F.col("_n") - own.isNotNull().cast("int")
+            share = F.coalesce((others + 10 * mean) / (of_them + 10), F.lit(float(mean)))
+            return x.join(F.broadcast(stats), "_suffix", "left").withColumn("f_suffix", share).drop("_s", "_n")
+
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
         fitted = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, cacheNodeIds=False)
-        model = fitted.fit(assembler.transform(with_suffix(train)).select("features", "label"))
-        scored = model.transform(assembler.transform(with_suffix(lexical(d, url))))
+        model = fitted.fit(assembler.transform(with_suffix(train, F.col("label"))).select("features", "label"))
+        scored = model.transform(assembler.transform(with_suffix(lexical(d, url), F.lit(None).cast("double"))))
         from pyspark.ml.functions import vector_to_array
 
         out = scored.withColumn("p_block", vector_to_array("probability")[1])
