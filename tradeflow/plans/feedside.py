@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tradeflow.operators import metrics, selector
 from tradeflow.plans.named import query
-from tradeflow.sources.scratch import kept
-from tradeflow.sources.trades import ALERTS_SQL
+from tradeflow.sources import paged
+from tradeflow.sources.scratch import kept, scratch
+from tradeflow.sources.trades import ALERTS_SQL, TRADES_SQL
 
 SINCE = "2001-06-01 00:00:00"
 PINS = [" 3 ", "5", "", "5", "8", "no such market"]
@@ -67,3 +70,15 @@ def metric_histograms(t):
     scored, report = metrics.observed(t.scored, seen)
     kept(scored.where(fired))
     return metrics.rows(t.spark, report.get).select("metric", "le", "n", F.round("total", 2).alias("total"), F.round("largest", 4).alias("largest"))
+
+
+@query("""SELECT market, count(*) AS n, round(sum(notional), 2) AS total, min(traded_at) AS oldest, (any_value(fresh) >= 250) AS incomplete FROM (SELECT CAST(market_id AS VARCHAR) AS market, notional, traded_at, count(*) OVER (PARTITION BY market_id) AS fresh,
+  row_number() OVER (PARTITION BY market_id ORDER BY traded_at DESC, order_id DESC, line_no DESC, notional DESC, price DESC, side DESC) AS r FROM trades WHERE traded_at >= TIMESTAMP '1997-01-01') WHERE r <= 250 GROUP BY market""", TRADES_SQL)
+def paged_trades(t):
+    """A back-fill of every market through pages of 50, five at most, back to a date; incomplete where the limit hid trades."""
+    path = f"{scratch(t.spark)}/feed-{uuid.uuid4().hex}"
+    paged.publish(t.trades, path, "market_id", [F.col(c) for c in ("traded_at", "order_id", "line_no", "notional", "price", "side")], "traded_at", "notional")
+    since = F.to_timestamp_ntz(F.lit("1997-01-01 00:00:00"))
+    micros = t.spark.range(1).select(F.unix_micros(since.cast("timestamp"))).first()[0]
+    d = paged.paged(t.spark, path, pageSize=50, maxPages=5, sinceMicros=micros)
+    return d.groupBy("market").agg(F.count("*").alias("n"), F.round(F.sum("notional"), 2).alias("total"), F.timestamp_micros(F.min("at_us")).cast("timestamp_ntz").alias("oldest"), F.bool_or("incomplete").alias("incomplete"))
