@@ -163,8 +163,8 @@ def holder_ranking(t):
 
 @query("""SELECT market_id, outcome, trader_id, level, round(score, 4) AS score, entered_top FROM (SELECT *, (rank <= 5 AND (prev_rank = 0 OR prev_rank > 5) AND ds >= 1) AS entered_top, CASE WHEN pen < 1 THEN 'none' WHEN pct_oi >= 0.15 THEN 'critical' WHEN pct_oi >= 0.08 THEN 'warning' WHEN pct_oi >= 0.03 OR (rank <= 5 AND (prev_rank = 0 OR prev_rank > 5) AND ds >= 1) THEN 'info' ELSE 'none' END AS level,
   100 * pct_oi * CASE WHEN prev_rank > 0 AND prev_rank > rank THEN 1 + least((prev_rank - rank) / 5, 1) ELSE 1 END * CASE WHEN ds > 0 THEN 1 + least(ds / greatest(ps, 1), 1) ELSE 1 END * pen AS score FROM
-  (SELECT *, CASE WHEN oid < -0.05 AND ds < abs(oid * ps) * 0.5 THEN 0.5 ELSE 1.0 END AS pen FROM (SELECT c.*, coalesce(p.rank, 0) AS prev_rank, coalesce(p.shares, 0) AS ps, c.shares - coalesce(p.shares, 0) AS ds, CASE WHEN p.total_oi > 0 THEN (c.total_oi - p.total_oi) / p.total_oi ELSE 0 END AS oid
-   FROM (SELECT * FROM ranked WHERE snap = 2) c LEFT JOIN (SELECT * FROM ranked WHERE snap = 1) p USING (market_id, outcome, trader_id)))) WHERE level <> 'none'""", TRADES_SQL + HOLDERS_SQL)
+  (SELECT *, CASE WHEN oid < -0.05 AND ds < abs(oid * ps) * 0.5 THEN 0.5 ELSE 1.0 END AS pen FROM (SELECT *, shares - ps AS ds, CASE WHEN poi > 0 THEN (total_oi - poi) / poi ELSE 0 END AS oid
+   FROM (SELECT *, coalesce(lag(rank) OVER w, 0) AS prev_rank, coalesce(lag(shares) OVER w, 0) AS ps, lag(total_oi) OVER w AS poi FROM ranked WINDOW w AS (PARTITION BY market_id, outcome, trader_id ORDER BY snap)) WHERE snap = 2))) WHERE level <> 'none'""", TRADES_SQL + HOLDERS_SQL)
 def holder_deltas(t):
     h = _holders(t)
     prev = h.where("snap = 1").select("market_id", "outcome", "trader_id", F.col("rank").alias("prev_rank"), F.col("shares").alias("prev_shares"), F.col("total_oi").alias("prev_total_oi"))

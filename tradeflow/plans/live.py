@@ -81,9 +81,17 @@ def stream_bars(t):
     return d.groupBy("event_type").agg(F.count("*").alias("bars"), F.sum("n").alias("n"))
 
 
-@query("SELECT count(*) AS n FROM events")
+@query("SELECT event_id, event_type, ts FROM events")
 def stream_first_seen(t):
-    return _drained(t, feeds.first_seen(_stream(t), ["event_id"])).agg(F.count("*").alias("n"))
+    """A feed that brings every eleventh event again after forty minutes, over several micro-batches: each comes out once."""
+    from tradeflow.sources.scratch import scratch
+
+    e = t.table("events")
+    again = e.where("event_id % 11 = 0").withColumn("arrival", F.col("ts") + F.expr("INTERVAL 40 MINUTES"))
+    at = f"{scratch(t.spark)}/feed-{uuid.uuid4().hex}"
+    feeds.replay(e.withColumn("arrival", F.col("ts")).unionByName(again), at, F.col("arrival"))
+    s = feeds.files(t.spark, at, again.schema, 1)
+    return _drained(t, feeds.first_seen(s, ["event_id"], late="2 hours")).select("event_id", "event_type", "ts")
 
 
 @query("SELECT event_type, count(*) AS n FROM (SELECT event_type, value, lag(value) OVER (PARTITION BY event_type ORDER BY ts, value) AS before FROM events) WHERE before <> 0 AND abs(value - before) / abs(before) >= 0.5 GROUP BY event_type")

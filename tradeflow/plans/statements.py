@@ -108,18 +108,22 @@ UPDATES = {
     "touch_prediction_evolution": ("status <> 'done'", {"stamp": "tm"}),
     "mark_report_failed": ("status = 'running'", {"status": "'failed'", "attempts": "attempts + 1"}),
     "mark_report_sent": ("status IN ('running', 'failed') AND v > 10", {"status": "'sent'", "stamp": "tm"}),
+    "reset_stale_detection_claims": (f"status IN ('pending', 'failed') AND stamp IS NOT NULL AND stamp < {LATE} - INTERVAL 10 DAY", {"stamp": "CAST(NULL AS TIMESTAMP_NTZ)"}),
+    "touch_market_ai_cache": (f"status = 'done' AND tm + INTERVAL 12 DAY > {LATE}", {"attempts": "attempts + 1", "stamp": LATE}),
+    "update_shadow_outcome_status": ("status IN ('pending', 'running') AND opt IS NOT NULL", {"status": "CASE WHEN opt >= 40 THEN 'resolved_correct' ELSE 'resolved_wrong' END", "stamp": "tm"}),
     "finish_unified_run": ("status = 'running'", {"status": "'done'", "v": "round(v + 1, 6)", "stamp": NEXT}),
 }
-SUMMARY = "status, count(*) AS n, CAST(sum(attempts) AS BIGINT) AS attempts, count(stamp) AS stamped, max(stamp) AS newest, round(sum(v), 2) AS total"
+CHANGED = ("status", "attempts", "stamp", "v")
 
 
 def _update(guard: str, sets: dict):
+    """Every row with the columns that the statement may write: those inside the guard changed, the others as they were."""
+
     def run(t):
-        d = state.updated(_log(t), F.expr(guard), {c: F.expr(e) for c, e in sets.items()})
-        return t.spark.sql(f"SELECT {SUMMARY} FROM {{d}} GROUP BY status", d=d)
+        return state.updated(_log(t), F.expr(guard), {c: F.expr(e) for c, e in sets.items()}).select("id", *CHANGED)
 
-    cols = [f"CASE WHEN {guard} THEN {sets[c]} ELSE {c} END AS {c}" if c in sets else c for c in ("status", "attempts", "stamp", "v")]
-    return run, f"WITH log AS ({LOG}), d AS (SELECT {', '.join(cols)} FROM log) SELECT {SUMMARY} FROM d GROUP BY status"
+    cols = [f"CASE WHEN {guard} THEN {sets[c]} ELSE {c} END AS {c}" if c in sets else c for c in CHANGED]
+    return run, f"WITH log AS ({LOG}) SELECT id, {', '.join(cols)} FROM log"
 
 
 # ---------------------------------------------------------------- point reads: all asked keys in one join
@@ -166,6 +170,15 @@ def _top(cols: str, by: str, order: str, where: str = "true", n: int = 1) -> str
 
 
 LISTS = {
+    "claim_undetected_trades": f"SELECT id, k, attempts + 1 AS attempts, {LATE} AS claimed_at FROM {{log}} WHERE status IN ('pending', 'failed') AND (stamp IS NULL OR stamp < {LATE} - INTERVAL 10 DAY) ORDER BY tm DESC, id DESC LIMIT 200",
+    "claim_realtime_work": f"SELECT id, k, kind, attempts + 1 AS attempts FROM {{log}} WHERE status IN ('pending', 'running') AND (status = 'pending' OR tm + INTERVAL 5 DAY < {LATE}) AND attempts < 3 ORDER BY attempts, tm, id LIMIT 200",
+    "list_event_catalysts": _top("event, id, kind, tm", "k % 50", "tm, id", "true", 20).replace("SELECT *,", "SELECT *, k % 50 AS event,"),
+    "list_active_event_catalysts": _top("event, id, kind, status, tm", "k % 50", "v DESC, id", f"status IN ('pending', 'running') AND tm >= {EARLY}", 20).replace("SELECT *,", "SELECT *, k % 50 AS event,"),
+    "count_predictions_since": f"SELECT count(*) AS n FROM {{log}} WHERE kind = 'view' AND tm >= {LATE}",
+    "count_predictions_for_event_since": f"SELECT k % 50 AS event, count(*) AS n FROM {{log}} WHERE kind = 'view' AND tm >= {LATE} GROUP BY k % 50",
+    "latest_alert_analysis": "SELECT k AS alert, version, id, status, v, tm FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tm, id) AS version, row_number() OVER (PARTITION BY k ORDER BY tm DESC, id DESC) AS r FROM {log} WHERE kind = 'click') AS x WHERE r = 1",
+    "insert_alert_analysis": "SELECT id, k AS alert, v, coalesce(old, 0) + row_number() OVER (PARTITION BY k ORDER BY id) AS version FROM {log} LEFT JOIN (SELECT k AS _k, count(*) AS old FROM {log} WHERE id % 10 = 0 GROUP BY k) AS o ON k = _k WHERE id % 10 <> 0",
+    "get_market_ai_cache": f"SELECT kind AS surface, k AS cache_key, id, v FROM (SELECT *, row_number() OVER (PARTITION BY kind, k ORDER BY tm DESC, id) AS r FROM {{log}}) AS x WHERE r = 1 AND tm + INTERVAL 3 DAY > {LATE}",
     "alerts_for_reaction": "SELECT id, status, stamp FROM {log} WHERE status IN ('pending', 'failed') AND kind <> 'view' ORDER BY stamp DESC NULLS LAST, id LIMIT 100",
     "stale_work_deleted": f"SELECT kind, count(*) AS n, min(tm) AS oldest FROM {{log}} WHERE tm >= {LATE} GROUP BY kind",
     "latest_intelligence_report": _top("kind, id, tm", "kind", "tm DESC, id"),
@@ -199,6 +212,7 @@ DOMAIN_LISTS = {
     "wallet_co_trade_rows": (ALERTS_SQL, ("trades", "markets"), "SELECT t.trader_id, m.event_id, t.side, t.traded_at, t.order_id, t.line_no FROM {trades} t JOIN {markets} m ON t.market_id = m.market_id WHERE t.traded_at >= TIMESTAMP_NTZ '2001-06-01 00:00:00' AND t.trader_id IS NOT NULL AND m.event_id IS NOT NULL"),
     "standalone_resolved_outcomes": (DECISIONS_SQL, ("decisions",), "SELECT dedup_key, outcome_status, CASE market_id % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'F' END AS winner FROM {decisions} WHERE linked_key IS NULL AND outcome_status <> 'unresolved'"),
     "markets_for_collection": (MARKETS_SQL, ("markets",), "SELECT market_id, start_at FROM {markets} WHERE market_id % 6 <> 1 AND n_trades >= 10"),
+    "update_shadow_decision_values": (DECISIONS_SQL, ("decisions",), "SELECT dedup_key, round(coalesce(CASE WHEN market_id % 2 = 0 THEN CAST(1 AS DOUBLE) END, clv_15m), 6) + 0.0 AS clv_15m, round(clv_1h, 6) + 0.0 AS clv_1h, round(clv_6h, 6) + 0.0 AS clv_6h, CASE WHEN clv_15m IS NULL OR clv_1h IS NULL OR clv_6h IS NULL OR clv_24h IS NULL THEN 'partial' ELSE 'done' END AS state FROM {decisions}"),
     "candidate_replay": (ALERTS_SQL, ("alerts", "markets"), "SELECT a.severity, a.kind, CASE WHEN a.sent_at >= m.end_at - INTERVAL 60 DAY THEN 'late' ELSE 'early' END AS phase, count(*) AS n, round(sum(a.notional), 2) AS usd FROM {alerts} a JOIN {markets} m ON a.market_id = m.market_id GROUP BY 1, 2, 3"),
     "strategy_replay": (DECISIONS_SQL, ("decisions",), "SELECT strategy, level, count(*) AS n, count(clv_6h) AS measured, round(avg(clv_6h), 6) AS mean_cents, round(avg(CASE WHEN outcome_status = 'correct' THEN CAST(1 AS DOUBLE) WHEN outcome_status = 'wrong' THEN CAST(0 AS DOUBLE) END), 6) AS hit_rate FROM {decisions} GROUP BY strategy, level"),
     "cluster_distribution": (ALERTS_SQL, ("alerts",), "SELECT trades_in_day, count(*) AS clusters, max(wallets) AS most_wallets, round(max(usd), 2) AS largest FROM (SELECT category_id, sent_at, count(*) AS trades_in_day, count(DISTINCT trader_id) AS wallets, sum(notional) AS usd FROM {alerts} GROUP BY category_id, sent_at) AS x GROUP BY trades_in_day"),
@@ -242,23 +256,21 @@ INSERTS = {
 
 
 def _insert(columns: dict):
-    names = ", ".join(f"count(DISTINCT {c}) AS {c}" for c in columns)
-
     def run(t):
-        """Two batches, the second delivered twice, through the writer and read back."""
+        """Two batches, the second delivered twice, through the writer; the table's rows as they are read back."""
         path = f"{scratch(t.spark)}/insert-{uuid.uuid4().hex}"
         d = _log(t).selectExpr("id", *[f"{e} AS {c}" for c, e in columns.items()])
         for batch in (0, 1, 1):
             sink.append(d.where(f"id % 2 = {batch}"), path, f"b{batch}")
-        return t.spark.sql(f"SELECT count(*) AS n, count(DISTINCT id) AS ids, {names} FROM {{d}}", d=t.spark.read.parquet(path))
+        return t.spark.read.parquet(path).select("id", *columns)
 
-    cols = ", ".join(f"{e} AS {c}" for c, e in columns.items())
-    return run, f"WITH log AS ({LOG}), d AS (SELECT id, {cols} FROM log) SELECT count(*) AS n, count(DISTINCT id) AS ids, {names} FROM d"
+    return run, f"WITH log AS ({LOG}) SELECT id, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM log"
 
 
 #: name: (key, columns) of tables where the first writer of a key wins.
 FIRST_WINS = {
     "insert_intelligence_report": ({"period_key": "CAST(tm AS DATE)"}, {"body": "kind", "score": "v"}),
+    "try_create_signal_report": ({"period": "CAST(tm AS DATE)", "surface": "kind"}, {"state": "'pending'", "first_id": "id", "score": "v"}),
     "insert_outcome_analysis": ({"alert": "k"}, {"verdict": "status", "created_at": "tm"}),
 }
 
