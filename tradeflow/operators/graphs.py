@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeflow.functions.bands import lifecycle_pct
+from tradeflow.sources.scratch import kept
 
 
 def co_trade_edges(t: DataFrame, min_shared: int = 3, block: int = 200) -> DataFrame:
@@ -14,11 +15,11 @@ def co_trade_edges(t: DataFrame, min_shared: int = 3, block: int = 200) -> DataF
     Wallets of fewer than min_shared events are in no edge and go first. The wallets of an event are cut into
     blocks; a wallet meets each block of its event once, so an event of any number of wallets is many
     tasks' work, and counts of pairs combine map-side."""
-    seen = t.where("trader_id is not null and event_id is not null").select("side", "event_id", "trader_id").distinct()
+    seen = kept(t.where("trader_id is not null and event_id is not null").select("side", "event_id", "trader_id").distinct())
     n = seen.groupBy("side", "trader_id").agg(F.count("*").alias("n"))
-    kept = seen.join(n.where(F.col("n") >= min_shared).drop("n"), ["side", "trader_id"], "left_semi")
-    size = kept.groupBy("side", "event_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    r = kept.join(size, ["side", "event_id"]).withColumn("own", F.pmod(F.xxhash64("trader_id"), F.col("blocks")).cast("int"))
+    busy = seen.join(n.where(F.col("n") >= min_shared).drop("n"), ["side", "trader_id"], "left_semi")
+    size = busy.groupBy("side", "event_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    r = busy.join(size, ["side", "event_id"]).withColumn("own", F.pmod(F.xxhash64("trader_id"), F.col("blocks")).cast("int"))
     r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("side", "event_id", "trader_id", "own", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"))
     a, b = r.withColumnsRenamed({"trader_id": "wallet_a", "own": "own_a"}), r.withColumnsRenamed({"trader_id": "wallet_b", "own": "own_b"})
     met = a.join(b, ["side", "event_id", "i", "j"]).where("wallet_a < wallet_b and (i = j or own_a <> own_b)")
@@ -71,7 +72,8 @@ def thesis_score(lines: DataFrame, links: DataFrame, boosts: DataFrame | None =
     graph = own.unionByName(links.where("src <> dst").select("src", "dst", "direction", "confidence"))
     asked = lines.select("trader_id", F.col("market_id").alias("src"), F.col("side").alias("asked_side")).distinct()
     l = lines.select("trader_id", F.col("market_id").alias("dst"), "side", size.alias("x"))
-    j = asked.join(graph, "src").join(l, ["trader_id", "dst"]).withColumn("w", F.col("x") * F.col("confidence"))
+    # A line meets the few sources that lead to its market, then those its wallet trades: never a source's whole star.
+    j = l.join(graph, "dst").join(asked, ["trader_id", "src"]).withColumn("w", F.col("x") * F.col("confidence"))
     aligned = (F.col("direction") == "aligned") | ((F.col("direction") == "opposed") & (F.col("side") != F.col("asked_side")))
     opposed = (F.col("direction") == "opposed") & (F.col("side") == F.col("asked_side"))
     d = j.groupBy("trader_id", "src", "asked_side").agg(

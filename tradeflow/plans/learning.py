@@ -8,6 +8,7 @@ from tradeflow.operators import detectors, flow, graphs, outcomes, state
 from tradeflow.operators.asof import asof
 from tradeflow.plans.flow import rounded
 from tradeflow.plans.named import query
+from tradeflow.sources.scratch import kept
 from tradeflow.sources.trades import ALERTS_SQL, DECISIONS_SQL, MARKETS_SQL, NOW, PRICES_SQL, TRADES_SQL
 
 LINKS_SQL = ", links AS (SELECT event_id, src, market_id AS dst, 0.7::DOUBLE AS confidence FROM (SELECT event_id, market_id, min(market_id) OVER (PARTITION BY event_id) AS src FROM markets) WHERE market_id <> src)"
@@ -94,7 +95,7 @@ def co_trade_edges(t):
 
 @query("SELECT trader_id, count(*) AS n, round(max(similarity), 6) AS strongest FROM (SELECT wallet_a AS trader_id, similarity FROM edges UNION ALL SELECT wallet_b, similarity FROM edges) GROUP BY trader_id", TRADES_SQL + COTRADE_SQL)
 def wallet_edges(t):
-    d = graphs.edges_of(_edges(t), t.trades.select("trader_id").distinct())
+    d = graphs.edges_of(kept(_edges(t)), t.stored.select("trader_id").distinct())
     return d.groupBy("trader_id").agg(F.count("*").alias("n"), F.round(F.max("similarity"), 6).alias("strongest"))
 
 
@@ -127,7 +128,7 @@ BOOSTS_SQL = f""", near AS (SELECT market_id AS src, max(10 * (1 - (epoch(expect
 def thesis_scores(t):
     """At one moment, over the trades until then; every third market is linked as the mirror of its event's first."""
     at = F.to_timestamp_ntz(F.lit(THESIS_AT))
-    lines = graphs.thesis_lines(t.trades.where(F.col("traded_at") <= at))
+    lines = kept(graphs.thesis_lines(t.stored.where(F.col("traded_at") <= at)))
     links = graphs.market_links(t.markets).withColumn("direction", F.when(F.col("dst") % 3 == 0, "opposed").otherwise("aligned"))
     d = graphs.thesis_score(lines, links, graphs.thesis_boosts(t.markets, links, _catalysts(t), at))
     return rounded(d.select("trader_id", "src", "asked_side", "breadth", "aligned", "opposed", "consistency", "score", "level"), "aligned", "opposed", "consistency", "score", digits=6)
@@ -140,7 +141,7 @@ def thesis_scores(t):
   SELECT dedup_key, count(*) + 1 AS cohort_size, avg(similarity) AS avg_similarity FROM (SELECT a.dedup_key, p.peer, max(p.similarity) AS similarity FROM alerts a JOIN (SELECT trader_id, peer, max(similarity) AS similarity FROM (SELECT wallet_a AS trader_id, wallet_b AS peer, similarity FROM edges WHERE similarity >= 0.2 UNION ALL SELECT wallet_b, wallet_a, similarity FROM edges WHERE similarity >= 0.2) GROUP BY ALL) p USING (trader_id)
   JOIN trades t ON t.market_id = a.market_id AND t.trader_id = p.peer AND t.side = a.side AND t.traded_at <= a.sent_at AND t.traded_at >= a.sent_at - INTERVAL 30 DAY GROUP BY ALL) GROUP BY dedup_key)""")
 def wallet_cohorts(t):
-    d = graphs.cohorts(t.alerts, _edges(t), t.trades, min_similarity=0.2, min_events=2, days=30, fresh_days=120)
+    d = graphs.cohorts(t.alerts, kept(_edges(t)), t.stored, min_similarity=0.2, min_events=2, days=30, fresh_days=120)
     return d.select("dedup_key", "branch", "cohort_size", F.round("avg_similarity", 6).alias("avg_similarity"), F.round("boost", 6).alias("boost"))
 
 
@@ -222,9 +223,9 @@ def repricing_lags(t):
 @query("""SELECT w.event_id, w.market_id, w.outcome, round((c.price - o.price) * 100, 4) AS move_cents, CASE WHEN o.price IS NULL OR c.price IS NULL THEN 'stale_missing_price' ELSE 'closed' END AS status FROM (SELECT k.event_id, k.market_id, k.outcome, min(c.expected_at) AS opened FROM (SELECT DISTINCT event_id, market_id, outcome FROM trades) k JOIN catalysts c USING (event_id) GROUP BY ALL) w
   ASOF LEFT JOIN daily o ON o.market_id = w.market_id AND o.outcome = w.outcome AND w.opened >= o.at ASOF LEFT JOIN daily c ON c.market_id = w.market_id AND c.outcome = w.outcome AND w.opened + INTERVAL 26 DAY >= c.at""", TRADES_SQL + PRICES_SQL + CATALYST_SQL)
 def repricing_windows(t):
-    k = t.trades.select("event_id", "market_id", "outcome").distinct().join(_catalysts(t).groupBy("event_id").agg(F.min("expected_at").alias("opened")), "event_id")
-    k = k.withColumn("due", F.col("opened") + F.expr("INTERVAL 26 DAYS"))
-    p = t.daily.withColumnRenamed("price", "base")
+    k = t.stored.select("event_id", "market_id", "outcome").distinct().join(_catalysts(t).groupBy("event_id").agg(F.min("expected_at").alias("opened")), "event_id")
+    k = kept(k.withColumn("due", F.col("opened") + F.expr("INTERVAL 26 DAYS")))
+    p = kept(t.daily).withColumnRenamed("price", "base")
     d = asof(asof(k, p, ["market_id", "outcome"], "opened", "at", ["base"]), p.withColumnRenamed("base", "end"), ["market_id", "outcome"], "due", "at", ["end"])
     status = F.when(F.col("base").isNull() | F.col("end").isNull(), "stale_missing_price").otherwise("closed")
     return d.select("event_id", "market_id", "outcome", F.round((F.col("end") - F.col("base")) * 100, 4).alias("move_cents"), status.alias("status"))
