@@ -15,9 +15,9 @@ from tradeflow.sources.trades import ALERTS_SQL, TRADES_SQL
 SINCE = "2001-06-01 00:00:00"
 PINS = [" 3 ", "5", "", "5", "8", "no such market"]
 
-BUCKETS_SQL = f""", snapshots AS (SELECT event_id, CAST(market_id AS VARCHAR) AS condition_id, end_at - INTERVAL 1 DAY * (k * (market_id % 9)) AS created_at, (market_id + k) % 7 <> 0 AS active,
+BUCKETS_SQL = f""", snapshots AS (SELECT k, event_id, CAST(market_id AS VARCHAR) AS condition_id, end_at - INTERVAL 1 DAY * (k * (market_id % 9)) AS created_at, (market_id + k) % 7 <> 0 AS active,
     CASE WHEN market_id % 5 = 0 THEN ['t' || market_id || '-0', 't' || market_id || '-1', 't' || market_id || '-2'] WHEN market_id % 11 = 0 THEN [] ELSE ['t' || market_id || '-0', 't' || market_id || '-1'] END AS tokens, CASE WHEN market_id % 4 = 0 THEN ['O'] ELSE ['O', 'F' || k] END AS outcomes FROM markets, (SELECT unnest([0, 1]) AS k)),
-  newest AS (SELECT condition_id, arg_max({{'event_id': event_id, 'tokens': tokens, 'outcomes': outcomes}}, created_at) AS s FROM snapshots WHERE active GROUP BY condition_id),
+  newest AS (SELECT condition_id, arg_max({{'event_id': event_id, 'tokens': tokens, 'outcomes': outcomes}}, (created_at, k)) AS s FROM snapshots WHERE active GROUP BY condition_id),
   token AS (SELECT s.event_id AS event_id, condition_id, s.tokens[i] AS token, (i - 1)::INT AS ordinal, coalesce(s.outcomes[i], '') AS outcome FROM (SELECT condition_id, s, unnest(range(1, len(s.tokens) + 1)) AS i FROM newest)),
   offered AS (SELECT unnest(['3', '5', '8', 'no such market']) AS condition_id, 1 AS bucket UNION ALL
     (SELECT CAST(market_id AS VARCHAR) AS c, 2 FROM alerts WHERE sent_at > TIMESTAMP '{SINCE}' GROUP BY market_id ORDER BY count(*) DESC, c LIMIT 10) UNION ALL
