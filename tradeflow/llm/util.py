@@ -2,38 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tradeflow.sources.scratch import kept, scratch
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_own_scratch: list[str] = []
-
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set and the
-    master is local: executors of a cluster can't share it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _own_scratch:
-        _own_scratch.append("file://" + tempfile.mkdtemp(prefix="tradeflow-"))
-    return _own_scratch[0]
+    """This application's folder in the cluster's shared one, removed when the driver's JVM ends."""
+    return scratch(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there and
     a lost executor costs a reread, not a recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tradeflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return kept(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
