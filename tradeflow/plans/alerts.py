@@ -157,11 +157,13 @@ def calibration(t):
     return d.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.sum(F.col("edge") * F.col("weight")) / F.sum("weight"), 6).alias("weighted_edge"), F.round(F.avg(F.when(F.col("outcome_status") == "correct", 1.0).otherwise(0.0)), 6).alias("hit_rate"))
 
 
-@query("SELECT market_id, to_json(list({key: dedup_key, severity: severity} ORDER BY dedup_key))::VARCHAR AS package, count(*) AS n FROM alerts WHERE severity <> 'info' GROUP BY market_id", ALERTS_SQL)
+@query("SELECT market_id, to_json(list({key: dedup_key, severity: severity} ORDER BY dedup_key) FILTER (r <= 50))::VARCHAR AS package, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY severity, sent_at DESC, dedup_key) AS r FROM alerts WHERE severity <> 'info') GROUP BY market_id", ALERTS_SQL)
 def evidence_package(t):
-    """The strong alerts of a market as one JSON; at most the alerts of one market, cut by severity."""
-    d = t.alerts.where("severity <> 'info'").groupBy("market_id").agg(F.array_sort(F.collect_list(F.struct(F.col("dedup_key").alias("key"), "severity"))).alias("p"), F.count("*").alias("n"))
-    return d.select("market_id", F.to_json("p").alias("package"), "n")
+    """The strongest and newest fifty alerts of a market as one JSON, and how many strong ones it has."""
+    strong = t.alerts.where("severity <> 'info'")
+    top = flow.newest(strong, ["market_id"], 50, ["severity", F.desc("sent_at"), "dedup_key"])
+    p = top.groupBy("market_id").agg(F.array_sort(F.collect_list(F.struct(F.col("dedup_key").alias("key"), "severity"))).alias("p"))  # fifty at most
+    return strong.groupBy("market_id").agg(F.count("*").alias("n")).join(p, "market_id").select("market_id", F.to_json("p").alias("package"), "n")
 
 
 @query("SELECT key, count(*) AS n FROM (SELECT concat_ws('|', CASE WHEN lifecycle < 90 THEN 'early' ELSE 'late' END, CASE WHEN severity = 'info' THEN '_' ELSE severity END, category_id) AS key FROM alerts) GROUP BY ALL", ALERTS_SQL)
