@@ -6,10 +6,10 @@ rejects texts whose Mahalanobis distance from it is large. Fewer symbols, repeat
 than the group has are no fault: those statistics are taken from the location upwards, before the distance.
 
 At scale: text is read once and becomes one narrow row per document. Each concentration step
-is two map-side-combined aggregations over those narrow rows (a histogram of distances per
-group, then moments of the kept half); no group is ever gathered in one task. The group
-estimates are one row per (lang, source) and are joined normally, so Spark broadcasts them
-only while they are small.
+is one map-side-combined aggregation over those narrow rows (a histogram of distances per
+group whose bins carry sums, so the kept half's moments are running sums over bins); no group is
+ever gathered in one task. The group estimates are one row per (lang, source) and are joined
+normally, so Spark broadcasts them only while they are small.
 
 Null and empty texts have no words: base_failed is true. Null languages and sources form groups
 of their own. Groups with fewer than `min_rows` usable rows use the estimate of all rows. Very long texts are
@@ -146,46 +146,40 @@ def small_sample(n: Column, h_share: float, p: int = len(STATS)) -> Column:
     return 1 / F.greatest(f, F.lit(0.25))
 
 
-def _moments(d: DataFrame, keys: list[str], h_share: float = 1.0) -> DataFrame:
-    p = len(STATS)
+PAIRS = [(i, j) for i in range(len(STATS)) for j in range(i + 1)]
+SUMS = ["m_n", *[f"s_{i}" for i in range(len(STATS))], *[f"q_{i}_{j}" for i, j in PAIRS]]
+
+
+def _sums() -> list[Column]:
+    """Count, sums and sums of products of STATS: what estimates are made of, and what adds up over parts of a group."""
+    sums = ["count(*) AS m_n", *[f"sum({x}) AS s_{i}" for i, x in enumerate(STATS)]]
+    return [F.expr(e) for e in [*sums, *[f"sum({STATS[i]} * {STATS[j]}) AS q_{i}_{j}" for i, j in PAIRS]]]
+
+
+def _estimated(m: DataFrame, keys: list[str], h_share: float = 1.0) -> DataFrame:
+    """Location mu_i, lower Cholesky factor l_i_j of the scatter and its log_det, from rows of _sums().
+    Each expression may name those before it."""
     scale = small_sample(F.col("m_n") / h_share, h_share) * consistency(h_share) if h_share < 1 else F.lit(1.0)
-    sums = [F.count("*").alias("m_n"), *[F.sum(x).alias(f"s_{i}") for i, x in enumerate(STATS)]]
-    sums += [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    m = d.groupBy(*keys).agg(*sums)
-    mean = [(F.col(f"s_{i}") / F.col("m_n")).alias(f"mu_{i}") for i in range(p)]
-    cov = []
-    for i in range(p):
-        for j in range(i + 1):
-            c = F.col(f"q_{i}_{j}") / F.col("m_n") - (F.col(f"s_{i}") / F.col("m_n")) * (F.col(f"s_{j}") / F.col("m_n"))
-            c = F.greatest(c, F.lit(LEAST[STATS[i]] ** 2)) if i == j else c
-            cov.append((c * scale + (FLOOR[STATS[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}"))
-    return _cholesky(m.select(*keys, "m_n", *mean, *cov))
-
-
-def _cholesky(m: DataFrame) -> DataFrame:
-    """Adds the lower Cholesky factor l_i_j of c and log_det, one column after another."""
-    p = len(STATS)
-    for i in range(p):
-        for j in range(i + 1):
-            c = F.col(f"c_{i}_{j}")
-            for k in range(j):
-                c = c - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            m = m.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-12))) if i == j else c / F.col(f"l_{j}_{j}"))
-    det = sum((F.log(F.col(f"l_{i}_{i}")) for i in range(p)), F.lit(0.0))
-    return m.withColumn("log_det", det * 2).drop(*[f"c_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    parts = [f"s_{i} / m_n AS mu_{i}" for i in range(len(STATS))]
+    for i, j in PAIRS:
+        c = f"q_{i}_{j} / m_n - mu_{i} * mu_{j}"
+        if i == j:
+            c = f"greatest({c}, {LEAST[STATS[i]] ** 2!r}D) * _scale + {FLOOR[STATS[i]] ** 2!r}D"
+        else:
+            c = f"({c}) * _scale"
+        c = " - ".join([c, *[f"l_{i}_{k} * l_{j}_{k}" for k in range(j)]])
+        parts.append(f"sqrt(greatest({c}, 1e-12D)) AS l_{i}_{j}" if i == j else f"({c}) / l_{j}_{j} AS l_{i}_{j}")
+    det = " + ".join(f"ln(l_{i}_{i})" for i in range(len(STATS)))
+    return m.withColumn("_scale", scale).selectExpr(*keys, "m_n", *parts, f"2 * ({det}) AS log_det")
 
 
 def _distance(both_sides: bool = True) -> Column:
     """Squared Mahalanobis distance by forward substitution."""
-    z = []
+    z: list[str] = []
     for i, x in enumerate(STATS):
-        r = F.col(x) - F.col(f"mu_{i}")
-        if not both_sides and x not in BOTH_SIDES:
-            r = F.greatest(r, F.lit(0.0))
-        for k in range(i):
-            r = r - F.col(f"l_{i}_{k}") * z[k]
-        z.append(r / F.col(f"l_{i}_{i}"))
-    return sum((v * v for v in z), F.lit(0.0))
+        r = f"({x} - mu_{i})" if both_sides or x in BOTH_SIDES else f"greatest({x} - mu_{i}, 0D)"
+        z.append("((" + " - ".join([r, *[f"l_{i}_{k} * {z[k]}" for k in range(i)]]) + f") / l_{i}_{i})")
+    return F.expr(" + ".join(f"{v} * {v}" for v in z))
 
 
 def _key(d: DataFrame, cols: list[str]) -> Column:
@@ -208,7 +202,7 @@ def mcd(d: DataFrame, h_share: float = 0.75, steps: int = 12, grid: int = 64) ->
     for x in STATS:
         inside = inside & F.col(x).between(F.col(f"r_{x}")[0], F.col(f"r_{x}")[1])
     starts = F.when(inside, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    est = cut(_moments(e.select("grp", *STATS, F.explode(starts).alias("start")), ["grp", "start"]))
+    est = cut(_estimated(e.select("grp", *STATS, F.explode(starts).alias("start")).groupBy("grp", "start").agg(*_sums()), ["grp", "start"]))
     for step in range(steps):
         new = cut(_concentrate(d, est, h_share, grid))
         if step:  # the first estimates are of other shares of the rows
@@ -227,15 +221,15 @@ def _near(d: DataFrame, est: DataFrame) -> DataFrame:
 
 
 def _concentrate(d: DataFrame, est: DataFrame, h_share: float, grid: int) -> DataFrame:
+    """The next estimates. Each bin of the histogram carries its rows' sums, so the running sums up to the
+    cut are those of the kept rows: one pass over d a step."""
     bins = F.floor(F.log2(_distance() + 1e-9) * grid).cast("int")
-    hist = _near(d, est).groupBy("grp", "start", bins.alias("_bin")).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy("grp", "start")
-    cum = F.sum("_c").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_c").over(w)
-    cutoff = hist.select("grp", "start", "_bin", cum.alias("_cum"), total.alias("_total"))
-    cutoff = cutoff.where(F.col("_cum") >= F.ceil(F.col("_total") * h_share)).groupBy("grp", "start").agg(F.min("_bin").alias("_cut"))
-    est = cut(est.join(cutoff, ["grp", "start"]))
-    return _moments(_near(d, est).where(bins <= F.col("_cut")), ["grp", "start"], h_share)
+    per = _near(d, est).groupBy("grp", "start", bins.alias("_bin")).agg(*_sums())
+    up_to = "(PARTITION BY grp, start ORDER BY _bin ROWS UNBOUNDED PRECEDING)"
+    run = per.selectExpr("grp", "start", "_bin", "sum(m_n) OVER (PARTITION BY grp, start) AS _total", *[f"sum({c}) OVER {up_to} AS {c}" for c in SUMS])
+    kept = run.where(f"m_n >= ceil(_total * {h_share!r}D)").groupBy("grp", "start").agg(F.expr(f"min_by(struct({', '.join(SUMS)}), _bin) AS _kept"))
+    kept = kept.select("grp", "start", "_kept.*")
+    return _estimated(kept, ["grp", "start"], h_share)
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source"),
