@@ -188,3 +188,23 @@ def test_selector(spark):
     pages = spark.createDataFrame([("a", 1, T0, True, '["t1","t2"]', '["Yes"]'), ("a", 1, T0 - timedelta(days=1), True, '["old"]', "[]"), ("b", 1, T0, False, '["t3"]', '["No"]'), ("d", 2, T0, True, None, None), ("e", 2, T0, True, "not json", '["x"]')], "condition_id string, event_id int, created_at timestamp_ntz, active boolean, tokens string, outcomes string")
     got = selector.subscriptions(chosen, selector.tokens(pages)).collect()
     assert sorted((r["condition_id"], r["token"], r["ordinal"], r["outcome"], r["bucket"], r["bucket_markets"]) for r in got) == [("a", "t1", 0, "Yes", 1, 1), ("a", "t2", 1, "", 1, 1)]
+
+
+@pytest.mark.parametrize("stretch", [4, 7, 1_000])
+def test_book_vacuum_in_stretches(spark, stretch):
+    """A key cut into stretches gives the rows of the key taken whole: a hot key, a short one, one without a name, null depths."""
+    from tradeflow.operators import detectors
+
+    rng = random.Random(stretch)
+    rows = []
+    for n, key in ((400, "hot"), (3, "short"), (30, None)):
+        for i in range(n):
+            depth = lambda: rng.choice([None, 0.0, 10.0, 20.0, 30.0, 100.0])
+            rows.append((key, T0 + timedelta(hours=5 * i), depth(), depth(), rng.choice([0.4, 0.5, 0.6]), rng.choice([0.01, 0.02, 0.05])))
+    d = spark.createDataFrame(rows, "asset string, bar_at timestamp_ntz, ask_depth double, bid_depth double, mid double, spread double").repartition(4)
+    cut = detectors.book_vacuum(d, window=4, stretch=stretch)
+    whole = detectors.book_vacuum(d, window=4, bucket_days=None)
+    assert cut.columns == whole.columns
+    rounded = lambda x: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in x.collect())
+    assert rounded(cut) == rounded(whole) and 50 < whole.count() < 433
+    assert detectors.book_vacuum(d.limit(0)).count() == 0

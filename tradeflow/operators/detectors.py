@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradeflow.operators.ranks import days, ordinal, stretches
+
 #: Fixed values: (words, weight, reason, kind) of wording that makes a resolution rule ambiguous.
 RULE_MARKERS = [
     ("runoff", 0.20, "runoff_dependency", "procedural"), ("recount", 0.20, "recount_dependency", "procedural"),
@@ -132,15 +134,22 @@ def book_bars(levels: DataFrame, seconds: int = 60, depth: int = 5) -> DataFrame
     return d.withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "spread": F.col("ask") - F.col("bid"), "imbalance": F.coalesce(F.try_divide(F.col("bid_depth") - F.col("ask_depth"), total), F.lit(0.0))})
 
 
-def book_vacuum(bars: DataFrame, key: str = "asset", at: str = "bar_at", window: int = 20, collapse: float = 0.5, spread_z: float = 1.5, max_boost: float = 8) -> DataFrame:
-    """Depth of one side falls by half from bar to bar, confirmed by the spread or the mid's direction."""
-    w = Window.partitionBy(key).orderBy(at)
+def book_vacuum(bars: DataFrame, key: str = "asset", at: str = "bar_at", window: int = 20, collapse: float = 0.5, spread_z: float = 1.5, max_boost: float = 8, bucket_days: int | None = 1, stretch: int = 50_000) -> DataFrame:
+    """Depth of one side falls by half from bar to bar, confirmed by the spread or the mid's direction.
+
+    Bars of a key are numbered day by day (bucket_days) and cut into stretches, each with the `window` bars before it, so a
+    key of any length is many tasks' work. With bucket_days None keys are taken whole: for short ones, or where `at` is not a time."""
+    if bucket_days is None:
+        d, w = bars.withColumn("_carried", F.lit(False)), Window.partitionBy(key).orderBy(at)
+    else:
+        d = stretches(ordinal(bars, [key], [at], days(at, bucket_days), "_place"), "_place", stretch, window)
+        w = Window.partitionBy(key, "_stretch").orderBy("_place")
     base = w.rowsBetween(-window, -1)
     fall = lambda c: F.coalesce(-F.try_divide(F.col(c) - F.lag(c).over(w), F.lag(c).over(w)), F.lit(0.0))
-    d = bars.withColumns({"ask_fall": fall("ask_depth"), "bid_fall": fall("bid_depth"), "mid_delta": F.coalesce(F.col("mid") - F.lag("mid").over(w), F.lit(0.0)),
+    d = d.withColumns({"ask_fall": fall("ask_depth"), "bid_fall": fall("bid_depth"), "mid_delta": F.coalesce(F.col("mid") - F.lag("mid").over(w), F.lit(0.0)),
                           "z": F.coalesce(F.try_divide(F.col("spread") - F.avg("spread").over(base), F.nullif(F.stddev_pop("spread").over(base), F.lit(0.0))), F.lit(0.0))})
     side = F.when((F.col("ask_fall") >= collapse) & (F.col("ask_fall") > F.col("bid_fall")), "ask").when((F.col("bid_fall") >= collapse) & (F.col("bid_fall") > F.col("ask_fall")), "bid")
-    d = d.withColumn("side", side).where("side is not null")
+    d = d.withColumn("side", side).where("side is not null and not _carried").drop("_carried", "_place", "_stretch")
     sure = (F.col("z") >= spread_z) | ((F.col("side") == "ask") & (F.col("mid_delta") > 0)) | ((F.col("side") == "bid") & (F.col("mid_delta") < 0))
     fell = F.greatest("ask_fall", "bid_fall")
     return d.withColumns({"detected": sure, "collapse": fell, "boost": F.when(sure, F.least(F.lit(float(max_boost)), max_boost * fell)).otherwise(0.0)})

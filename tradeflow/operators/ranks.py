@@ -27,3 +27,16 @@ def ordinal(d: DataFrame, keys: list[str], order: list[str], bucket: Column, out
 def days(at: str, width: int) -> Column:
     """Number of the stretch of `width` days that a time lies in; a bucket for `ordinal`."""
     return F.floor(F.datediff(F.col(at), F.lit("1970-01-01")) / width)
+
+
+def stretches(d: DataFrame, place: str, rows: int, reach: int) -> DataFrame:
+    """Cuts keys into stretches of `rows` rows by their `place` in the key: adds _stretch and _carried.
+
+    The last `reach` rows of a stretch come once more in the next one, as carried, so that windows of (key, _stretch) that look
+    back at most `reach` rows see what those of the key would; carried rows are dropped after them."""
+    if reach > rows:
+        raise ValueError("a stretch must hold what the next one looks back to")
+    own = F.floor(F.col(place) / rows)
+    part = lambda k, carried: F.struct(k.alias("_stretch"), F.lit(carried).alias("_carried"))
+    parts = F.when(F.col(place) % rows >= rows - reach, F.array(part(own, False), part(own + 1, True))).otherwise(F.array(part(own, False)))
+    return d.select("*", F.inline(parts))

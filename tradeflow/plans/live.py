@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradeflow.operators import detectors
+from tradeflow.operators.ranks import days, ordinal, stretches
 from tradeflow.plans.named import query
 from tradeflow.streaming import feeds
 
@@ -39,20 +41,20 @@ def book_bars(t):
   (SELECT *, coalesce((lag(deep) OVER w - deep) / lag(deep) OVER w, 0) AS fall, coalesce(mid - lag(mid) OVER w, 0) AS d, row_number() OVER w AS seq FROM (SELECT event_type AS asset, ts AS bar_at, 5.0 * (user_id % 7) + 15 AS deep, value / 100 AS mid FROM events) WINDOW w AS (PARTITION BY asset ORDER BY bar_at))) WHERE side IS NOT NULL""")
 def book_vacuums(t):
     """Depth falls on one side: the side that a bar's number says, so that both occur; the spread is constant."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("asset").orderBy("bar_at")
-    e = t.table("events").select(F.col("event_type").alias("asset"), F.col("ts").alias("bar_at"), (5.0 * (F.col("user_id") % 7) + 15).alias("deep"), (F.col("value") / 100).alias("mid")).withColumn("seq", F.row_number().over(w))
+    e = t.table("events").select(F.col("event_type").alias("asset"), F.col("ts").alias("bar_at"), (5.0 * (F.col("user_id") % 7) + 15).alias("deep"), (F.col("value") / 100).alias("mid"))
+    placed = ordinal(e, ["asset"], ["bar_at"], days("bar_at", 1), "_place").withColumn("seq", F.col("_place") + 1)
+    e = stretches(placed, "_place", 10_000, 1)
+    w = Window.partitionBy("asset", "_stretch").orderBy("_place")
     before = F.lag("deep").over(w)
     even = F.col("seq") % 2 == 0
     ratio = F.coalesce(F.col("deep") / before, F.lit(1.0))
-    two = e.withColumns({"ratio": ratio, "old_mid": F.coalesce(F.lag("mid").over(w), F.col("mid"))})
+    two = e.withColumns({"ratio": ratio, "old_mid": F.coalesce(F.lag("mid").over(w), F.col("mid"))}).where("not _carried")
     # Two bars a row: before and after, each with the untouched side at 1.
     bars = two.select(F.concat_ws("#", "asset", F.col("seq").cast("string")).alias("key"), "asset", F.col("bar_at").alias("shown"), F.explode(F.array(
         F.struct(F.lit(0).alias("bar_at"), F.lit(1.0).alias("ask_depth"), F.lit(1.0).alias("bid_depth"), F.col("old_mid").alias("mid")),
         F.struct(F.lit(1).alias("bar_at"), F.when(even, F.col("ratio")).otherwise(1.0).alias("ask_depth"), F.when(even, 1.0).otherwise(F.col("ratio")).alias("bid_depth"), F.col("mid").alias("mid")))).alias("b"))
     bars = bars.select("key", "asset", "shown", "b.*").withColumn("spread", F.lit(0.02))
-    d = detectors.book_vacuum(bars, key="key")
+    d = detectors.book_vacuum(bars, key="key", bucket_days=None)
     return d.select("asset", F.col("shown").alias("bar_at"), "side", "detected", F.round("collapse", 6).alias("collapse"))
 
 
