@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -208,6 +209,34 @@ def test_concentration_gate_against_a_plain_walk(spark):
             kept.append((e, w, n, at))
 
 
+def test_concentration_gate_of_a_dense_event_takes_a_time_a_row(spark):
+    """One event with 30,000 accepted alerts within its window: looking through them for each row would take minutes."""
+    n = 60_000
+    rows = spark.range(n).select(F.col("id").cast("string").alias("dedup_key"), F.lit(1).alias("event_id"), (F.col("id") % 5_000).alias("trader_id"), F.when(F.col("id") % 2 == 0, 100.0).otherwise(150.0).alias("notional"),
+                                 F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("sent_at"), F.when(F.col("id") % 2 == 1, "info").otherwise("warning").alias("severity"))
+    began = time.time()
+    got = state.concentration_gate(rows, event_hours=24).groupBy("passes").count().collect()
+    assert {r["passes"]: r["count"] for r in got} == {True: n // 2 + 1, False: n // 2 - 1}
+    assert time.time() - began < 30
+
+
+def test_concentration_gate_windows_end_apart(spark):
+    """A wallet's window may be shorter or longer than the event's; a largest value that leaves it gives way to the next."""
+    r = random.Random(8)
+    rows = [(f"k{i}", 1, r.randrange(4), float(r.randrange(1, 60)), T0 + timedelta(hours=i * 0.7), r.choice(["info"] * 3 + ["warning"])) for i in range(300)]
+    d = spark.createDataFrame(rows, "dedup_key string, event_id int, trader_id int, notional double, sent_at timestamp, severity string")
+    for wh, eh in ((30, 5), (5, 30)):
+        got = {x["dedup_key"]: x["passes"] for x in state.concentration_gate(d, wallet_hours=wh, event_hours=eh).collect()}
+        kept = []
+        for k, _, w, n, at, sev in rows:
+            mine = [x for kw, x, t in kept if kw == w and t >= at - timedelta(hours=wh)]
+            every = [x for _, x, t in kept if t >= at - timedelta(hours=eh)]
+            ok = sev != "info" or (not (mine and n < 2 * max(mine)) and not (len(every) >= 3 and n < 2 * max(every)))
+            assert got[k] == ok
+            if ok:
+                kept.append((w, n, at))
+
+
 def test_upsert_is_idempotent(spark):
     h = spark.createDataFrame([(1, 1, "a", 5), (2, 1, "x", 7)], "k int, at int, v string, m int")
     b = spark.createDataFrame([(1, 2, "", 3), (1, 3, None, 9), (3, 1, "n", 1)], "k int, at int, v string, m int")

@@ -100,19 +100,44 @@ def concentration_gate(alerts: DataFrame, event: str = "event_id", wallet: str =
     def walk(_key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import deque
 
-        kept, we, ev = deque(), pd.Timedelta(hours=wallet_hours), pd.Timedelta(hours=event_hours)
+        we, ev = pd.Timedelta(hours=wallet_hours), pd.Timedelta(hours=event_hours)
+        kept: deque = deque()  # (time, wallet) of accepted alerts that a wallet's window may hold
+        counted: deque = deque()  # times of those that the event's window holds
+        largest: deque = deque()  # the event's, falling: the first is the largest of its window
+        of: dict[str, deque] = {}  # the same for each wallet with accepted alerts in its window
+
+        def add(peaks: deque, at, x) -> None:
+            while peaks and peaks[-1][1] <= x:
+                peaks.pop()
+            peaks.append((at, x))
+
+        def drop(peaks: deque, before) -> None:
+            while peaks and peaks[0][0] < before:
+                peaks.popleft()
+
         for rows in batches:
             out = []
             for r in rows.itertuples(index=False):
-                while kept and kept[0][0] < r.at - max(we, ev):
-                    kept.popleft()
+                while kept and kept[0][0] < r.at - we:
+                    w = kept.popleft()[1]
+                    if w in of:
+                        drop(of[w], r.at - we)
+                        if not of[w]:
+                            del of[w]
+                while counted and counted[0] < r.at - ev:
+                    counted.popleft()
+                drop(largest, r.at - ev)
                 ok = True
                 if r.severity == "info":
-                    mine = [x for t, w, x in kept if w == r.wallet and t >= r.at - we]
-                    every = [x for t, _, x in kept if t >= r.at - ev]
-                    ok = not (mine and r.notional < factor * max(mine)) and not (len(every) >= event_count and r.notional < factor * max(every))
+                    mine = of.get(r.wallet)
+                    ok = not (mine and r.notional < factor * mine[0][1]) and not (len(counted) >= event_count and largest and r.notional < factor * largest[0][1])
                 if ok:
-                    kept.append((r.at, r.wallet, r.notional))
+                    counted.append(r.at)
+                    if not pd.isna(r.notional):
+                        add(largest, r.at, r.notional)
+                        if r.wallet is not None:
+                            kept.append((r.at, r.wallet))
+                            add(of.setdefault(r.wallet, deque()), r.at, r.notional)
                 out.append((r.key, r.dedup_key, ok))
             yield pd.DataFrame(out, columns=["key", "dedup_key", "passes"])
 
