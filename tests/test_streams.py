@@ -1,5 +1,6 @@
 """Streams with state over several micro-batches: order, expiry, late rows, leases, restarts and batches that run again."""
 
+import math
 import os
 import random
 import shutil
@@ -55,6 +56,14 @@ def walked(rows, rules):
     return sorted(out)
 
 
+@pytest.mark.parametrize("from_zero", [False, True])
+def test_a_move_from_nothing_is_without_bounds_where_it_counts(from_zero):
+    market, out, known = triggers._Market(triggers.Rules(least=0.5, from_zero=from_zero)), [], None
+    for i, mid in enumerate([0.0, 0.0, 2.0, -1.0, 3.0]):
+        known = market._step("m", (i + 1) * 3_600_000_000, "book", mid, known, out)
+    assert [(x[2], x[6]) for x in out] == ([("price_move", math.inf), ("book_change", math.inf)] if from_zero else [])
+
+
 def test_triggers_over_batches_and_a_restart(spark, tmp_path):
     rows = market_rows()
     schema = "market string, at timestamp_ntz, id long, kind string, mid double"

@@ -10,8 +10,9 @@ from tradeflow.plans.named import query
 from tradeflow.sources.scratch import scratch
 from tradeflow.streaming import feeds, leases, triggers
 
-#: Cool-downs and silence in seconds, for a feed of some two events a market and day; how late rows may come, in hours.
-RULES = triggers.Rules(least=0.5, reprice_s=12 * 3_600, refresh_s=36 * 3_600, idle_s=48 * 3_600)
+#: Cool-downs and silence in seconds, for a feed of some two events a market and day; how late rows may come, in hours. A move from
+#: nothing counts, as the SQL's division has it.
+RULES = triggers.Rules(least=0.5, reprice_s=12 * 3_600, refresh_s=36 * 3_600, idle_s=48 * 3_600, from_zero=True)
 LATE_H = 2
 
 

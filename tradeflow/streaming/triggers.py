@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,12 +20,14 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 @dataclass(frozen=True)
 class Rules:
     """least: relative move of the mid that counts; reprice_s and refresh_s: the cool-downs of price_move and of book_change, which
-    is looked at only when price_move fires; idle_s: silence of a market after which what is known of it is forgotten."""
+    is looked at only when price_move fires; idle_s: silence of a market after which what is known of it is forgotten;
+    from_zero: a mid above nothing after one of nothing is a move without bounds, else none."""
 
     least: float = 0.03
     reprice_s: float = 60.0
     refresh_s: float = 300.0
     idle_s: float = 86_400.0
+    from_zero: bool = False
 
 
 class _Market(StatefulProcessor):
@@ -89,8 +92,9 @@ class _Market(StatefulProcessor):
         elif kind == "status":
             enqueue("market_status")
         elif mid is not None and mid > 0:
-            change = abs(mid - before) / before if before is not None and before > 0 else 0.0
-            if before is not None and before > 0 and change >= self.rules.least and not cool(repriced, self.rules.reprice_s):
+            usable = before is not None and (before > 0 or before == 0 and self.rules.from_zero)
+            change = 0.0 if not usable else abs(mid - before) / before if before else math.inf
+            if usable and change >= self.rules.least and not cool(repriced, self.rules.reprice_s):
                 enqueue("price_move", mid, change)
                 repriced = at
                 if not cool(refreshed, self.rules.refresh_s):
