@@ -58,5 +58,20 @@ def test_a_stream_gives_each_row_once_over_restarts(spark, feed, tmp_path):
     assert run() == want and run() == want
 
 
+def test_markets_share_shelves_and_tasks(spark, tmp_path):
+    """Neither files nor tasks grow with the markets; the rows are those of a feed with a folder a market."""
+    d = spark.range(3_000).select((F.col("id") % 600).cast("string").alias("m"), (F.lit(T0) + F.make_dt_interval(secs=F.col("id"))).alias("at"), F.col("id").cast("double").alias("x"))
+    one, many = f"file://{tmp_path}/own", f"file://{tmp_path}/shelves"
+    paged.publish(d.where("id % 600 < 300"), one, "m", [F.col("at"), F.col("x")], "at", "x")
+    paged.publish(d, many, "m", [F.col("at"), F.col("x")], "at", "x", shelves=8)
+    got, want = paged.paged(spark, many, pageSize=2, maxPages=2), paged.paged(spark, one, pageSize=2, maxPages=2)
+    assert want.rdd.getNumPartitions() == 256 and got.rdd.getNumPartitions() == 8 and len(list((tmp_path / "shelves").glob("shelf=*"))) == 8
+    assert sorted(map(tuple, got.where("market < 300").collect())) == sorted(map(tuple, want.collect())) and got.count() == 2_400
+    with feeds.setting(spark, "spark.sql.python.filterPushdown.enabled", "true"):
+        few = paged.paged(spark, many, pageSize=10).where(F.col("market").isin("7", "450", "none"))
+        assert few.rdd.getNumPartitions() <= 3 and few.groupBy("market").count().orderBy("market").collect() == [("450", 5), ("7", 5)]
+    assert feeds.drain(paged.paged_stream(spark, many, pageSize=10), f"file://{tmp_path}/out", "append", f"file://{tmp_path}/progress").count() == 3_000
+
+
 def test_an_empty_feed(spark, tmp_path):
     assert paged.paged(spark, f"file://{tmp_path}/none").count() == 0

@@ -77,7 +77,7 @@ def metric_histograms(t):
 def paged_trades(t):
     """A back-fill of every market through pages of 50, five at most, back to a date; incomplete where the limit hid trades."""
     path = f"{scratch(t.spark)}/feed-{uuid.uuid4().hex}"
-    paged.publish(t.trades, path, "market_id", [F.col(c) for c in ("traded_at", "order_id", "line_no", "notional", "price", "side")], "traded_at", "notional")
+    paged.publish(t.trades, path, "market_id", [F.col(c) for c in ("traded_at", "order_id", "line_no", "notional", "price", "side")], "traded_at", "notional", shelves=256)
     since = F.to_timestamp_ntz(F.lit("1997-01-01 00:00:00"))
     micros = t.spark.range(1).select(F.unix_micros(since.cast("timestamp"))).first()[0]
     d = paged.paged(t.spark, path, pageSize=50, maxPages=5, sinceMicros=micros)

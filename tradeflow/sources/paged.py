@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,33 +20,89 @@ PAGE, MOST_PAGE, MOST_PAGES, MOST_OFFSET = 100, 500, 50, 3_000
 SCHEMA = "market string, id long, at_us long, notional double, incomplete boolean"
 
 
-def publish(rows: DataFrame, root: str, market: str, order: list[Column], at: str, notional: str, part: str = "0") -> None:
+#: Tasks that a batch is read by at most, where folders are a market's own.
+TASKS = 256
+
+
+def publish(rows: DataFrame, root: str, market: str, order: list[Column], at: str, notional: str, part: str = "0", shelves: int | None = None) -> None:
     """Lays rows out as the feed serves them: a folder a market, a file of its rows. id is a row's place in `order` within its
-    market, so `order` should leave no ties. For tests, replays and back-fills from a table."""
-    w = Window.partitionBy(market).orderBy(*order)
-    d = rows.select(F.col(market).cast("string").alias("market"), F.row_number().over(w).cast("long").alias("id"), F.unix_micros(F.col(at).cast("timestamp")).alias("at_us"), F.col(notional).cast("double").alias("notional"))
-    d = d.withColumn("part", F.lit(part)).repartition("market").sortWithinPartitions("market", F.desc("at_us"), F.desc("id"))
-    d.write.mode("append").partitionBy("market", "part").parquet(root)
+    market, so `order` should leave no ties. For tests, replays and back-fills from a table.
+
+    With `shelves` (at most 9,999) a folder holds all markets of one remainder of their CRC-32, so that files do not
+    grow in number with the markets. A feed is laid out in one way, with one number of shelves."""
+    d = rows.withColumn("_m", F.col(market).cast("string"))
+    keys, folder = ["_m"], "market"
+    if shelves:
+        keys, folder = ["shelf", "_m"], "shelf"
+        d = d.withColumn("shelf", F.format_string("%04d-of-%04d", F.coalesce(F.crc32(F.col("_m").cast("binary")), F.lit(0)) % shelves, F.lit(shelves))).repartition("shelf")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    d = d.select(*keys[:-1], F.col("_m").alias("market"), number.alias("id"), F.unix_micros(F.col(at).cast("timestamp")).alias("at_us"), F.col(notional).cast("double").alias("notional")).withColumn("part", F.lit(part))
+    if not shelves:
+        d = d.repartition("market")
+    d = d.sortWithinPartitions(folder, "part", *(["market"] if shelves else []), F.desc("at_us"), F.desc("id"))
+    d.write.mode("append").partitionBy(folder, "part").parquet(root)
+
+
+Page = list[tuple[int, int, float]]
+
+
+class Pages:
+    """Pages of a market's rows (id, at_us, notional), newest first."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+
+    def page(self, offset: int, limit: int) -> Page:
+        rows = self.rows.slice(offset, limit)
+        return list(zip(*(rows[c].to_pylist() for c in ("id", "at_us", "notional")), strict=True))
 
 
 @dataclass(frozen=True)
 class Feed:
-    """The upstream side: pages of a market's rows (id, at_us, notional), newest first."""
+    """The upstream side: markets and their pages."""
 
     root: str
 
     def _folder(self):
         return pyarrow.fs.FileSystem.from_uri(self.root) if "://" in self.root else (pyarrow.fs.LocalFileSystem(), self.root)
 
-    def markets(self) -> list[str]:
+    def _named(self, kind: str) -> list[str]:
         files, path = self._folder()
-        return sorted(x.base_name.removeprefix("market=") for x in files.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True)) if x.base_name.startswith("market="))
+        return sorted(x.base_name for x in files.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True)) if x.base_name.startswith(f"{kind}="))
 
-    def page(self, market: str, offset: int, limit: int) -> list[tuple[int, int, float]]:
+    def _read(self, folder: str, columns: list[str], only=None) -> pa.Table:
         files, path = self._folder()
-        rows = ds.dataset(f"{path}/market={market}", filesystem=files, format="parquet", exclude_invalid_files=True).to_table(columns=["id", "at_us", "notional"])
-        rows = rows.sort_by([("at_us", "descending"), ("id", "descending")]).slice(offset, limit)
-        return list(zip(*(rows[c].to_pylist() for c in ("id", "at_us", "notional")), strict=True))
+        return ds.dataset(f"{path}/{folder}", filesystem=files, format="parquet", exclude_invalid_files=True).to_table(columns=columns, filter=only)
+
+    def shelves(self) -> list[str]:
+        """The folders of a feed with several markets in one; none where each market has its own."""
+        return self._named("shelf")
+
+    @staticmethod
+    def shelf(market: str, shelves: list[str]) -> str:
+        n = int(shelves[0].rpartition("-")[2])
+        return f"shelf={zlib.crc32(market.encode()) % n:04d}-of-{n:04d}"
+
+    def markets(self) -> list[str]:
+        shelves = self.shelves()
+        if not shelves:
+            return [x.removeprefix("market=") for x in self._named("market")]
+        return sorted({m for s in shelves for m in pc.unique(self._read(s, ["market"])["market"]).to_pylist()})
+
+    def pages(self, market: str) -> Pages:
+        """A market's pages, read once for all of them."""
+        shelves = self.shelves()
+        rows = self._read(self.shelf(market, shelves), ["id", "at_us", "notional"], ds.field("market") == market) if shelves else self._read(f"market={market}", ["id", "at_us", "notional"])
+        return Pages(rows.sort_by([("at_us", "descending"), ("id", "descending")]))
+
+    def on(self, shelf: str) -> Iterator[tuple[str, Pages]]:
+        """The markets of a shelf with their pages; the shelf is read once for all of them."""
+        rows = self._read(shelf, ["market", "id", "at_us", "notional"]).sort_by([("market", "ascending"), ("at_us", "descending"), ("id", "descending")])
+        runs = pc.run_end_encode(rows["market"].combine_chunks())
+        rows, start = rows.combine_chunks(), 0
+        for market, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            yield market, Pages(rows.slice(start, end - start))
+            start = end
 
 
 @dataclass(frozen=True)
@@ -58,14 +117,14 @@ class Limits:
         return cls(max(1, min(page, MOST_PAGE)), max(1, int(options.get("maxPages", MOST_PAGES))), int(options.get("maxOffset", MOST_OFFSET)))
 
 
-def walk(feed: Feed, market: str, since: int | None, limits: Limits) -> tuple[list[tuple[int, int, float]], bool]:
+def walk(pages: Pages, since: int | None, limits: Limits) -> tuple[Page, bool]:
     """A market's rows at or after `since` (microseconds), newest first, and whether a limit of pages or offset ended the walk
     before it came to an older row or to the end."""
-    out: list[tuple[int, int, float]] = []
+    out: Page = []
     for k in range(limits.pages):
         if k * limits.page > limits.offset:
             return out, True
-        rows = feed.page(market, k * limits.page, limits.page)
+        rows = pages.page(k * limits.page, limits.page)
         fresh = [r for r in rows if since is None or r[1] >= since]
         out += fresh
         if len(rows) < limits.page or len(fresh) < len(rows):
@@ -78,6 +137,13 @@ class _Market(InputPartition):
         self.market, self.start, self.end = market, start, end
 
 
+class _Markets(InputPartition):
+    """Markets by name, or all of a shelf."""
+
+    def __init__(self, markets: list[str], shelf: str | None = None):
+        self.markets, self.shelf = markets, shelf
+
+
 class _Batch(DataSourceReader):
     def __init__(self, options: dict):
         self.feed, self.limits = Feed(options["path"]), Limits.of(options)
@@ -85,14 +151,22 @@ class _Batch(DataSourceReader):
         self.only: set[str] | None = None
 
     def partitions(self) -> list[InputPartition]:
-        return [_Market(m) for m in self.feed.markets() if self.only is None or m in self.only]
-
-    def read(self, partition: _Market | None) -> Iterator[tuple]:
+        shelves = self.feed.shelves()
+        if shelves and self.only is None:
+            return [_Markets([], x) for x in shelves]
+        if shelves:
+            markets = sorted(m for m in self.only if m is not None and self.feed.shelf(m, shelves) in shelves)
+        else:
+            markets = [m for m in self.feed.markets() if self.only is None or m in self.only]
+        return [_Markets(markets[i::TASKS]) for i in range(min(TASKS, len(markets)))]
+
+    def read(self, partition: _Markets | None) -> Iterator[tuple]:
         if partition is None:  # a feed without markets
             return
-        rows, incomplete = walk(self.feed, partition.market, self.since, self.limits)
-        for i, at, notional in rows:
-            yield partition.market, i, at, notional, incomplete
+        for market, pages in self.feed.on(partition.shelf) if partition.shelf else ((m, self.feed.pages(m)) for m in partition.markets):
+            rows, incomplete = walk(pages, self.since, self.limits)
+            for i, at, notional in rows:
+                yield market, i, at, notional, incomplete
 
 
 class _Filtered(_Batch):
@@ -121,9 +195,9 @@ class _Stream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         out = {}
         for m in self.feed.markets():
-            newest, ids, k = None, [], 0
+            newest, ids, k, pages = None, [], 0, self.feed.pages(m)
             while True:
-                rows = self.feed.page(m, k * self.limits.page, self.limits.page)
+                rows = pages.page(k * self.limits.page, self.limits.page)
                 newest = rows[0][1] if rows and newest is None else newest
                 ids += [r[0] for r in rows if r[1] == newest]
                 k += 1
@@ -138,7 +212,7 @@ class _Stream(DataSourceStreamReader):
 
     def read(self, partition: _Market) -> Iterator[tuple]:
         start, (last, at_last) = partition.start, partition.end
-        rows, incomplete = walk(self.feed, partition.market, start[0] if start else None, self.limits)
+        rows, incomplete = walk(self.feed.pages(partition.market), start[0] if start else None, self.limits)
         seen, known = set(start[1]) if start else set(), set(at_last)
         for i, at, notional in reversed(rows):
             if at > last or at == last and i not in known or start and at == start[0] and i in seen:
@@ -152,7 +226,7 @@ class _Stream(DataSourceStreamReader):
 class PagedTrades(DataSource):
     """Options: path of the feed; pageSize (100, at most 500), maxPages (50), maxOffset (3,000); for batches sinceMicros.
 
-    A market is a task. incomplete says that a limit of pages or offset cut its walk, so that older rows are missing."""
+    A task reads several markets: a shelf's, or every 256th. incomplete says that a limit of pages or offset cut its walk, so that older rows are missing."""
 
     @classmethod
     def name(cls) -> str:
