@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradeflow.functions import bands
-from tradeflow.operators import accumulation, detectors, flow, graphs, outcomes, scoring, state
+from tradeflow.operators import accumulation, baselines, detectors, flow, graphs, outcomes, scoring, state
 from tradeflow.operators.asof import asof
 from tradeflow.sources import records
 
@@ -237,6 +237,40 @@ def test_concentration_gate_windows_end_apart(spark):
                 kept.append((w, n, at))
 
 
+def test_baselines_before_repeat_no_row(spark):
+    t = spark.createDataFrame([(1, T0 + timedelta(days=28 * (i % 20)), float(i)) for i in range(200)] + [(2, T0, None), (2, T0 + timedelta(days=40), 5.0), (2, T0 + timedelta(days=80), -1.0)], "k int, traded_at timestamp, notional double")
+    d = baselines.before(t, ["k"])
+    assert "Generate" not in d._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["k"], r["period"]): r for r in d.collect()}
+    day = lambda i: (T0 + timedelta(days=28 * i) - datetime(1970, 1, 1)).days // 28
+    for i in range(1, 20):
+        values = sorted(float(x) for x in range(1, 200) if max(0, i - 13) <= x % 20 < i)
+        r = got[(1, day(i))]
+        place = (len(values) - 1) * 0.95
+        assert r["n"] == len(values) and r["total"] == sum(values) and r["oldest"] == T0 + timedelta(days=28 * max(0, i - 13))
+        assert r["p95"] == pytest.approx(values[math.floor(place)] + (values[math.ceil(place)] - values[math.floor(place)]) * (place - math.floor(place)))
+    # A period whose own trades count for nothing still asks; one with nothing before it has no baseline.
+    assert [k for k in got if k[0] == 2] == [(2, (T0 + timedelta(days=80) - datetime(1970, 1, 1)).days // 28)] and got[(2, (T0 + timedelta(days=80) - datetime(1970, 1, 1)).days // 28)]["n"] == 1
+
+
+def test_only_trades_that_may_fire_need_baselines(spark):
+    rules = scoring.Thresholds.for_driver()
+    rows = [(n, p, 10, 1e5, b, b, 30, b, b) for n in (None, 0.0, 9_999.0, 10_000.0, 25_000.0, 400_000.0) for p in (None, 0.0, 0.05, 0.14, 0.3, 1 / 3, 0.6, 1.0) for b in (None, 1.0, 1e9)]
+    d = scoring.score(spark.createDataFrame(rows, "notional double, price double, m_count int, m_total double, m_p95 double, m_p99 double, t_count int, t_p95 double, t_p99 double"), rules)
+    got = d.select(F.col("severity").isNotNull().alias("fired"), scoring.may_fire(rules).alias("may")).collect()
+    assert any(r["fired"] for r in got) and any(not r["may"] for r in got) and all(r["may"] for r in got if r["fired"])
+
+
+def test_forward_returns_send_alerts_once(spark):
+    """What is looked up for each horizon is the alerts' places and times; their other columns take no part."""
+    a = spark.createDataFrame([("m", "BUY", 0.5, T0, "x" * 9, None)] * 2 + [(None, "BUY", 0.5, T0, "y", 1)], "market string, side string, price double, sent timestamp, wide string, nothing int")
+    p = spark.createDataFrame([("m", T0 + timedelta(days=2), 0.75)], "market string, at timestamp, price double")
+    d = outcomes.forward_returns(a, p, ["market"], "sent", "at", {"ret_a": 1, "ret_b": 3})
+    assert sorted((r["wide"], r["ret_a"], r["ret_b"]) for r in d.collect()) == [("x" * 9, 0.5, None), ("x" * 9, 0.5, None), ("y", None, None)]
+    grouped = [x for x in d._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x]
+    assert grouped and not any("wide" in x for x in grouped)
+
+
 def test_upsert_is_idempotent(spark):
     h = spark.createDataFrame([(1, 1, "a", 5), (2, 1, "x", 7)], "k int, at int, v string, m int")
     b = spark.createDataFrame([(1, 2, "", 3), (1, 3, None, 9), (3, 1, "n", 1)], "k int, at int, v string, m int")

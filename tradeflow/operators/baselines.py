@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,13 +15,21 @@ def before(t: DataFrame, keys: list[str], at: str = "traded_at", value: str = "n
     """Per key and period in which it trades: n, total, p50, p95, p99 and oldest of the `periods` periods before it.
 
     Neither a trade itself nor a later one is in its baseline, and trades older than the window are not.
-    A row counts towards the next `periods` periods of its key, those without trades left out, so the work
-    is linear in the rows and one group holds the values of one key's window, not of its life."""
-    d = t.where(F.col(value) > 0).select(*keys, F.col(value).alias("_v"), F.col(at).alias("_at"), period(at, days).alias("_p"))
-    asked = t.select(*keys, period(at, days).alias("period")).distinct()
-    d = d.withColumn("period", F.explode(F.sequence(F.col("_p") + 1, F.col("_p") + periods))).join(asked, [*keys, "period"], "left_semi")
-    d = d.groupBy(*keys, "period").agg(F.count("*").alias("n"), F.sum("_v").alias("total"), F.percentile("_v", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("_q"), F.min("_at").alias("oldest"))
-    return d.select(*keys, "period", "n", "total", F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p95"), F.col("_q")[2].alias("p99"), "oldest")
+    The values of a period are gathered once and the periods of a key are looked through by a window over a row each, so no row is
+    repeated on its way, and one row holds the values of one key's window, not of its life."""
+    v = F.when(F.col(value) > 0, F.col(value))
+    d = t.groupBy(*keys, period(at, days).alias("period")).agg(F.collect_list(v).alias("_v"), F.sum(v).alias("total"), F.min(F.when(v.isNotNull(), F.col(at))).alias("oldest"))
+    w = Window.partitionBy(*keys).orderBy("period").rangeBetween(-periods, -1)
+    d = d.select(*keys, "period", F.array_sort(F.flatten(F.collect_list("_v").over(w))).alias("_all"), F.sum("total").over(w).alias("total"), F.min("oldest").over(w).alias("oldest")).where(F.size("_all") > 0)
+    n = F.size("_all")
+
+    def quantile(q: float) -> Column:
+        """Interpolated as by Spark's percentile."""
+        place = (n - 1) * F.lit(q)
+        low, high = F.get("_all", F.floor(place).cast("int")), F.get("_all", F.ceil(place).cast("int"))
+        return F.when(low == high, low.cast("double")).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return d.select(*keys, "period", n.cast("long").alias("n"), "total", quantile(0.5).alias("p50"), quantile(0.95).alias("p95"), quantile(0.99).alias("p99"), "oldest")
 
 
 def with_baselines(t: DataFrame, market: list[str], trader: list[str], days: int = 28, periods: int = 13) -> DataFrame:
