@@ -16,13 +16,17 @@ def forward_returns(alerts: DataFrame, prices: DataFrame, by: list[str], at: str
     first price at or after at + horizon; null where there is none yet."""
     sign = F.when(F.col("side") == "SELL", -1).otherwise(1)
     p = prices.select(*by, F.col(price_at).alias("_pa"), F.col("price").alias("_later"))
-    # One as-of join for all horizons: a row each, folded back on the alert's columns. Equal alerts
-    # fold together and are repeated as often as they came.
+    # One as-of join for all horizons, of places and times alone: a row for each and horizon, folded back on the two. The alerts, which
+    # are wider and more, meet what was found once.
     due = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.col(at) + F.expr(f"INTERVAL {days} DAYS")).alias("due")) for i, days in enumerate(horizons.values())]))
-    e = alerts.withColumn("_x", due).select(*alerts.columns, F.col("_x.i").alias("_i"), F.col("_x.due").alias("_due"))
+    e = alerts.select(*by, at).distinct().select(*by, at, due.alias("_x")).select(*by, at, F.col("_x.i").alias("_i"), F.col("_x.due").alias("_due"))
     e = asof(e, p, by, "_due", "_pa", ["_later"], "forward")
-    folded = e.groupBy(*alerts.columns).agg((F.count("*") / len(horizons)).cast("int").alias("_n"), *[F.max(F.when(F.col("_i") == i, F.col("_later"))).alias(f"_l{i}") for i in range(len(horizons))])
-    d = folded.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    names = [f"_k{i}" for i in range(len(by) + 1)]
+    folded = e.groupBy(*[F.col(c).alias(n) for c, n in zip([*by, at], names, strict=True)]).agg(*[F.max(F.when(F.col("_i") == i, F.col("_later"))).alias(f"_l{i}") for i in range(len(horizons))])
+    same = F.lit(True)
+    for c, n in zip([*by, at], names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    d = alerts.join(folded, same, "left")
     out = []
     for i, name in enumerate(horizons):
         move = F.col(f"_l{i}") - F.col("price")

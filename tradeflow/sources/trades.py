@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tradeflow.functions.bands import lifecycle_pct
 from tradeflow.operators.asof import asof
-from tradeflow.operators.scoring import Thresholds, score
+from tradeflow.operators.scoring import Thresholds, may_fire, score
 from tradeflow.sources.scratch import kept
 
 #: The moment queries take as now; no query reads a clock.
@@ -101,7 +101,8 @@ class Domain:
     @cached_property
     def stored(self) -> DataFrame:
         """trades, written once: for what reads them more than once."""
-        return kept(self.trades)
+        d = kept(self.trades.drop("shares"))
+        return d.withColumn("shares", F.col("notional") / F.col("price")).select(*self.trades.columns)
 
     @cached_property
     def markets(self) -> DataFrame:
@@ -110,19 +111,24 @@ class Domain:
 
     @cached_property
     def scored(self) -> DataFrame:
+        return self._judged(self.stored)
+
+    def _judged(self, rows: DataFrame) -> DataFrame:
+        """rows, some of the trades, scored by the baselines of all trades."""
         t = self.stored
         base = t.groupBy("market_id", "outcome").agg(F.count("*").alias("m_count"), F.sum("notional").alias("m_total"), F.percentile("notional", F.array(F.lit(0.95), F.lit(0.99))).alias("_m"))
         base = base.select("market_id", "outcome", "m_count", "m_total", F.col("_m")[0].alias("m_p95"), F.col("_m")[1].alias("m_p99"))
         tb = t.groupBy("trader_id").agg(F.count("*").alias("t_count"), F.percentile("notional", F.array(F.lit(0.95), F.lit(0.99))).alias("_t"))
         tb = tb.select("trader_id", "t_count", F.col("_t")[0].alias("t_p95"), F.col("_t")[1].alias("t_p99"))
         m = self.markets.select("market_id", "start_at", "end_at")
-        j = t.join(base, ["market_id", "outcome"]).join(tb, "trader_id").join(m, "market_id")
+        j = rows.join(base, ["market_id", "outcome"]).join(tb, "trader_id").join(m, "market_id")
         return score(j.withColumn("lifecycle", lifecycle_pct("traded_at", "start_at", "end_at", clamp=False)), Thresholds.for_driver())
 
     @cached_property
     def alerts(self) -> DataFrame:
-        """Trades that fired, few beside all trades; written once, as most queries on them read them more than once."""
-        a = self.scored.where("severity is not null").groupBy("market_id", "event_id", "category_id", "outcome", "side", "trader_id", "order_id", "line_no", "traded_at").agg(
+        """Trades that fired, few beside all trades; written once, as most queries on them read them more than once. Only trades that may
+        fire meet the baselines."""
+        a = self._judged(self.stored.where(may_fire(Thresholds.for_driver()))).where("severity is not null").groupBy("market_id", "event_id", "category_id", "outcome", "side", "trader_id", "order_id", "line_no", "traded_at").agg(
             F.min("price").alias("price"), F.max("notional").alias("notional"), F.max("odds").alias("odds"), F.max("lifecycle").alias("lifecycle"), F.min("severity").alias("severity"))
         key = F.concat_ws("|", F.lit("trade"), *[F.col(c).cast("string") for c in ("market_id", "outcome", "trader_id", "order_id", "line_no")], F.date_format("traded_at", "yyyy-MM-dd"))
         kind = F.when(F.col("lifecycle") >= 90, "hot_trade").otherwise("trade")
