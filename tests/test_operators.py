@@ -253,6 +253,14 @@ def test_baselines_before_repeat_no_row(spark):
     assert [k for k in got if k[0] == 2] == [(2, (T0 + timedelta(days=80) - datetime(1970, 1, 1)).days // 28)] and got[(2, (T0 + timedelta(days=80) - datetime(1970, 1, 1)).days // 28)]["n"] == 1
 
 
+def test_baselines_before_send_rows_once_and_judge_some(spark):
+    t = spark.createDataFrame([("m", i % 3, T0 + timedelta(days=20 * i), float(i + 1)) for i in range(40)], "market_id string, trader_id int, traded_at timestamp, notional double")
+    assert baselines.before(t, ["market_id"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    every = {r["notional"]: tuple(r) for r in baselines.with_baselines(t, ["market_id"], ["trader_id"]).collect()}
+    some = {r["notional"]: tuple(r) for r in baselines.with_baselines(t, ["market_id"], ["trader_id"], rows=t.where("notional > 30")).collect()}
+    assert len(every) == 40 and some == {k: v for k, v in every.items() if k > 30}
+
+
 def test_only_trades_that_may_fire_need_baselines(spark):
     rules = scoring.Thresholds.for_driver()
     rows = [(n, p, 10, 1e5, b, b, 30, b, b) for n in (None, 0.0, 9_999.0, 10_000.0, 25_000.0, 400_000.0) for p in (None, 0.0, 0.05, 0.14, 0.3, 1 / 3, 0.6, 1.0) for b in (None, 1.0, 1e9)]

@@ -16,9 +16,10 @@ def before(t: DataFrame, keys: list[str], at: str = "traded_at", value: str = "n
 
     Neither a trade itself nor a later one is in its baseline, and trades older than the window are not.
     The values of a period are gathered once and the periods of a key are looked through by a window over a row each, so no row is
-    repeated on its way, and one row holds the values of one key's window, not of its life."""
+    repeated on its way, and one row holds the values of one key's window, not of its life. Rows are sent once, by key, for both."""
+    d = t.select(*keys, period(at, days).alias("period"), F.col(at).alias(at), F.col(value).alias(value)).repartition(*keys)
     v = F.when(F.col(value) > 0, F.col(value))
-    d = t.groupBy(*keys, period(at, days).alias("period")).agg(F.collect_list(v).alias("_v"), F.sum(v).alias("total"), F.min(F.when(v.isNotNull(), F.col(at))).alias("oldest"))
+    d = d.groupBy(*keys, "period").agg(F.collect_list(v).alias("_v"), F.sum(v).alias("total"), F.min(F.when(v.isNotNull(), F.col(at))).alias("oldest"))
     w = Window.partitionBy(*keys).orderBy("period").rangeBetween(-periods, -1)
     d = d.select(*keys, "period", F.array_sort(F.flatten(F.collect_list("_v").over(w))).alias("_all"), F.sum("total").over(w).alias("total"), F.min("oldest").over(w).alias("oldest")).where(F.size("_all") > 0)
     n = F.size("_all")
@@ -32,9 +33,10 @@ def before(t: DataFrame, keys: list[str], at: str = "traded_at", value: str = "n
     return d.select(*keys, "period", n.cast("long").alias("n"), "total", quantile(0.5).alias("p50"), quantile(0.95).alias("p95"), quantile(0.99).alias("p99"), "oldest")
 
 
-def with_baselines(t: DataFrame, market: list[str], trader: list[str], days: int = 28, periods: int = 13) -> DataFrame:
-    """t with m_count, m_total, m_p95, m_p99, t_count, t_p95 and t_p99 from before each trade's period; null where there were none."""
+def with_baselines(t: DataFrame, market: list[str], trader: list[str], days: int = 28, periods: int = 13, rows: DataFrame | None = None) -> DataFrame:
+    """rows (some of t's; by default all) with m_count, m_total, m_p95, m_p99, t_count, t_p95 and t_p99 of t's trades before each
+    row's period; null where there were none."""
     m = before(t, market, days=days, periods=periods).select(*market, "period", F.col("n").alias("m_count"), F.col("total").alias("m_total"), F.col("p95").alias("m_p95"), F.col("p99").alias("m_p99"))
     w = before(t, trader, days=days, periods=periods).select(*trader, "period", F.col("n").alias("t_count"), F.col("p95").alias("t_p95"), F.col("p99").alias("t_p99"))
-    d = t.withColumn("period", period("traded_at", days))
+    d = (t if rows is None else rows).withColumn("period", period("traded_at", days))
     return d.join(m, [*market, "period"], "left").join(w, [*trader, "period"], "left").drop("period")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradeflow.operators import baselines, detectors
-from tradeflow.operators.scoring import Thresholds, score
+from tradeflow.operators.scoring import Thresholds, may_fire, score
 from tradeflow.plans.named import query
 from tradeflow.sources.trades import ALERTS_SQL, TRADES_SQL
 
@@ -29,7 +29,12 @@ def baseline_before(t):
     FROM p LEFT JOIN mb ON p.market_id = mb.market_id AND p.outcome = mb.outcome AND p.period = mb.period LEFT JOIN tb ON p.trader_id = tb.trader_id AND p.period = tb.period))) GROUP BY ALL""", TRADES_SQL + BEFORE_SQL)
 def scored_before(t):
     """Verdicts by market where each trade is measured against trades before its period only."""
-    d = score(baselines.with_baselines(t.trades, ["market_id", "outcome"], ["trader_id"]), Thresholds.for_driver())
+    rules = Thresholds.for_driver()
+    fires = may_fire(rules)
+    # Only trades that may fire meet the baselines; the others are counted as they are.
+    rows = t.stored.where(fires).select("market_id", "outcome", "trader_id", "notional", "price", "traded_at")
+    d = score(baselines.with_baselines(t.stored, ["market_id", "outcome"], ["trader_id"], rows=rows), rules).select("market_id", "severity", "notional")
+    d = d.unionByName(t.stored.where(~fires).select("market_id", F.lit(None).cast("string").alias("severity"), "notional"))
     return d.groupBy("market_id", F.coalesce("severity", F.lit("none")).alias("severity")).agg(F.count("*").alias("n"), F.round(F.sum("notional"), 2).alias("usd"))
 
 
