@@ -32,6 +32,16 @@ def test_reservoir_before(spark, samples, stretch, window):
             assert (r["oldest"] is None) == (n == 0) and (n == 0 or T0 <= r["oldest"] <= r["newest"] <= r["traded_at"])
 
 
+def test_reservoir_sends_small_keys_once(spark):
+    """Only rows of keys larger than a stretch are numbered; those of others, of no key too, go to it as they are."""
+    rows = [(None if i % 5 == 0 else "a" if i % 5 == 1 else "b", i, T0 + timedelta(days=i // 3), float(i % 17)) for i in range(200)]
+    d = spark.createDataFrame(rows, "k string, i int, traded_at timestamp, notional double")
+    out = reservoir.before(d, ["k"], ["traded_at", "i"], samples=7, stretch=500, window_days=30)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    cut = reservoir.before(d, ["k"], ["traded_at", "i"], samples=7, stretch=50, window_days=30, bucket_days=9)
+    assert sorted(map(str, out.collect())) == sorted(map(str, cut.collect())) and out.count() == 200
+
+
 def test_reservoir_of_an_empty_table(spark):
     d = spark.createDataFrame([], "k string, traded_at timestamp_ntz, i int, notional double")
     assert reservoir.before(d, ["k"], ["traded_at", "i"]).count() == 0

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradeflow.operators.ranks import days, ordinal
+from tradeflow.sources.scratch import kept as written
 
 
 class Reservoir:
@@ -69,6 +70,21 @@ def _walk(batches: Iterator[pa.RecordBatch], width: int, samples: int, window: i
         yield pa.RecordBatch.from_arrays([*own.columns, *cols], [*own.schema.names, *[f"_r{i}" for i in range(len(cols))]])
 
 
+def _small(d: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of keys that are walked whole."""
+    return d.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def _cut(d: DataFrame, keys: list[str], order: list[str], bucket: Column, samples: int, stretch: int) -> DataFrame:
+    """Rows of large keys with _k, their stretch, and _c, whether they are there for the next one only."""
+    d = ordinal(d, keys, order, bucket, "_place", F.col("_v") > 0)
+    own = F.floor(F.col("_place") / stretch)
+    late = (F.col("_v") > 0) & (F.col("_place") % stretch >= stretch - samples)
+    place = lambda k, c: F.struct(k.cast("long").alias("k"), F.lit(c).alias("c"))
+    d = d.withColumn("_s", F.explode(F.when(late, F.array(place(own, False), place(own + 1, True))).otherwise(F.array(place(own, False)))))
+    return d.withColumns({"_k": F.col("_s.k"), "_c": F.col("_s.c")}).repartition(*keys, "_k").sortWithinPartitions(*keys, "_k", "_place", F.desc("_c"), *order)
+
+
 def before(t: DataFrame, keys: list[str], order: list[str], at: str = "traded_at", value: str = "notional", samples: int = 1_024, window_days: float | None = None, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99), stretch: int = 16_384, bucket_days: int = 365) -> DataFrame:
     """t with n, total, a p<hundredths> for each quantile, oldest and newest of the key's reservoir before each row.
 
@@ -76,19 +92,25 @@ def before(t: DataFrame, keys: list[str], order: list[str], at: str = "traded_at
     window_days before the row's time left out. Quantiles are by nearest rank; with no sample n and total are 0, the rest null.
     Rows without a positive value are judged but never enter.
 
-    A key is cut into stretches of consecutive samples; each also gets the `samples` before it, so a stretch needs no other
-    and a key of any size is walked by many tasks. A task holds one reservoir, not a stretch."""
+    A key of more than `stretch` rows is cut into stretches of consecutive samples; each also gets the `samples` before it, so a stretch
+    needs no other and a key of any size is walked by many tasks. Rows of other keys are sent once, by key. A task holds one reservoir,
+    not a stretch. t is read twice, and twice more where there are large keys."""
     if not 0 < samples <= stretch:
         raise ValueError("a stretch holds at least a reservoir")
     v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    d = ordinal(t.withColumns({"_v": F.when(F.isnan(v), 0.0).otherwise(v), "_t": F.unix_micros(F.col(at).cast("timestamp"))}), keys, order, days(at, bucket_days), "_place", F.col("_v") > 0)
-    own = F.floor(F.col("_place") / stretch)
-    late = (F.col("_v") > 0) & (F.col("_place") % stretch >= stretch - samples)
-    place = lambda k, c: F.struct(k.cast("long").alias("k"), F.lit(c).alias("c"))
-    d = d.withColumn("_s", F.explode(F.when(late, F.array(place(own, False), place(own + 1, True))).otherwise(F.array(place(own, False)))))
-    d = d.withColumns({"_k": F.col("_s.k"), "_c": F.col("_s.c")}).repartition(*keys, "_k").sortWithinPartitions(*keys, "_k", "_place", F.desc("_c"), *order)
     kept = t.columns
-    d = d.select(*kept, F.xxhash64(*keys, "_k").alias("_g"), "_place", "_c", "_t", "_v")
+    d = t.withColumns({"_v": F.when(F.isnan(v), 0.0).otherwise(v), "_t": F.unix_micros(F.col(at).cast("timestamp"))})
+    large = written(t.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_rows")).where(F.col("_rows") > stretch))
+    whole = F.lit(0).cast("long")
+    if large.isEmpty():
+        d = _small(d, keys, order).select(*kept, F.xxhash64(*keys, whole).alias("_g"), whole.alias("_place"), F.lit(False).alias("_c"), "_t", "_v")
+    else:
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_h{i}"))
+        of = F.broadcast(large)  # a row for each `stretch` rows of t at most
+        few = _small(d.join(of, same, "left_anti"), keys, order).select(*kept, F.xxhash64(*keys, whole).alias("_g"), whole.alias("_place"), F.lit(False).alias("_c"), "_t", "_v")
+        d = few.union(_cut(d.join(of, same, "left_semi"), keys, order, days(at, bucket_days), samples, stretch).select(*kept, F.xxhash64(*keys, "_k").alias("_g"), "_place", "_c", "_t", "_v"))
     names = [f"p{round(100 * q)}" for q in quantiles]
     kinds = [T.LongType(), *[T.DoubleType()] * (len(quantiles) + 1), T.LongType(), T.LongType()]
     schema = T.StructType([*[d.schema[c] for c in kept], *[T.StructField(f"_r{i}", k) for i, k in enumerate(kinds)]])
