@@ -99,9 +99,14 @@ def quiet_wakeup(d: DataFrame, per_day: float = 10, usd_per_day: float = 5_000,
 
 
 def wallet_age(t: DataFrame, new_hours: float = 168, few: int = 10, dormant_hours: float = 720, least: float = 5_000) -> DataFrame:
-    """Adds is_new (young or short history) and dormant (long idle, not new, not small) per trade of (trader_id)."""
-    hist = t.groupBy("trader_id").agg(F.min("traded_at").alias("first_seen"), F.count("*").alias("history"))
-    d = previous(t.join(hist, "trader_id"), ["trader_id"], out="wallet_previous_at")
+    """Adds is_new (young or short history) and dormant (long idle, not new, not small) per trade of (trader_id).
+
+    A wallet's trades are sent and sorted once; the time before a trade's own is the last that differed on the way to it."""
+    w = Window.partitionBy("trader_id")
+    run = w.orderBy("traded_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.lag("traded_at").over(w.orderBy("traded_at"))
+    d = t.withColumns({"first_seen": F.min("traded_at").over(run), "_last": F.when(last < F.col("traded_at"), last), "history": F.count("*").over(w)})
+    d = d.withColumn("wallet_previous_at", F.last("_last", ignorenulls=True).over(run)).drop("_last")
     hours = lambda a, b: F.timestamp_diff("SECOND", a, b) / 3600
     new = (hours(F.col("first_seen"), F.col("traded_at")) <= new_hours) | (F.col("history") <= few)
     idle = F.coalesce(hours(F.col("wallet_previous_at"), F.col("traded_at")) >= dormant_hours, F.lit(False))
