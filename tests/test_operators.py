@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tradeflow.functions import bands
 from tradeflow.operators import accumulation, baselines, detectors, flow, graphs, outcomes, scoring, state
 from tradeflow.operators.asof import asof
+from tradeflow.sources import trades
 from tradeflow.sources import records
 
 T0 = datetime(2024, 1, 1)
@@ -261,6 +262,15 @@ def test_baselines_before_send_rows_once_and_judge_some(spark):
     assert len(every) == 40 and some == {k: v for k, v in every.items() if k > 30}
 
 
+def test_wallet_age_sends_trades_once(spark):
+    rows = [(1, T0, 1.0), (1, T0, 9e3)] + [(1, T0 + timedelta(days=40), x) for x in (9e3, 9e3, 1.0)] + [(1, T0 + timedelta(days=41), 9e3)] * 6 + [(2, T0 + timedelta(days=90), 9e3), (None, T0, 1.0)]
+    d = flow.wallet_age(spark.createDataFrame(rows, "trader_id int, traded_at timestamp, notional double"))
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = [(r["trader_id"], (r["traded_at"] - T0).days, r["is_new"], r["dormant"]) for r in d.collect()]
+    assert sorted(x for x in got if x[0] == 1) == sorted([(1, 0, True, False)] * 2 + [(1, 40, False, True)] * 2 + [(1, 40, False, False)] + [(1, 41, False, False)] * 6)
+    assert (2, 90, True, False) in got
+
+
 def test_only_trades_that_may_fire_need_baselines(spark):
     rules = scoring.Thresholds.for_driver()
     rows = [(n, p, 10, 1e5, b, b, 30, b, b) for n in (None, 0.0, 9_999.0, 10_000.0, 25_000.0, 400_000.0) for p in (None, 0.0, 0.05, 0.14, 0.3, 1 / 3, 0.6, 1.0) for b in (None, 1.0, 1e9)]
@@ -279,6 +289,27 @@ def test_forward_returns_send_alerts_once(spark):
     assert grouped and not any("wide" in x for x in grouped)
 
 
+def test_asof_of_unique_prices_groups_none(spark):
+    a = spark.createDataFrame([(i, i % 3, T0 + timedelta(days=i * 37)) for i in range(60)], "id int, k int, t timestamp_ntz")
+    p = spark.createDataFrame([(k, T0 + timedelta(days=i * 91 + k), None if i == 7 else float(i)) for k in range(2) for i in range(30)], "k int, u timestamp_ntz, v double")
+    for direction in ("backward", "forward"):
+        plain, unique = (asof(a, p, ["k"], "t", "u", ["v"], direction, unique=u) for u in (False, True))
+        assert sorted(map(str, plain.collect())) == sorted(map(str, unique.collect())) and any(r["v"] is None for r in plain.where("k < 2").collect())
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (plain, unique)]
+        assert "SortAggregate" not in plans[0] + plans[1] and plans[1].count("HashAggregate") < plans[0].count("HashAggregate")
+
+
+def test_decisions_without_returns_look_up_no_price(spark):
+    """What asks for no return, or for one horizon, does not work out all four; alerts are grouped where their wallets are."""
+    t = trades.Domain(spark, "/root/testdata/sf0.001")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan(t.unmeasured) and "SortAggregate" not in plan(t.unmeasured)
+    rows = lambda d: sorted(map(str, d.select("dedup_key", "strategy", "level", "linked_key", "created_at", "control_bucket").collect()))
+    assert rows(t.unmeasured) == rows(t.decisions) == rows(t.once)
+    some, every = (sorted(map(str, d.select("dedup_key", "ret_6h", "clv_6h").collect())) for d in (t.returns("ret_6h"), t.measured))
+    assert some == every and "ret_1h" not in t.returns("ret_6h").columns
+
+
 def test_upsert_is_idempotent(spark):
     h = spark.createDataFrame([(1, 1, "a", 5), (2, 1, "x", 7)], "k int, at int, v string, m int")
     b = spark.createDataFrame([(1, 2, "", 3), (1, 3, None, 9), (3, 1, "n", 1)], "k int, at int, v string, m int")

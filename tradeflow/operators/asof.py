@@ -6,21 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], direction: str = "backward", strict: bool = False, bucket_days: int = 365) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], direction: str = "backward", strict: bool = False, bucket_days: int = 365, unique: bool = False) -> DataFrame:
     """left with `values` of the right row nearest in time on one side; null where there is none.
 
     backward: the latest right row at or before left_ts (strict: before); forward: the earliest
     at or after it. Of right rows at one time the largest by `values` counts. A key of any size
     is cut into buckets of time; what earlier (later) buckets hold last (first) is carried over
-    by a window over one row per bucket.
+    by a window over one row per bucket. unique: right has one row a key and time, which need not be looked for.
     """
     back = direction == "backward"
-    best = F.max if back else F.min
     bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / bucket_days).cast("int")
     names = [f"_v{i}" for i in range(len(values))]
-    r = right.select(*by, F.col(right_ts).alias("_t"), F.struct(*[F.col(v).alias(n) for v, n in zip(values, names, strict=True)]).alias("_s"))
-    r = r.groupBy(*by, "_t").agg(F.max("_s").alias("_s")).withColumn("_b", bucket(F.col("_t")))
-    ends = r.groupBy(*by, "_b").agg((F.max_by if back else F.min_by)("_s", "_t").alias("_e"), best("_t").alias("_et"))
+    pack = F.struct(*names)
+    r = right.select(*by, F.col(right_ts).alias("_t"), *[F.col(v).alias(n) for v, n in zip(values, names, strict=True)])
+    # One value is sought as it is, as structs have no place in a hash table of aggregates.
+    if not unique:
+        r = r.groupBy(*by, "_t").agg(F.max(pack).alias("_s")).select(*by, "_t", "_s.*") if len(names) > 1 else r.groupBy(*by, "_t").agg(F.max(names[0]).alias(names[0]))
+    r = r.withColumn("_b", bucket(F.col("_t")))
+    end = F.max_by if back else F.min_by
+    ends = r.groupBy(*by, "_b").agg(end(pack if len(names) > 1 else F.col(names[0]), "_t").alias("_e"))
+    ends = ends if len(names) > 1 else ends.select(*by, "_b", F.struct(F.col("_e").alias(names[0])).alias("_e"))
+    r = r.select(*by, "_t", "_b", pack.alias("_s"))
     lcols = left.columns
     lhs = left.withColumns({"_t": F.col(left_ts), "_b": bucket(F.col(left_ts)), "_left": F.lit(True)})
     both = lhs.withColumn("_s", F.lit(None).cast(r.schema["_s"].dataType)).unionByName(r.withColumn("_left", F.lit(False)), allowMissingColumns=True)

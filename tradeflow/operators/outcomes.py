@@ -11,16 +11,16 @@ from tradeflow.operators.selection import percentiles
 from tradeflow.sources.scratch import kept
 
 
-def forward_returns(alerts: DataFrame, prices: DataFrame, by: list[str], at: str, price_at: str, horizons: dict[str, int]) -> DataFrame:
+def forward_returns(alerts: DataFrame, prices: DataFrame, by: list[str], at: str, price_at: str, horizons: dict[str, int], unique: bool = False) -> DataFrame:
     """Per horizon (days) the signed relative return ret_* and the signed move in cents clv_*, from the
-    first price at or after at + horizon; null where there is none yet."""
+    first price at or after at + horizon; null where there is none yet. unique: there is one price a key and time."""
     sign = F.when(F.col("side") == "SELL", -1).otherwise(1)
     p = prices.select(*by, F.col(price_at).alias("_pa"), F.col("price").alias("_later"))
     # One as-of join for all horizons, of places and times alone: a row for each and horizon, folded back on the two. The alerts, which
     # are wider and more, meet what was found once.
     due = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.col(at) + F.expr(f"INTERVAL {days} DAYS")).alias("due")) for i, days in enumerate(horizons.values())]))
     e = alerts.select(*by, at).distinct().select(*by, at, due.alias("_x")).select(*by, at, F.col("_x.i").alias("_i"), F.col("_x.due").alias("_due"))
-    e = asof(e, p, by, "_due", "_pa", ["_later"], "forward")
+    e = asof(e, p, by, "_due", "_pa", ["_later"], "forward", unique=unique)
     names = [f"_k{i}" for i in range(len(by) + 1)]
     folded = e.groupBy(*[F.col(c).alias(n) for c, n in zip([*by, at], names, strict=True)]).agg(*[F.max(F.when(F.col("_i") == i, F.col("_later"))).alias(f"_l{i}") for i in range(len(horizons))])
     same = F.lit(True)

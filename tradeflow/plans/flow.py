@@ -8,6 +8,7 @@ from tradeflow.functions.bands import lifecycle_pct
 from tradeflow.operators import accumulation, flow, scoring
 from tradeflow.operators.asof import asof
 from tradeflow.plans.named import query
+from tradeflow.sources.scratch import kept
 from tradeflow.sources.trades import ALERTS_SQL, MARKETS_SQL, NOW, PRICES_SQL, TRADES_SQL
 
 OLD = "2000-01-01 00:00:00"
@@ -203,19 +204,19 @@ def _asof_sql(op: str, shift: str) -> str:
 
 @query(_asof_sql("<=", "+ INTERVAL 1 DAY"), ALERTS_SQL + PRICES_SQL)
 def price_at_or_after(t):
-    a = t.alerts.withColumn("due", F.col("sent_at") + F.expr("INTERVAL 1 DAY")).drop("price")
-    return asof(a, t.daily, ["market_id", "outcome"], "due", "at", ["price"], "forward").select("dedup_key", F.round("price", 6).alias("price"))
+    a = t.alerts.select("dedup_key", "market_id", "outcome", (F.col("sent_at") + F.expr("INTERVAL 1 DAY")).alias("due"))
+    return asof(a, kept(t.daily), ["market_id", "outcome"], "due", "at", ["price"], "forward", unique=True).select("dedup_key", F.round("price", 6).alias("price"))
 
 
 @query(_asof_sql(">=", "- INTERVAL 5 DAY"), ALERTS_SQL + PRICES_SQL)
 def price_at_or_before(t):
-    a = t.alerts.withColumn("due", F.col("sent_at") - F.expr("INTERVAL 5 DAYS")).drop("price")
-    return asof(a, t.daily, ["market_id", "outcome"], "due", "at", ["price"]).select("dedup_key", F.round("price", 6).alias("price"))
+    a = t.alerts.select("dedup_key", "market_id", "outcome", (F.col("sent_at") - F.expr("INTERVAL 5 DAYS")).alias("due"))
+    return asof(a, kept(t.daily), ["market_id", "outcome"], "due", "at", ["price"], unique=True).select("dedup_key", F.round("price", 6).alias("price"))
 
 
 @query(_asof_sql(">", ""), ALERTS_SQL + PRICES_SQL)
 def price_before_strict(t):
-    return asof(t.alerts.drop("price"), t.daily, ["market_id", "outcome"], "sent_at", "at", ["price"], strict=True).select("dedup_key", F.round("price", 6).alias("price"))
+    return asof(t.alerts.select("dedup_key", "market_id", "outcome", "sent_at"), kept(t.daily), ["market_id", "outcome"], "sent_at", "at", ["price"], strict=True, unique=True).select("dedup_key", F.round("price", 6).alias("price"))
 
 
 @query("""SELECT market_id, outcome, trader_id, order_id, line_no, wakes FROM (SELECT t.*, n >= 1 AND span_h > 0 AND notional >= 10000 AND n / (span_h / 24) <= 10 AND total / (span_h / 24) <= 50000 AND (prev IS NULL OR (epoch(traded_at) - epoch(prev)) / 3600 >= 6) AND notional / median >= 1.5 AS wakes FROM

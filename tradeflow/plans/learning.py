@@ -34,7 +34,7 @@ def promotion_review(t):
 
 @query("SELECT strategy, dedup_key, rank FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY created_at DESC, dedup_key) AS rank FROM decisions) WHERE rank <= 20", DECISIONS_SQL)
 def decisions_by_strategy(t):
-    return flow.newest(t.decisions, ["strategy"], 20, [F.desc("created_at"), "dedup_key"]).select("strategy", "dedup_key", "rank")
+    return flow.newest(t.unmeasured, ["strategy"], 20, [F.desc("created_at"), "dedup_key"]).select("strategy", "dedup_key", "rank")
 
 
 @query("SELECT dedup_key FROM decisions WHERE clv_15m IS NULL OR clv_1h IS NULL OR clv_6h IS NULL OR clv_24h IS NULL ORDER BY created_at, dedup_key LIMIT 200", DECISIONS_SQL)
@@ -234,7 +234,7 @@ def repricing_windows(t):
 @query("SELECT strategy, state, count(*) AS n FROM (SELECT d.*, CASE WHEN NOT coalesce(f.enabled, false) THEN 'off' WHEN f.promoted THEN 'live' ELSE 'shadow_only' END AS state FROM decisions d LEFT JOIN (VALUES ('thesis', true, true), ('cohort', true, false), ('cheap_tail', false, true)) f(strategy, enabled, promoted) USING (strategy)) GROUP BY ALL", DECISIONS_SQL)
 def shadow_states(t):
     flags = t.spark.createDataFrame([("thesis", True, True), ("cohort", True, False), ("cheap_tail", False, True)], "strategy string, enabled boolean, promoted boolean")
-    return detectors.shadow_state(t.decisions, flags).groupBy("strategy", "state").agg(F.count("*").alias("n"))
+    return detectors.shadow_state(t.unmeasured, flags).groupBy("strategy", "state").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT market_id, min(bucket) AS bucket FROM (

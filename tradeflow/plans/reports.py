@@ -27,8 +27,9 @@ def _is(c: str, v: str):
 @query("""SELECT r.market_id, r.reason, count(a.dedup_key) AS alerts, count(a.dedup_key) FILTER (a.severity = 'critical') AS critical, count(a.dedup_key) FILTER (a.outcome_status = 'correct') AS correct, count(a.dedup_key) FILTER (a.outcome_status = 'wrong') AS wrong, round(avg(a.ret_6h), 6) + 0.0 AS mean_6h, round(avg(a.ret_24h), 6) + 0.0 AS mean_24h
   FROM reviews r LEFT JOIN measured a ON a.market_id = r.market_id AND a.sent_at <= r.closed_at WHERE r.status = 'succeeded' GROUP BY ALL""", MEASURED_SQL + REVIEWS_SQL)
 def close_review_quality(t):
+    d = t.returns("ret_6h", "ret_24h")  # first, so that the markets are read off the trades written for it
     r = reviews(t).where("status = 'succeeded'").select(F.col("market_id").alias("m"), "reason", "closed_at")
-    j = r.join(t.measured, (F.col("market_id") == F.col("m")) & (F.col("sent_at") <= F.col("closed_at")), "left")
+    j = r.join(d, (F.col("market_id") == F.col("m")) & (F.col("sent_at") <= F.col("closed_at")), "left")
     return j.groupBy(F.col("m").alias("market_id"), "reason").agg(F.count("dedup_key").alias("alerts"), _is("severity", "critical").alias("critical"), _is("outcome_status", "correct").alias("correct"), _is("outcome_status", "wrong").alias("wrong"),
                                                                   (F.round(F.avg("ret_6h"), 6) + 0.0).alias("mean_6h"), (F.round(F.avg("ret_24h"), 6) + 0.0).alias("mean_24h"))
 
@@ -133,7 +134,7 @@ def firing_candidates(t):
 
 @query("SELECT strategy, level, date_trunc('month', created_at)::TIMESTAMP AS month, count(*) AS n FROM decisions GROUP BY ALL", DECISIONS_SQL)
 def decision_rates(t):
-    return t.decisions.groupBy("strategy", "level", F.date_trunc("month", "created_at").cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("n"))
+    return t.unmeasured.groupBy("strategy", "level", F.date_trunc("month", "created_at").cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT strategy, count(*) AS n, count(clv_15m) AS has_15m, count(clv_24h) AS has_24h, round(quantile_cont(clv_6h, 0.25), 6) AS q1, round(quantile_cont(clv_6h, 0.5), 6) AS q2, round(quantile_cont(clv_6h, 0.75), 6) AS q3 FROM decisions GROUP BY strategy", DECISIONS_SQL)
@@ -169,12 +170,12 @@ def feature_histogram(t):
 @query("SELECT strategy, count(*) FILTER (outcome_status <> 'unresolved') AS resolved, round(100.0 * count(*) FILTER (outcome_status = 'correct') / nullif(count(*) FILTER (outcome_status <> 'unresolved'), 0), 4) AS hit_pct FROM decisions GROUP BY strategy", DECISIONS_SQL)
 def hit_rates(t):
     done = F.count_if(F.col("outcome_status") != "unresolved")
-    return t.decisions.groupBy("strategy").agg(done.alias("resolved"), F.round(F.try_divide(F.lit(100.0) * _is("outcome_status", "correct"), done), 4).alias("hit_pct"))
+    return t.unmeasured.groupBy("strategy").agg(done.alias("resolved"), F.round(F.try_divide(F.lit(100.0) * _is("outcome_status", "correct"), done), 4).alias("hit_pct"))
 
 
 @query(f"SELECT strategy, count(DISTINCT market_id) AS markets, count(DISTINCT date_trunc('day', created_at)) AS days, date_diff('day', max(created_at), TIMESTAMP '{NOW}') AS idle_days FROM decisions GROUP BY strategy", DECISIONS_SQL)
 def load_and_staleness(t):
-    return t.decisions.groupBy("strategy").agg(F.count_distinct("market_id").alias("markets"), F.count_distinct(F.date_trunc("day", "created_at")).alias("days"), F.datediff(F.to_timestamp_ntz(F.lit(NOW)), F.max("created_at")).cast("long").alias("idle_days"))
+    return t.unmeasured.groupBy("strategy").agg(F.count_distinct("market_id").alias("markets"), F.count_distinct(F.date_trunc("day", "created_at")).alias("days"), F.datediff(F.to_timestamp_ntz(F.lit(NOW)), F.max("created_at")).cast("long").alias("idle_days"))
 
 
 Q6 = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999)

@@ -210,9 +210,9 @@ LISTS = {
 DOMAIN_LISTS = {
     "alerts_for_drift": (ALERTS_SQL, ("alerts",), "SELECT dedup_key, sent_at FROM {alerts} WHERE sent_at + INTERVAL 1 DAY <= TIMESTAMP_NTZ '2001-06-01 00:00:00' ORDER BY sent_at, dedup_key LIMIT 200"),
     "wallet_co_trade_rows": (ALERTS_SQL, ("trades", "markets"), "SELECT t.trader_id, m.event_id, t.side, t.traded_at, t.order_id, t.line_no FROM {trades} t JOIN {markets} m ON t.market_id = m.market_id WHERE t.traded_at >= TIMESTAMP_NTZ '2001-06-01 00:00:00' AND t.trader_id IS NOT NULL AND m.event_id IS NOT NULL"),
-    "standalone_resolved_outcomes": (DECISIONS_SQL, ("decisions",), "SELECT dedup_key, outcome_status, CASE market_id % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'F' END AS winner FROM {decisions} WHERE linked_key IS NULL AND outcome_status <> 'unresolved'"),
+    "standalone_resolved_outcomes": (DECISIONS_SQL, {"decisions": "unmeasured"}, "SELECT dedup_key, outcome_status, CASE market_id % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'F' END AS winner FROM {decisions} WHERE linked_key IS NULL AND outcome_status <> 'unresolved'"),
     "markets_for_collection": (MARKETS_SQL, ("markets",), "SELECT market_id, start_at FROM {markets} WHERE market_id % 6 <> 1 AND n_trades >= 10"),
-    "update_shadow_decision_values": (DECISIONS_SQL, ("decisions",), "SELECT dedup_key, round(coalesce(CASE WHEN market_id % 2 = 0 THEN CAST(1 AS DOUBLE) END, clv_15m), 6) + 0.0 AS clv_15m, round(clv_1h, 6) + 0.0 AS clv_1h, round(clv_6h, 6) + 0.0 AS clv_6h, CASE WHEN clv_15m IS NULL OR clv_1h IS NULL OR clv_6h IS NULL OR clv_24h IS NULL THEN 'partial' ELSE 'done' END AS state FROM {decisions}"),
+    "update_shadow_decision_values": (DECISIONS_SQL, {"decisions": "once"}, "SELECT dedup_key, round(coalesce(CASE WHEN market_id % 2 = 0 THEN CAST(1 AS DOUBLE) END, clv_15m), 6) + 0.0 AS clv_15m, round(clv_1h, 6) + 0.0 AS clv_1h, round(clv_6h, 6) + 0.0 AS clv_6h, CASE WHEN clv_15m IS NULL OR clv_1h IS NULL OR clv_6h IS NULL OR clv_24h IS NULL THEN 'partial' ELSE 'done' END AS state FROM {decisions}"),
     "candidate_replay": (ALERTS_SQL, ("alerts", "markets"), "SELECT a.severity, a.kind, CASE WHEN a.sent_at >= m.end_at - INTERVAL 60 DAY THEN 'late' ELSE 'early' END AS phase, count(*) AS n, round(sum(a.notional), 2) AS usd FROM {alerts} a JOIN {markets} m ON a.market_id = m.market_id GROUP BY 1, 2, 3"),
     "strategy_replay": (DECISIONS_SQL, ("decisions",), "SELECT strategy, level, count(*) AS n, count(clv_6h) AS measured, round(avg(clv_6h), 6) AS mean_cents, round(avg(CASE WHEN outcome_status = 'correct' THEN CAST(1 AS DOUBLE) WHEN outcome_status = 'wrong' THEN CAST(0 AS DOUBLE) END), 6) AS hit_rate FROM {decisions} GROUP BY strategy, level"),
     "cluster_distribution": (ALERTS_SQL, ("alerts",), "SELECT trades_in_day, count(*) AS clusters, max(wallets) AS most_wallets, round(max(usd), 2) AS largest FROM (SELECT category_id, sent_at, count(*) AS trades_in_day, count(DISTINCT trader_id) AS wallets, sum(notional) AS usd FROM {alerts} GROUP BY category_id, sent_at) AS x GROUP BY trades_in_day"),
@@ -224,8 +224,10 @@ def _list(text: str):
     return run, f"WITH log AS ({LOG}) " + text.replace("{log}", "log").replace("sha2(", "sha256(").replace(", 256)", ")")
 
 
-def _domain_list(tables: str, relations: tuple, text: str):
-    run = lambda t: t.spark.sql(text, **{r: getattr(t, r) for r in relations})
+def _domain_list(tables: str, relations: tuple | dict, text: str):
+    # A relation may be read from a view of the domain that leaves out what the statement does not ask for.
+    views = dict(relations) if isinstance(relations, dict) else {r: r for r in relations}
+    run = lambda t: t.spark.sql(text, **{r: getattr(t, v) for r, v in views.items()})
     out = text
     for r in relations:
         out = out.replace("{" + r + "}", r)

@@ -116,24 +116,32 @@ class Domain:
     def _judged(self, rows: DataFrame) -> DataFrame:
         """rows, some of the trades, scored by the baselines of all trades."""
         t = self.stored
-        base = t.groupBy("market_id", "outcome").agg(F.count("*").alias("m_count"), F.sum("notional").alias("m_total"), F.percentile("notional", F.array(F.lit(0.95), F.lit(0.99))).alias("_m"))
+        # Values go to their key as they are: a buffer a trade, as partial percentiles make them of small keys, is several times as large.
+        by = t.select("market_id", "outcome", "notional").repartition("market_id", "outcome")
+        base = by.groupBy("market_id", "outcome").agg(F.count("*").alias("m_count"), F.sum("notional").alias("m_total"), F.percentile("notional", F.array(F.lit(0.95), F.lit(0.99))).alias("_m"))
         base = base.select("market_id", "outcome", "m_count", "m_total", F.col("_m")[0].alias("m_p95"), F.col("_m")[1].alias("m_p99"))
-        tb = t.groupBy("trader_id").agg(F.count("*").alias("t_count"), F.percentile("notional", F.array(F.lit(0.95), F.lit(0.99))).alias("_t"))
+        tb = t.select("trader_id", "notional").repartition("trader_id").groupBy("trader_id").agg(F.count("*").alias("t_count"), F.percentile("notional", F.array(F.lit(0.95), F.lit(0.99))).alias("_t"))
         tb = tb.select("trader_id", "t_count", F.col("_t")[0].alias("t_p95"), F.col("_t")[1].alias("t_p99"))
-        m = self.markets.select("market_id", "start_at", "end_at")
-        j = rows.join(base, ["market_id", "outcome"]).join(tb, "trader_id").join(m, "market_id")
+        # Markets meet the baselines, a row each, so that trades are sent for both at once; wallets come last, as alerts are grouped by theirs.
+        base = base.join(self.markets.select("market_id", "start_at", "end_at"), "market_id")
+        j = rows.join(base, ["market_id", "outcome"]).join(tb, "trader_id")
         return score(j.withColumn("lifecycle", lifecycle_pct("traded_at", "start_at", "end_at", clamp=False)), Thresholds.for_driver())
 
     @cached_property
     def alerts(self) -> DataFrame:
-        """Trades that fired, few beside all trades; written once, as most queries on them read them more than once. Only trades that may
-        fire meet the baselines."""
+        """Trades that fired, few beside all trades; written once, as most queries on them read them more than once."""
+        return kept(self.fired)
+
+    @cached_property
+    def fired(self) -> DataFrame:
+        """alerts as they are worked out, for what reads them once. Only trades that may fire meet the baselines."""
+        known = F.array(*[F.lit(x) for x in ("critical", "info", "warning")])  # in order, so that the least is found by its place
         a = self._judged(self.stored.where(may_fire(Thresholds.for_driver()))).where("severity is not null").groupBy("market_id", "event_id", "category_id", "outcome", "side", "trader_id", "order_id", "line_no", "traded_at").agg(
-            F.min("price").alias("price"), F.max("notional").alias("notional"), F.max("odds").alias("odds"), F.max("lifecycle").alias("lifecycle"), F.min("severity").alias("severity"))
+            F.min("price").alias("price"), F.max("notional").alias("notional"), F.max("odds").alias("odds"), F.max("lifecycle").alias("lifecycle"), F.min(F.array_position(known, F.col("severity"))).alias("_s"))
         key = F.concat_ws("|", F.lit("trade"), *[F.col(c).cast("string") for c in ("market_id", "outcome", "trader_id", "order_id", "line_no")], F.date_format("traded_at", "yyyy-MM-dd"))
         kind = F.when(F.col("lifecycle") >= 90, "hot_trade").otherwise("trade")
-        return kept(a.select(key.alias("dedup_key"), "market_id", "event_id", "category_id", "outcome", "side", "trader_id", "price", "notional", "odds", "lifecycle", "severity",
-                        F.col("traded_at").alias("sent_at"), kind.alias("kind"), self.status().alias("outcome_status")))
+        return a.select(key.alias("dedup_key"), "market_id", "event_id", "category_id", "outcome", "side", "trader_id", "price", "notional", "odds", "lifecycle", F.get(known, (F.col("_s") - 1).cast("int")).alias("severity"),
+                        F.col("traded_at").alias("sent_at"), kind.alias("kind"), self.status().alias("outcome_status"))
 
     @staticmethod
     def status() -> Column:
@@ -149,14 +157,32 @@ class Domain:
     @cached_property
     def measured(self) -> DataFrame:
         """Alerts with forward returns (relative) and moves (cents) at each horizon; written once."""
+        return kept(self.returns(*HORIZONS))
+
+    def returns(self, *names: str) -> DataFrame:
+        """measured with the named horizons alone and not written, for what reads it once."""
         from tradeflow.operators.outcomes import forward_returns
 
-        return kept(forward_returns(self.alerts, kept(self.daily), ["market_id", "outcome"], "sent_at", "at", HORIZONS))
+        return forward_returns(self.alerts, kept(self.daily), ["market_id", "outcome"], "sent_at", "at", {n: HORIZONS[n] for n in names}, unique=True)
 
     @cached_property
     def decisions(self) -> DataFrame:
+        return self.decided(self.measured)
+
+    @cached_property
+    def unmeasured(self) -> DataFrame:
+        """decisions without their returns, for what asks for none: a row each all the same."""
+        return self.decided(self.__dict__.get("alerts", self.fired))
+
+    @cached_property
+    def once(self) -> DataFrame:
+        """decisions, not written, for what reads them once."""
+        return self.decided(self.returns(*HORIZONS))
+
+    @staticmethod
+    def decided(measured: DataFrame) -> DataFrame:
         names = F.array(*[F.lit(x) for x in ("thesis", "cohort", "cheap_tail", "catalyst")])
-        return self.measured.withColumns({
+        return measured.withColumns({
             "strategy": F.get(names, (F.col("trader_id") % 4).cast("int")), "version": F.lit("v1"), "linked_key": F.when(F.col("market_id") % 2 == 0, F.col("dedup_key")),
             "level": F.col("severity"), "created_at": F.col("sent_at"),
             "control_bucket": F.concat_ws("|", F.col("category_id").cast("string"), F.when(F.col("lifecycle") < 75, "early").otherwise("late"))})
