@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tradeflow.sources.sink import append
 
 
+#: Rows of a key that come out of a Python worker at once.
+PIECE = 50_000
+
+
 def files(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
     """A directory of Parquet files as a stream; files_per_trigger is the back-pressure."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -55,19 +60,33 @@ def moves(events: DataFrame, key: str, mid: str, at: str = "ts", least: float =
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, quiet = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(["_at", "_mid"], kind="stable")  # one key of one micro-batch
-        out = []
-        for at_, m in zip(rows["_at"], rows["_mid"], strict=True):
-            if pd.isna(m):
-                continue
-            now = at_.timestamp()
-            if last and abs(m - last) / abs(last) >= least and (quiet is None or now >= quiet):
-                out.append((k[0], at_, m, last, (m - last) / last))
-                quiet = now + cooldown_s
-            last = m
-        if last is not None:
+        # Of one key of one micro-batch two numbers a row are held, and what comes out leaves in pieces.
+        parts = [(b["_at"].to_numpy()[ok], b["_mid"].to_numpy(dtype="float64")[ok]) for b in batches for ok in [b["_mid"].notna().to_numpy()]]
+        at_, m = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        del parts
+        order = np.lexsort((m, np.where(np.isnat(at_), np.iinfo("int64").max, at_.astype("int64"))))
+        at_, m = at_[order], m[order]
+        del order
+        before = np.concatenate([[np.nan if last is None else last], m[:-1]])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            hits = np.flatnonzero((before != 0) & (np.abs(m - before) / np.abs(before) >= least))
+        if cooldown_s > 0 or quiet is not None:
+            own = []
+            for i in hits.tolist():
+                now = pd.Timestamp(at_[i]).timestamp()
+                if quiet is None or now >= quiet:
+                    own.append(i)
+                    quiet = now + cooldown_s
+            hits = np.array(own, dtype="int64")
+        elif len(hits):
+            quiet = pd.Timestamp(at_[hits[-1]]).timestamp()
+        if len(m):
+            state.update((float(m[-1]), quiet))
+        elif last is not None:
             state.update((float(last), quiet))
-        yield pd.DataFrame(out, columns=[key, "at", "mid", "before", "change"])
+        for i in range(0, max(1, len(hits)), PIECE):
+            x = hits[i : i + PIECE]
+            yield pd.DataFrame({key: [k[0]] * len(x), "at": at_[x], "mid": m[x], "before": before[x], "change": (m[x] - before[x]) / before[x]})
 
     e = events.select(F.col(key).cast("string").alias(key), F.col(at).cast("timestamp").alias("_at"), F.col(mid).cast("double").alias("_mid"))
     return e.groupBy(key).applyInPandasWithState(step, schema, "last double, quiet double", "append", GroupStateTimeout.NoTimeout)
