@@ -262,6 +262,29 @@ def test_baselines_before_send_rows_once_and_judge_some(spark):
     assert len(every) == 40 and some == {k: v for k, v in every.items() if k > 30}
 
 
+def test_baselines_beside_are_those_of_a_join_and_send_rows_once(spark):
+    """Null and other keys and times, values that never enter, repeated rows, rows that do not ask."""
+    values = [None, -5.0, 0.0, float("nan"), 7.0, 7.0, 1e6]
+    rows = [(None if i % 11 == 0 else f"m{i % 2}", i, None if i % 13 == 0 else T0 + timedelta(days=9 * (i // 2)), values[i % 7]) for i in range(120)]
+    rows += [r for r in rows if r[1] % 5 == 0]
+    t = spark.createDataFrame(rows, "market_id string, trader_id int, traded_at timestamp, notional double")
+    d = t.withColumn("period", baselines.period("traded_at", 28))
+    got = baselines.beside(d, ["market_id"], "m")
+    want = baselines.with_baselines(t, ["market_id"], ["trader_id"]).select("market_id", baselines.period("traded_at", 28).alias("period"), "trader_id", "traded_at", "notional", "m_count", "m_total", "m_p95")
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.where("m_count > 5").count()
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    some = baselines.beside(d, ["market_id"], "m", asks=F.col("trader_id") % 2 == 0)
+    assert some.where("trader_id % 2 = 1 and m_count is not null").isEmpty() and some.where("trader_id % 2 = 0").exceptAll(got).isEmpty() and some.count() == len(rows)
+
+
+def test_scored_before_sends_trades_thrice_and_writes_none(spark):
+    """To their order, their wallet and their market; a wallet's and a market's baselines are not joined."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["scored_before"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3 and plan.count("RepartitionByExpression") == 2 and plan.count("lineitem") <= 1
+
+
 def test_wallet_age_sends_trades_once(spark):
     rows = [(1, T0, 1.0), (1, T0, 9e3)] + [(1, T0 + timedelta(days=40), x) for x in (9e3, 9e3, 1.0)] + [(1, T0 + timedelta(days=41), 9e3)] * 6 + [(2, T0 + timedelta(days=90), 9e3), (None, T0, 1.0)]
     d = flow.wallet_age(spark.createDataFrame(rows, "trader_id int, traded_at timestamp, notional double"))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def period(at: str, days: int) -> Column:
+def period(at: str | Column, days: int) -> Column:
     """Number of the period of `days` that a time lies in."""
-    return F.floor(F.datediff(F.col(at), F.lit("1970-01-01")) / days).cast("int")
+    return F.floor(F.datediff(F.col(at) if isinstance(at, str) else at, F.lit("1970-01-01")) / days).cast("int")
 
 
 def before(t: DataFrame, keys: list[str], at: str = "traded_at", value: str = "notional", days: int = 28, periods: int = 13) -> DataFrame:
@@ -22,15 +22,34 @@ def before(t: DataFrame, keys: list[str], at: str = "traded_at", value: str = "n
     d = d.groupBy(*keys, "period").agg(F.collect_list(v).alias("_v"), F.sum(v).alias("total"), F.min(F.when(v.isNotNull(), F.col(at))).alias("oldest"))
     w = Window.partitionBy(*keys).orderBy("period").rangeBetween(-periods, -1)
     d = d.select(*keys, "period", F.array_sort(F.flatten(F.collect_list("_v").over(w))).alias("_all"), F.sum("total").over(w).alias("total"), F.min("oldest").over(w).alias("oldest")).where(F.size("_all") > 0)
-    n = F.size("_all")
+    return d.select(*keys, "period", F.size("_all").cast("long").alias("n"), "total", *[_quantile("_all", q).alias(f"p{round(100 * q)}") for q in (0.5, 0.95, 0.99)], "oldest")
 
-    def quantile(q: float) -> Column:
-        """Interpolated as by Spark's percentile."""
-        place = (n - 1) * F.lit(q)
-        low, high = F.get("_all", F.floor(place).cast("int")), F.get("_all", F.ceil(place).cast("int"))
-        return F.when(low == high, low.cast("double")).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
 
-    return d.select(*keys, "period", n.cast("long").alias("n"), "total", quantile(0.5).alias("p50"), quantile(0.95).alias("p95"), quantile(0.99).alias("p99"), "oldest")
+def _quantile(values: str, q: float) -> Column:
+    """Of a sorted array, interpolated as by Spark's percentile; null of an empty one."""
+    place = (F.size(values) - 1) * F.lit(q)
+    low, high = F.get(values, F.floor(place).cast("int")), F.get(values, F.ceil(place).cast("int"))
+    return F.when(low == high, low.cast("double")).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+
+def beside(t: DataFrame, keys: list[str], prefix: str, value: str = "notional", periods: int = 13, asks: Column | None = None) -> DataFrame:
+    """t, which has the period of each row, with <prefix>_count, _total and _p95 of the key's rows in the `periods` periods before it.
+
+    Null where there were none, where a key or the period is null, and where `asks` does not hold. What `before` and a join give,
+    but each row is sent once, by key: it travels with its period and comes out beside what the window over periods finds."""
+    others = [c for c in t.columns if c not in (*keys, "period")]
+    d = t.repartition(*keys).groupBy(*keys, "period").agg(F.collect_list(F.struct(*others)).alias("_rows"))
+    d = d.withColumn("_v", F.filter(F.transform("_rows", lambda x: x[value]), lambda v: v > 0))
+    w = Window.partitionBy(*keys).orderBy("period").rangeBetween(-periods, -1)
+    d = d.withColumn("_all", F.array_sort(F.flatten(F.collect_list("_v").over(w))))
+    known = F.size("_all") > 0
+    for k in (*keys, "period"):
+        known = known & F.col(k).isNotNull()
+    total = F.aggregate("_all", F.lit(0.0), lambda s, v: s + v)
+    found = {f"{prefix}_count": F.size("_all").cast("long"), f"{prefix}_total": total, f"{prefix}_p95": _quantile("_all", 0.95)}
+    d = d.select(*keys, "period", "_rows", *[F.when(known, c).alias(n) for n, c in found.items()])
+    d = d.select(*keys, "period", *found, F.inline("_rows"))
+    return d if asks is None else d.withColumns({n: F.when(asks, F.col(n)) for n in found})
 
 
 def with_baselines(t: DataFrame, market: list[str], trader: list[str], days: int = 28, periods: int = 13, rows: DataFrame | None = None) -> DataFrame:

@@ -77,6 +77,13 @@ DECISIONS_SQL = MEASURED_SQL + """, decisions AS (
   FROM measured)"""
 
 
+def line() -> dict[str, Column]:
+    """What a trade takes from its line, before it has met its order."""
+    return {
+        "outcome": F.col("l_linestatus"), "side": F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY"), "price": F.lit(0.05) + F.lit(9) * F.col("l_discount"),
+        "notional": F.col("l_extendedprice"), "traded_at": F.col("l_shipdate"), "order_id": F.col("l_orderkey"), "line_no": F.col("l_linenumber")}
+
+
 class Domain:
     """Lazy views over one data folder."""
 
@@ -86,6 +93,14 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def narrow(self, **columns: Column) -> DataFrame:
+        """market_id, trader_id and columns of all trades, worked out of lineitem before it is sent to its orders."""
+        li = self.table("lineitem").select(F.col("l_orderkey"), F.col("l_suppkey").alias("market_id"), *[c.alias(n) for n, c in columns.items()])
+        places = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey")
+        o = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("trader_id"))
+        j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(places, F.col("market_id") == F.col("s_suppkey"))
+        return j.select("market_id", "trader_id", *columns)
+
     @cached_property
     def trades(self) -> DataFrame:
         li, o = self.table("lineitem"), self.table("orders")
