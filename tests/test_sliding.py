@@ -218,3 +218,23 @@ def test_book_vacuum_in_stretches(spark, stretch):
     rounded = lambda x: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in x.collect())
     assert rounded(cut) == rounded(whole) and 50 < whole.count() < 433
     assert detectors.book_vacuum(d.limit(0)).count() == 0
+
+
+def test_reservoir_sends_what_it_was_given(spark):
+    """Nothing worked out for the walk goes on the way, and rows counted elsewhere are walked once, large keys or not."""
+    from pyspark.sql import functions as F
+
+    rows = [("a" if i % 3 else "b", i, T0 + timedelta(days=i // 3), float(i % 17)) for i in range(300)]
+    d = spark.createDataFrame(rows, "k string, i int, traded_at timestamp, notional double")
+    for stretch in (500, 150, 50):
+        read = spark.sparkContext.accumulator(0)
+        t = d.mapInArrow(lambda it, read=read: (read.add(b.num_rows) or b for b in it), d.schema)
+        out = reservoir.before(t, ["k"], ["traded_at", "i"], samples=7, stretch=stretch, window_days=30, bucket_days=9, counted=d)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        if stretch == 500:
+            below = plan[plan.index("RepartitionByExpression"):]
+            assert "unix_micros" in plan and "unix_micros" not in below and "isnan" not in below
+        got = sorted(map(str, out.collect()))
+        assert read.value == 300
+        want = reservoir.before(d, ["k"], ["traded_at", "i"], samples=7, window_days=30).orderBy(F.col("i").cast("string")).collect()
+        assert got == sorted(map(str, want))

@@ -85,7 +85,8 @@ def _cut(d: DataFrame, keys: list[str], order: list[str], bucket: Column, sample
     return d.withColumns({"_k": F.col("_s.k"), "_c": F.col("_s.c")}).repartition(*keys, "_k").sortWithinPartitions(*keys, "_k", "_place", F.desc("_c"), *order)
 
 
-def before(t: DataFrame, keys: list[str], order: list[str], at: str = "traded_at", value: str = "notional", samples: int = 1_024, window_days: float | None = None, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99), stretch: int = 16_384, bucket_days: int = 365) -> DataFrame:
+def before(t: DataFrame, keys: list[str], order: list[str], at: str = "traded_at", value: str = "notional", samples: int = 1_024, window_days: float | None = None, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99), stretch: int = 16_384, bucket_days: int = 365,
+           counted: DataFrame | None = None) -> DataFrame:
     """t with n, total, a p<hundredths> for each quantile, oldest and newest of the key's reservoir before each row.
 
     A reservoir holds the newest `samples` positive values of earlier rows in `order` (at first), those older than
@@ -94,23 +95,27 @@ def before(t: DataFrame, keys: list[str], order: list[str], at: str = "traded_at
 
     A key of more than `stretch` rows is cut into stretches of consecutive samples; each also gets the `samples` before it, so a stretch
     needs no other and a key of any size is walked by many tasks. Rows of other keys are sent once, by key. A task holds one reservoir,
-    not a stretch. t is read twice, and twice more where there are large keys."""
+    not a stretch. t is read twice, and twice more where there are large keys. With `counted`, which has the keys of t's rows and is
+    cheaper to read, t is read once, and written first where there are large keys."""
     if not 0 < samples <= stretch:
         raise ValueError("a stretch holds at least a reservoir")
     v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     kept = t.columns
-    d = t.withColumns({"_v": F.when(F.isnan(v), 0.0).otherwise(v), "_t": F.unix_micros(F.col(at).cast("timestamp"))})
-    large = written(t.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_rows")).where(F.col("_rows") > stretch))
+    # Worked out where they are used: rows are sent as they are.
+    entry = {"_v": F.when(F.isnan(v), 0.0).otherwise(v), "_t": F.unix_micros(F.col(at).cast("timestamp"))}
+    large = written((t if counted is None else counted).groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_rows")).where(F.col("_rows") > stretch))
     whole = F.lit(0).cast("long")
+    of_whole = lambda d: _small(d, keys, order).select(*kept, F.xxhash64(*keys, whole).alias("_g"), whole.alias("_place"), F.lit(False).alias("_c"), entry["_t"].alias("_t"), entry["_v"].alias("_v"))
     if large.isEmpty():
-        d = _small(d, keys, order).select(*kept, F.xxhash64(*keys, whole).alias("_g"), whole.alias("_place"), F.lit(False).alias("_c"), "_t", "_v")
+        d = of_whole(t)
     else:
+        t = t if counted is None else written(t)
         same = F.lit(True)
         for i, k in enumerate(keys):
             same = same & F.col(k).eqNullSafe(F.col(f"_h{i}"))
         of = F.broadcast(large)  # a row for each `stretch` rows of t at most
-        few = _small(d.join(of, same, "left_anti"), keys, order).select(*kept, F.xxhash64(*keys, whole).alias("_g"), whole.alias("_place"), F.lit(False).alias("_c"), "_t", "_v")
-        d = few.union(_cut(d.join(of, same, "left_semi"), keys, order, days(at, bucket_days), samples, stretch).select(*kept, F.xxhash64(*keys, "_k").alias("_g"), "_place", "_c", "_t", "_v"))
+        d = _cut(t.join(of, same, "left_semi").withColumns(entry), keys, order, days(at, bucket_days), samples, stretch)
+        d = of_whole(t.join(of, same, "left_anti")).union(d.select(*kept, F.xxhash64(*keys, "_k").alias("_g"), "_place", "_c", "_t", "_v"))
     names = [f"p{round(100 * q)}" for q in quantiles]
     kinds = [T.LongType(), *[T.DoubleType()] * (len(quantiles) + 1), T.LongType(), T.LongType()]
     schema = T.StructType([*[d.schema[c] for c in kept], *[T.StructField(f"_r{i}", k) for i, k in enumerate(kinds)]])

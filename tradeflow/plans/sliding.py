@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradeflow.operators import islands, panes, reservoir, staged
-from tradeflow.operators.scoring import Thresholds, score
+from tradeflow.operators.scoring import Thresholds, may_fire, score
 from tradeflow.plans.named import query
 from tradeflow.sources.scratch import kept
 from tradeflow.sources.trades import ALERTS_SQL, TRADES_SQL
@@ -41,13 +41,16 @@ def baseline_reservoir(t):
        TRADES_SQL + _reservoir_sql(m="market_id, outcome", w="trader_id"))
 def scored_reservoir(t):
     """Verdicts by market where each trade is measured by the reservoirs of its market and its wallet before it."""
-    rows = t.stored.select("market_id", "outcome", "trader_id", *ORDER)
-    m = reservoir.before(rows, ["market_id", "outcome"], ORDER, samples=SAMPLES, window_days=WINDOW)
-    m = kept(m.select(*rows.columns, F.col("n").alias("m_count"), F.col("total").alias("m_total"), F.col("p95").alias("m_p95")))
-    w = reservoir.before(m, ["trader_id"], ORDER, samples=SAMPLES, window_days=WINDOW)
+    rules = Thresholds.for_driver()
+    rows = kept(t.trades.select("market_id", "outcome", "trader_id", *ORDER))
+    m = reservoir.before(rows, ["market_id", "outcome"], ORDER, samples=SAMPLES, window_days=WINDOW, quantiles=(0.95,))
+    # Trades that cannot fire take nothing with them, and of a total only whether it is large enough is asked.
+    found = {"m_count": F.col("n"), "m_total": F.least("total", F.lit(rules.min_total)), "m_p95": F.col("p95")}
+    m = m.select("market_id", "trader_id", *ORDER, *[F.when(may_fire(rules), c).alias(k) for k, c in found.items()])
+    w = reservoir.before(m, ["trader_id"], ORDER, samples=SAMPLES, window_days=WINDOW, quantiles=(0.95,), counted=rows)
     none = F.lit(None).cast("double")  # no tier asks for a 99th percentile
     w = w.select("market_id", "notional", "price", "m_count", "m_total", "m_p95", none.alias("m_p99"), F.col("n").alias("t_count"), F.col("p95").alias("t_p95"), none.alias("t_p99"))
-    d = score(w, Thresholds.for_driver())
+    d = score(w, rules)
     return d.groupBy("market_id", F.coalesce("severity", F.lit("none")).alias("severity")).agg(F.count("*").alias("n"), F.round(F.sum("notional"), 2).alias("usd"))
 
 
