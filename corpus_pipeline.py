@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeflow.llm import decontamination, jaccard, mixing, sharding, toxicity
-from tradeflow.llm.util import cut, table
+from tradeflow.llm.util import cut, ids_of, table
 
 BLOCK_BYTES = 65_536
 
@@ -46,7 +46,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each component of near copies the document with the smallest id stays."""
-    gone = jaccard.linked(docs, counts=False).where("component_id <> doc_id").select("doc_id")
+    gone = ids_of(jaccard.linked(docs, counts=False).where("component_id <> doc_id").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

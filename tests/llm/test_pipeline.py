@@ -58,3 +58,23 @@ def test_slots_follow_the_schedule(spark, tmp_path):
         for s in {r["shard"] for r in got}:
             own = sorted((r["slot"], order[r["doc_id"]]) for r in got if r["shard"] == s)
             assert [x for x, _ in own] == list(range(len(own))) and [p for _, p in own] == sorted(p for _, p in own)
+
+
+def test_near_copies_send_no_text_for_few_ids(spark, monkeypatch):
+    """Ids are broadcast whatever Spark's own threshold is, unless there are too many; the rows are the same."""
+    from tradeflow.llm import util
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans, rows = [], []
+        for most in (util.MOST_IDS, 0):
+            monkeypatch.setattr(util, "MOST_IDS", most)
+            out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+            rows.append(sorted(map(str, out.collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
+    assert rows[0] == rows[1] and 0 < len(rows[0]) < docs.count()

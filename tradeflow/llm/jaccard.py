@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .util import cut
+from .util import cut, ids_of
 
 WORDS = 5
 #: Least count of a frequent element, and how many of them there can be (8 bytes each are broadcast).
@@ -307,8 +307,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counts:
     star = listed.join(hubs, ["e", "band"]).where(_fits("n", "hub_n") & _reaches("n", "i", "hub_n", "hub_i")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
 
     pairs = _pairs(cold.unionByName(star))
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(listed.select(F.col("rep").alias("doc_id"))).distinct()
-    texts = cut(docs.join(wanted, "doc_id", "left_semi"))
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(listed.select(F.col("rep").alias("doc_id")))
+    texts = cut(docs.join(ids_of(wanted), "doc_id", "left_semi"))
     edges = _verified(texts, pairs)
     parts = components(edges)
     # What hubs left apart: in lists with several components, sets of all but the largest one

@@ -22,6 +22,16 @@ def cut(df: DataFrame) -> DataFrame:
     return kept(df)
 
 
+#: Ids of a broadcast: some 60 bytes each where they are looked up.
+MOST_IDS = 2_000_000
+
+
+def ids_of(d: DataFrame) -> DataFrame:
+    """The distinct rows of d, ids alone, written once; broadcast where they are at most MOST_IDS, so that what they select is not sent."""
+    d = cut(d.distinct())
+    return F.broadcast(d) if d.count() <= MOST_IDS else d
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
