@@ -285,6 +285,62 @@ def test_scored_before_sends_trades_thrice_and_writes_none(spark):
     assert plan.count("Join ") == 3 and plan.count("RepartitionByExpression") == 2 and plan.count("lineitem") <= 1
 
 
+def test_compact_is_without_loss(spark):
+    """Values that do not fit, one at a time and in all pairs, come back as they were."""
+    from tradeflow.functions import compact
+
+    size = [(0.0, 1), (0.01, 1), (84197.04, 1), (0.1 + 0.2, 0), (-5.0, 0), (2e6, 0), (1e300, 0), (float("inf"), 0), (float("nan"), 0), (None, 0)]
+    at = [(datetime(1996, 9, 13), 1), (datetime(1996, 9, 13, 0, 0, 0, 1), 0), (datetime(1969, 12, 31), 0), (datetime(9999, 12, 31), 0), (None, 0)]
+    n = [(0, 1), (63, 1), (64, 0), (-1, 0), (None, 0)]
+    rows = [(i, s, a, k, f, bool(g and h and m and f is not None)) for i, ((s, g), (a, h), (k, m), f) in enumerate((s, a, k, f) for s in size for a in at for k in n for f in (True, False, None))]
+    for kind in ("timestamp_ntz", "timestamp"):
+        d = spark.createDataFrame(rows, f"i int, s double, a {kind}, k int, f boolean, fits boolean")
+        parts = {"s": compact.hundredths(F.col("s"), 27), "a": compact.day(F.col("a"), d.schema["a"].dataType), "k": compact.number(F.col("k"), 6, "int"), "f": compact.flag(F.col("f"))}
+        p = d.select("i", "fits", *[c.alias(x) for x, c in compact.pack(**parts).items()])
+        back = p.select("i", *[c.alias(x) for x, c in compact.unpack(parts).items()])
+        assert sorted(map(str, back.collect())) == sorted(map(str, d.drop("fits").collect())) and [t for _, t in back.dtypes] == [t for c, t in d.dtypes if c != "fits"]
+        assert p.where(F.col("word").isNull() != F.col("odd").isNotNull()).isEmpty() and (kind == "timestamp" or p.where(F.col("word").isNotNull() != F.col("fits")).isEmpty())
+    with pytest.raises(ValueError):
+        compact.pack(a=compact.number(F.col("k"), 40, "int"), b=compact.number(F.col("k"), 24, "int"))
+
+
+def test_trades_are_not_sent_to_their_suppliers(spark, tmp_path):
+    """Suppliers are too large to be broadcast by the product of their size and the nations', but not by their own."""
+    for n in ("lineitem", "orders", "supplier", "nation"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").write.parquet(f"{tmp_path}/{n}.parquet")
+    size = max(f.stat().st_size for n in ("orders", "supplier") for f in (tmp_path / f"{n}.parquet").glob("*.parquet"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    try:
+        t = trades.Domain(spark, str(tmp_path))
+        for d in (t.trades, t.narrow(**compact_of(t))):
+            plan = d._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(l_suppkey" not in plan and "hashpartitioning(market_id" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def compact_of(t):
+    from tradeflow.functions import compact
+
+    return compact.pack(**t.parts)
+
+
+def test_scored_before_sends_a_long_a_trade(spark):
+    """Sizes, prices and periods go as one long; of a wallet's baseline its percentile alone goes on."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["scored_before"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    sent, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+        if p.nodeName() == "RepartitionByExpression":
+            sent.append({p.output().apply(i).name() for i in range(p.output().size())})
+    assert sorted(map(sorted, sent)) == [["market_id", "odd", "outcome", "t_p95", "word"], ["market_id", "odd", "outcome", "trader_id", "word"]]
+
+
 def test_wallet_age_sends_trades_once(spark):
     rows = [(1, T0, 1.0), (1, T0, 9e3)] + [(1, T0 + timedelta(days=40), x) for x in (9e3, 9e3, 1.0)] + [(1, T0 + timedelta(days=41), 9e3)] * 6 + [(2, T0 + timedelta(days=90), 9e3), (None, T0, 1.0)]
     d = flow.wallet_age(spark.createDataFrame(rows, "trader_id int, traded_at timestamp, notional double"))

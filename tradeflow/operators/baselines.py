@@ -32,14 +32,16 @@ def _quantile(values: str, q: float) -> Column:
     return F.when(low == high, low.cast("double")).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
 
 
-def beside(t: DataFrame, keys: list[str], prefix: str, value: str = "notional", periods: int = 13, asks: Column | None = None) -> DataFrame:
+def beside(t: DataFrame, keys: list[str], prefix: str, value: str = "notional", periods: int = 13, asks: Column | None = None, opened: dict[str, Column] | None = None) -> DataFrame:
     """t, which has the period of each row, with <prefix>_count, _total and _p95 of the key's rows in the `periods` periods before it.
 
     Null where there were none, where a key or the period is null, and where `asks` does not hold. What `before` and a join give,
-    but each row is sent once, by key: it travels with its period and comes out beside what the window over periods finds."""
+    but each row is sent once, by key: it travels with its period and comes out beside what the window over periods finds.
+    `opened` are columns worked out of t's where rows arrive, so that they are not sent: period and value may be among them, and
+    they do not come out (`asks` may use t's columns and what is found)."""
+    opened = opened or {}
     others = [c for c in t.columns if c not in (*keys, "period")]
-    d = t.repartition(*keys).groupBy(*keys, "period").agg(F.collect_list(F.struct(*others)).alias("_rows"))
-    d = d.withColumn("_v", F.filter(F.transform("_rows", lambda x: x[value]), lambda v: v > 0))
+    d = t.repartition(*keys).withColumns(opened).groupBy(*keys, "period").agg(F.collect_list(F.struct(*others)).alias("_rows"), F.collect_list(F.when(F.col(value) > 0, F.col(value))).alias("_v"))
     w = Window.partitionBy(*keys).orderBy("period").rangeBetween(-periods, -1)
     d = d.withColumn("_all", F.array_sort(F.flatten(F.collect_list("_v").over(w))))
     known = F.size("_all") > 0
@@ -48,7 +50,7 @@ def beside(t: DataFrame, keys: list[str], prefix: str, value: str = "notional",
     total = F.aggregate("_all", F.lit(0.0), lambda s, v: s + v)
     found = {f"{prefix}_count": F.size("_all").cast("long"), f"{prefix}_total": total, f"{prefix}_p95": _quantile("_all", 0.95)}
     d = d.select(*keys, "period", "_rows", *[F.when(known, c).alias(n) for n, c in found.items()])
-    d = d.select(*keys, "period", *found, F.inline("_rows"))
+    d = d.select(*[k for k in (*keys, "period") if k not in opened], *found, F.inline("_rows"))
     return d if asks is None else d.withColumns({n: F.when(asks, F.col(n)) for n in found})
 
 

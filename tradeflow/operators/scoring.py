@@ -57,12 +57,14 @@ def _failure(t: Tier) -> Column:
     return out
 
 
-def may_fire(t: Thresholds) -> Column:
+def may_fire(t: Thresholds, notional: Column | None = None, price: Column | None = None) -> Column:
     """Whether a trade meets the least of what the tiers ask of it alone: others get no severity, whatever their baselines."""
-    odds = F.try_divide(F.lit(1.0), F.col("price"))
+    notional = F.col("notional") if notional is None else notional
+    price = F.col("price") if price is None else price
+    odds = F.try_divide(F.lit(1.0), price)
     least = {c: min(getattr(x, c) for x in (t.info, t.warning, t.critical)) for c in ("notional", "odds", "profit")}
-    sound = (F.col("notional") > 0) & (F.col("price") > 0) & (F.col("price") < 1)
-    return F.coalesce(sound & (F.col("notional") >= least["notional"]) & (odds >= least["odds"]) & (F.col("notional") * (odds - 1) >= least["profit"]), F.lit(False))
+    sound = (notional > 0) & (price > 0) & (price < 1)
+    return F.coalesce(sound & (notional >= least["notional"]) & (odds >= least["odds"]) & (notional * (odds - 1) >= least["profit"]), F.lit(False))
 
 
 def score(d: DataFrame, t: Thresholds) -> DataFrame:

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradeflow.functions import compact
 from tradeflow.functions.bands import lifecycle_pct
 from tradeflow.operators.asof import asof
 from tradeflow.operators.scoring import Thresholds, may_fire, score
@@ -93,20 +94,33 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _placed(self, lines: DataFrame, market: str) -> DataFrame:
+        """lines with s_nationkey and n_regionkey. They meet the two tables one by one: of what a join of both would give, Spark assumes the
+        product of their sizes, and at 60 x sf0.1 it sent all lines to their suppliers rather than broadcast that."""
+        s, n = self.table("supplier").select("s_suppkey", "s_nationkey"), self.table("nation").select("n_nationkey", "n_regionkey")
+        return lines.join(s, F.col(market) == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+
     def narrow(self, **columns: Column) -> DataFrame:
-        """market_id, trader_id and columns of all trades, worked out of lineitem before it is sent to its orders."""
+        """market_id, trader_id, order_id and columns of all trades, worked out of lineitem before it is sent to its orders."""
         li = self.table("lineitem").select(F.col("l_orderkey"), F.col("l_suppkey").alias("market_id"), *[c.alias(n) for n, c in columns.items()])
-        places = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey")
         o = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("trader_id"))
-        j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(places, F.col("market_id") == F.col("s_suppkey"))
-        return j.select("market_id", "trader_id", *columns)
+        j = self._placed(li, "market_id").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+        return j.select("market_id", "trader_id", F.col("l_orderkey").alias("order_id"), *columns)
+
+    @cached_property
+    def parts(self) -> dict[str, compact.Part]:
+        """What of a trade fits into a long, worked out of lineitem."""
+        at = self.table("lineitem").schema["l_shipdate"].dataType
+        return {
+            "notional": compact.hundredths(F.col("l_extendedprice"), 27), "price": compact.hundredths(F.col("l_discount"), 7, lambda x: F.lit(0.05) + F.lit(9) * x),
+            "traded_at": compact.day(F.col("l_shipdate"), at), "line_no": compact.number(F.col("l_linenumber"), 6, "int"),
+            "sell": compact.flag(F.coalesce(F.col("l_returnflag") == "R", F.lit(False)))}
 
     @cached_property
     def trades(self) -> DataFrame:
         li, o = self.table("lineitem"), self.table("orders")
-        places = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_regionkey")
         price = F.lit(0.05) + F.lit(9) * F.col("l_discount")
-        j = li.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+        j = self._placed(li, "l_suppkey").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         return j.select(
             F.col("l_suppkey").alias("market_id"), F.col("s_nationkey").alias("event_id"), F.col("n_regionkey").alias("category_id"), F.col("l_linestatus").alias("outcome"),
             F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), F.col("o_custkey").alias("trader_id"), price.alias("price"),
