@@ -238,3 +238,34 @@ def test_reservoir_sends_what_it_was_given(spark):
         assert read.value == 300
         want = reservoir.before(d, ["k"], ["traded_at", "i"], samples=7, window_days=30).orderBy(F.col("i").cast("string")).collect()
         assert got == sorted(map(str, want))
+
+
+def test_reservoir_opens_what_arrives(spark):
+    """Columns packed on the way give what plain ones do, of large keys and of small ones, and are not sent."""
+    from pyspark.sql import functions as F
+
+    from tradeflow.functions import compact
+
+    rows = [("a" if i % 3 else "b", i % 40, T0 + timedelta(days=i // 3, seconds=i % 2), [None, float("nan"), -1.0, 0.125, 2.5, 84197.04][i % 6]) for i in range(300)]
+    d = spark.createDataFrame(rows, "k string, i int, traded_at timestamp_ntz, notional double")
+    parts = {"i": compact.number(F.col("i"), 5, "int"), "traded_at": compact.day(F.col("traded_at"), d.schema["traded_at"].dataType), "notional": compact.hundredths(F.col("notional"), 27)}
+    t, found = d.select("k", *[c.alias(n) for n, c in compact.pack(**parts).items()]), compact.unpack(parts)
+    assert not t.where("word is null").isEmpty() and not t.where("odd is null").isEmpty()
+    asked = ["k", "i", "n", "total", "p50", "p99", "oldest", "newest"]
+    for stretch in (500, 150, 50):
+        given = {"samples": 7, "stretch": stretch, "window_days": 30, "bucket_days": 9}
+        out = reservoir.before(t, ["k"], ["traded_at", "i", "notional"], opened=found, **given)
+        assert out.columns[:3] == ["k", "word", "odd"]
+        want = reservoir.before(d, ["k"], ["traded_at", "i", "notional"], **given).select(*asked)
+        assert sorted(map(str, out.withColumns(found).select(*asked).collect())) == sorted(map(str, want.collect()))
+
+
+def test_scored_reservoir_sends_a_long_a_trade(spark, monkeypatch):
+    """Wallets come first, so markets are sent no wallet, and what a reservoir was read from is one long beside the order."""
+    from tradeflow.plans import registry
+
+    sent, plain = [], reservoir._small
+    monkeypatch.setattr(reservoir, "_small", lambda d, *given: sent.append((d, given[0])) or plain(d, *given))
+    out = registry.QUERIES["scored_reservoir"](spark, "/root/testdata/sf0.001")
+    assert [(sorted(d.columns), keys) for d, keys in sent] == [(["market_id", "odd", "order_id", "outcome", "trader_id", "word"], ["trader_id"]), (["market_id", "odd", "order_id", "outcome", "t_p95", "word"], ["market_id", "outcome"])]
+    assert sent[0][0].where("word is null").isEmpty() and sent[1][0].where("t_p95 is not null").count() < sent[1][0].count() and out.count()

@@ -70,9 +70,9 @@ def _walk(batches: Iterator[pa.RecordBatch], width: int, samples: int, window: i
         yield pa.RecordBatch.from_arrays([*own.columns, *cols], [*own.schema.names, *[f"_r{i}" for i in range(len(cols))]])
 
 
-def _small(d: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def _small(d: DataFrame, keys: list[str], order: list[str], opened: dict[str, Column]) -> DataFrame:
     """Rows of keys that are walked whole."""
-    return d.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return d.repartition(*keys).withColumns(opened).sortWithinPartitions(*keys, *order)
 
 
 def _cut(d: DataFrame, keys: list[str], order: list[str], bucket: Column, samples: int, stretch: int) -> DataFrame:
@@ -86,7 +86,7 @@ def _cut(d: DataFrame, keys: list[str], order: list[str], bucket: Column, sample
 
 
 def before(t: DataFrame, keys: list[str], order: list[str], at: str = "traded_at", value: str = "notional", samples: int = 1_024, window_days: float | None = None, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99), stretch: int = 16_384, bucket_days: int = 365,
-           counted: DataFrame | None = None) -> DataFrame:
+           counted: DataFrame | None = None, opened: dict[str, Column] | None = None) -> DataFrame:
     """t with n, total, a p<hundredths> for each quantile, oldest and newest of the key's reservoir before each row.
 
     A reservoir holds the newest `samples` positive values of earlier rows in `order` (at first), those older than
@@ -96,16 +96,18 @@ def before(t: DataFrame, keys: list[str], order: list[str], at: str = "traded_at
     A key of more than `stretch` rows is cut into stretches of consecutive samples; each also gets the `samples` before it, so a stretch
     needs no other and a key of any size is walked by many tasks. Rows of other keys are sent once, by key. A task holds one reservoir,
     not a stretch. t is read twice, and twice more where there are large keys. With `counted`, which has the keys of t's rows and is
-    cheaper to read, t is read once, and written first where there are large keys."""
+    cheaper to read, t is read once, and written first where there are large keys. `opened` are columns worked out of t's where rows
+    arrive, so that they are not sent: order, at and value may be among them, and they do not come out."""
     if not 0 < samples <= stretch:
         raise ValueError("a stretch holds at least a reservoir")
     v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    kept = t.columns
+    kept, opened = t.columns, opened or {}
+    kind = t.withColumns(opened).schema[at].dataType
     # Worked out where they are used: rows are sent as they are.
     entry = {"_v": F.when(F.isnan(v), 0.0).otherwise(v), "_t": F.unix_micros(F.col(at).cast("timestamp"))}
     large = written((t if counted is None else counted).groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_rows")).where(F.col("_rows") > stretch))
     whole = F.lit(0).cast("long")
-    of_whole = lambda d: _small(d, keys, order).select(*kept, F.xxhash64(*keys, whole).alias("_g"), whole.alias("_place"), F.lit(False).alias("_c"), entry["_t"].alias("_t"), entry["_v"].alias("_v"))
+    of_whole = lambda d: _small(d, keys, order, opened).select(*kept, F.xxhash64(*keys, whole).alias("_g"), whole.alias("_place"), F.lit(False).alias("_c"), entry["_t"].alias("_t"), entry["_v"].alias("_v"))
     if large.isEmpty():
         d = of_whole(t)
     else:
@@ -114,14 +116,14 @@ def before(t: DataFrame, keys: list[str], order: list[str], at: str = "traded_at
         for i, k in enumerate(keys):
             same = same & F.col(k).eqNullSafe(F.col(f"_h{i}"))
         of = F.broadcast(large)  # a row for each `stretch` rows of t at most
-        d = _cut(t.join(of, same, "left_semi").withColumns(entry), keys, order, days(at, bucket_days), samples, stretch)
+        d = _cut(t.join(of, same, "left_semi").withColumns(opened).withColumns(entry), keys, order, days(at, bucket_days), samples, stretch)
         d = of_whole(t.join(of, same, "left_anti")).union(d.select(*kept, F.xxhash64(*keys, "_k").alias("_g"), "_place", "_c", "_t", "_v"))
     names = [f"p{round(100 * q)}" for q in quantiles]
     kinds = [T.LongType(), *[T.DoubleType()] * (len(quantiles) + 1), T.LongType(), T.LongType()]
     schema = T.StructType([*[d.schema[c] for c in kept], *[T.StructField(f"_r{i}", k) for i, k in enumerate(kinds)]])
     window = None if window_days is None else int(window_days * 86_400_000_000)
     out = d.mapInArrow(lambda it: _walk(it, len(kept), samples, window, quantiles), schema)
-    time = lambda i: F.timestamp_micros(F.col(f"_r{i}")).cast(t.schema[at].dataType)
+    time = lambda i: F.timestamp_micros(F.col(f"_r{i}")).cast(kind)
     n = len(quantiles)
     return out.select(*kept, F.col("_r0").alias("n"), F.col("_r1").alias("total"), *[F.col(f"_r{i + 2}").alias(c) for i, c in enumerate(names)], time(n + 2).alias("oldest"), time(n + 3).alias("newest"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tradeflow.functions import compact
 from tradeflow.operators import islands, panes, reservoir, staged
 from tradeflow.operators.scoring import Thresholds, may_fire, score
 from tradeflow.plans.named import query
 from tradeflow.sources.scratch import kept
-from tradeflow.sources.trades import ALERTS_SQL, TRADES_SQL
+from tradeflow.sources.trades import ALERTS_SQL, TRADES_SQL, line
 
 #: Newest trades of a key and their greatest age: so that on the driver's trades either bound is met.
 SAMPLES, WINDOW = 100, 365
@@ -42,15 +43,18 @@ def baseline_reservoir(t):
 def scored_reservoir(t):
     """Verdicts by market where each trade is measured by the reservoirs of its market and its wallet before it."""
     rules = Thresholds.for_driver()
-    rows = kept(t.trades.select("market_id", "outcome", "trader_id", *ORDER))
-    m = reservoir.before(rows, ["market_id", "outcome"], ORDER, samples=SAMPLES, window_days=WINDOW, quantiles=(0.95,))
-    # Trades that cannot fire take nothing with them, and of a total only whether it is large enough is asked.
-    found = {"m_count": F.col("n"), "m_total": F.least("total", F.lit(rules.min_total)), "m_p95": F.col("p95")}
-    m = m.select("market_id", "trader_id", *ORDER, *[F.when(may_fire(rules), c).alias(k) for k, c in found.items()])
-    w = reservoir.before(m, ["trader_id"], ORDER, samples=SAMPLES, window_days=WINDOW, quantiles=(0.95,), counted=rows)
+    # A trade travels as one long beside its order, wallets first: then its market asks for no wallet, and of what a wallet says
+    # the percentile alone goes on, for trades that may fire and where there are trades enough.
+    order, found = [*ORDER[:-1], "sell"], compact.unpack(t.parts)  # purchases come before sales, as by side
+    rows = kept(t.narrow(outcome=line()["outcome"], **compact.pack(**t.parts)))
+    w = reservoir.before(rows, ["trader_id"], order, samples=SAMPLES, window_days=WINDOW, quantiles=(0.95,), opened=found)
+    asks = may_fire(rules, found["notional"], found["price"]) & (F.col("n") >= rules.min_trades)
+    w = w.select("market_id", "outcome", "order_id", "word", "odd", F.when(asks, F.col("p95")).alias("t_p95"))
+    m = reservoir.before(w, ["market_id", "outcome"], order, samples=SAMPLES, window_days=WINDOW, quantiles=(0.95,), counted=rows, opened=found)
     none = F.lit(None).cast("double")  # no tier asks for a 99th percentile
-    w = w.select("market_id", "notional", "price", "m_count", "m_total", "m_p95", none.alias("m_p99"), F.col("n").alias("t_count"), F.col("p95").alias("t_p95"), none.alias("t_p99"))
-    d = score(w, rules)
+    m = m.select("market_id", found["notional"].alias("notional"), found["price"].alias("price"), F.col("n").alias("m_count"), F.col("total").alias("m_total"), F.col("p95").alias("m_p95"), none.alias("m_p99"),
+                 F.lit(rules.min_trades).alias("t_count"), "t_p95", none.alias("t_p99"))
+    d = score(m, rules)
     return d.groupBy("market_id", F.coalesce("severity", F.lit("none")).alias("severity")).agg(F.count("*").alias("n"), F.round(F.sum("notional"), 2).alias("usd"))
 
 
