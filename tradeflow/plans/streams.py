@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tradeflow.functions.rounding import rounded
 from tradeflow.plans.named import query
 from tradeflow.sources.scratch import scratch
 from tradeflow.streaming import feeds, leases, triggers
@@ -48,7 +49,7 @@ def stream_triggers(t):
     s = s.select(F.col("user_id").alias("market"), F.col("ts").alias("at"), F.col("event_id").alias("id"), kind.alias("kind"), F.col("value").alias("mid"))
     with feeds.setting(t.spark, "spark.sql.streaming.stateStore.providerClass", triggers.STORE):
         d = feeds.drain(triggers.work_queue(s, RULES, late=f"{LATE_H} hours"), f"{at}/rows", "append", f"{at}/progress")
-    return d.select("market", F.col("at").cast("timestamp_ntz").alias("queued_at"), "reason", "priority", F.round("change", 6).alias("change"))
+    return d.select("market", F.col("at").cast("timestamp_ntz").alias("queued_at"), "reason", "priority", rounded(F.col("change"), 6).alias("change"))
 
 
 @query("""SELECT event_id, ts < max(newest) OVER (ORDER BY slice RANGE UNBOUNDED PRECEDING) - INTERVAL 2 DAY AS late FROM (SELECT event_id, ts, slice, max(ts) OVER (PARTITION BY slice) AS newest FROM
