@@ -45,7 +45,7 @@ def stream_triggers(t):
     e = t.table("events")
     kind = F.when(F.col("event_type") == "purchase", "trade").when(F.col("event_type") == "signup", "status").otherwise("book")
     at = folder(t)
-    s = replayed(t, e, delayed(10 * (F.col("event_id") % 7)), "events", at)
+    s = replayed(t, e.select("event_id", "ts", "user_id", "event_type", "value"), delayed(10 * (F.col("event_id") % 7)), "events", at)
     s = s.select(F.col("user_id").alias("market"), F.col("ts").alias("at"), F.col("event_id").alias("id"), kind.alias("kind"), F.col("value").alias("mid"))
     with feeds.setting(t.spark, "spark.sql.streaming.stateStore.providerClass", triggers.STORE):
         d = feeds.drain(triggers.work_queue(s, RULES, late=f"{LATE_H} hours"), f"{at}/rows", "append", f"{at}/progress")

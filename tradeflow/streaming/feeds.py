@@ -28,10 +28,12 @@ def files(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) ->
 
 
 def replay(rows: DataFrame, path: str, arrival: Column, days: int = 5) -> None:
-    """Adds rows to the folder at path as a feed would: a file for each stretch of `days` that rows arrive in, one after the other."""
+    """Adds rows to the folder at path as a feed would: a file for each stretch of `days` that rows arrive in, one after the other.
+
+    A stretch is looked for by all tasks and written by one, in row groups that as many can read."""
     d = rows.withColumn("_slice", F.floor(F.unix_micros(arrival.cast("timestamp")) / (days * 86_400_000_000)))
     for r in d.select("_slice").distinct().orderBy("_slice").collect():  # a row a stretch
-        d.where(F.col("_slice") == r["_slice"]).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+        d.where(F.col("_slice") == r["_slice"]).drop("_slice").repartition(1).write.mode("append").option("parquet.block.size", 8 << 20).parquet(path)
 
 
 def first_seen(events: DataFrame, keys: list[str], at: str = "ts", late: str = "1 hour") -> DataFrame:
