@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradeflow.functions.rounding import rounded
-from tradeflow.plans import registry
+from tradeflow.plans import flow, registry
 
 #: Moves between two values of events whose sixth digit Spark's own round takes the other way.
 MOVES = [0.6459374999999999, 4.0609375, 2.0109375, 8.0359375, 4.1859375, 4.1234375, 0.5203125, 1.0171875, 1.0484375]
@@ -24,6 +24,13 @@ def test_rounded_is_what_sql_gives(spark, digits):
     assert [repr(y) if y != 0 else "0" for y in got] == [repr(y) if y != 0 else "0" for y in want]
 
 
+def test_columns_of_a_table_are_rounded_as_in_sql_and_keep_their_types(spark):
+    d = flow.rounded(spark.createDataFrame([(x, 12_345, None) for x in MOVES], "x double, n long, y double"), "x", "n", "y", digits=6)
+    assert d.dtypes == [("x", "double"), ("n", "bigint"), ("y", "double")]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in MOVES]
+    assert [tuple(r) for r in d.collect()] == [(x, 12_345, None) for x in want]
+
+
 def test_triggers_round_a_move_as_their_sql_does(spark, tmp_path):
     """Two markets, each with a mid and, a day later, one whose move is a half in the seventh digit; and an end, so that they are due."""
     mids = [(6.4, 32.39), (6.4, 9.73)]

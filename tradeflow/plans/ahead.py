@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tradeflow.functions import compact
+from tradeflow.functions import compact, rounding
 from tradeflow.operators import baselines, detectors
 from tradeflow.operators.scoring import Thresholds, may_fire, score
 from tradeflow.plans.named import query
@@ -19,7 +19,7 @@ BEFORE_SQL = """, p AS (SELECT *, CAST(floor(date_diff('day', DATE '1970-01-01',
 @query("SELECT market_id, outcome, period, n, round(total, 2) AS total, round(p50, 4) AS p50, round(p95, 4) AS p95, round(p99, 4) AS p99, oldest FROM mb", TRADES_SQL + BEFORE_SQL)
 def baseline_before(t):
     d = baselines.before(t.trades, ["market_id", "outcome"])
-    return d.select("market_id", "outcome", "period", "n", F.round("total", 2).alias("total"), *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")], "oldest")
+    return d.select("market_id", "outcome", "period", "n", rounding.rounded("total", 2).alias("total"), *[rounding.rounded(c, 4).alias(c) for c in ("p50", "p95", "p99")], "oldest")
 
 
 @query("""SELECT market_id, coalesce(severity, 'none') AS severity, count(*) AS n, round(sum(notional), 2) AS usd FROM (SELECT *, CASE WHEN NOT m_ready AND raw IN ('critical', 'warning') AND NOT (notional >= 100000 AND odds >= 8) THEN 'info' ELSE raw END AS severity FROM (SELECT *, CASE
@@ -44,7 +44,7 @@ def scored_before(t):
     d = baselines.beside(d, ["market_id", "outcome"], "m", asks=judged, opened=opened)
     none = F.lit(None).cast("double")  # no tier asks for a 99th percentile
     d = score(d.withColumns({"notional": found["notional"], "price": found["price"], "t_count": F.lit(rules.min_trades), "m_p99": none, "t_p99": none}), rules)
-    return d.groupBy("market_id", F.coalesce("severity", F.lit("none")).alias("severity")).agg(F.count("*").alias("n"), F.round(F.sum("notional"), 2).alias("usd"))
+    return d.groupBy("market_id", F.coalesce("severity", F.lit("none")).alias("severity")).agg(F.count("*").alias("n"), rounding.rounded(F.sum("notional"), 2).alias("usd"))
 
 
 AT = "2001-06-01 00:00:00"

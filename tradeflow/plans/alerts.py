@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tradeflow.functions import bands
+from tradeflow.functions import bands, rounding
 from tradeflow.operators import flow, outcomes, scoring, state
 from tradeflow.plans.flow import beside, rounded
 from tradeflow.plans.named import query
@@ -82,7 +82,7 @@ def alerts_for_postmortem(t):
 def event_concentration(t):
     d = payloads(t).where(F.col("sent_at") >= F.to_timestamp_ntz(F.lit("2001-01-01 00:00:00")))
     d = d.select("event_id", F.get_json_object("payload", "$.trade.wallet").cast("long").alias("wallet"), F.get_json_object("payload", "$.trade.notional_usd").cast("double").alias("usd"))
-    return d.groupBy("event_id", "wallet").agg(F.count("*").alias("n"), F.round(F.max("usd"), 2).alias("largest"))
+    return d.groupBy("event_id", "wallet").agg(F.count("*").alias("n"), rounding.rounded(F.max("usd"), 2).alias("largest"))
 
 
 @query("SELECT key, dedup_key, passes FROM walk WHERE seq > 0", "RECURSIVE " + ALERTS_SQL + """, numbered AS (
@@ -113,19 +113,19 @@ def cluster_alerts(t):
     """Hard alerts of a sliding window with cool-down, over anomalous trades."""
     c = t.scored.where("severity is not null").select(F.col("category_id"), F.col("traded_at").alias("at"), F.col("trader_id").cast("string").alias("wallet"), "notional")
     d = state.cluster_alerts(c, "category_id", hours=48, min_trades=5, min_wallets=3, min_usd=200_000, cooldown_hours=24 * 14)
-    return d.select("key", F.col("at").cast("timestamp_ntz").alias("at"), "trades", "wallets", F.round("total", 2).alias("total"), F.array_join("sample", "|").alias("sample"))
+    return d.select("key", F.col("at").cast("timestamp_ntz").alias("at"), "trades", "wallets", rounding.rounded("total", 2).alias("total"), F.array_join("sample", "|").alias("sample"))
 
 
 @query("SELECT dedup_key, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("ret_15m", "ret_1h", "ret_6h", "ret_24h")) + ", CASE (ret_15m IS NOT NULL)::INT + (ret_1h IS NOT NULL)::INT + (ret_6h IS NOT NULL)::INT + (ret_24h IS NOT NULL)::INT WHEN 4 THEN 'done' WHEN 0 THEN 'pending' ELSE 'partial' END AS status FROM measured", MEASURED_SQL)
 def forward_returns(t):
     cols = ["ret_15m", "ret_1h", "ret_6h", "ret_24h"]
     d = t.measured.withColumn("status", outcomes.drift_status(cols))
-    return d.select("dedup_key", *[(F.round(c, 6) + 0.0).alias(c) for c in cols], "status")  # + 0.0: no negative zero
+    return d.select("dedup_key", *[(rounding.rounded(c, 6) + 0.0).alias(c) for c in cols], "status")  # + 0.0: no negative zero
 
 
 @query("SELECT side, round(sum(CASE WHEN clv_15m > 0 AND clv_1h <= 0 THEN 1 ELSE 0 END) / count(clv_1h), 6) AS reversal, round(avg(clv_6h), 6) AS mean_cents, count(*) AS n FROM measured GROUP BY side", MEASURED_SQL)
 def signed_moves(t):
-    return t.measured.groupBy("side").agg(F.round(F.sum(F.when(outcomes.reversal(), 1).otherwise(0)) / F.count("clv_1h"), 6).alias("reversal"), F.round(F.avg("clv_6h"), 6).alias("mean_cents"), F.count("*").alias("n"))
+    return t.measured.groupBy("side").agg(rounding.rounded(F.sum(F.when(outcomes.reversal(), 1).otherwise(0)) / F.count("clv_1h"), 6).alias("reversal"), rounding.rounded(F.avg("clv_6h"), 6).alias("mean_cents"), F.count("*").alias("n"))
 
 
 def _case(x: str, edges, zero: bool = True) -> str:
@@ -154,7 +154,7 @@ def outcome_classification(t):
   CASE severity WHEN 'info' THEN 1.0 WHEN 'warning' THEN 3.0 WHEN 'critical' THEN 10.0 WHEN 'hard' THEN 25.0 ELSE 0 END AS weight FROM (SELECT *, CASE side WHEN 'SELL' THEN 1 - price ELSE price END AS implied FROM alerts)) WHERE edge IS NOT NULL GROUP BY bucket""", ALERTS_SQL)
 def calibration(t):
     d = outcomes.with_edge(t.alerts).where("edge is not null")
-    return d.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.sum(F.col("edge") * F.col("weight")) / F.sum("weight"), 6).alias("weighted_edge"), F.round(F.avg(F.when(F.col("outcome_status") == "correct", 1.0).otherwise(0.0)), 6).alias("hit_rate"))
+    return d.groupBy("bucket").agg(F.count("*").alias("n"), rounding.rounded(F.sum(F.col("edge") * F.col("weight")) / F.sum("weight"), 6).alias("weighted_edge"), rounding.rounded(F.avg(F.when(F.col("outcome_status") == "correct", 1.0).otherwise(0.0)), 6).alias("hit_rate"))
 
 
 @query("SELECT market_id, to_json(list({key: dedup_key, severity: severity} ORDER BY dedup_key) FILTER (r <= 50))::VARCHAR AS package, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY severity, sent_at DESC, dedup_key) AS r FROM alerts WHERE severity <> 'info') GROUP BY market_id", ALERTS_SQL)

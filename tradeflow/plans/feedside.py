@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tradeflow.functions import rounding
 from tradeflow.operators import metrics, selector
 from tradeflow.plans.named import query
 from tradeflow.sources import paged
@@ -69,7 +70,7 @@ def metric_histograms(t):
     seen = {"size_usd": F.col("notional"), "odds": F.col("odds"), "market_p95_ratio": ratio("m_ready", "m_p95_ratio"), "trader_p95_ratio": ratio("t_ready", "t_p95_ratio"), "profit_if_win_usd": F.when(fired, F.col("profit"))}
     scored, report = metrics.observed(t.scored, seen)
     kept(scored.where(fired))
-    return metrics.rows(t.spark, report.get).select("metric", "le", "n", F.round("total", 2).alias("total"), F.round("largest", 4).alias("largest"))
+    return metrics.rows(t.spark, report.get).select("metric", "le", "n", rounding.rounded("total", 2).alias("total"), rounding.rounded("largest", 4).alias("largest"))
 
 
 @query("""SELECT market, count(*) AS n, round(sum(notional), 2) AS total, min(traded_at) AS oldest, (any_value(fresh) >= 250) AS incomplete FROM (SELECT CAST(market_id AS VARCHAR) AS market, notional, traded_at, count(*) OVER (PARTITION BY market_id) AS fresh,
@@ -81,4 +82,4 @@ def paged_trades(t):
     since = F.to_timestamp_ntz(F.lit("1997-01-01 00:00:00"))
     micros = t.spark.range(1).select(F.unix_micros(since.cast("timestamp"))).first()[0]
     d = paged.paged(t.spark, path, pageSize=50, maxPages=5, sinceMicros=micros)
-    return d.groupBy("market").agg(F.count("*").alias("n"), F.round(F.sum("notional"), 2).alias("total"), F.timestamp_micros(F.min("at_us")).cast("timestamp_ntz").alias("oldest"), F.bool_or("incomplete").alias("incomplete"))
+    return d.groupBy("market").agg(F.count("*").alias("n"), rounding.rounded(F.sum("notional"), 2).alias("total"), F.timestamp_micros(F.min("at_us")).cast("timestamp_ntz").alias("oldest"), F.bool_or("incomplete").alias("incomplete"))

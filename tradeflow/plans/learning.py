@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tradeflow.functions import rounding
 from tradeflow.operators import detectors, flow, graphs, outcomes, state
 from tradeflow.operators.asof import asof
 from tradeflow.plans.flow import rounded
@@ -47,7 +48,7 @@ def pending_value_rows(t):
 def fill_values_once(t):
     """Known values stay, others are filled."""
     d = t.decisions.select("strategy", F.coalesce(F.when(F.col("market_id") % 2 == 0, 1.0), F.col("clv_6h")).alias("v"))
-    return d.groupBy("strategy").agg(F.round(F.sum("v"), 4).alias("total"), F.count("v").alias("filled"))
+    return d.groupBy("strategy").agg(rounding.rounded(F.sum("v"), 4).alias("total"), F.count("v").alias("filled"))
 
 
 @query("SELECT d.dedup_key, a.outcome_status FROM decisions d JOIN alerts a ON d.linked_key = a.dedup_key WHERE a.outcome_status <> 'unresolved'", DECISIONS_SQL)
@@ -96,17 +97,17 @@ def co_trade_edges(t):
 @query("SELECT trader_id, count(*) AS n, round(max(similarity), 6) AS strongest FROM (SELECT wallet_a AS trader_id, similarity FROM edges UNION ALL SELECT wallet_b, similarity FROM edges) GROUP BY trader_id", TRADES_SQL + COTRADE_SQL)
 def wallet_edges(t):
     d = graphs.edges_of(kept(_edges(t)), t.stored.select("trader_id").distinct())
-    return d.groupBy("trader_id").agg(F.count("*").alias("n"), F.round(F.max("similarity"), 6).alias("strongest"))
+    return d.groupBy("trader_id").agg(F.count("*").alias("n"), rounding.rounded(F.max("similarity"), 6).alias("strongest"))
 
 
 @query("SELECT trader_id, market_id, event_id, side, round(usd, 2) AS usd, n, newest FROM lines", TRADES_SQL + LINES_SQL)
 def thesis_lines(t):
-    return graphs.thesis_lines(t.trades).select("trader_id", "market_id", "event_id", "side", F.round("usd", 2).alias("usd"), "n", "newest")
+    return graphs.thesis_lines(t.trades).select("trader_id", "market_id", "event_id", "side", rounding.rounded("usd", 2).alias("usd"), "n", "newest")
 
 
 @query("SELECT event_id, trader_id, market_id, side, rank, round(usd, 2) AS usd FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY usd DESC, trader_id, market_id, side) AS rank FROM lines) WHERE rank <= 10", TRADES_SQL + LINES_SQL)
 def thesis_lines_of_event(t):
-    return flow.newest(graphs.thesis_lines(t.trades), ["event_id"], 10, [F.desc("usd"), "trader_id", "market_id", "side"]).select("event_id", "trader_id", "market_id", "side", "rank", F.round("usd", 2).alias("usd"))
+    return flow.newest(graphs.thesis_lines(t.trades), ["event_id"], 10, [F.desc("usd"), "trader_id", "market_id", "side"]).select("event_id", "trader_id", "market_id", "side", "rank", rounding.rounded("usd", 2).alias("usd"))
 
 
 THESIS_AT = "2001-06-01 00:00:00"
@@ -142,7 +143,7 @@ def thesis_scores(t):
   JOIN trades t ON t.market_id = a.market_id AND t.trader_id = p.peer AND t.side = a.side AND t.traded_at <= a.sent_at AND t.traded_at >= a.sent_at - INTERVAL 30 DAY GROUP BY ALL) GROUP BY dedup_key)""")
 def wallet_cohorts(t):
     d = graphs.cohorts(t.alerts, kept(_edges(t)), t.stored, min_similarity=0.2, min_events=2, days=30, fresh_days=120)
-    return d.select("dedup_key", "branch", "cohort_size", F.round("avg_similarity", 6).alias("avg_similarity"), F.round("boost", 6).alias("boost"))
+    return d.select("dedup_key", "branch", "cohort_size", rounding.rounded("avg_similarity", 6).alias("avg_similarity"), rounding.rounded("boost", 6).alias("boost"))
 
 
 HOLDERS_SQL = """, snaps AS (SELECT market_id, outcome, trader_id, 1 AS snap, sum(CASE WHEN side = 'BUY' THEN shares ELSE -shares END) AS shares FROM trades WHERE traded_at < TIMESTAMP '2001-06-01' GROUP BY ALL UNION ALL SELECT market_id, outcome, trader_id, 2, sum(CASE WHEN side = 'BUY' THEN shares ELSE -shares END) FROM trades GROUP BY ALL),
@@ -159,7 +160,7 @@ def _holders(t):
 
 @query("SELECT market_id, outcome, snap, trader_id, rank, round(shares, 2) AS shares, round(pct_oi, 8) AS pct_oi FROM ranked WHERE rank <= 20", TRADES_SQL + HOLDERS_SQL)
 def holder_ranking(t):
-    return _holders(t).where("rank <= 20").select("market_id", "outcome", "snap", "trader_id", "rank", F.round("shares", 2).alias("shares"), F.round("pct_oi", 8).alias("pct_oi"))
+    return _holders(t).where("rank <= 20").select("market_id", "outcome", "snap", "trader_id", "rank", rounding.rounded("shares", 2).alias("shares"), rounding.rounded("pct_oi", 8).alias("pct_oi"))
 
 
 @query("""SELECT market_id, outcome, trader_id, level, round(score, 4) AS score, entered_top FROM (SELECT *, (rank <= 5 AND (prev_rank = 0 OR prev_rank > 5) AND ds >= 1) AS entered_top, CASE WHEN pen < 1 THEN 'none' WHEN pct_oi >= 0.15 THEN 'critical' WHEN pct_oi >= 0.08 THEN 'warning' WHEN pct_oi >= 0.03 OR (rank <= 5 AND (prev_rank = 0 OR prev_rank > 5) AND ds >= 1) THEN 'info' ELSE 'none' END AS level,
@@ -170,7 +171,7 @@ def holder_deltas(t):
     h = _holders(t)
     prev = h.where("snap = 1").select("market_id", "outcome", "trader_id", F.col("rank").alias("prev_rank"), F.col("shares").alias("prev_shares"), F.col("total_oi").alias("prev_total_oi"))
     d = detectors.holder_delta(h.where("snap = 2").join(prev, ["market_id", "outcome", "trader_id"], "left")).where("level <> 'none'")
-    return d.select("market_id", "outcome", "trader_id", "level", F.round("score", 4).alias("score"), "entered_top")
+    return d.select("market_id", "outcome", "trader_id", "level", rounding.rounded("score", 4).alias("score"), "entered_top")
 
 
 def _catalysts(t):
@@ -185,7 +186,7 @@ def _catalysts(t):
 def catalyst_windows(t):
     s = t.alerts.select(F.col("dedup_key").alias("signal_id"), "event_id", F.col("sent_at").alias("at"))
     d = detectors.catalyst_window(s, _catalysts(t))
-    return d.select(F.col("signal_id").alias("dedup_key"), "kind", F.round("lead_h", 4).alias("lead_h"), "window_class", F.round("boost", 6).alias("boost"))
+    return d.select(F.col("signal_id").alias("dedup_key"), "kind", rounding.rounded("lead_h", 4).alias("lead_h"), "window_class", rounding.rounded("boost", 6).alias("boost"))
 
 
 @query("SELECT event_id, kind, expected_at FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY CASE WHEN kind = 'ruling' THEN 0 ELSE 1 END, expected_at, kind) AS r FROM catalysts) WHERE r = 1", TRADES_SQL + CATALYST_SQL)
@@ -198,7 +199,7 @@ def primary_catalyst(t):
    FROM scored WHERE price BETWEEN 0.02 AND 0.15 AND notional >= 2500 GROUP BY ALL HAVING count(*) >= 2))""", ALERTS_SQL)
 def cheap_tails(t):
     d = detectors.cheap_tail(t.scored, ["trader_id", "market_id"])
-    return d.select("trader_id", "market_id", "n", F.round("convexity", 6).alias("convexity"), F.round("strength", 6).alias("strength"), "band", "level", F.round("score", 4).alias("score"))
+    return d.select("trader_id", "market_id", "n", rounding.rounded("convexity", 6).alias("convexity"), rounding.rounded("strength", 6).alias("strength"), "band", "level", rounding.rounded("score", 4).alias("score"))
 
 
 @query("""SELECT market_id, outcome, action, winner, round(dominance, 6) AS dominance, round(CASE WHEN action LIKE '%suppress_loser' THEN 6.0 WHEN action LIKE 'boost%' THEN 6 * (dominance - 1) / 1.5 ELSE 0 END, 6) AS boost FROM (SELECT *, CASE WHEN action LIKE 'boost%' THEN CASE WHEN a >= b THEN 'A' ELSE 'B' END END AS winner FROM (SELECT *, CASE WHEN a = 0 AND b = 0 THEN 'keep_both' WHEN dominance >= 2.5 THEN 'boost_winner_suppress_loser' WHEN dominance >= 1.5 THEN 'boost_winner_degrade_loser' ELSE 'tag_unresolved' END AS action FROM
@@ -228,7 +229,7 @@ def repricing_windows(t):
     p = kept(t.daily).withColumnRenamed("price", "base")
     d = asof(asof(k, p, ["market_id", "outcome"], "opened", "at", ["base"]), p.withColumnRenamed("base", "end"), ["market_id", "outcome"], "due", "at", ["end"])
     status = F.when(F.col("base").isNull() | F.col("end").isNull(), "stale_missing_price").otherwise("closed")
-    return d.select("event_id", "market_id", "outcome", F.round((F.col("end") - F.col("base")) * 100, 4).alias("move_cents"), status.alias("status"))
+    return d.select("event_id", "market_id", "outcome", rounding.rounded((F.col("end") - F.col("base")) * 100, 4).alias("move_cents"), status.alias("status"))
 
 
 @query("SELECT strategy, state, count(*) AS n FROM (SELECT d.*, CASE WHEN NOT coalesce(f.enabled, false) THEN 'off' WHEN f.promoted THEN 'live' ELSE 'shadow_only' END AS state FROM decisions d LEFT JOIN (VALUES ('thesis', true, true), ('cohort', true, false), ('cheap_tail', false, true)) f(strategy, enabled, promoted) USING (strategy)) GROUP BY ALL", DECISIONS_SQL)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tradeflow.functions import rounding
 from tradeflow.operators import detectors
 from tradeflow.operators.ranks import days, ordinal, stretches
 from tradeflow.plans.named import query
@@ -15,13 +16,13 @@ from tradeflow.streaming import feeds
 
 @query("SELECT event_type, to_timestamp(floor(epoch(ts) / 3600) * 3600)::TIMESTAMP AS bar_at, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY ALL")
 def event_bars(t):
-    return feeds.bars(t.table("events"), "event_type", "value", width="1 hour").select("event_type", F.col("bar_at").cast("timestamp_ntz").alias("bar_at"), "n", F.round("total", 4).alias("total"), "low", "high")
+    return feeds.bars(t.table("events"), "event_type", "value", width="1 hour").select("event_type", F.col("bar_at").cast("timestamp_ntz").alias("bar_at"), "n", rounding.rounded("total", 4).alias("total"), "low", "high")
 
 
 @query("SELECT event_type, w AS bar_at, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, unnest([to_timestamp(floor(epoch(ts) / 1800) * 1800)::TIMESTAMP, to_timestamp(floor(epoch(ts) / 1800) * 1800 - 1800)::TIMESTAMP]) AS w FROM events) GROUP BY ALL")
 def sliding_bars(t):
     d = feeds.bars(t.table("events"), "event_type", "value", width="1 hour", slide="30 minutes")
-    return d.select("event_type", F.col("bar_at").cast("timestamp_ntz").alias("bar_at"), "n", F.round("total", 4).alias("total"))
+    return d.select("event_type", F.col("bar_at").cast("timestamp_ntz").alias("bar_at"), "n", rounding.rounded("total", 4).alias("total"))
 
 
 def _books(t):
@@ -34,7 +35,7 @@ def _books(t):
 @query("SELECT event_type AS asset, to_timestamp(floor(epoch(ts) / 3600) * 3600)::TIMESTAMP AS bar_at, round(arg_max(value, ts) / 100 - 0.01, 6) AS bid, round(arg_max(value, ts) / 100 + 0.01, 6) AS ask, (5 * (arg_max(user_id, ts) % 7) + 15)::DOUBLE AS bid_depth FROM events GROUP BY ALL")
 def book_bars(t):
     d = detectors.book_bars(_books(t), seconds=3600)
-    return d.select("asset", F.col("bar_at").cast("timestamp_ntz").alias("bar_at"), F.round("bid", 6).alias("bid"), F.round("ask", 6).alias("ask"), "bid_depth")
+    return d.select("asset", F.col("bar_at").cast("timestamp_ntz").alias("bar_at"), rounding.rounded("bid", 6).alias("bid"), rounding.rounded("ask", 6).alias("ask"), "bid_depth")
 
 
 @query("""SELECT asset, bar_at, side, detected, round(collapse, 6) AS collapse FROM (SELECT *, CASE WHEN fall >= 0.5 THEN CASE WHEN seq % 2 = 0 THEN 'ask' ELSE 'bid' END END AS side, fall AS collapse, d > 0 AND seq % 2 = 0 OR d < 0 AND seq % 2 = 1 AS detected FROM
@@ -55,7 +56,7 @@ def book_vacuums(t):
         F.struct(F.lit(1).alias("bar_at"), F.when(even, F.col("ratio")).otherwise(1.0).alias("ask_depth"), F.when(even, 1.0).otherwise(F.col("ratio")).alias("bid_depth"), F.col("mid").alias("mid")))).alias("b"))
     bars = bars.select("key", "asset", "shown", "b.*").withColumn("spread", F.lit(0.02))
     d = detectors.book_vacuum(bars, key="key", bucket_days=None)
-    return d.select("asset", F.col("shown").alias("bar_at"), "side", "detected", F.round("collapse", 6).alias("collapse"))
+    return d.select("asset", F.col("shown").alias("bar_at"), "side", "detected", rounding.rounded("collapse", 6).alias("collapse"))
 
 
 def _stream(t):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tradeflow.functions import rounding
 from tradeflow.operators import flow
 from tradeflow.operators.selection import percentiles
 from tradeflow.plans.flow import beside, rounded
@@ -31,7 +32,7 @@ def close_review_quality(t):
     r = reviews(t).where("status = 'succeeded'").select(F.col("market_id").alias("m"), "reason", "closed_at")
     j = r.join(d, (F.col("market_id") == F.col("m")) & (F.col("sent_at") <= F.col("closed_at")), "left")
     return j.groupBy(F.col("m").alias("market_id"), "reason").agg(F.count("dedup_key").alias("alerts"), _is("severity", "critical").alias("critical"), _is("outcome_status", "correct").alias("correct"), _is("outcome_status", "wrong").alias("wrong"),
-                                                                  (F.round(F.avg("ret_6h"), 6) + 0.0).alias("mean_6h"), (F.round(F.avg("ret_24h"), 6) + 0.0).alias("mean_24h"))
+                                                                  (rounding.rounded(F.avg("ret_6h"), 6) + 0.0).alias("mean_6h"), (rounding.rounded(F.avg("ret_24h"), 6) + 0.0).alias("mean_24h"))
 
 
 @query("""SELECT kind, severity, n, correct, wrong, round(correct / nullif(correct + wrong, 0), 6) AS hit_rate, CASE WHEN n < 10 THEN 'needs_more_data' WHEN correct / nullif(correct + wrong, 0) > 0.65 THEN 'keep' WHEN wrong / nullif(correct + wrong, 0) > 0.55 THEN 'tighten' ELSE 'watch' END AS verdict FROM
@@ -40,7 +41,7 @@ def strategy_quality(t):
     seen = reviews(t).where("status = 'succeeded'").select("market_id").distinct()
     d = t.alerts.join(seen, "market_id", "left_semi").groupBy("kind", "severity").agg(F.count("*").alias("n"), _is("outcome_status", "correct").alias("correct"), _is("outcome_status", "wrong").alias("wrong"))
     hit, miss = F.try_divide(F.col("correct"), F.col("correct") + F.col("wrong")), F.try_divide(F.col("wrong"), F.col("correct") + F.col("wrong"))
-    return d.withColumns({"hit_rate": F.round(hit, 6), "verdict": F.when(F.col("n") < 10, "needs_more_data").when(hit > 0.65, "keep").when(miss > 0.55, "tighten").otherwise("watch")})
+    return d.withColumns({"hit_rate": rounding.rounded(hit, 6), "verdict": F.when(F.col("n") < 10, "needs_more_data").when(hit > 0.65, "keep").when(miss > 0.55, "tighten").otherwise("watch")})
 
 
 @query("""SELECT reason, kind, n, round(rate, 6) AS rate, round(mean_6h, 6) AS mean_6h, CASE WHEN mean_6h > 0.01 THEN 'positive' WHEN mean_6h < -0.01 THEN 'negative' ELSE 'flat' END AS verdict FROM (SELECT r.reason, a.kind, count(*) AS n, avg(CASE WHEN outcome_status = 'correct' THEN 1.0 ELSE 0.0 END) AS rate, avg(ret_6h) AS mean_6h FROM measured a JOIN reviews r USING (market_id) GROUP BY ALL)""", MEASURED_SQL + REVIEWS_SQL)
@@ -51,7 +52,7 @@ def reason_quality(t):
 
 @query("SELECT date_trunc('month', closed_at)::TIMESTAMP AS month, model, count(*) AS n, sum(tokens)::BIGINT AS tokens, round(sum(cost), 6) AS cost FROM reviews GROUP BY ALL", ALERTS_SQL + REVIEWS_SQL)
 def review_cost(t):
-    return reviews(t).groupBy(F.date_trunc("month", "closed_at").cast("timestamp_ntz").alias("month"), "model").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"))
+    return reviews(t).groupBy(F.date_trunc("month", "closed_at").cast("timestamp_ntz").alias("month"), "model").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), rounding.rounded(F.sum("cost"), 6).alias("cost"))
 
 
 @query("SELECT market_id, reason, closed_at FROM reviews ORDER BY closed_at DESC, market_id LIMIT 200", ALERTS_SQL + REVIEWS_SQL)
@@ -80,7 +81,7 @@ def signal_snapshot(t):
 def signal_quality(t):
     d = t.measured.where((F.col("sent_at") >= F.to_timestamp_ntz(F.lit("2000-01-01 00:00:00"))) & (F.col("sent_at") < F.to_timestamp_ntz(F.lit("2001-01-01 00:00:00"))))
     return d.agg(F.count("*").alias("total"), _is("severity", "critical").alias("critical"), _is("outcome_status", "correct").alias("success"), _is("outcome_status", "wrong").alias("failure"), _is("outcome_status", "unresolved").alias("unresolved"),
-                 F.round(F.avg(F.when(F.col("severity") == "info", F.col("ret_1h"))), 6).alias("info_1h"), F.round(F.avg(F.when(F.col("severity") != "info", F.col("ret_24h"))), 6).alias("strong_24h"))
+                 rounding.rounded(F.avg(F.when(F.col("severity") == "info", F.col("ret_1h"))), 6).alias("info_1h"), rounding.rounded(F.avg(F.when(F.col("severity") != "info", F.col("ret_24h"))), 6).alias("strong_24h"))
 
 
 @query("SELECT kind, severity, count(*) FILTER (outcome_status = 'correct') AS success, count(*) FILTER (outcome_status = 'wrong') AS failure, count(*) FILTER (outcome_status = 'unresolved') AS unresolved FROM alerts GROUP BY ALL", ALERTS_SQL)
@@ -92,7 +93,7 @@ def signal_quality_by_kind(t):
 def funnel_top_events(t):
     per = t.alerts.groupBy("event_id").agg(F.count("*").alias("n"))
     total = per.agg(F.sum("n").alias("_all"))
-    return beside(per, total).orderBy(F.desc("n"), "event_id").limit(10).select("event_id", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"))
+    return beside(per, total).orderBy(F.desc("n"), "event_id").limit(10).select("event_id", "n", rounding.rounded(F.col("n") / F.col("_all"), 6).alias("share"))
 
 
 @query("SELECT (SELECT count(*) FROM markets) AS markets, count(*) AS trades, count(DISTINCT trader_id) AS wallets, count(*) FILTER (severity IS NOT NULL) AS fired, count(DISTINCT market_id) FILTER (severity IS NOT NULL) AS alerting_markets FROM scored", ALERTS_SQL)
@@ -118,7 +119,7 @@ def funnel_silent_markets(t):
 def baseline_readiness(t):
     d = flow.distribution(t.trades, ["market_id", "outcome"]).withColumn("span_h", F.timestamp_diff("SECOND", "oldest", "newest") / 3600)
     enough = F.col("n") >= 20
-    return d.agg(F.count("*").alias("pairs"), F.count_if(enough).alias("enough_trades"), F.count_if(enough & (F.col("total") >= 1000)).alias("enough_total"), F.count_if(enough & (F.col("span_h") >= 24)).alias("enough_span"), F.round(F.avg("median"), 4).alias("mean_median"))
+    return d.agg(F.count("*").alias("pairs"), F.count_if(enough).alias("enough_trades"), F.count_if(enough & (F.col("total") >= 1000)).alias("enough_total"), F.count_if(enough & (F.col("span_h") >= 24)).alias("enough_span"), rounding.rounded(F.avg("median"), 4).alias("mean_median"))
 
 
 @query("SELECT " + ", ".join(f"count(*) FILTER (notional >= {n} AND odds >= {o}) AS n{n}_o{o}" for n in (10_000, 25_000, 100_000) for o in (3, 5, 8)) + " FROM scored WHERE lifecycle >= 75", ALERTS_SQL)
@@ -129,7 +130,7 @@ def gate_breakdown(t):
 @query("SELECT market_id, trader_id, round(notional, 2) AS notional, round(odds, 6) AS odds, round(notional / m_p95, 6) AS multiple FROM scored WHERE severity IS NOT NULL AND lifecycle >= 75 ORDER BY traded_at DESC, notional DESC, order_id, line_no LIMIT 100", ALERTS_SQL)
 def firing_candidates(t):
     d = t.scored.where("severity is not null and lifecycle >= 75").orderBy(F.desc("traded_at"), F.desc("notional"), "order_id", "line_no").limit(100)
-    return d.select("market_id", "trader_id", F.round("notional", 2).alias("notional"), F.round("odds", 6).alias("odds"), F.round("m_p95_ratio", 6).alias("multiple"))
+    return d.select("market_id", "trader_id", rounding.rounded("notional", 2).alias("notional"), rounding.rounded("odds", 6).alias("odds"), rounding.rounded("m_p95_ratio", 6).alias("multiple"))
 
 
 @query("SELECT strategy, level, date_trunc('month', created_at)::TIMESTAMP AS month, count(*) AS n FROM decisions GROUP BY ALL", DECISIONS_SQL)
@@ -141,7 +142,7 @@ def decision_rates(t):
 def return_quartiles(t):
     d = t.decisions.groupBy("strategy").agg(F.count("*").alias("n"), F.count("clv_15m").alias("has_15m"), F.count("clv_24h").alias("has_24h"))
     d = d.join(percentiles(t.decisions, ["strategy"], "clv_6h", (0.25, 0.5, 0.75)).select("strategy", "q"), "strategy", "left")
-    return d.select("strategy", "n", "has_15m", "has_24h", *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)])
+    return d.select("strategy", "n", "has_15m", "has_24h", *[rounding.rounded(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)])
 
 
 @query("SELECT s.strategy, s.control_bucket, s.n, round(s.m - c.m, 6) + 0.0 AS lift FROM (SELECT strategy, control_bucket, count(*) AS n, quantile_cont(clv_6h, 0.5) AS m FROM decisions GROUP BY ALL HAVING count(*) >= 10) s JOIN (SELECT control_bucket, quantile_cont(clv_6h, 0.5) AS m FROM decisions GROUP BY ALL) c USING (control_bucket)", DECISIONS_SQL)
@@ -150,7 +151,7 @@ def matched_control(t):
     median = lambda keys, name: percentiles(d, keys, "clv_6h", (0.5,)).select(*keys, F.col("q")[0].alias(name))
     s = d.groupBy("strategy", "control_bucket").agg(F.count("*").alias("n")).where("n >= 10").join(median(["strategy", "control_bucket"], "own"), ["strategy", "control_bucket"], "left")
     c = d.select("control_bucket").distinct().join(median(["control_bucket"], "all"), "control_bucket", "left")
-    return s.join(c, "control_bucket").select("strategy", "control_bucket", "n", (F.round(F.col("own") - F.col("all"), 6) + 0.0).alias("lift"))
+    return s.join(c, "control_bucket").select("strategy", "control_bucket", "n", (rounding.rounded(F.col("own") - F.col("all"), 6) + 0.0).alias("lift"))
 
 
 @query("SELECT 'alerts' AS source, count(*) AS n, max(sent_at) AS newest FROM alerts UNION ALL SELECT 'trades', count(*), max(traded_at) FROM trades UNION ALL SELECT 'markets', count(*), max(end_at) FROM markets", ALERTS_SQL)
@@ -164,13 +165,13 @@ def feature_histogram(t):
     """The feature comes out of a JSON column, as decisions keep it."""
     d = t.decisions.withColumn("features", F.to_json(F.struct("odds")))
     odds = F.get_json_object("features", "$.odds").cast("double")
-    return d.groupBy("strategy", F.round(F.round(odds * 2) / 2, 1).alias("odds_bin")).agg(F.count("*").alias("n"), F.round(F.avg("clv_6h"), 6).alias("mean_6h"))
+    return d.groupBy("strategy", rounding.rounded(rounding.rounded(odds * 2) / 2, 1).alias("odds_bin")).agg(F.count("*").alias("n"), rounding.rounded(F.avg("clv_6h"), 6).alias("mean_6h"))
 
 
 @query("SELECT strategy, count(*) FILTER (outcome_status <> 'unresolved') AS resolved, round(100.0 * count(*) FILTER (outcome_status = 'correct') / nullif(count(*) FILTER (outcome_status <> 'unresolved'), 0), 4) AS hit_pct FROM decisions GROUP BY strategy", DECISIONS_SQL)
 def hit_rates(t):
     done = F.count_if(F.col("outcome_status") != "unresolved")
-    return t.unmeasured.groupBy("strategy").agg(done.alias("resolved"), F.round(F.try_divide(F.lit(100.0) * _is("outcome_status", "correct"), done), 4).alias("hit_pct"))
+    return t.unmeasured.groupBy("strategy").agg(done.alias("resolved"), rounding.rounded(F.try_divide(F.lit(100.0) * _is("outcome_status", "correct"), done), 4).alias("hit_pct"))
 
 
 @query(f"SELECT strategy, count(DISTINCT market_id) AS markets, count(DISTINCT date_trunc('day', created_at)) AS days, date_diff('day', max(created_at), TIMESTAMP '{NOW}') AS idle_days FROM decisions GROUP BY strategy", DECISIONS_SQL)
@@ -184,25 +185,25 @@ Q6 = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 @query("SELECT " + ", ".join(f"round(quantile_cont(notional, {q}), 6) AS p{str(q)[2:]}" for q in Q6) + " FROM scored WHERE lifecycle >= 75", ALERTS_SQL)
 def notional_percentiles(t):
     d = percentiles(t.scored.where("lifecycle >= 75"), [], "notional", Q6)
-    return d.select(*[F.round(F.col("q")[i], 6).alias(f"p{str(q)[2:]}") for i, q in enumerate(Q6)])
+    return d.select(*[rounding.rounded(F.col("q")[i], 6).alias(f"p{str(q)[2:]}") for i, q in enumerate(Q6)])
 
 
 @query("SELECT severity, round(quantile_cont(notional / m_p95, 0.5), 6) AS p50, round(quantile_cont(notional / m_p95, 0.95), 6) AS p95 FROM scored WHERE severity IS NOT NULL GROUP BY severity", ALERTS_SQL)
 def ratio_percentiles(t):
     d = percentiles(t.scored.where("severity is not null"), ["severity"], "m_p95_ratio", (0.5, 0.95))
-    return d.select("severity", F.round(F.col("q")[0], 6).alias("p50"), F.round(F.col("q")[1], 6).alias("p95"))
+    return d.select("severity", rounding.rounded(F.col("q")[0], 6).alias("p50"), rounding.rounded(F.col("q")[1], 6).alias("p95"))
 
 
 @query("SELECT count(*) AS lines, round(quantile_cont(total, 0.5), 4) AS total_p50, round(quantile_cont(total, 0.95), 4) AS total_p95, round(quantile_cont(median, 0.5), 4) AS median_p50 FROM (SELECT sum(notional) AS total, quantile_cont(notional, 0.5) AS median FROM trades GROUP BY trader_id, market_id HAVING count(*) >= 3)", TRADES_SQL)
 def line_percentiles(t):
     l = kept(flow.lines(t.trades, ["trader_id", "market_id"]).where("n >= 3").select("total", "median"))
-    d = percentiles(l, [], "total", (0.5, 0.95)).select(F.col("n").alias("lines"), F.round(F.col("q")[0], 4).alias("total_p50"), F.round(F.col("q")[1], 4).alias("total_p95"))
-    return beside(d, percentiles(l, [], "median", (0.5,)).select(F.round(F.col("q")[0], 4).alias("median_p50")))
+    d = percentiles(l, [], "total", (0.5, 0.95)).select(F.col("n").alias("lines"), rounding.rounded(F.col("q")[0], 4).alias("total_p50"), rounding.rounded(F.col("q")[1], 4).alias("total_p95"))
+    return beside(d, percentiles(l, [], "median", (0.5,)).select(rounding.rounded(F.col("q")[0], 4).alias("median_p50")))
 
 
 @query("SELECT trader_id, market_id, n, round(total, 2) AS total FROM (SELECT trader_id, market_id, count(*) AS n, sum(notional) AS total, quantile_cont(notional, 0.5) AS median FROM trades GROUP BY ALL) WHERE n >= 3 AND total >= 40000 AND median <= 60000", TRADES_SQL)
 def many_smalls_lines(t):
-    return flow.lines(t.trades, ["trader_id", "market_id"]).where("n >= 3 and total >= 40000 and median <= 60000").select("trader_id", "market_id", "n", F.round("total", 2).alias("total"))
+    return flow.lines(t.trades, ["trader_id", "market_id"]).where("n >= 3 and total >= 40000 and median <= 60000").select("trader_id", "market_id", "n", rounding.rounded("total", 2).alias("total"))
 
 
 OWN_SQL = """(SELECT 100 * greatest(coalesce(sum(shares) FILTER (side = 'BUY'), 0) - coalesce(sum(shares) FILTER (side = 'SELL'), 0), 0) / any_value(mb) AS pct, sum(notional) AS vol FROM trades JOIN (SELECT market_id, outcome, sum(shares) FILTER (side = 'BUY') AS mb FROM trades GROUP BY ALL) m USING (market_id, outcome) GROUP BY market_id, outcome, trader_id)"""
@@ -222,13 +223,13 @@ def ownership_by_volume(t):
 
 @query(f"SELECT severity, round(count(*) FILTER (sent_at >= TIMESTAMP '{NOW}' - INTERVAL 70 DAY) / 70.0, 6) AS per_day_70, round(count(*) FILTER (sent_at >= TIMESTAMP '{NOW}' - INTERVAL 300 DAY) / 300.0, 6) AS per_day_300 FROM alerts GROUP BY severity", ALERTS_SQL)
 def severity_mix(t):
-    per = lambda d: F.round(F.count_if(F.col("sent_at") >= F.to_timestamp_ntz(F.lit(NOW)) - F.expr(f"INTERVAL {d} DAYS")) / float(d), 6)
+    per = lambda d: rounding.rounded(F.count_if(F.col("sent_at") >= F.to_timestamp_ntz(F.lit(NOW)) - F.expr(f"INTERVAL {d} DAYS")) / float(d), 6)
     return t.alerts.groupBy("severity").agg(per(70).alias("per_day_70"), per(300).alias("per_day_300"))
 
 
 @query("SELECT severity, kind, count(*) AS n, round(100.0 * count(*) FILTER (outcome_status = 'correct') / nullif(count(*) FILTER (outcome_status <> 'unresolved'), 0), 2) AS win_pct FROM alerts GROUP BY ALL", ALERTS_SQL)
 def win_percent(t):
-    return t.alerts.groupBy("severity", "kind").agg(F.count("*").alias("n"), F.round(F.try_divide(F.lit(100.0) * _is("outcome_status", "correct"), F.count_if(F.col("outcome_status") != "unresolved")), 2).alias("win_pct"))
+    return t.alerts.groupBy("severity", "kind").agg(F.count("*").alias("n"), rounding.rounded(F.try_divide(F.lit(100.0) * _is("outcome_status", "correct"), F.count_if(F.col("outcome_status") != "unresolved")), 2).alias("win_pct"))
 
 
 @query("SELECT date_trunc('month', sent_at)::TIMESTAMP AS month, count(*) FILTER (market_id % 3 = 0) AS tagged, count(*) AS n FROM alerts GROUP BY ALL", ALERTS_SQL)
@@ -255,5 +256,5 @@ def intelligence_candidates(t):
     last = t.trades.groupBy("market_id").agg(F.max_by("price", F.struct("traded_at", "order_id", "line_no", "price")).alias("price"))
     al = t.alerts.where(F.col("sent_at") >= since).groupBy("market_id").agg(F.count("*").alias("k"))
     d = t.markets.select("market_id").join(tr, "market_id", "left").join(last, "market_id", "left").join(al, "market_id", "left")
-    d = d.select("market_id", F.coalesce("n", F.lit(0)).alias("trades_30d"), F.round(F.coalesce("usd", F.lit(0.0)), 2).alias("usd_30d"), F.round("price", 6).alias("last_price"), F.coalesce("k", F.lit(0)).alias("alerts_30d"))
+    d = d.select("market_id", F.coalesce("n", F.lit(0)).alias("trades_30d"), rounding.rounded(F.coalesce("usd", F.lit(0.0)), 2).alias("usd_30d"), rounding.rounded("price", 6).alias("last_price"), F.coalesce("k", F.lit(0)).alias("alerts_30d"))
     return d.orderBy(F.desc("usd_30d"), "market_id").limit(50)

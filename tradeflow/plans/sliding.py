@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tradeflow.functions import compact
+from tradeflow.functions import compact, rounding
 from tradeflow.operators import islands, panes, reservoir, staged
 from tradeflow.operators.scoring import Thresholds, may_fire, score
 from tradeflow.plans.named import query
@@ -31,7 +31,7 @@ def _rank(v: str, q: float) -> str:
 def baseline_reservoir(t):
     """The baseline that each trade is judged by: the newest trades of its market and outcome, read before it is added."""
     d = reservoir.before(t.stored.select("market_id", "outcome", *ORDER), ["market_id", "outcome"], ORDER, samples=SAMPLES, window_days=WINDOW)
-    return d.select("order_id", "line_no", "n", F.round("total", 2).alias("total"), "p50", "p95", "p99")
+    return d.select("order_id", "line_no", "n", rounding.rounded("total", 2).alias("total"), "p50", "p95", "p99")
 
 
 @query(f"""SELECT market_id, coalesce(severity, 'none') AS severity, count(*) AS n, round(sum(notional), 2) AS usd FROM (SELECT *, CASE WHEN NOT m_ready AND raw IN ('critical', 'warning') AND NOT (notional >= 100000 AND odds >= 8) THEN 'info' ELSE raw END AS severity FROM (SELECT *, CASE
@@ -55,7 +55,7 @@ def scored_reservoir(t):
     m = m.select("market_id", found["notional"].alias("notional"), found["price"].alias("price"), F.col("n").alias("m_count"), F.col("total").alias("m_total"), F.col("p95").alias("m_p95"), none.alias("m_p99"),
                  F.lit(rules.min_trades).alias("t_count"), "t_p95", none.alias("t_p99"))
     d = score(m, rules)
-    return d.groupBy("market_id", F.coalesce("severity", F.lit("none")).alias("severity")).agg(F.count("*").alias("n"), F.round(F.sum("notional"), 2).alias("usd"))
+    return d.groupBy("market_id", F.coalesce("severity", F.lit("none")).alias("severity")).agg(F.count("*").alias("n"), rounding.rounded(F.sum("notional"), 2).alias("usd"))
 
 
 @query("""WITH p AS (SELECT event_type, CAST(floor(epoch(ts) / 60) AS BIGINT) AS pane, value FROM events), e AS (SELECT DISTINCT event_type, pane FROM p)
@@ -64,7 +64,7 @@ def scored_reservoir(t):
 def rolling_windows(t):
     """The day that ends with each active minute, folded from minute panes."""
     d = panes.windows(panes.panes(t.table("events"), ["event_type"], "ts", "value"), ["event_type"], width=1_440)
-    return d.select("event_type", F.col("end_at").cast("timestamp_ntz").alias("end_at"), "n", "panes", F.round("total", 4).alias("total"), "low", "high", F.round("median", 6).alias("median"), F.round("per_minute", 6).alias("per_minute"))
+    return d.select("event_type", F.col("end_at").cast("timestamp_ntz").alias("end_at"), "n", "panes", rounding.rounded("total", 4).alias("total"), "low", "high", rounding.rounded("median", 6).alias("median"), rounding.rounded("per_minute", 6).alias("per_minute"))
 
 
 @query("""WITH RECURSIVE c AS (SELECT event_type, ts, event_id, CASE WHEN value < 90 THEN 'low' ELSE 'high' END AS code FROM events),
@@ -94,4 +94,4 @@ def staged_holders(t):
     a = t.alerts.select("dedup_key", "market_id", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"))
     d = staged.staged(a, loaded, ["market_id"], "sent_at", "loaded_at", ["trader_id", "usd"], [F.desc("usd"), F.col("trader_id")], "45 DAYS", 5)
     total = F.aggregate("rows", F.lit(0.0), lambda s, x: s + x["usd"])
-    return d.select("dedup_key", "loaded_at", "state", F.when(F.col("rows").isNotNull(), F.size("rows")).cast("long").alias("holders"), F.get("rows", F.lit(0))["trader_id"].alias("largest_holder"), F.round(F.when(F.col("rows").isNotNull(), total), 2).alias("usd"))
+    return d.select("dedup_key", "loaded_at", "state", F.when(F.col("rows").isNotNull(), F.size("rows")).cast("long").alias("holders"), F.get("rows", F.lit(0))["trader_id"].alias("largest_holder"), rounding.rounded(F.when(F.col("rows").isNotNull(), total), 2).alias("usd"))

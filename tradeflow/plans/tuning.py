@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tradeflow.functions import rounding
 from tradeflow.operators.selection import percentiles
 from tradeflow.plans.flow import beside
 from tradeflow.plans.named import query
@@ -57,7 +58,7 @@ def feature_histograms(t):
     values = F.from_json("features", ", ".join(f"{f} double" for f in SCALES))
     d = d.withColumn("_f", values).withColumn("_x", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), (F.floor(F.col(f"_f.{f}") * k + 0.5) / k + 0.0).alias("bucket")) for f, k in SCALES.items()])))
     d = d.where("_x.bucket IS NOT NULL").groupBy("strategy", F.col("_x.feature").alias("feature"), F.col("_x.bucket").alias("bucket"))
-    return d.agg(F.count("*").alias("n"), (F.round(F.avg("clv_6h"), 6) + 0.0).alias("mean_6h"))
+    return d.agg(F.count("*").alias("n"), (rounding.rounded(F.avg("clv_6h"), 6) + 0.0).alias("mean_6h"))
 
 
 @query("""SELECT event_type, hours, rows_an_hour, most_an_hour, users, most_users_an_hour, minutes, CAST(floor((epoch((SELECT max(ts) FROM events)) - epoch(newest)) / 60) AS BIGINT) AS idle_minutes FROM (SELECT event_type, count(*) AS hours, round(avg(n), 6) AS rows_an_hour, max(n) AS most_an_hour, max(u) AS most_users_an_hour, sum(m)::BIGINT AS minutes, max(newest) AS newest
@@ -68,7 +69,7 @@ def hourly_load(t):
     Distinct users and minutes of an hour are counted among (kind, hour), never over a kind's whole life in one task."""
     e = t.table("events")
     hours = e.groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("u"), F.count_distinct(F.date_trunc("minute", "ts")).alias("m"), F.max("ts").alias("newest"))
-    d = hours.groupBy("event_type").agg(F.count("*").alias("hours"), F.round(F.avg("n"), 6).alias("rows_an_hour"), F.max("n").alias("most_an_hour"), F.max("u").alias("most_users_an_hour"), F.sum("m").alias("minutes"), F.max("newest").alias("newest"))
+    d = hours.groupBy("event_type").agg(F.count("*").alias("hours"), rounding.rounded(F.avg("n"), 6).alias("rows_an_hour"), F.max("n").alias("most_an_hour"), F.max("u").alias("most_users_an_hour"), F.sum("m").alias("minutes"), F.max("newest").alias("newest"))
     users = e.select("event_type", "user_id").distinct().groupBy("event_type").agg(F.count("*").alias("users"))
     now = e.agg(F.max("ts").alias("now"))
     d = beside(d.join(users, "event_type"), now)
@@ -83,7 +84,7 @@ def cluster_percentiles(t):
     c = t.alerts.groupBy("category_id", "sent_at").agg(F.count("*").alias("trades"), F.sum("notional").alias("total"))
     payload = c.select("category_id", F.to_json(F.struct(F.struct(F.col("trades").alias("anomalous_trades"), F.col("total").alias("total_usd")).alias("cluster"))).alias("payload"))
     got = kept(payload.select("category_id", F.get_json_object("payload", "$.cluster.total_usd").cast("double").alias("usd"), F.get_json_object("payload", "$.cluster.anomalous_trades").cast("double").alias("n")))
-    usd = percentiles(got, ["category_id"], "usd", (0.5, 0.9, 0.99)).select("category_id", F.col("n").alias("clusters"), *[F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("usd_p50", "usd_p90", "usd_p99"))])
+    usd = percentiles(got, ["category_id"], "usd", (0.5, 0.9, 0.99)).select("category_id", F.col("n").alias("clusters"), *[rounding.rounded(F.col("q")[i], 4).alias(c) for i, c in enumerate(("usd_p50", "usd_p90", "usd_p99"))])
     return usd.join(percentiles(got, ["category_id"], "n", (0.5, 0.9)).select("category_id", F.col("q")[0].alias("trades_p50"), F.col("q")[1].alias("trades_p90")), "category_id")
 
 
@@ -120,4 +121,4 @@ def candidate_trades(t):
     d = t.trades.where((F.col("traded_at") >= _since()) & (F.col("price") > 0) & (F.col("price") < 1)).join(categories.where("c IN (1, 3)"), "market_id", "left_semi").join(old, "market_id")
     now = F.to_timestamp_ntz(F.lit("2001-11-05 00:00:00"))
     life = 100.0 * F.timestamp_diff("SECOND", "start_at", now) / F.timestamp_diff("SECOND", "start_at", "end_at")
-    return d.select("order_id", "line_no", "market_id", F.round("notional", 2).alias("notional"), F.round(life, 6).alias("lifecycle"))
+    return d.select("order_id", "line_no", "market_id", rounding.rounded("notional", 2).alias("notional"), rounding.rounded(life, 6).alias("lifecycle"))
